@@ -1,0 +1,55 @@
+"""Joins that stay balanced when one key holds a large share of the rows.
+
+``right`` holds at most one row per key. The heaviest keys are taken out of the
+shuffle: their rows on the left never move, because the matching right rows, at
+most ``HOT_KEYS`` of them by construction, are broadcast. Every other key holds
+less than one part in ``HOT_KEYS`` of the rows, so a plain shuffle join carries
+them evenly. Which side of the split a key falls on never changes the result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_KEYS = 10_000
+HOT_ROWS = 1_000_000
+
+
+def heaviest_keys(weights: DataFrame, keys: list[str], weight: str, hot_rows: int = HOT_ROWS,
+                  hot_keys: int = HOT_KEYS) -> DataFrame:
+    """The at most ``hot_keys`` keys with more than ``hot_rows`` rows."""
+    return (
+        weights.filter(F.col(weight) > hot_rows)
+        .orderBy(F.col(weight).desc(), *keys)
+        .limit(hot_keys)
+        .select(*keys)
+    )
+
+
+def balanced_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
+                  weights: DataFrame | None = None, weight: str = "n_rows",
+                  hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """``left.join(right, keys, how)`` for inner, left, left_semi and left_anti.
+
+    Give a smaller ``hot_keys`` where rows on the right are wide.
+
+    ``weights`` gives the rows per key on the left where a caller has counted
+    them already; otherwise they are counted here, combined before the shuffle.
+    """
+    if weights is None:
+        weights = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(weight))
+    hot = F.broadcast(heaviest_keys(weights, keys, weight, hot_rows, hot_keys))
+    hot_right = F.broadcast(right.join(hot, keys, "left_semi"))
+    moved_nowhere = left.join(hot, keys, "left_semi").join(hot_right, keys, how)
+    cold = left.join(hot, keys, "left_anti")
+    if how in ("inner", "left_semi"):
+        return moved_nowhere.unionByName(cold.join(right, keys, how))
+    # A NULL key matches nothing: such rows are kept without being shuffled.
+    keyed = F.lit(True)
+    for key in keys:
+        keyed = keyed & F.col(key).isNotNull()
+    return (
+        moved_nowhere.unionByName(cold.filter(keyed).join(right, keys, how))
+        .unionByName(cold.filter(~keyed), allowMissingColumns=True)
+    )
