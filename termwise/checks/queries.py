@@ -92,24 +92,24 @@ class Tables:
     def questions(self) -> DataFrame:
         return inputs.questions(self.spark, self.sf_dir)
 
-    @property
-    def by_name(self) -> dict[str, DataFrame]:
-        return {
-            "fct_graduation_rate": self.grad,
-            "fct_retention_rate_cohort": self.retention,
-            "fct_retention_rate_term": self.retention_term,
-            "fct_graduation_rate_term": self.grad_term,
-            "fct_enrollment_term": self.enrollment,
-            "dim_program_episode": self.dim,
-        }
+    REPORT = {
+        "fct_graduation_rate": "grad", "fct_retention_rate_cohort": "retention",
+        "fct_retention_rate_term": "retention_term", "fct_graduation_rate_term": "grad_term",
+        "fct_enrollment_term": "enrollment", "dim_program_episode": "dim",
+    }
+
+    def __getitem__(self, name: str) -> DataFrame:
+        """A report table by its stored name."""
+        return getattr(self, self.REPORT[name])
 
 
 def _plain(df: DataFrame) -> DataFrame:
     """Decimals as doubles and dates as text."""
-    return df.select(*[
-        F.col(n).cast("double").alias(n) if t.startswith("decimal")
-        else F.col(n).cast("string").alias(n) if t == "date" else F.col(n)
-        for n, t in df.dtypes])
+    kinds = {"decimal": "DOUBLE", "date": "STRING"}
+    casts = {n: kinds[t.split("(")[0]] for n, t in df.dtypes if t.split("(")[0] in kinds}
+    if not casts:
+        return df
+    return df.selectExpr(*[f"CAST(`{c}` AS {casts[c]}) AS `{c}`" if c in casts else f"`{c}`" for c in df.columns])
 
 
 QUERIES: dict[str, Query] = {}
@@ -187,7 +187,7 @@ def seed_lookups(t):
 @query
 def time_spine(t):
     starts = t.typed.groupBy(
-        terms.term_start_date("term_year", F.col("term_season") == "Spring").alias("date_day")).agg(
+        terms.term_start_date("term_year", "term_season = 'Spring'").alias("date_day")).agg(
         F.count(F.lit(1)).alias("n"))
     return layers.time_spine(t.spark).join(starts, "date_day", "left").select(
         "date_day", F.coalesce("n", F.lit(0)).alias("enrollments_starting"))
@@ -274,12 +274,12 @@ def term_shift(t):
     return t.typed.select(
         "student_id", "u_g", "term_code", terms.shift_year("term_code", 3).alias("three_later"),
         terms.shift_year("term_code", -1).alias("one_earlier"),
-        terms.shift_year_number(F.col("term_code").cast("int"), -1).alias("one_earlier_number"))
+        terms.shift_year_number("CAST(term_code AS INT)", -1).alias("one_earlier_number"))
 
 
 @query
 def blank_to_unknown(t):
-    padded = F.when(F.col("pell") == "", F.lit("  ")).otherwise(F.concat(F.col("pell"), F.lit(" ")))
+    padded = "CASE WHEN pell = '' THEN '  ' ELSE pell || ' ' END"
     return t.lnd.select(
         "student_id", "u_g", "term_code", scalars.blank_to_unknown("firstgen").alias("firstgen"),
         scalars.blank_to_unknown("pell").alias("pell"), scalars.blank_to_unknown(padded).alias("padded_pell"))
@@ -290,15 +290,15 @@ def typed_cast(t):
     return t.lnd.select(
         "student_id", "u_g", "term_code", scalars.to_integer("creditenr").alias("credits"),
         scalars.to_integer("accumgpa").alias("rounded_gpa"), scalars.to_gpa("accumgpa").alias("gpa"),
-        scalars.to_gpa(F.concat("creditenr", "accumgpa")).alias("overflowing_gpa"),
-        scalars.to_integer(F.concat("creditenr", F.lit("x"))).alias("not_a_number"))
+        scalars.to_gpa("creditenr || accumgpa").alias("overflowing_gpa"),
+        scalars.to_integer("creditenr || 'x'").alias("not_a_number"))
 
 
 @query
 def time_dimensions(t):
     return t.typed.select(
         "student_id", "u_g", "term_code", terms.cohort_start_date("term_year").alias("cohort_start_date"),
-        terms.term_start_date("term_year", F.col("term_season") == "Spring").alias("term_start_date"))
+        terms.term_start_date("term_year", "term_season = 'Spring'").alias("term_start_date"))
 
 
 @query
@@ -441,14 +441,12 @@ def current_term(t):
 
 @query
 def best_cohort_retention(t):
-    return asks.best_rate(t.retention, F.lit(True), "one_year_retained_count", "one_year_eligible_cohort_size",
-                          "retained", "eligible", "first_year_retention_rate_pct")
+    return asks.best_rate(t.retention, "true", asks.KEPT_ONE_YEAR)
 
 
 @query
 def best_cohort_graduation(t):
-    return asks.best_rate(t.grad, F.lit(True), "graduated_count", "cohort_size", "graduated_count", "cohort_size",
-                          "graduation_rate_pct")
+    return asks.best_rate(t.grad, "true", asks.GRADUATED)
 
 
 @query
@@ -461,7 +459,7 @@ def limit_default(t):
 
 def _model(name: str, table: str, by: list[str]):
     def body(t):
-        return semantic.model_measures(semantic.MODELS[name], t.by_name[table], by)
+        return semantic.model_measures(semantic.MODELS[name], t[table], by)
 
     return body
 
@@ -500,7 +498,7 @@ METRIC_GROUPINGS: dict[str, list[str]] = {
 
 
 def _metric(name: str, by: list[str]):
-    return lambda t: semantic.metric(name, t.by_name, by)
+    return lambda t: semantic.metric(name, t, by)
 
 
 for _name, _by in METRIC_GROUPINGS.items():
@@ -522,7 +520,7 @@ def ask_eng_retention(t):
 
 @query
 def ask_pell_masters(t):
-    return asks.headcount(t.enrollment, (F.col("u_g") == "G") & (F.col("pell") == "Y"),
+    return asks.headcount(t.enrollment, "u_g = 'G' AND pell = 'Y'",
                           ["term_code", "term_year", "term_season"], "pell_eligible_masters_students")
 
 
@@ -538,7 +536,7 @@ def ask_female_masters_2yr(t):
 
 @query
 def ask_enrollment_trend(t):
-    return asks.headcount(t.enrollment, F.col("school") == "EN", ["term_code", "term_season", "term_year"],
+    return asks.headcount(t.enrollment, "school = 'EN'", ["term_code", "term_season", "term_year"],
                           "total_enrolled")
 
 
@@ -559,8 +557,7 @@ def ask_avg_gpa(t):
 
 @query
 def ask_best_grad(t):
-    return asks.best_rate(t.grad, (F.col("pell") == "Y") & (F.col("u_g") == "U"), "graduated_count", "cohort_size",
-                          "graduated_count", "cohort_size", "graduation_rate_pct")
+    return asks.best_rate(t.grad, "pell = 'Y' AND u_g = 'U'", asks.GRADUATED)
 
 
 @query
@@ -575,8 +572,7 @@ def ask_pell_gap(t):
 
 @query
 def ask_best_doctoral(t):
-    return asks.best_rate(t.retention, F.col("u_g") == "D", "one_year_retained_count",
-                          "one_year_eligible_cohort_size", "retained", "eligible", "first_year_retention_rate_pct")
+    return asks.best_rate(t.retention, "u_g = 'D'", asks.KEPT_ONE_YEAR)
 
 
 @query

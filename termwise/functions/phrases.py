@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from termwise.functions.terms import previous_major_term, term_season, term_year
+from termwise.functions.terms import previous_major_term_sql, term_season_sql, term_year_sql
 
 # Phrases that point at the data.
 DATA_PHRASES = (
@@ -91,29 +91,30 @@ def wants_chart(question: Column) -> Column:
     return asked & ~_found(question, NOT_A_CHART)
 
 
-def resolve_relative_terms(question: Column, current: Column) -> Column:
-    """Append what each relative phrase means, given the latest term in the data.
+def resolve_relative_terms(question: Column, current: str) -> Column:
+    """Append what each relative phrase means, given the column of the latest term.
 
     The question itself is never changed; each kind is appended at most once and
     always in the same order.
     """
-    year = term_year(current)
-    this_label = F.concat(term_season(current, "Unknown"), F.lit(" "), year.cast("string"))
-    previous = F.when(term_season(current).isin("Spring", "Fall"), previous_major_term(current)).otherwise(current)
-    previous_label = F.concat(term_season(previous, "Unknown"), F.lit(" "), term_year(previous).cast("string"))
+    year = term_year_sql(current)
+    previous = f"coalesce({previous_major_term_sql(current)}, {current})"
+
+    def named(term: str) -> str:
+        return f"{term_season_sql(term, 'Unknown')} || ' ' || {term_year_sql(term)}"
+
     span = F.regexp_extract(question, _FLAGS + PAST_YEARS, 1).try_cast("decimal(38,0)")
+    first = (F.expr(year) - span).cast("decimal(38,0)").cast("string")
     notes = [
-        F.when(_found(question, LAST_YEAR),
-               F.format_string("(most recent cohort_year: %d)", year - 1)),
-        F.when(_found(question, THIS_YEAR),
-               F.format_string("(current cohort_year: %d)", year)),
+        F.when(_found(question, LAST_YEAR), F.expr(f"'(most recent cohort_year: ' || ({year} - 1) || ')'")),
+        F.when(_found(question, THIS_YEAR), F.expr(f"'(current cohort_year: ' || {year} || ')'")),
         F.when(_found(question, LAST_TERM),
-               F.format_string("(previous major term: %s, %s)", previous, previous_label)),
+               F.expr(f"'(previous major term: ' || {previous} || ', ' || {named(previous)} || ')'")),
         F.when(_found(question, THIS_TERM),
-               F.format_string("(current term: %s, %s)", current, this_label)),
+               F.expr(f"'(current term: ' || {current} || ', ' || {named(current)} || ')'")),
         F.when(_found(question, PAST_YEARS),
-               F.format_string("(cohort_years %s-%d)", (year - span).cast("decimal(38,0)").cast("string"), year)),
+               F.concat(F.lit("(cohort_years "), first, F.expr(f"'-' || {year} || ')'"))),
         F.when(_found(question, RECENT),
-               F.format_string("(data available through: %s, %s)", current, this_label)),
+               F.expr(f"'(data available through: ' || {current} || ', ' || {named(current)} || ')'")),
     ]
     return F.concat_ws(" ", question, *notes)

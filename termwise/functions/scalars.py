@@ -5,48 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from termwise.functions.terms import term_season, term_year  # noqa: F401  (re-exported)
 
-
-def pct(numerator: Column, denominator: Column, scale: int = 4) -> Column:
+def pct(numerator: str, denominator: str, scale: int = 4) -> Column:
     """``round(100 * numerator / denominator, scale)``; NULL over a zero denominator.
 
-    The quotient is decimal, so halves round the same way on every engine; only
-    the finished rate becomes a double.
+    Both are SQL expressions. The quotient is decimal, so halves round the same
+    way on every engine; only the finished rate becomes a double.
     """
-    share = (F.lit(100).cast("decimal(5,1)") * numerator.cast("decimal(20,0)")) / F.nullif(
-        denominator.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)")
-    )
-    return F.round(share, scale).cast("double")
+    return F.expr(
+        f"CAST(round(CAST(100 AS DECIMAL(5,1)) * CAST({numerator} AS DECIMAL(20,0)) "
+        f"/ nullif(CAST({denominator} AS DECIMAL(20,0)), CAST(0 AS DECIMAL(20,0))), {scale}) AS DOUBLE)")
 
 
-def blank_to_unknown(column) -> Column:
+def blank_to_unknown(value: str) -> Column:
     """Blank or NULL becomes ``Unknown``; anything else is returned untrimmed."""
-    value = F.col(column) if isinstance(column, str) else column
-    return F.when(value.isNull() | (F.trim(value) == ""), F.lit("Unknown")).otherwise(value)
+    return F.expr(f"CASE WHEN nullif(trim({value}), '') IS NULL THEN 'Unknown' ELSE {value} END")
 
 
-def to_integer(column) -> Column:
+def to_integer(value: str) -> Column:
     """Text to integer, rounding halves away from zero; NULL if it is no number."""
-    value = F.col(column) if isinstance(column, str) else column
-    return F.round(value.try_cast("decimal(28,8)"), 0).try_cast("int")
+    return F.expr(f"try_cast(round(try_cast({value} AS DECIMAL(28,8)), 0) AS INT)")
 
 
-def to_gpa(column) -> Column:
-    value = F.col(column) if isinstance(column, str) else column
-    return value.try_cast("decimal(4,2)")
+def to_gpa(value: str) -> Column:
+    return F.expr(f"try_cast({value} AS DECIMAL(4,2))")
 
 
-def joined_key(*parts) -> Column:
+def joined_key(*parts: str) -> Column:
     """Parts joined by ``-``; NULL as soon as one part is NULL."""
-    pieces = []
-    for part in parts:
-        if pieces:
-            pieces.append(F.lit("-"))
-        pieces.append((F.col(part) if isinstance(part, str) else part).cast("string"))
-    return F.concat(*pieces)
+    return F.expr(" || '-' || ".join(f"CAST({part} AS STRING)" for part in parts))
 
 
-def is_number_text(value: Column) -> Column:
+def is_number_text(value: str) -> Column:
     """Whether text reads as a plain number (sign, point and exponent allowed)."""
-    return value.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
+    return F.col(value).rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")

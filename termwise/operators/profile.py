@@ -45,7 +45,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     total = counted.groupBy("position").agg(
         F.sum("n").alias("n_rows"),
         F.sum(F.when(filled, F.col("n")).otherwise(0)).alias("non_null"),
-        F.sum(F.when(filled & is_number_text(F.col("value")), F.col("n")).otherwise(0)).alias("numeric_values"),
+        F.sum(F.when(filled & is_number_text("value"), F.col("n")).otherwise(0)).alias("numeric_values"),
         F.count("value").alias("distinct_values"),
     )
     return total.select(

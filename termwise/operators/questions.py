@@ -23,7 +23,7 @@ def resolve_terms(questions: DataFrame, enrollment: DataFrame) -> DataFrame:
     latest = current_term(enrollment).scalar()
     return (
         questions.withColumn("_now", latest)
-        .withColumn("resolved", phrases.resolve_relative_terms(F.col("question"), F.col("_now")))
+        .withColumn("resolved", phrases.resolve_relative_terms(F.col("question"), "_now"))
         .drop("_now")
     )
 

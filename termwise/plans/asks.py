@@ -2,112 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termwise.functions.scalars import pct
-from termwise.plans.semantic import student_heads
+from termwise.plans.semantic import student_heads, subset_rate
 
 DEFAULT_LIMIT = 50
 ANSWER_ROWS = 20
 
+# (numerator, denominator, their names in the answer, the rate's name)
+GRADUATED = ("graduated_count", "cohort_size", "graduated_count", "cohort_size", "graduation_rate_pct")
+KEPT_ONE_YEAR = ("one_year_retained_count", "one_year_eligible_cohort_size", "retained", "eligible",
+                 "first_year_retention_rate_pct")
+KEPT_TWO_YEARS = ("two_year_retained_count", "two_year_eligible_cohort_size", "retained", "eligible",
+                  "second_year_retention_rate_pct")
+
 
 def limited(df: DataFrame, *order, n: int = DEFAULT_LIMIT) -> DataFrame:
     """A result cut to the default number of rows, after a total order."""
     return df.orderBy(*order).limit(n)
 
 
-def best_rate(fact: DataFrame, where: Column, top: str, bottom: str, top_as: str, bottom_as: str,
-              name: str) -> DataFrame:
-    """The entry year with the highest rate; years nobody was judged in cannot win."""
-    rates = fact.filter(where).groupBy("cohort_year").agg(
-        F.sum(bottom).alias(bottom_as), F.sum(top).alias(top_as), pct(F.sum(top), F.sum(bottom), 2).alias(name))
-    return rates.filter(F.col(bottom_as) > 0).orderBy(F.col(name).desc_nulls_last(), "cohort_year").limit(1)
+def cohort_rate(fact: DataFrame, where: str, by: str, what: tuple[str, ...]) -> DataFrame:
+    top, bottom, top_as, bottom_as, name = what
+    return subset_rate(fact.filter(where), [by], top, bottom, name, 2, top_as, bottom_as)
 
 
-def _cohort_rate(fact: DataFrame, where: Column, by: str, top: str, bottom: str, top_as: str, bottom_as: str,
-                 name: str) -> DataFrame:
-    return fact.filter(where).groupBy(by).agg(
-        F.sum(bottom).alias(bottom_as), F.sum(top).alias(top_as), pct(F.sum(top), F.sum(bottom), 2).alias(name))
+def best_rate(fact: DataFrame, where: str, what: tuple[str, ...]) -> DataFrame:
+    """The entry year with the highest rate; years nobody was judged in cannot win."""
+    rates = cohort_rate(fact, where, "cohort_year", what)
+    return rates.filter(F.col(what[3]) > 0).orderBy(F.col(what[4]).desc_nulls_last(), "cohort_year").limit(1)
 
 
 def pell_graduation_trend(grad: DataFrame) -> DataFrame:
-    return _cohort_rate(grad, F.col("pell") == "Y", "cohort_year", "graduated_count", "cohort_size",
-                        "graduated_count", "cohort_size", "graduation_rate_pct").orderBy("cohort_year")
+    return cohort_rate(grad, "pell = 'Y'", "cohort_year", GRADUATED).orderBy("cohort_year")
 
 
 def first_year_retention(retention: DataFrame, level: str, school: str) -> DataFrame:
-    return _cohort_rate(retention, (F.col("u_g") == level) & (F.col("school") == school), "cohort_year",
-                        "one_year_retained_count", "one_year_eligible_cohort_size", "retained", "eligible_cohort",
-                        "first_year_retention_rate_pct").orderBy("cohort_year")
+    what = (*KEPT_ONE_YEAR[:3], "eligible_cohort", KEPT_ONE_YEAR[4])
+    return cohort_rate(retention, f"u_g = '{level}' AND school = '{school}'", "cohort_year", what).orderBy(
+        "cohort_year")
 
 
-def headcount(enrollment: DataFrame, where: Column, by: list[str], name: str) -> DataFrame:
+def headcount(enrollment: DataFrame, where: str, by: list[str], name: str) -> DataFrame:
     return student_heads(enrollment.filter(where), by, {}).withColumnRenamed("student_count", name).orderBy(by[0])
 
 
 def graduation_by_school(grad: DataFrame, cohort_year: int) -> DataFrame:
-    return _cohort_rate(grad, F.col("cohort_year") == cohort_year, "school", "graduated_count", "cohort_size",
-                        "graduated_count", "cohort_size", "graduation_rate_pct").orderBy(
+    return cohort_rate(grad, f"cohort_year = {cohort_year}", "school", GRADUATED).orderBy(
         F.col("graduation_rate_pct").desc_nulls_last(), "school")
 
 
 def two_year_retention(retention: DataFrame, level: str, gender: str) -> DataFrame:
-    return _cohort_rate(retention, (F.col("u_g") == level) & (F.col("gender") == gender), "cohort_year",
-                        "two_year_retained_count", "two_year_eligible_cohort_size", "retained", "eligible",
-                        "second_year_retention_rate_pct").orderBy("cohort_year")
+    return cohort_rate(retention, f"u_g = '{level}' AND gender = '{gender}'", "cohort_year",
+                       KEPT_TWO_YEARS).orderBy("cohort_year")
 
 
 def term_attrition(retention_term: DataFrame, term: str, level: str) -> DataFrame:
-    stayed, eligible = F.sum("continuing_students"), F.sum("eligible_prior_students")
-    return retention_term.filter((F.col("current_term") == term) & (F.col("u_g") == level)).groupBy(
-        "current_term").agg(
-        F.sum("prior_students").alias("prior_students"),
-        F.sum("graduates_excluded").alias("graduates_excluded"),
-        eligible.alias("eligible_prior"),
-        stayed.alias("continuing"),
-        pct(eligible - stayed, eligible, 2).alias("attrition_rate_pct"))
+    return retention_term.filter(f"current_term = '{term}' AND u_g = '{level}'").groupBy("current_term").agg(
+        F.expr("sum(prior_students) AS prior_students"),
+        F.expr("sum(graduates_excluded) AS graduates_excluded"),
+        F.expr("sum(eligible_prior_students) AS eligible_prior"),
+        F.expr("sum(continuing_students) AS continuing"),
+        pct("(sum(eligible_prior_students) - sum(continuing_students))", "sum(eligible_prior_students)", 2)
+        .alias("attrition_rate_pct"))
 
 
 def program_starts(dim: DataFrame, level: str, school: str, cohort_year: int) -> DataFrame:
     return dim.filter(
-        (F.col("u_g") == level) & (F.col("school") == school) & (F.col("cohort_year") == cohort_year)
-        & (F.col("is_first_time_cohort") == 1)).agg(F.count(F.lit(1)).alias("new_phd_students"))
+        f"u_g = '{level}' AND school = '{school}' AND cohort_year = {cohort_year} AND is_first_time_cohort = 1"
+    ).agg(F.expr("count(*) AS new_phd_students"))
 
 
 def average_gpa(enrollment: DataFrame, school: str, pell: str, term: str) -> DataFrame:
-    return enrollment.filter(
-        (F.col("school") == school) & (F.col("pell") == pell) & (F.col("term_code") == term)).agg(
-        F.round(F.avg("accumgpa"), 2).cast("double").alias("avg_gpa"))
+    return enrollment.filter(f"school = '{school}' AND pell = '{pell}' AND term_code = '{term}'").agg(
+        F.expr("CAST(round(avg(accumgpa), 2) AS DOUBLE) AS avg_gpa"))
 
 
 def graduates_in_term(graduation_term: DataFrame, term: str) -> DataFrame:
-    return graduation_term.filter(F.col("current_term") == term).agg(
-        F.sum("graduated_students").alias("total_graduates"))
+    return graduation_term.filter(f"current_term = '{term}'").agg(
+        F.expr("sum(graduated_students) AS total_graduates"))
 
 
 def pell_gap(grad: DataFrame) -> DataFrame:
-    return _cohort_rate(grad, F.col("pell").isin("Y", "N"), "pell", "graduated_count", "cohort_size",
-                        "graduated_count", "cohort_size", "graduation_rate_pct").orderBy("pell")
+    return cohort_rate(grad, "pell IN ('Y', 'N')", "pell", GRADUATED).orderBy("pell")
 
 
 def risk_by_school(risk: DataFrame) -> DataFrame:
     """Mean dropout probability of the scored students; graduates are not scored."""
-    thousandths = F.round(F.col("dropout_probability") * 1000, 0).cast("bigint")
-    return risk.filter(F.col("risk_flag").isNotNull()).groupBy("school").agg(
-        F.count(F.lit(1)).alias("scored_students"),
-        F.round(F.sum(thousandths).cast("decimal(20,0)") / F.count("dropout_probability") / 1000, 6)
-        .cast("double").alias("avg_dropout_probability"))
+    exact = "CAST(dropout_probability AS DECIMAL(12,9))"
+    return risk.filter("risk_flag IS NOT NULL").groupBy("school").agg(
+        F.expr("count(*) AS scored_students"),
+        F.expr(f"CAST(round(sum({exact}) / count(dropout_probability), 6) AS DOUBLE) AS avg_dropout_probability"))
 
 
 def risk_counts(risk: DataFrame) -> DataFrame:
-    at_risk, scored = F.count_if(F.col("risk_flag") == "YES"), F.count("risk_flag")
+    at_risk = "count_if(risk_flag = 'YES')"
     return risk.agg(
-        F.count(F.lit(1)).alias("students"),
-        scored.alias("scored_students"),
-        at_risk.alias("at_risk_students"),
-        pct(at_risk, scored, 2).alias("at_risk_pct"),
-        pct(scored, F.count(F.lit(1)), 2).alias("scored_pct"))
+        F.expr("count(*) AS students"),
+        F.expr("count(risk_flag) AS scored_students"),
+        F.expr(f"{at_risk} AS at_risk_students"),
+        pct(at_risk, "count(risk_flag)", 2).alias("at_risk_pct"),
+        pct("count(risk_flag)", "count(*)", 2).alias("scored_pct"))
 
 
 def risk_join_enrollment(risk: DataFrame, enrollment: DataFrame) -> DataFrame:
@@ -117,9 +114,9 @@ def risk_join_enrollment(risk: DataFrame, enrollment: DataFrame) -> DataFrame:
     to one row per student and term first, so no student weighs on the join.
     """
     seen = enrollment.select("student_id", "term_code").distinct()
-    scored = risk.select("student_id", "risk_flag", F.col("term_code").cast("string").alias("term_code"))
+    scored = risk.selectExpr("student_id", "risk_flag", "CAST(term_code AS STRING) AS term_code")
     return seen.join(scored, ["student_id", "term_code"]).groupBy("term_code", "risk_flag").agg(
-        F.count("student_id").alias("students"))
+        F.expr("count(student_id) AS students"))
 
 
 def headcount_of_members(enrollment: DataFrame, members: DataFrame) -> DataFrame:
@@ -128,9 +125,6 @@ def headcount_of_members(enrollment: DataFrame, members: DataFrame) -> DataFrame
     Each student's terms are gathered before the join, so both sides arrive with
     one row per student, already partitioned by student.
     """
-    terms = enrollment.groupBy("student_id").agg(F.collect_set("term_code").alias("terms"))
-    return terms.join(members.select("student_id"), "student_id", "left_semi").select(
-        F.explode("terms").alias("term_code")).groupBy("term_code").agg(
-        F.count(F.lit(1)).alias("student_count"))
-
-
+    terms = enrollment.groupBy("student_id").agg(F.expr("collect_set(term_code) AS terms"))
+    return terms.join(members.select("student_id").distinct(), "student_id", "left_semi").selectExpr(
+        "explode(terms) AS term_code").groupBy("term_code").agg(F.expr("count(*) AS student_count"))

@@ -9,11 +9,11 @@ with no join back to enrollment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termwise.functions.scalars import joined_key
-from termwise.functions.terms import next_major_term, term_season, term_year
+from termwise.functions.terms import term_season, term_year
 from termwise.operators.skew import HOT_ROWS, balanced_join
 
 EPISODE_KEY = ["student_id", "u_g", "degtype"]
@@ -29,84 +29,64 @@ def with_cohort_flag(enrollment: DataFrame, hot_rows: int = HOT_ROWS) -> DataFra
     keyed = enrollment.withColumn("_key", F.struct(*EPISODE_KEY))
     first = keyed.groupBy("_key").agg(F.min("term_code").alias("_first"), F.count(F.lit(1)).alias("n_rows"))
     joined = balanced_join(keyed, first.select("_key", "_first"), ["_key"], weights=first, hot_rows=hot_rows)
-    flag = F.when(F.col("term_code") == F.col("_first"), 1).otherwise(0)
-    return joined.withColumn("is_cohort_term_row", flag).drop("_key", "_first")
+    return joined.selectExpr(
+        *enrollment.columns, "CASE WHEN term_code = _first THEN 1 ELSE 0 END AS is_cohort_term_row")
 
 
 def check_terms(calendar: DataFrame) -> DataFrame:
     """Per entry term, the terms 1, 2 and 4 major terms later.
 
-    A hop is only taken from a term that is itself in the calendar, so a later
-    hop is NULL once a term in between is missing from the data.
+    The calendar, a few dozen rows, becomes one map from each term to the next.
+    A hop is a lookup in it, so it is only taken from a term that is itself in
+    the data: a later hop is NULL once a term in between is missing.
     """
-    known = calendar.agg(F.collect_set("current_term").alias("known"))
-    hops = known.select(F.explode("known").alias("cohort_term"), "known")
-
-    def hop(start: str) -> Column:
-        return F.when(F.array_contains("known", F.col(start)), next_major_term(start))
-
+    hops = calendar.agg(F.expr("map_from_entries(collect_list(struct(current_term, next_major_term))) AS hop"))
     return (
-        hops.withColumn("next_term", next_major_term("cohort_term"))
-        .withColumn("one_year_term", hop("next_term"))
-        .withColumn("_third", hop("one_year_term"))
-        .withColumn("two_year_term", hop("_third"))
-        .select("cohort_term", "next_term", "one_year_term", "two_year_term")
+        hops.selectExpr("explode(hop) AS (cohort_term, next_term)", "hop")
+        .selectExpr("*", "try_element_at(hop, next_term) AS one_year_term")
+        .selectExpr("*", "try_element_at(hop, try_element_at(hop, one_year_term)) AS two_year_term")
+        .drop("hop")
     )
 
 
 def check_term_table(calendar: DataFrame) -> DataFrame:
     """The complete chains only, under their reported names."""
-    return check_terms(calendar).filter(F.col("two_year_term").isNotNull()).select(
-        "cohort_term",
-        F.col("one_year_term").alias("one_year_check_term"),
-        F.col("two_year_term").alias("two_year_check_term"),
-    )
+    return check_terms(calendar).filter("two_year_term IS NOT NULL").selectExpr(
+        "cohort_term", "one_year_term AS one_year_check_term", "two_year_term AS two_year_check_term")
 
 
-def _flag(condition: Column) -> Column:
-    return F.when(condition, 1).otherwise(0)
+def keyed_rows(enrollment: DataFrame) -> DataFrame:
+    """Rows that belong to an episode: no NULL in the key."""
+    return enrollment.filter(" AND ".join(f"{key} IS NOT NULL" for key in EPISODE_KEY))
 
 
 def episode_bounds(enrollment: DataFrame) -> DataFrame:
     """Entry and last term, outcome, and attributes at entry; one row per key.
 
-    Rows with a NULL in the key have no episode id and belong to no episode.
     Attributes are the greatest value among the rows of the entry term.
     """
-    graduated = F.col("academic_state") == "Graduated"
-    keyed = enrollment
-    for key in EPISODE_KEY:
-        keyed = keyed.filter(F.col(key).isNotNull())
-    gathered = keyed.groupBy(*EPISODE_KEY).agg(
+    gathered = keyed_rows(enrollment).groupBy(*EPISODE_KEY).agg(
         F.min("term_code").alias("cohort_term"),
         F.max("term_code").alias("last_term"),
-        F.max(_flag(F.col("regstat_code") == "1")).alias("is_first_time_cohort"),
-        F.max(_flag(graduated)).alias("graduated_flag"),
-        F.min(F.when(graduated, F.col("term_code"))).alias("graduation_term"),
-        F.collect_set(F.struct("term_code", "school", "pell", "firstgen", "gender")).alias("entries"),
-    )
-    at_entry = gathered.filter(F.col("cohort_term").isNotNull()).withColumn(
-        "_first", F.filter("entries", lambda e: e["term_code"] == F.col("cohort_term"))
+        F.expr("max(CASE WHEN regstat_code = '1' THEN 1 ELSE 0 END) AS is_first_time_cohort"),
+        F.expr("max(CASE WHEN academic_state = 'Graduated' THEN 1 ELSE 0 END) AS graduated_flag"),
+        F.expr("min(CASE WHEN academic_state = 'Graduated' THEN term_code END) AS graduation_term"),
+        F.expr("collect_set(struct(term_code, school, pell, firstgen, gender)) AS entries"),
     )
-
-    def greatest(name: str) -> Column:
-        return F.array_max(F.transform("_first", lambda e: e[name]))
-
+    at_entry = gathered.filter("cohort_term IS NOT NULL").selectExpr(
+        "*", "filter(entries, e -> e.term_code = cohort_term) AS first")
     return at_entry.select(
         joined_key(*EPISODE_KEY, "cohort_term").alias("program_episode_id"),
         *EPISODE_KEY,
         "cohort_term",
         term_year("cohort_term").alias("cohort_year"),
         term_season("cohort_term").alias("cohort_season"),
-        greatest("school").alias("cohort_school"),
-        greatest("pell").alias("cohort_pell"),
-        greatest("firstgen").alias("cohort_firstgen"),
-        greatest("gender").alias("cohort_gender"),
+        *[F.expr(f"array_max(first.{name}) AS cohort_{name}") for name in ("school", "pell", "firstgen", "gender")],
         "last_term",
         "is_first_time_cohort",
         "graduated_flag",
         "graduation_term",
-        F.transform("entries", lambda e: e["term_code"]).alias("terms"),
+        F.expr("entries.term_code AS terms"),
     )
 
 
@@ -125,30 +105,21 @@ def int_program_episodes(enrollment: DataFrame, calendar: DataFrame) -> DataFram
     both are 0, also the one-year mark.
     """
     marks = episode_bounds(enrollment).join(F.broadcast(check_terms(calendar)), "cohort_term", "left")
-
-    def seen(term: str) -> Column:
-        return _flag(F.array_contains("terms", F.col(term)))
-
-    whole_chain = F.col("two_year_term").isNotNull()
-    return (
-        marks.withColumn("enrolled_next_term", seen("next_term"))
-        .withColumn("retained_one_year", seen("one_year_term"))
-        .withColumn("retained_two_year", seen("two_year_term"))
-        .withColumn("graduated_before_one_year_mark",
-                    _flag(whole_chain & (F.col("graduation_term") <= F.col("one_year_term"))))
-        .withColumn("graduated_before_two_year_mark",
-                    _flag(whole_chain & (F.col("graduation_term") <= F.col("two_year_term"))))
-        .select(*EPISODE_COLUMNS)
-    )
+    flags = {
+        "enrolled_next_term": "array_contains(terms, next_term)",
+        "retained_one_year": "array_contains(terms, one_year_term)",
+        "retained_two_year": "array_contains(terms, two_year_term)",
+        "graduated_before_one_year_mark": "two_year_term IS NOT NULL AND graduation_term <= one_year_term",
+        "graduated_before_two_year_mark": "graduation_term <= two_year_term",
+    }
+    return marks.selectExpr(
+        *[c for c in EPISODE_COLUMNS if c not in flags],
+        *[f"CASE WHEN {condition} THEN 1 ELSE 0 END AS {name}" for name, condition in flags.items()])
 
 
 def dim_program_episode(episodes: DataFrame) -> DataFrame:
     """Attributes for slicing only; outcome flags are left out on purpose."""
-    return episodes.select(
+    return episodes.selectExpr(
         "program_episode_id", "student_id", "u_g", "degtype", "cohort_term", "cohort_year", "cohort_season",
-        F.col("cohort_school").alias("school"),
-        F.col("cohort_pell").alias("pell"),
-        F.col("cohort_firstgen").alias("firstgen"),
-        F.col("cohort_gender").alias("gender"),
-        "last_term", "is_first_time_cohort",
-    )
+        "cohort_school AS school", "cohort_pell AS pell", "cohort_firstgen AS firstgen", "cohort_gender AS gender",
+        "last_term", "is_first_time_cohort")

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termwise.functions.scalars import joined_key, pct
-from termwise.functions.terms import is_major_term, next_major_term, previous_major_term
+from termwise.functions.scalars import pct
+from termwise.functions.terms import is_major_term_sql, next_major_term, previous_major_term
 from termwise.operators.skew import HOT_ROWS, balanced_join
-from termwise.plans.episodes import EPISODE_KEY
+from termwise.plans.episodes import EPISODE_KEY, keyed_rows
 
 # Years in YYYYTT units a level needs before a cohort is judged.
 MATURITY_WINDOWS = {"U": 400, "G": 200, "D": 500}
 ONE_YEAR, TWO_YEARS = 100, 200
+MATURITY_SQL = "CASE u_g " + " ".join(f"WHEN '{u}' THEN {n}" for u, n in MATURITY_WINDOWS.items()) + " END"
+# The entry term as a number; a malformed code never counts as matured.
+ENTERED = "try_cast(cohort_term AS INT)"
 
 
 def enrollment_rows(enrollment: DataFrame) -> DataFrame:
@@ -21,9 +24,7 @@ def enrollment_rows(enrollment: DataFrame) -> DataFrame:
     Every keyed row has exactly one episode, so a question that needs no episode
     column needs no join.
     """
-    for key in EPISODE_KEY:
-        enrollment = enrollment.filter(F.col(key).isNotNull())
-    return enrollment
+    return keyed_rows(enrollment)
 
 
 def fct_enrollment_term(enrollment: DataFrame, episodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -34,14 +35,6 @@ def fct_enrollment_term(enrollment: DataFrame, episodes: DataFrame, hot_rows: in
     return balanced_join(enrollment_rows(enrollment).select(*wanted), right, EPISODE_KEY, hot_rows=hot_rows)
 
 
-def maturity_window(level="u_g") -> Column:
-    level = F.col(level) if isinstance(level, str) else level
-    chain = None
-    for code, years in MATURITY_WINDOWS.items():
-        chain = F.when(level == code, years) if chain is None else chain.when(level == code, years)
-    return chain
-
-
 COHORT_DIMS = ["degtype", "u_g", "gender", "school", "pell", "cohort_year"]
 
 
@@ -53,52 +46,42 @@ def _cohorts(episodes: DataFrame) -> DataFrame:
 
 def newest_cohort(episodes: DataFrame) -> Column:
     """The latest entry term of any episode, as a scalar subquery."""
-    return episodes.agg(F.max(F.col("cohort_term").try_cast("int"))).scalar()
+    return episodes.agg(F.expr(f"max({ENTERED})")).scalar()
 
 
 def matured_cohorts(episodes: DataFrame) -> DataFrame:
     """First-time episodes whose level has had its full time to graduate."""
-    return episodes.filter(F.col("is_first_time_cohort") == 1).filter(
-        F.col("cohort_term").try_cast("int") + maturity_window() <= newest_cohort(episodes)
-    )
+    return episodes.filter("is_first_time_cohort = 1").filter(
+        F.expr(f"{ENTERED} + {MATURITY_SQL}") <= newest_cohort(episodes))
 
 
 def fct_graduation_rate(episodes: DataFrame) -> DataFrame:
-    size, done = F.count(F.lit(1)), F.sum("graduated_flag")
     return _cohorts(matured_cohorts(episodes)).groupBy(*COHORT_DIMS).agg(
-        size.alias("cohort_size"),
-        done.alias("graduated_count"),
-        pct(done, size).alias("graduation_rate_pct"),
+        F.expr("count(*) AS cohort_size"),
+        F.expr("sum(graduated_flag) AS graduated_count"),
+        pct("sum(graduated_flag)", "count(*)").alias("graduation_rate_pct"),
     )
 
 
 def fct_retention_rate_cohort(episodes: DataFrame) -> DataFrame:
     """One- and two-year retention; a cohort too young keeps its row with a NULL rate."""
-    entered = F.col("cohort_term").try_cast("int")
-    newest = newest_cohort(episodes)
-    one = (entered + ONE_YEAR <= newest) & (F.col("graduated_before_one_year_mark") == 0)
-    two = (entered + TWO_YEARS <= newest) & (F.col("graduated_before_two_year_mark") == 0)
-    judged = (
-        _cohorts(episodes.filter(F.col("is_first_time_cohort") == 1))
-        .withColumn("_one", F.when(one, 1).otherwise(0))
-        .withColumn("_two", F.when(two, 1).otherwise(0))
-    )
+    judged = _cohorts(episodes.filter("is_first_time_cohort = 1")).withColumn("newest", newest_cohort(episodes))
+    one = f"{ENTERED} + {ONE_YEAR} <= newest AND graduated_before_one_year_mark = 0"
+    two = f"{ENTERED} + {TWO_YEARS} <= newest AND graduated_before_two_year_mark = 0"
     sums = judged.groupBy(*COHORT_DIMS).agg(
-        F.sum("_one").alias("one_year_eligible_cohort_size"),
-        F.sum(F.col("_one") * F.col("retained_one_year")).alias("one_year_retained_count"),
-        F.sum("_two").alias("two_year_eligible_cohort_size"),
-        F.sum(F.col("_two") * F.col("retained_two_year")).alias("two_year_retained_count"),
+        F.expr(f"sum(CASE WHEN {one} THEN 1 ELSE 0 END) AS one_year_eligible_cohort_size"),
+        F.expr(f"sum(CASE WHEN {one} THEN retained_one_year ELSE 0 END) AS one_year_retained_count"),
+        F.expr(f"sum(CASE WHEN {two} THEN 1 ELSE 0 END) AS two_year_eligible_cohort_size"),
+        F.expr(f"sum(CASE WHEN {two} THEN retained_two_year ELSE 0 END) AS two_year_retained_count"),
     )
     return sums.select(
         *COHORT_DIMS,
         "one_year_eligible_cohort_size",
         "one_year_retained_count",
-        pct(F.col("one_year_retained_count"), F.col("one_year_eligible_cohort_size"))
-        .alias("first_year_retention_rate_pct"),
+        pct("one_year_retained_count", "one_year_eligible_cohort_size").alias("first_year_retention_rate_pct"),
         "two_year_eligible_cohort_size",
         "two_year_retained_count",
-        pct(F.col("two_year_retained_count"), F.col("two_year_eligible_cohort_size"))
-        .alias("second_year_retention_rate_pct"),
+        pct("two_year_retained_count", "two_year_eligible_cohort_size").alias("second_year_retention_rate_pct"),
     )
 
 
@@ -112,56 +95,44 @@ def term_moves(enrollment: DataFrame, calendar: DataFrame, dims: list[str]) -> D
     of its own. Both flags are 0 where the key or an attribute is NULL, as such
     rows find no partner under plain equality.
     """
-    entry = F.struct("term_code", *dims,
-                     F.coalesce(F.col("academic_state") == "Graduated", F.lit(False)).alias("graduated"))
-    gathered = enrollment.groupBy(*EPISODE_KEY).agg(F.collect_set(entry).alias("entries"))
-    moves = gathered.select(
-        *EPISODE_KEY, "entries",
-        F.explode(F.filter("entries", lambda e: is_major_term(e["term_code"]))).alias("prior"),
+    listed = ", ".join(dims)
+    known = " AND ".join(f"{c} IS NOT NULL" for c in [*EPISODE_KEY, *dims])
+    gathered = enrollment.groupBy(*EPISODE_KEY).agg(F.expr(
+        f"collect_set(struct(term_code, {listed}, coalesce(academic_state = 'Graduated', false) AS graduated))"
+        " AS entries"))
+    moves = gathered.selectExpr(
+        *EPISODE_KEY, "entries", f"explode(filter(entries, e -> {is_major_term_sql('e.term_code')})) AS prior"
     ).select(
-        *EPISODE_KEY, "entries",
-        F.col("prior.term_code").alias("prior_term"),
-        next_major_term(F.col("prior.term_code")).alias("current_term"),
-        *[F.col(f"prior.{d}").alias(d) for d in dims],
-    )
-    known = F.lit(True)
-    for column in [*EPISODE_KEY, *dims]:
-        known = known & F.col(column).isNotNull()
-    continued = F.exists("entries", lambda e: e["term_code"] == F.col("current_term"))
-    graduated = F.exists(
-        "entries",
-        lambda e: e["graduated"] & (e["term_code"] >= F.col("prior_term")) & (e["term_code"] < F.col("current_term")),
-    )
-    flagged = moves.select(
+        *EPISODE_KEY, "entries", F.expr("prior.term_code AS prior_term"),
+        next_major_term("prior.term_code").alias("current_term"), *[f"prior.{d}" for d in dims])
+    flagged = moves.selectExpr(
         *EPISODE_KEY, "current_term", *dims,
-        F.when(known & continued, 1).otherwise(0).alias("continued"),
-        F.when(known & graduated, 1).otherwise(0).alias("graduated"),
+        f"CASE WHEN {known} AND exists(entries, e -> e.term_code = current_term) THEN 1 ELSE 0 END AS continued",
+        f"CASE WHEN {known} AND exists(entries, e -> e.graduated AND e.term_code >= prior_term"
+        " AND e.term_code < current_term) THEN 1 ELSE 0 END AS graduated",
     ).join(F.broadcast(calendar.select("current_term")), "current_term", "left_semi")
     return flagged.groupBy("current_term", *EPISODE_KEY, *dims).agg(
-        F.max("continued").alias("continued"), F.max("graduated").alias("graduated")
-    )
+        F.expr("max(continued) AS continued"), F.expr("max(graduated) AS graduated"))
 
 
 def _term_counts(moves: DataFrame, dims: list[str]) -> DataFrame:
     return moves.groupBy("current_term", "degtype", "u_g", *dims).agg(
-        F.count("student_id").alias("prior_students"),
-        F.sum("graduated").alias("graduates"),
-        F.sum("continued").alias("continuing_students"),
+        F.expr("count(student_id) AS prior_students"),
+        F.expr("sum(graduated) AS graduates"),
+        F.expr("sum(continued) AS continuing_students"),
     )
 
 
 def graduates_between_terms(enrollment: DataFrame, calendar: DataFrame) -> DataFrame:
     """Students who graduated from the prior term on and before the current one."""
-    moves = term_moves(enrollment, calendar, ["school"]).filter(F.col("graduated") == 1)
-    return moves.groupBy("current_term", "degtype", "u_g", "school").agg(
-        F.count("student_id").alias("graduates_excluded"))
+    return term_moves(enrollment, calendar, ["school"]).filter("graduated = 1").groupBy(
+        "current_term", "degtype", "u_g", "school").agg(F.expr("count(student_id) AS graduates_excluded"))
 
 
 def continuing_students(enrollment: DataFrame, calendar: DataFrame) -> DataFrame:
     """Students enrolled in the same program in the prior and the current term."""
-    moves = term_moves(enrollment, calendar, ["school"]).filter(F.col("continued") == 1)
-    return moves.groupBy("current_term", "degtype", "u_g", "school").agg(
-        F.count("student_id").alias("continuing_students"))
+    return term_moves(enrollment, calendar, ["school"]).filter("continued = 1").groupBy(
+        "current_term", "degtype", "u_g", "school").agg(F.expr("count(student_id) AS continuing_students"))
 
 
 def fct_graduation_rate_term(enrollment: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -169,8 +140,8 @@ def fct_graduation_rate_term(enrollment: DataFrame, calendar: DataFrame) -> Data
     counts = _term_counts(term_moves(enrollment, calendar, dims), dims)
     return counts.select(
         "current_term", "degtype", "u_g", *dims, "prior_students",
-        F.col("graduates").alias("graduated_students"),
-        pct(F.col("graduates"), F.col("prior_students")).alias("term_graduation_rate_pct"),
+        F.expr("graduates AS graduated_students"),
+        pct("graduates", "prior_students").alias("term_graduation_rate_pct"),
     )
 
 
@@ -179,15 +150,15 @@ def fct_retention_rate_term(enrollment: DataFrame, calendar: DataFrame) -> DataF
 
     A graduate who comes back counts on both sides, so a rate may exceed 100.
     """
-    counts = _term_counts(term_moves(enrollment, calendar, ["school"]), ["school"])
-    eligible = F.col("eligible_prior_students")
-    return counts.withColumn("eligible_prior_students", F.col("prior_students") - F.col("graduates")).select(
+    counts = _term_counts(term_moves(enrollment, calendar, ["school"]), ["school"]).selectExpr(
+        "*", "prior_students - graduates AS eligible_prior_students")
+    return counts.select(
         "current_term", "degtype", "u_g", "school", "prior_students",
-        F.col("graduates").alias("graduates_excluded"),
+        F.expr("graduates AS graduates_excluded"),
         "eligible_prior_students",
         "continuing_students",
-        pct(F.col("continuing_students"), eligible).alias("adjusted_retention_rate"),
-        pct(eligible - F.col("continuing_students"), eligible).alias("attrition_rate_pct"),
+        pct("continuing_students", "eligible_prior_students").alias("adjusted_retention_rate"),
+        pct("(eligible_prior_students - continuing_students)", "eligible_prior_students").alias("attrition_rate_pct"),
     )
 
 
@@ -201,28 +172,22 @@ def graduation_term_eligible(episodes: DataFrame, calendar: DataFrame) -> DataFr
     spread over the calendar.
     """
     dims = ["degtype", "u_g", "gender", "school", "pell"]
-    counted = _cohorts(episodes.filter(F.col("is_first_time_cohort") == 1)).groupBy(
-        *dims, "cohort_term", "graduation_term").agg(F.count(F.lit(1)).alias("n"))
-    terms = calendar.agg(F.sort_array(F.collect_set("current_term"))).scalar()
-    due_from = F.col("cohort_term").try_cast("int") + maturity_window()
-    due = counted.withColumn("terms", terms).withColumn("due_from", due_from).select(
+    counted = _cohorts(episodes.filter("is_first_time_cohort = 1")).groupBy(
+        *dims, "cohort_term", "graduation_term").agg(F.expr("count(*) AS n"))
+    terms = calendar.agg(F.expr("sort_array(collect_set(current_term))")).scalar()
+    due = counted.withColumn("terms", terms).selectExpr(
+        *dims, "graduation_term", "n", f"{ENTERED} + {MATURITY_SQL} AS due_from", "terms"
+    ).selectExpr(
         *dims, "graduation_term", "n",
-        F.explode(F.filter("terms", lambda t: (t.try_cast("int") >= F.col("due_from"))
-                           & (F.col("graduation_term").isNull() | (t <= F.col("graduation_term")))))
-        .alias("current_term"),
-    )
-    done = F.sum(F.when(F.col("graduation_term") == F.col("current_term"), F.col("n")).otherwise(0))
+        "explode(filter(terms, t -> try_cast(t AS INT) >= due_from"
+        " AND (graduation_term IS NULL OR t <= graduation_term))) AS current_term")
+    done = "sum(CASE WHEN graduation_term = current_term THEN n ELSE 0 END)"
     return due.groupBy("current_term", *dims).agg(
-        F.sum("n").alias("eligible_students"),
-        done.alias("graduated_students"),
-        pct(done, F.sum("n")).alias("term_graduation_rate_pct"),
+        F.expr("sum(n) AS eligible_students"),
+        F.expr(f"{done} AS graduated_students"),
+        pct(done, "sum(n)").alias("term_graduation_rate_pct"),
     )
 
 
-def entity_keys(table: DataFrame, parts: list[str], name: str) -> DataFrame:
-    """The composite text key of a report table."""
-    return table.select(joined_key(*parts).alias(name))
-
-
 def previous_terms(calendar: DataFrame) -> DataFrame:
     return calendar.select("current_term", previous_major_term("current_term").alias("previous_major_term"))

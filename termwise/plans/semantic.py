@@ -6,14 +6,14 @@ grouping asked for; stored rates are never averaged.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termwise.functions.scalars import joined_key, pct
-from termwise.functions.terms import cohort_start_date, term_start_date, term_suffix
+from termwise.functions.terms import cohort_start_date, term_start_date, term_year_sql
 
 FULL_TIME_CREDITS = 12
 
@@ -36,9 +36,8 @@ class SemanticModel:
         if self.time_dimension == "cohort_start_date":
             return cohort_start_date("cohort_year")
         if "current_term" in self.dimensions:
-            term = F.col("current_term")
-            return term_start_date(F.substring(term, 1, 4).try_cast("int"), term_suffix(term) == "10")
-        return term_start_date("term_year", F.col("term_season") == "Spring")
+            return term_start_date(term_year_sql("current_term"), "right(current_term, 2) = '10'")
+        return term_start_date("term_year", "term_season = 'Spring'")
 
 
 _COHORT_DIMS = ("cohort_year", "degtype", "u_g", "gender", "school", "pell")
@@ -67,23 +66,28 @@ MODELS = {
 }
 
 
-def student_heads(enrollment: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
-    """Distinct students per group, in all and with each flag.
+def student_heads(enrollment: DataFrame, by: list[str], flags: dict[str, str]) -> DataFrame:
+    """Distinct students per group, in all and with each flag (a SQL condition).
 
     Rows are first combined per student, before the shuffle, so that a student
     or a group with a large share of the rows costs no more than any other, and
     several distinct counts need no copy of the rows each.
     """
-    per_student = enrollment.groupBy(*by, "student_id").agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.max(F.when(c, 1).otherwise(0)).alias(name) for name, c in flags.items()])
-    return per_student.filter(F.col("student_id").isNotNull()).groupBy(*by).agg(
-        F.count("student_id").alias("student_count"),
-        *[F.sum(name).alias(name) for name in flags])
+    students = enrollment.filter("student_id IS NOT NULL")
+    if not flags:
+        per_student = students.select(*by, "student_id").distinct()
+    else:
+        per_student = students.groupBy(*by, "student_id").agg(
+            *[F.expr(f"max(CASE WHEN {c} THEN 1 ELSE 0 END) AS {name}") for name, c in flags.items()])
+    return per_student.groupBy(*by).agg(
+        F.expr("count(*) AS student_count"), *[F.expr(f"sum({name}) AS {name}") for name in flags])
 
 
-def _sums(*names: str) -> Callable[[DataFrame, list[str]], DataFrame]:
-    return lambda df, by: df.groupBy(*by).agg(*[F.sum(n).cast("bigint").alias(n) for n in names])
+Measures = Callable[[DataFrame, list[str]], DataFrame]
+
+
+def _sums(*names: str) -> Measures:
+    return lambda df, by: df.groupBy(*by).agg(*[F.expr(f"CAST(sum({n}) AS BIGINT) AS {n}") for n in names])
 
 
 def model_measures(model: SemanticModel, table: DataFrame, by: list[str]) -> DataFrame:
@@ -104,44 +108,34 @@ def measures_over_time(model: SemanticModel, table: DataFrame, spine: DataFrame
 
 
 _FLAGS = {
-    "pell_students": lambda: F.col("pell") == "Y",
-    "full_time": lambda: F.col("creditenr") >= FULL_TIME_CREDITS,
-    "part_time": lambda: F.col("creditenr") < FULL_TIME_CREDITS,
-    "first_generation": lambda: F.col("firstgen") == "Y",
+    "pell_students": "pell = 'Y'",
+    "full_time": f"creditenr >= {FULL_TIME_CREDITS}",
+    "part_time": f"creditenr < {FULL_TIME_CREDITS}",
+    "first_generation": "firstgen = 'Y'",
 }
 
 
-def _heads(*flags: str) -> Callable[[DataFrame, list[str]], DataFrame]:
-    return lambda df, by: student_heads(df, by, {f: _FLAGS[f]() for f in flags})
+def _heads(*flags: str) -> Measures:
+    return lambda df, by: student_heads(df, by, {f: _FLAGS[f] for f in flags})
 
 
-def _mean(column: str, scale: int, name: str) -> Callable[[DataFrame, list[str]], DataFrame]:
-    def run(df: DataFrame, by: list[str]) -> DataFrame:
-        exact = F.col(column).cast("decimal(10,2)")
-        return df.groupBy(*by).agg(F.round(F.avg(exact), scale).cast("double").alias(name))
-
-    return run
+def _mean(column: str, scale: int) -> Measures:
+    return lambda df, by: df.groupBy(*by).agg(
+        F.expr(f"CAST(round(avg(CAST({column} AS DECIMAL(10,2))), {scale}) AS DOUBLE) AS mean"))
 
 
-def _count(only_first_time: bool) -> Callable[[DataFrame, list[str]], DataFrame]:
+def _count(only_first_time: bool) -> Measures:
     def run(df: DataFrame, by: list[str]) -> DataFrame:
-        rows = df.filter(F.col("is_first_time_cohort") == 1) if only_first_time else df
-        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        rows = df.filter("is_first_time_cohort = 1") if only_first_time else df
+        return rows.groupBy(*by).agg(F.expr("count(*) AS n"))
 
     return run
 
 
 def _pell_rates(df: DataFrame, by: list[str]) -> DataFrame:
-    def part(value: str, column: str, name: str) -> Column:
-        return F.sum(F.when(F.col("pell") == value, F.col(column))).cast("bigint").alias(name)
-
-    return df.groupBy(*by).agg(
-        part("N", "graduated_count", "n_done"), part("N", "cohort_size", "n_all"),
-        part("Y", "graduated_count", "y_done"), part("Y", "cohort_size", "y_all"))
-
-
-def _c(name: str) -> Column:
-    return F.col(name)
+    return df.groupBy(*by).agg(*[
+        F.expr(f"CAST(sum(CASE WHEN pell = '{value}' THEN {column} END) AS BIGINT) AS {value}_{column}")
+        for value in ("N", "Y") for column in ("graduated_count", "cohort_size")])
 
 
 @dataclass(frozen=True)
@@ -149,17 +143,21 @@ class Metric:
     """A measure, or an expression over measures, on one report table."""
 
     table: str
-    measures: Callable[[DataFrame, list[str]], DataFrame]
+    measures: Measures
     value: Callable[[], Column]
     label: str
 
 
-def _simple(table: str, name: str, label: str) -> Metric:
-    return Metric(table, _sums(name), lambda: _c(name), label)
+def _plain(table: str, measures: Measures, value: str, label: str) -> Metric:
+    return Metric(table, measures, lambda: F.expr(value), label)
+
+
+def _sum(table: str, name: str, label: str) -> Metric:
+    return _plain(table, _sums(name), name, label)
 
 
 def _rate(table: str, top: str, bottom: str, label: str) -> Metric:
-    return Metric(table, _sums(top, bottom), lambda: pct(_c(top), _c(bottom)), label)
+    return Metric(table, _sums(top, bottom), lambda: pct(top, bottom), label)
 
 
 _GRAD, _RETC = "fct_graduation_rate", "fct_retention_rate_cohort"
@@ -167,58 +165,59 @@ _RETT, _GRADT = "fct_retention_rate_term", "fct_graduation_rate_term"
 _ENR, _DIM = "fct_enrollment_term", "dim_program_episode"
 
 METRICS: dict[str, Metric] = {
-    "cohort_size": _simple(_GRAD, "cohort_size", "Cohort Size"),
-    "graduated_count": _simple(_GRAD, "graduated_count", "Graduated Count"),
+    "cohort_size": _sum(_GRAD, "cohort_size", "Cohort Size"),
+    "graduated_count": _sum(_GRAD, "graduated_count", "Graduated Count"),
     "graduation_rate": _rate(_GRAD, "graduated_count", "cohort_size", "Graduation Rate %"),
-    "one_year_eligible_cohort_size": _simple(_RETC, "one_year_eligible_cohort_size", "1-Year Eligible Cohort Size"),
-    "one_year_retained_count": _simple(_RETC, "one_year_retained_count", "1-Year Retained Count"),
+    "one_year_eligible_cohort_size": _sum(_RETC, "one_year_eligible_cohort_size", "1-Year Eligible Cohort Size"),
+    "one_year_retained_count": _sum(_RETC, "one_year_retained_count", "1-Year Retained Count"),
     "first_year_retention_rate": _rate(_RETC, "one_year_retained_count", "one_year_eligible_cohort_size",
                                        "1-Year Retention Rate %"),
-    "two_year_eligible_cohort_size": _simple(_RETC, "two_year_eligible_cohort_size", "2-Year Eligible Cohort Size"),
-    "two_year_retained_count": _simple(_RETC, "two_year_retained_count", "2-Year Retained Count"),
+    "two_year_eligible_cohort_size": _sum(_RETC, "two_year_eligible_cohort_size", "2-Year Eligible Cohort Size"),
+    "two_year_retained_count": _sum(_RETC, "two_year_retained_count", "2-Year Retained Count"),
     "second_year_retention_rate": _rate(_RETC, "two_year_retained_count", "two_year_eligible_cohort_size",
                                         "2-Year Retention Rate %"),
     "non_graduation_rate": Metric(_GRAD, _sums("cohort_size", "graduated_count"),
-                                  lambda: pct(_c("cohort_size") - _c("graduated_count"), _c("cohort_size")),
+                                  lambda: pct("(cohort_size - graduated_count)", "cohort_size"),
                                   "Non-Graduation Rate %"),
-    "students_not_graduated": Metric(_GRAD, _sums("cohort_size", "graduated_count"),
-                                     lambda: _c("cohort_size") - _c("graduated_count"), "Students Not Graduated"),
-    "pell_graduation_gap": Metric(_GRAD, _pell_rates,
-                                  lambda: F.round(pct(_c("n_done"), _c("n_all")) - pct(_c("y_done"), _c("y_all")), 4),
-                                  "Pell Graduation Gap %"),
-    "student_count": Metric(_ENR, _heads(), lambda: _c("student_count"), "Student Count"),
-    "pell_student_count": Metric(_ENR, _heads("pell_students"), lambda: _c("pell_students"), "Pell Student Count"),
+    "students_not_graduated": _plain(_GRAD, _sums("cohort_size", "graduated_count"),
+                                     "cohort_size - graduated_count", "Students Not Graduated"),
+    "pell_graduation_gap": Metric(
+        _GRAD, _pell_rates,
+        lambda: F.round(pct("N_graduated_count", "N_cohort_size") - pct("Y_graduated_count", "Y_cohort_size"), 4),
+        "Pell Graduation Gap %"),
+    "student_count": _plain(_ENR, _heads(), "student_count", "Student Count"),
+    "pell_student_count": _plain(_ENR, _heads("pell_students"), "pell_students", "Pell Student Count"),
     "pell_enrollment_rate": Metric(_ENR, _heads("pell_students"),
-                                   lambda: pct(_c("pell_students"), _c("student_count"), 2), "Pell Enrollment Rate %"),
+                                   lambda: pct("pell_students", "student_count", 2), "Pell Enrollment Rate %"),
     "adjusted_retention_rate": _rate(_RETT, "continuing_students", "eligible_prior_students",
                                      "Adjusted Retention Rate %"),
-    "attrition_rate": Metric(_RETT, _sums("eligible_prior_students", "continuing_students"),
-                             lambda: pct(_c("eligible_prior_students") - _c("continuing_students"),
-                                         _c("eligible_prior_students")), "Attrition Rate %"),
-    "prior_students": _simple(_RETT, "prior_students", "Prior Students"),
-    "continuing_students": _simple(_RETT, "continuing_students", "Continuing Students"),
-    "graduates_excluded": _simple(_RETT, "graduates_excluded", "Graduates Excluded"),
-    "eligible_prior_students": _simple(_RETT, "eligible_prior_students", "Eligible Prior Students"),
+    "attrition_rate": Metric(
+        _RETT, _sums("eligible_prior_students", "continuing_students"),
+        lambda: pct("(eligible_prior_students - continuing_students)", "eligible_prior_students"),
+        "Attrition Rate %"),
+    "prior_students": _sum(_RETT, "prior_students", "Prior Students"),
+    "continuing_students": _sum(_RETT, "continuing_students", "Continuing Students"),
+    "graduates_excluded": _sum(_RETT, "graduates_excluded", "Graduates Excluded"),
+    "eligible_prior_students": _sum(_RETT, "eligible_prior_students", "Eligible Prior Students"),
     "term_graduation_rate": _rate(_GRADT, "graduated_students", "prior_students", "Term Graduation Rate %"),
-    "term_graduated_students": Metric(_GRADT, _sums("graduated_students"), lambda: _c("graduated_students"),
-                                      "Term Graduated Students"),
-    "avg_gpa": Metric(_ENR, _mean("accumgpa", 2, "mean"), lambda: _c("mean"), "Average GPA"),
-    "avg_credits": Metric(_ENR, _mean("creditenr", 1, "mean"), lambda: _c("mean"), "Average Credits"),
-    "full_time_students": Metric(_ENR, _heads("full_time"), lambda: _c("full_time"), "Full-Time Students"),
-    "part_time_students": Metric(_ENR, _heads("part_time"), lambda: _c("part_time"), "Part-Time Students"),
-    "full_time_rate": Metric(_ENR, _heads("full_time"), lambda: pct(_c("full_time"), _c("student_count"), 2),
+    "term_graduated_students": _sum(_GRADT, "graduated_students", "Term Graduated Students"),
+    "avg_gpa": _plain(_ENR, _mean("accumgpa", 2), "mean", "Average GPA"),
+    "avg_credits": _plain(_ENR, _mean("creditenr", 1), "mean", "Average Credits"),
+    "full_time_students": _plain(_ENR, _heads("full_time"), "full_time", "Full-Time Students"),
+    "part_time_students": _plain(_ENR, _heads("part_time"), "part_time", "Part-Time Students"),
+    "full_time_rate": Metric(_ENR, _heads("full_time"), lambda: pct("full_time", "student_count", 2),
                              "Full-Time Rate %"),
-    "firstgen_enrollment_count": Metric(_ENR, _heads("first_generation"), lambda: _c("first_generation"),
+    "firstgen_enrollment_count": _plain(_ENR, _heads("first_generation"), "first_generation",
                                         "First-Generation Students"),
-    "total_unique_students_ever": Metric(_ENR, _heads(), lambda: _c("student_count"), "Students Ever Enrolled"),
-    "new_program_starts": Metric(_DIM, _count(True), lambda: _c("n"), "New Program Starts"),
-    "first_time_student_count": Metric(_DIM, _count(True), lambda: _c("n"), "First-Time Students"),
-    "total_program_episodes": Metric(_DIM, _count(False), lambda: _c("n"), "Program Episodes"),
+    "total_unique_students_ever": _plain(_ENR, _heads(), "student_count", "Students Ever Enrolled"),
+    "new_program_starts": _plain(_DIM, _count(True), "n", "New Program Starts"),
+    "first_time_student_count": _plain(_DIM, _count(True), "n", "First-Time Students"),
+    "total_program_episodes": _plain(_DIM, _count(False), "n", "Program Episodes"),
 }
 
 
-def metric(name: str, tables: dict[str, DataFrame], by: list[str] | None = None,
-           where: Column | None = None) -> DataFrame:
+def metric(name: str, tables: Mapping[str, DataFrame], by: list[str] | None = None,
+           where: str | Column | None = None) -> DataFrame:
     """One named metric at any grouping, optionally over a filtered table."""
     by = list(by or [])
     m = METRICS[name]
@@ -228,14 +227,16 @@ def metric(name: str, tables: dict[str, DataFrame], by: list[str] | None = None,
     return m.measures(table, by).select(*by, m.value().alias(name))
 
 
-def subset_rate(fact: DataFrame, by: list[str], top: str, bottom: str, name: str) -> DataFrame:
-    """A rate at any subset of a report table's dimensions."""
+def subset_rate(fact: DataFrame, by: list[str], top: str, bottom: str, name: str, scale: int = 4,
+                top_as: str | None = None, bottom_as: str | None = None) -> DataFrame:
+    """A rate at any subset of a report table's dimensions, with both its sums."""
     return fact.groupBy(*by).agg(
-        F.sum(bottom).alias(bottom), F.sum(top).alias(top), pct(F.sum(top), F.sum(bottom)).alias(name))
+        F.expr(f"sum({bottom}) AS {bottom_as or bottom}"), F.expr(f"sum({top}) AS {top_as or top}"),
+        pct(f"sum({top})", f"sum({bottom})", scale).alias(name))
 
 
 def weighted_rate(fact: DataFrame, by: list[str], rate: str, weight: str, name: str, scale: int = 2) -> DataFrame:
     """The stored rate weighted back by its denominator; rows without a rate weigh nothing."""
-    total = F.sum(F.col(rate).cast("decimal(20,4)") * F.col(weight))
+    total = f"sum(CAST({rate} AS DECIMAL(20,4)) * {weight})"
     return fact.groupBy(*by).agg(
-        F.round(total / F.nullif(F.sum(weight), F.lit(0)), scale).cast("double").alias(name))
+        F.expr(f"CAST(round({total} / nullif(sum({weight}), 0), {scale}) AS DOUBLE) AS {name}"))

@@ -20,12 +20,12 @@ def typed_enrollment(landing: DataFrame) -> DataFrame:
         "degtype",
         blank_to_unknown("firstgen").alias("firstgen"),
         blank_to_unknown("pell").alias("pell"),
-        F.col("ethnicmultirace").alias("ethnicity_code"),
-        F.col("citizen").alias("citizen_code"),
+        F.expr("ethnicmultirace AS ethnicity_code"),
+        F.expr("citizen AS citizen_code"),
         to_integer("creditenr").alias("creditenr"),
         to_gpa("accumgpa").alias("accumgpa"),
         "academic_state",
-        F.col("regstat").alias("regstat_code"),
+        F.expr("regstat AS regstat_code"),
         "term_code",
         term_year("term_code").alias("term_year"),
         term_season("term_code").alias("term_season"),
@@ -43,16 +43,16 @@ def cast_rejects(landing: DataFrame) -> DataFrame:
 def decode_codes(enrollment: DataFrame) -> DataFrame:
     """Add the four descriptions by broadcast left joins; an unknown code stays NULL."""
     spark = enrollment.sparkSession
-    out = enrollment
     lookups = (
         (seeds.school_codes(spark), "school_code", "school"),
         (seeds.citizen_codes(spark), "citizen_code", "citizen_code"),
         (seeds.regstat_codes(spark), "regstat_code", "regstat_code"),
         (seeds.ethnicity_codes(spark), "ethnicity_code", "ethnicity_code"),
     )
+    out = enrollment
     for seed, code, column in lookups:
-        seed = seed.withColumn(code, F.col(code).cast("string")).withColumnRenamed(code, "_code")
-        out = out.join(F.broadcast(seed), F.col(column) == F.col("_code"), "left").drop("_code")
+        described = seed.selectExpr(f"CAST({code} AS STRING) AS {column}", seed.columns[1])
+        out = out.join(F.broadcast(described), column, "left")
     return out
 
 
@@ -74,9 +74,6 @@ def stg_term_calendar(enrollment: DataFrame) -> DataFrame:
     A code is four digits and one of two suffixes, so the calendar cannot hold
     more than 20,000 rows and may always be broadcast.
     """
-    return (
-        enrollment.select(F.col("term_code").alias("current_term"))
-        .filter(F.col("current_term").rlike("^[0-9]{4}(" + "|".join(MAJOR_SUFFIXES) + ")$"))
-        .distinct()
-        .withColumn("next_major_term", next_major_term("current_term"))
-    )
+    codes = f"term_code RLIKE '^[0-9]{{4}}({'|'.join(MAJOR_SUFFIXES)})$'"
+    return enrollment.filter(codes).select(F.expr("term_code AS current_term")).distinct().select(
+        "current_term", next_major_term("current_term").alias("next_major_term"))
