@@ -254,7 +254,8 @@ def dt_expression_true(t):
 
 @query(edge=True)
 def dt_suite(t):
-    return datatests.run_tests(build.report_tables(t.lnd))
+    store = layers.LayerStore(t.spark, scratch_path(t.spark, "layers"))
+    return datatests.run_tests(build.build_tables(t.lnd, store))
 
 
 # Scalar functions

@@ -16,7 +16,8 @@ CUTS = ("\n\n", "\n", ". ", " ")
 # Fixed value: what stands between excerpts.
 CONTEXT_RULE = "\n\n---\n\n"
 
-CHUNK_SCHEMA = "source string, chunk int, chunk_id string, text string"
+# Characters of finished chunks a task holds before handing them on.
+FLUSH_CHARS = 8_000_000
 
 
 def text_cutter(size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, cuts=CUTS) -> Callable[[str], list[str]]:
@@ -80,19 +81,28 @@ def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int =
     that number. Stems can collide, so the key is ``(source, chunk)``.
     """
     cut = text_cutter(size, overlap)
+    flush_chars = FLUSH_CHARS
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            # One document at a time, so a batch of long texts is never held twice.
+            sources, numbers, texts, held = [], [], [], 0
             for source, text in zip(batch["source"], batch["text"]):
-                chunks = cut(text) if text else []
-                if chunks:
-                    yield pd.DataFrame({"source": source, "chunk": range(len(chunks)),
-                                        "chunk_id": "", "text": chunks})
-
-    cut_rows = documents.select(F.col("source").cast("string"), "text").mapInPandas(run, CHUNK_SCHEMA)
+                for number, chunk in enumerate(cut(text) if text else ()):
+                    sources.append(source)
+                    numbers.append(number)
+                    texts.append(chunk)
+                    held += len(chunk)
+                if held > flush_chars:
+                    yield pd.DataFrame({"source": sources, "chunk": numbers, "text": texts})
+                    sources, numbers, texts, held = [], [], [], 0
+            if texts:
+                yield pd.DataFrame({"source": sources, "chunk": numbers, "text": texts})
+
+    cut_rows = documents.select(F.col("source").cast("string"), "text").mapInPandas(
+        run, "source string, chunk int, text string")
     stem = F.regexp_replace(F.element_at(F.split("source", "/"), -1), r"(?<=.)\.[^.]+$", "")
-    return cut_rows.withColumn("chunk_id", F.concat(stem, F.lit("_"), F.col("chunk").cast("string")))
+    return cut_rows.select(
+        "source", "chunk", F.concat(stem, F.lit("_"), F.col("chunk").cast("string")).alias("chunk_id"), "text")
 
 
 def embed_chunks(chunks: DataFrame, make_encoder: Callable[[], Callable]) -> DataFrame:

@@ -45,7 +45,15 @@ def _nearest(k: int, digits: int):
             kept = best(part if kept is None else pd.concat([kept, part], ignore_index=True))
         return kept
 
-    return unit, best, scan
+    def named(found: pd.DataFrame, names: list) -> pd.DataFrame:
+        # Plain objects, whatever the id type: the result schema gives the type.
+        return pd.DataFrame({
+            "query_id": pd.Series([names[q] for q in found["q"]], dtype=object),
+            "item_id": pd.Series(found["item_id"].tolist(), dtype=object),
+            "similarity": found["similarity"].to_numpy(),
+        })
+
+    return unit, best, scan, named
 
 
 def _finish(found: DataFrame, k: int) -> DataFrame:
@@ -67,7 +75,7 @@ def retrieve_topk(items: DataFrame, queries: DataFrame, k: int = TOP_K, query_ba
     item_type = items.schema["item_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, item_id {item_type}, similarity double"
-    unit, best, scan = _nearest(k, digits)
+    unit, best, scan, named = _nearest(k, digits)
     items = items.select("item_id", "embedding").filter(F.col("embedding").isNotNull())
     queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
 
@@ -86,24 +94,22 @@ def retrieve_topk(items: DataFrame, queries: DataFrame, k: int = TOP_K, query_ba
                     part = scan(vectors, pdf["item_id"].to_numpy(), unit(pdf["embedding"]))
                     kept = best(part if kept is None else pd.concat([kept, part], ignore_index=True))
             if kept is not None:
-                kept = kept.assign(query_id=np.asarray(names)[kept["q"].to_numpy()])
-                yield kept[["query_id", "item_id", "similarity"]]
+                yield named(kept, names)
 
         return _finish(items.mapInPandas(run, schema), k)
 
     item_cells = max(1, math.ceil(items.count() / cell_rows))
     query_cells = max(1, math.ceil(queries.count() / query_batch))
     left = items.withColumn("_i", F.pmod(F.xxhash64("item_id"), F.lit(item_cells))).withColumn(
-        "_q", F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1))).cast("bigint"))
+        "_q", F.expr(f"explode(sequence(0L, {query_cells - 1}L))"))
     right = queries.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(query_cells))).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.lit(item_cells - 1))).cast("bigint"))
+        "_i", F.expr(f"explode(sequence(0L, {item_cells - 1}L))"))
 
     def cell(item_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         if not len(item_rows) or not len(query_rows):
-            return pd.DataFrame({"query_id": [], "item_id": [], "similarity": []})
+            return named(pd.DataFrame({"q": [], "item_id": [], "similarity": []}), [])
         found = scan(unit(query_rows["embedding"]), item_rows["item_id"].to_numpy(), unit(item_rows["embedding"]))
-        found = found.assign(query_id=query_rows["query_id"].to_numpy()[found["q"].to_numpy()])
-        return found[["query_id", "item_id", "similarity"]]
+        return named(found, query_rows["query_id"].tolist())
 
     met = left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInPandas(cell, schema)
     return _finish(met, k)

@@ -12,25 +12,7 @@ from termwise.operators.quality import require_pass
 from termwise.plans import episodes as ep
 from termwise.plans import facts, staging
 from termwise.sources.landing import load_landing
-from termwise.sources.layers import LayerStore, create_report_views, with_audit
-
-
-def report_tables(landing: DataFrame) -> dict[str, DataFrame]:
-    """Every staged, intermediate and report table as a lazy frame."""
-    typed = staging.typed_enrollment(landing)
-    calendar = staging.stg_term_calendar(typed)
-    episodes = ep.int_program_episodes(typed, calendar)
-    return {
-        "stg_student_enrollment": staging.decode_codes(typed).select(*staging.STG_COLUMNS),
-        "stg_term_calendar": calendar,
-        "int_program_episodes": episodes,
-        "dim_program_episode": ep.dim_program_episode(episodes),
-        "fct_enrollment_term": facts.fct_enrollment_term(staging.decode_codes(typed), episodes),
-        "fct_graduation_rate": facts.fct_graduation_rate(episodes),
-        "fct_retention_rate_cohort": facts.fct_retention_rate_cohort(episodes),
-        "fct_graduation_rate_term": facts.fct_graduation_rate_term(typed, calendar),
-        "fct_retention_rate_term": facts.fct_retention_rate_term(typed, calendar),
-    }
+from termwise.sources.layers import LayerStore, create_report_views, drop_stale_views, with_audit
 
 
 @dataclass
@@ -39,39 +21,42 @@ class BuildResult:
     tests: DataFrame
 
 
+def build_tables(landing: DataFrame, store: LayerStore) -> dict[str, DataFrame]:
+    """Rebuild the staged and report tables from landing, each written once.
+
+    What depends on a table reads it back: a narrow columnar scan instead of the
+    work behind it, and losing an executor never costs more than the stage at
+    hand.
+    """
+    tables: dict[str, DataFrame] = {}
+
+    def put(name: str, df: DataFrame, layer: str, spread_by: tuple[str, ...] = ()) -> DataFrame:
+        stored = store.replace(mark_identifiers(with_audit(df)), name, layer, spread_by)
+        tables[name] = mark_identifiers(stored.select(*df.columns))
+        return tables[name]
+
+    # Spread by year, so that a question about some terms reads only those.
+    stg = put("stg_student_enrollment", staging.stg_student_enrollment(landing), "STG", ("term_year",))
+    calendar = put("stg_term_calendar", staging.stg_term_calendar(stg), "STG")
+    episodes = put("int_program_episodes", ep.int_program_episodes(stg, calendar), "STG")
+    put("dim_program_episode", ep.dim_program_episode(episodes), "REPORT")
+    put("fct_enrollment_term", facts.fct_enrollment_term(stg, episodes), "REPORT", ("term_year",))
+    put("fct_graduation_rate", facts.fct_graduation_rate(episodes), "REPORT")
+    put("fct_retention_rate_cohort", facts.fct_retention_rate_cohort(episodes), "REPORT")
+    put("fct_graduation_rate_term", facts.fct_graduation_rate_term(stg, calendar), "REPORT")
+    put("fct_retention_rate_term", facts.fct_retention_rate_term(stg, calendar), "REPORT")
+    return tables
+
+
 def build(staged: DataFrame, store: LayerStore, full_refresh: bool = True) -> BuildResult:
-    """The daily batch: nothing is loaded unless every check passes.
+    """The daily batch: gate, load, rebuild, views, tests.
 
-    Each table is written once and read back, so that what depends on it scans a
-    narrow columnar table instead of recomputing it, and losing an executor
-    never costs more than the stage at hand.
+    Nothing is loaded unless every check passes.
     """
     require_pass(staged)
     landing_path = store.path("student_enrollment", "LND")
     load_landing(staged, landing_path, full_refresh)
-    landing = store.spark.read.parquet(landing_path)
-
-    def put(name: str, df: DataFrame, layer: str, spread_by: tuple[str, ...] = ()) -> DataFrame:
-        store.replace(mark_identifiers(with_audit(df)), name, layer, spread_by)
-        return mark_identifiers(store.spark.read.parquet(store.path(name, layer)).select(*df.columns))
-
-    tables = {}
-    # Term-partitioned, so that a question about some terms reads only those.
-    stg = tables["stg_student_enrollment"] = put(
-        "stg_student_enrollment", staging.stg_student_enrollment(landing), "STG", ("term_year",))
-    calendar = tables["stg_term_calendar"] = put("stg_term_calendar", staging.stg_term_calendar(stg), "STG")
-    episodes = tables["int_program_episodes"] = put(
-        "int_program_episodes", ep.int_program_episodes(stg, calendar), "STG")
-    report = {
-        "dim_program_episode": ep.dim_program_episode(episodes),
-        "fct_graduation_rate": facts.fct_graduation_rate(episodes),
-        "fct_retention_rate_cohort": facts.fct_retention_rate_cohort(episodes),
-        "fct_graduation_rate_term": facts.fct_graduation_rate_term(stg, calendar),
-        "fct_retention_rate_term": facts.fct_retention_rate_term(stg, calendar),
-    }
-    for name, df in report.items():
-        tables[name] = put(name, df, "REPORT")
-    tables["fct_enrollment_term"] = put(
-        "fct_enrollment_term", facts.fct_enrollment_term(stg, episodes), "REPORT", ("term_year",))
+    tables = build_tables(store.spark.read.parquet(landing_path), store)
+    drop_stale_views(store.spark)
     create_report_views(tables)
     return BuildResult(tables, run_tests(tables))

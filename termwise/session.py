@@ -17,6 +17,10 @@ def local_session(cpus: int = 8, name: str = "termwise") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Small local inputs: keep more than one task per stage.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # Gather an episode's entries by hashing for this many keys before sorting instead.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "10000")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -44,14 +44,10 @@ class LayerStore:
         if spread_by:
             writer = writer.partitionBy(*spread_by)
         writer.parquet(self.path(name, layer))
-        return self.read(name, layer, df)
-
-    def read(self, name: str, layer: str | None = None, like: DataFrame | None = None) -> DataFrame:
-        reader = self.spark.read
-        if like is not None:
-            reader = reader.schema(like.schema)
-        df = reader.parquet(self.path(name, layer))
-        return df.select(*like.columns) if like is not None else df
+        return self.read(name, layer).select(*df.columns)
+
+    def read(self, name: str, layer: str | None = None) -> DataFrame:
+        return self.spark.read.parquet(self.path(name, layer))
 
 
 # The stable view names and the tables they pass through.

@@ -1,0 +1,27 @@
+import pytest
+
+from termwise.operators.skew import balanced_join, heaviest_keys
+
+
+@pytest.fixture(scope="module")
+def sides(spark):
+    left = spark.createDataFrame(
+        [("hot", i) for i in range(40)] + [("warm", i) for i in range(5)] + [("alone", 1), (None, 2), ("nomatch", 3)]
+        + [("hot", 1)] * 3, "k string, v int")
+    right = spark.createDataFrame([("hot", "H"), ("warm", "W"), ("alone", "A"), ("unused", "U")], "k string, w string")
+    return left, right
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("hot_rows", [0, 4, 10, 1000])
+def test_equals_plain_join(sides, rows, how, hot_rows):
+    left, right = sides
+    if how in ("left_semi", "left_anti"):
+        right = right.select("k")
+    assert rows(balanced_join(left, right, ["k"], how, hot_rows=hot_rows)) == rows(left.join(right, "k", how))
+
+
+def test_heaviest_keys_are_bounded(spark):
+    weights = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, n_rows int")
+    assert heaviest_keys(weights, ["k"], "n_rows", 10, hot_keys=7).count() == 7
+    assert heaviest_keys(weights, ["k"], "n_rows", 10).count() == 39
