@@ -400,6 +400,15 @@ def headcount_by_term(t):
     return semantic.student_heads(t.enrollment, ["term_code"], {})
 
 
+@query
+def pell_enrollment_rate(t):
+    """Several conditional distinct counts over one grouping."""
+    heads = semantic.student_heads(t.enrollment, ["school", "u_g"], {
+        "pell_students": "pell = 'Y'", "other_students": "pell = 'N'"})
+    return heads.select("school", "u_g", "student_count", "pell_students", "other_students",
+                        scalars.pct("pell_students", "student_count", 2).alias("pell_enrollment_rate"))
+
+
 def _first_time(t):
     return t.dim.filter(F.col("is_first_time_cohort") == 1)
 

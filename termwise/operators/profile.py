@@ -151,7 +151,8 @@ def series_table(df: DataFrame, question: str | None = None, choice: SeriesChoic
     )
     if choice.ordered:
         as_number = F.col("x").cast("string").try_cast("double")
-        long = long.orderBy(as_number.asc_nulls_last(), F.col("x").cast("string"))
+        # The remaining columns only spread a value that fills much of the axis over several tasks.
+        long = long.orderBy(as_number.asc_nulls_last(), F.col("x").cast("string"), "series", "y")
     if choice.code_axis:
         long = long.withColumn("x", F.col("x").cast("string"))
     return long.withColumn("kind", F.lit(choice.kind))

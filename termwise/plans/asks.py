@@ -24,6 +24,11 @@ def limited(df: DataFrame, *order, n: int = DEFAULT_LIMIT) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def answer_rows(df: DataFrame, *order) -> DataFrame:
+    """The first rows of a result, as many as an answer text is written from."""
+    return limited(df, *order, n=ANSWER_ROWS)
+
+
 def cohort_rate(fact: DataFrame, where: str, by: str, what: tuple[str, ...]) -> DataFrame:
     top, bottom, top_as, bottom_as, name = what
     return subset_rate(fact.filter(where), [by], top, bottom, name, 2, top_as, bottom_as)

@@ -35,11 +35,12 @@ NULL_TOKENS = ("", "NULL", "null")
 STAGED_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in LANDING_NAMES])
 
 
-def scan_staged(spark: SparkSession, path: str) -> DataFrame:
+def scan_staged(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
     """The staged CSV as text columns, bound by position, nothing loaded yet.
 
     Header names are ignored, a short line leaves its last columns NULL, and
-    each of the three null tokens reads as NULL.
+    each of the three null tokens reads as NULL. ``with_file`` adds the name of
+    the file each row came from.
     """
     raw = (
         spark.read.schema(STAGED_SCHEMA)
@@ -50,9 +51,9 @@ def scan_staged(spark: SparkSession, path: str) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
-    return raw.select(
-        *[F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)).alias(c) for c in LANDING_NAMES]
-    )
+    tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
+    file = ["_metadata.file_name AS source_file"] if with_file else []
+    return raw.selectExpr(*[f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END AS {c}" for c in LANDING_NAMES], *file)
 
 
 def rejection_reason() -> Column:
@@ -88,12 +89,11 @@ def load_landing(staged: DataFrame, table_path: str, full_refresh: bool = False)
     )
 
 
-def load_report(staged: DataFrame, landing: DataFrame) -> DataFrame:
-    """One row: rows parsed, loaded and rejected, and the table's row count."""
+def load_report(staged: DataFrame, landing: DataFrame, by_file: bool = False) -> DataFrame:
+    """Rows parsed, loaded and rejected, per file or in all, and the table's row count."""
     bad = rejection_reason().isNotNull()
-    parsed = staged.agg(
+    return staged.groupBy(*(["source_file"] if by_file else [])).agg(
         F.count(F.lit(1)).alias("rows_parsed"),
         F.count_if(~bad).alias("rows_loaded"),
         F.count_if(bad).alias("rows_rejected"),
-    )
-    return parsed.withColumn("table_rows", landing.agg(F.count(F.lit(1))).scalar())
+    ).withColumn("table_rows", landing.agg(F.count(F.lit(1))).scalar())

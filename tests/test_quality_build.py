@@ -45,6 +45,16 @@ def test_scan_binds_by_position(spark, tmp_path):
         ("S1", "school too long"), ("S2", "term_code is null")]
 
 
+def test_report_per_file(spark, tmp_path):
+    good = "S1,U,Male,EN,BS,Y,Y,1,1,12,2020,Fall,Enrolled,1,3.1,202010"
+    for name, lines in {"a.csv": [good, "S2,U"], "b.csv": [good]}.items():
+        (tmp_path / name).write_text("\n".join(["header", *lines]) + "\n")
+    staged = landing.scan_staged(spark, str(tmp_path), with_file=True)
+    loaded = landing.split_by_constraints(staged).accepted
+    got = sorted(tuple(r) for r in landing.load_report(staged, loaded, by_file=True).collect())
+    assert got == [("a.csv", 2, 1, 1, 2), ("b.csv", 1, 1, 0, 2)]
+
+
 def test_append_and_full_refresh(spark, tmp_path):
     rows, path = inputs.lnd(spark, SF_DIR), str(tmp_path / "lnd")
     landing.load_landing(rows, path)
