@@ -100,17 +100,18 @@ def term_moves(enrollment: DataFrame, calendar: DataFrame, dims: list[str]) -> D
     gathered = enrollment.groupBy(*EPISODE_KEY).agg(F.expr(
         f"collect_set(struct(term_code, {listed}, coalesce(academic_state = 'Graduated', false) AS graduated))"
         " AS entries"))
-    moves = gathered.selectExpr(
-        *EPISODE_KEY, "entries", f"explode(filter(entries, e -> {is_major_term_sql('e.term_code')})) AS prior"
-    ).select(
-        *EPISODE_KEY, "entries", F.expr("prior.term_code AS prior_term"),
+    # Listed before the explode, so once per key and not once per prior term.
+    listed_once = gathered.selectExpr(
+        *EPISODE_KEY, "entries.term_code AS terms", "filter(entries, e -> e.graduated).term_code AS graduations",
+        f"filter(entries, e -> {is_major_term_sql('e.term_code')}) AS major")
+    moves = listed_once.selectExpr(*EPISODE_KEY, "terms", "graduations", "explode(major) AS prior").select(
+        *EPISODE_KEY, "terms", "graduations", F.expr("prior.term_code AS prior_term"),
         next_major_term("prior.term_code").alias("current_term"), *[f"prior.{d}" for d in dims])
-    flagged = moves.selectExpr(
+    flagged = moves.join(F.broadcast(calendar.select("current_term")), "current_term", "left_semi").selectExpr(
         *EPISODE_KEY, "current_term", *dims,
-        f"CASE WHEN {known} AND exists(entries, e -> e.term_code = current_term) THEN 1 ELSE 0 END AS continued",
-        f"CASE WHEN {known} AND exists(entries, e -> e.graduated AND e.term_code >= prior_term"
-        " AND e.term_code < current_term) THEN 1 ELSE 0 END AS graduated",
-    ).join(F.broadcast(calendar.select("current_term")), "current_term", "left_semi")
+        f"CASE WHEN {known} AND array_contains(terms, current_term) THEN 1 ELSE 0 END AS continued",
+        f"CASE WHEN {known} AND exists(graduations, g -> g >= prior_term AND g < current_term) THEN 1 ELSE 0 END"
+        " AS graduated")
     return flagged.groupBy("current_term", *EPISODE_KEY, *dims).agg(
         F.expr("max(continued) AS continued"), F.expr("max(graduated) AS graduated"))
 
