@@ -1,7 +1,7 @@
 """The SQL each registered query is compared with, in the literal set-based form.
 
-Written independently of the DataFrame plans: correlated EXISTS, self joins and
-separate aggregates joined on their keys. Rates are rounded with whole numbers,
+Written independently of the DataFrame plans: EXISTS over self joins of the
+calendar and enrollment, and separate aggregates joined on their keys. Rates are rounded with whole numbers,
 so a half always rounds away from zero.
 """
 
@@ -93,8 +93,7 @@ SELECT *, student_id || '-' || u_g || '-' || degtype || '-' || cohort_term AS pr
 """
 
 
-# DuckDB cannot correlate through a join condition, so each EXISTS is read from
-# the list of (episode, hop) pairs that its inner join produces.
+# The episodes enrolled at a hop: what each EXISTS of the retention check is read from.
 def _pairs(hops: int) -> str:
     chain = "JOIN cal c1 ON c1.current_term = b.cohort_term"
     for i in range(2, hops + 1):

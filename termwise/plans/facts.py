@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termwise.functions.scalars import pct
-from termwise.functions.terms import is_major_term_sql, next_major_term, previous_major_term
+from termwise.functions.terms import is_major_term_sql, next_major_term
 from termwise.operators.skew import HOT_ROWS, balanced_join
 from termwise.plans.episodes import EPISODE_KEY, keyed_rows
 
@@ -188,7 +188,3 @@ def graduation_term_eligible(episodes: DataFrame, calendar: DataFrame) -> DataFr
         F.expr(f"{done} AS graduated_students"),
         pct(done, "sum(n)").alias("term_graduation_rate_pct"),
     )
-
-
-def previous_terms(calendar: DataFrame) -> DataFrame:
-    return calendar.select("current_term", previous_major_term("current_term").alias("previous_major_term"))
