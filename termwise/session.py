@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -32,11 +33,18 @@ def local_session(cpus: int = 8, name: str = "termwise") -> SparkSession:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none, as in local tests, a temporary folder
-    is chosen and set, so that every later call lands in the same place.
+    Where the session names none, a local master gets a temporary folder of
+    this process; any other master is an error, as executors do not share the
+    driver's disk.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="termwise-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _local_scratch()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="termwise-")

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 import compare
 from conftest import SF_DIR
-from termwise.checks.queries import Tables
+from termwise.checks.queries import QUERIES, Tables
 from termwise.plans import facts
 
 WITHOUT_SQL = {"chunk_documents"}
@@ -17,11 +17,11 @@ def duck():
 
 
 def test_registry_is_complete():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == WITHOUT_SQL
+    assert set(QUERIES) - set(entry.oracle_sql()) == WITHOUT_SQL
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     query = entry.queries()[name]
     if name in WITHOUT_SQL:
