@@ -13,13 +13,12 @@ get equal verdicts; a null id is carried through.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termwise.llm.texts import as_bytes
+from termwise.llm.texts import as_bytes, with_arrays
 
 # A rule's place is its bit; new rules go to the end, so older ledgers stay readable.
 RULES = {
@@ -69,18 +68,17 @@ def measure_text(text: bytes) -> tuple[int, ...]:
     )
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure_text(x) for x in as_bytes(batch.column("text"))]
-        columns = [pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * 6
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns],
-                                         ["doc_id", *[x.split()[0] for x in MEASURES.split(", ")]])
+def _measure(texts: pa.Array) -> list[pa.Array]:
+    rows = [measure_text(x) for x in as_bytes(texts)]
+    return [pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * 6
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """(doc_id, measurements, failed): one bit per rule of ``RULES`` that failed."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    measured = docs.select("doc_id", "text").mapInArrow(_measure, f"doc_id {kind}, {MEASURES}")
+def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with measurements and ``failed``, one bit per rule of ``RULES`` that failed.
+
+    ``keep`` names the columns of ``docs`` to return, by default all.
+    """
+    measured = with_arrays(docs, MEASURES, _measure, keep)
     bits = [F.when(F.expr(rule), F.lit(1 << at)).otherwise(F.lit(0)) for at, rule in enumerate(RULES.values())]
     return measured.withColumn("failed", sum(bits[1:], bits[0]).cast("long"))
 

@@ -5,26 +5,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termwise.llm import mixing, quality
-from termwise.llm.texts import table
+from termwise.llm import bpe, langid, mixing, quality, token_files, topk, unigram
+from termwise.llm.texts import remainder, table
+from termwise.session import scratch_path
+
+TOKENIZERS = "/opt/tokenizers"
+BYTE_BPE, WORD_BPE, PIECES = (f"{TOKENIZERS}/{x}" for x in
+                              ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+END_ID = 2
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
+    rules = bpe.automaton(tokenizer)
+    ids = bpe.encode(table(spark, sf_dir, "documents"), rules, ["doc_id"])
+    return bpe.decode(ids, rules).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    model = langid.fit(docs.filter(~held_out))
+    return langid.predict(docs, model, ["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = WORD_BPE) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer, path, END_ID)
+    return token_files.read_tokens(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.ledger(table(spark, sf_dir, "documents"))
+    rows = quality.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     return quality.apply_policy(quality.apply_policy(rows, 1, "passes_base")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed",
         (~F.col("passes_base")).alias("base_failed"), "kept")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    counter = unigram.Counter(*unigram.vocabulary(model))
+    return unigram.token_counts(table(spark, sf_dir, "documents"), counter, ["doc_id"])
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_size(table(spark, sf_dir, "documents")).select("doc_id", "source", "size")
     mixed = mixing.mix(mixing.written(docs, "sizes"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op4_language_id": op4_language_id,
+    "op5_token_files": op5_token_files,
     "op7_quality_rules": op7_quality_rules,
     "op8_mix_sources": op8_mix_sources,
+    "op9_token_counts": op9_token_counts,
+    "op10_top_k": op10_top_k,
 }
 
 OP7_SQL = r"""
@@ -79,4 +123,24 @@ SELECT doc_id, size, source_size, target,
        CAST(floor(shift + (k + 1) * rate) - floor(shift + k * rate) AS BIGINT) * size AS taken FROM r
 """
 
-ORACLES = {"op7_quality_rules": OP7_SQL, "op8_mix_sources": OP8_SQL}
+OP10_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS e,
+         row_number() OVER () AS rid
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c AS (
+  SELECT rid, vec_id, i, e[i] AS x FROM (SELECT rid, vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM v)),
+q AS (
+  SELECT DISTINCT ON (vec_id) vec_id, e FROM v WHERE vec_id % 50 = 0),
+qc AS (
+  SELECT vec_id AS query_id, i, e[i] AS y FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM q)),
+s AS (
+  SELECT query_id, rid, any_value(vec_id) AS vec_id, CAST(sum(x * y) AS BIGINT) AS score
+  FROM qc JOIN c USING (i) WHERE query_id <> vec_id GROUP BY query_id, rid)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+ORACLES = {"op10_top_k": OP10_SQL, "op7_quality_rules": OP7_SQL, "op8_mix_sources": OP8_SQL}

@@ -6,12 +6,18 @@ bytes, so words are handled as UTF-8 bytes throughout.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from termwise.session import scratch_path
 
+_BREAK = re.compile(rb"[ \t-\r]")
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -30,6 +36,28 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()]
 
 
+def parts(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
+    """A text in consecutive pieces of about ``size`` bytes, cut before white space."""
+    at = 0
+    while len(text) - at > size and (found := _BREAK.search(text, at + size)):
+        yield text[at:found.start()]
+        at = found.start()
+    yield text[at:]
+
+
+def groups(texts: list[bytes], size: int = 1 << 22) -> Iterator[list[bytes]]:
+    """Consecutive texts in groups of about ``size`` bytes."""
+    group, held = [], 0
+    for text in texts:
+        group.append(text)
+        held += len(text)
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder, which cuts its lineage."""
     path = scratch_path(df.sparkSession, label)
@@ -45,3 +73,36 @@ def list_array(values: pa.Array, lengths) -> pa.Array:
         total += n
         offsets.append(total)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+def with_arrays(docs: DataFrame, fields: str, compute, keep: list[str] | None = None, reads: str = "text") -> DataFrame:
+    """``docs`` with the columns ``fields``, which ``compute`` makes from one column's Arrow array.
+
+    ``keep`` names the columns of ``docs`` to return, by default all. Columns
+    of ``docs`` that bear an added name are replaced.
+    """
+    added = StructType.fromDDL(fields)
+    own = [x for x in docs.columns if x not in added.names and (keep is None or x in keep or x == reads)]
+    docs = docs.select(*own)
+    kept = [x for x in own if keep is None or x in keep]
+    schema = StructType([docs.schema[x] for x in kept] + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in kept), *compute(batch.column(reads))], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+class Memo(dict):
+    """Answers of ``work`` by key, started afresh when ``limit`` of them are held."""
+
+    def __init__(self, work, limit: int):
+        self._work, self._limit = work, limit
+
+    def __missing__(self, key):
+        if len(self) >= self._limit:
+            self.clear()
+        answer = self[key] = self._work(key)
+        return answer
