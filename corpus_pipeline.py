@@ -1,7 +1,73 @@
-"""Documents to training tokens, stage by stage; each stage is one corpus operator."""
+"""Documents to training tokens: five stages, each one of the corpus operators.
 
+A stage takes (spark, docs, sf_dir) and returns a frame, which is written as
+Parquet and read again as the next one's ``docs``. All but the last return the
+columns of ``documents``. Models learn from the stage's own input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from termwise.llm import bpe, langid, mixing, neardup, quality
+from termwise.llm.registry import BYTE_BPE
+from termwise.llm.texts import remainder, table, written
+
+# A text whose best language has less than half the weight is of no language known here.
+LEAST_SHARE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts of no known language go; a missing language is filled in."""
+    model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
+    found = langid.predict(docs, model).filter(
+        (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SHARE))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that fail a rule of the current policy go."""
+    return quality.apply_policy(quality.ledger(docs)).filter("kept").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest id."""
+    kept = neardup.near_duplicates(docs).filter("kept")
+    # A row that repeats an id and its words is a copy too. Rows without a group are left alone.
+    grouped = kept.filter("component_id IS NOT NULL AND n_shingles > 0").dropDuplicates(["component_id"])
+    alone = kept.filter("component_id IS NULL OR n_shingles = 0")
+    return grouped.unionByName(alone).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's target says."""
+    return mixing.emit_copies(mixing.mix(mixing.with_size(docs))).select(*docs.columns)
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, same): the ids, and whether they decode to the text."""
+    rules = bpe.automaton(BYTE_BPE)
+    ids = bpe.encode(docs, rules, ["doc_id", "lang", "source", "text"])
+    return bpe.decode(ids, rules).select(
+        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
+
+
+STAGES = [
+    ("identify_language", identify_language),
+    ("apply_quality_rules", apply_quality_rules),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("mix_sources", mix_sources),
+    ("encode_and_decode", encode_and_decode),
+]
+
+# Neither the language model nor the encoding can be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

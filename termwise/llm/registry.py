@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termwise.llm import bpe, langid, mixing, quality, token_files, topk, unigram
+from termwise.llm import bpe, langid, language_model, mixing, neardup, quality, token_files, topk, toxicity, unigram
 from termwise.llm.texts import remainder, table
 from termwise.session import scratch_path
 
@@ -15,6 +15,14 @@ BYTE_BPE, WORD_BPE, PIECES = (f"{TOKENIZERS}/{x}" for x in
 END_ID = 2
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 7) == 2
+    model = language_model.fit(docs.filter(~held_out))
+    return language_model.score(docs, model, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
     rules = bpe.automaton(tokenizer)
     ids = bpe.encode(table(spark, sf_dir, "documents"), rules, ["doc_id"])
@@ -24,6 +32,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> Data
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -45,6 +62,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         (~F.col("passes_base")).alias("base_failed"), "kept")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, keep=["doc_id"])
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
     counter = unigram.Counter(*unigram.vocabulary(model))
     return unigram.token_counts(table(spark, sf_dir, "documents"), counter, ["doc_id"])
@@ -62,9 +83,12 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_bpe": op2_bpe,
+    "op3_toxicity": op3_toxicity,
     "op4_language_id": op4_language_id,
     "op5_token_files": op5_token_files,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_quality_rules": op7_quality_rules,
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
