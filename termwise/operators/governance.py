@@ -30,25 +30,94 @@ def mark_identifiers(df: DataFrame, columns=IDENTIFIER_COLUMNS) -> DataFrame:
     return df
 
 
-def _tagged(field: T.StructField) -> bool:
-    if field.metadata.get("identifier"):
-        return True
-    inner = field.dataType
-    while isinstance(inner, (T.ArrayType, T.MapType)):
-        inner = inner.elementType if isinstance(inner, T.ArrayType) else inner.valueType
-    return isinstance(inner, T.StructType) and any(_tagged(f) for f in inner.fields)
+# The aggregates that may be taken of an identifier.
+_SUMMARIES = ("count", "avg", "sum", "min", "max")
+
+
+def _items(seq) -> list:
+    """A Scala sequence as a list."""
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _shows(expression, exposed: set[int], tables: dict) -> bool:
+    """Whether an expression's value is made from an exposed attribute outside of a summary."""
+    kind = _kind(expression)
+    if kind == "AttributeReference":
+        return expression.exprId().id() in exposed
+    if kind == "AggregateExpression" and expression.aggregateFunction().prettyName() in _SUMMARIES:
+        return False
+    if kind in ("Exists", "InSubquery", "ListQuery"):
+        # A test of membership in the subquery; what is tested for may still show.
+        return any(_shows(x, exposed, tables) for x in _items(expression.children())
+                   if _kind(x) not in ("ListQuery", "Exists"))
+    if kind in ("ScalarSubquery", "LateralSubquery"):
+        return bool(_exposed(expression.plan(), tables))
+    if kind == "WindowExpression":
+        # What a window is split and ordered by does not show in its value.
+        return _shows(expression.windowFunction(), exposed, tables)
+    return any(_shows(x, exposed, tables) for x in _items(expression.children()))
+
+
+def _marked(attribute) -> bool:
+    return attribute.metadata().contains("identifier")
+
+
+def _exposed(plan, tables: dict) -> set[int]:
+    """Ids of the plan's output attributes that carry an identifier's value.
+
+    Follows values through the analysed plan, from columns tagged at any place.
+    A node that makes new columns out of exposed ones in ways not named here
+    exposes them all. ``tables`` holds what is exposed of each named subquery.
+    """
+    if _kind(plan) == "CTERelationRef":
+        return {x.exprId().id() for x, shown in zip(_items(plan.output()), tables[plan.cteId()]) if shown}
+    children = _items(plan.children())
+    below = []
+    for child in children:
+        below.append(_exposed(child, tables))
+        if _kind(child) == "CTERelationDef":
+            tables[child.id()] = [x.exprId().id() in below[-1] for x in _items(child.output())]
+    known = set().union(*below) if below else set()
+    output = _items(plan.output())
+    found = {x.exprId().id() for x in output if _marked(x)}
+    kind = _kind(plan)
+    if kind in ("Project", "Aggregate", "Window"):
+        made = _items({"Project": lambda: plan.projectList(), "Aggregate": lambda: plan.aggregateExpressions(),
+                       "Window": lambda: plan.windowExpressions()}[kind]())
+        if kind == "Window":
+            found |= known
+        return found | {x.exprId().id() for x in made
+                        if _kind(x) in ("Alias", "AttributeReference") and _shows(x, known, tables)}
+    if kind in ("Union", "Intersect", "Except"):
+        sides = zip(*[_items(x.output()) for x in children])
+        return found | {out.exprId().id() for out, column in zip(output, sides)
+                        if any(x.exprId().id() in known for x in column)}
+    passed = {x.exprId().id() for child in children for x in _items(child.output())}
+    fresh = {x.exprId().id() for x in output} - passed
+    if fresh and children:
+        uses = {x.exprId().id() for x in _items(plan.references().toSeq())}
+        if uses & known:
+            found |= fresh
+    return found | (known & {x.exprId().id() for x in output})
 
 
 def identifier_columns(df: DataFrame) -> list[str]:
-    """Output columns through which a tagged identifier would leave."""
-    return [f.name for f in df.schema.fields if _tagged(f)]
+    """Output columns through which an identifier's value would leave, as such or inside another value."""
+    plan = df._jdf.queryExecution().analyzed()
+    exposed = _exposed(plan, {})
+    return [name for name, x in zip(df.columns, _items(plan.output())) if x.exprId().id() in exposed]
 
 
 def release(df: DataFrame) -> DataFrame:
     """Pass the frame on, or refuse if an identifier would be returned un-aggregated.
 
-    Using identifiers to filter or join is fine. Expressions over a tagged
-    column lose the tag, so `leak_scan` backs this up on the values themselves.
+    Using identifiers to filter, join, group by or order by is fine, as long as
+    no output holds one. `leak_scan` looks at the values themselves, for frames
+    that have lost their tags by being written and read.
     """
     exposed = identifier_columns(df)
     if exposed:
@@ -62,18 +131,39 @@ def release_strip(df: DataFrame) -> DataFrame:
 
 
 def leak_scan(output: DataFrame, identifiers: DataFrame) -> DataFrame:
-    """Per text column of ``output``, the rows whose value is a known identifier.
+    """Per column of ``output`` that can hold text, the rows in which a known identifier occurs.
 
-    Values are counted per column before the shuffle, so a value that fills a
-    large share of the rows travels once.
+    An identifier counts wherever it stands as a word, in any case: alone, in a
+    sentence, as part of a hyphenated id, in an array, a struct or a map. Values
+    are counted per column before the shuffle, so a value that fills a large
+    share of the rows travels once. A frame without such columns has no rows.
     """
-    known = identifiers.toDF("value").filter(F.col("value").isNotNull()).distinct().withColumn("_known", F.lit(True))
-    texts = [f.name for f in output.schema.fields if isinstance(f.dataType, T.StringType)]
+    texts = [f.name for f in output.schema.fields if _can_hold_text(f.dataType)]
+    if not texts:
+        return output.sparkSession.createDataFrame([], "column_name string, leaked_rows long")
+    known = (identifiers.toDF("value").filter("value IS NOT NULL")
+             .select(F.upper(F.col("value").cast("string")).alias("word")).distinct())
     cells = output.select(F.inline(F.array(*[
-        F.struct(F.lit(name).alias("column_name"), F.col(name).alias("value")) for name in texts])))
+        F.struct(F.lit(name).alias("column_name"), F.col(f"`{name}`").cast("string").alias("value"))
+        for name in texts])))
     counted = cells.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        counted.join(known, "value", "left")
-        .groupBy("column_name")
-        .agg(F.sum(F.when(F.col("_known"), F.col("n")).otherwise(0)).alias("leaked_rows"))
-    )
+    value = F.upper("value")
+    words = F.array_distinct(F.concat(
+        F.array(value, F.trim(value)), F.regexp_extract_all(value, F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)),
+        F.regexp_extract_all(value, F.lit("[\\p{L}\\p{N}_-]+"), F.lit(0))))
+    hits = (counted.select("column_name", "value", F.explode(words).alias("word"))
+            .join(known, "word", "left_semi").select("column_name", "value").distinct())
+    leaked = counted.join(hits, ["column_name", "value"], "left_semi").groupBy("column_name").agg(
+        F.sum("n").alias("_leaked"))
+    return (counted.groupBy("column_name").agg(F.sum("n").alias("_rows")).join(leaked, "column_name", "left")
+            .select("column_name", F.coalesce("_leaked", F.lit(0)).alias("leaked_rows")))
+
+
+def _can_hold_text(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _can_hold_text(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return _can_hold_text(kind.keyType) or _can_hold_text(kind.valueType)
+    if isinstance(kind, T.StructType):
+        return any(_can_hold_text(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.StringType, T.BinaryType, T.VariantType))
