@@ -1,8 +1,8 @@
-"""The SQL each registered query is compared with, in the literal set-based form.
+"""The SQL each registered query is compared with.
 
-Written independently of the DataFrame plans: EXISTS over self joins of the
-calendar and enrollment, and separate aggregates joined on their keys. Rates are rounded with whole numbers,
-so a half always rounds away from zero.
+Major terms are numbered, so a term some hops on is a sum; an episode is read
+off the list of its key's rows; term moves are windows over a program's rows.
+Rates are rounded with whole numbers, so a half always rounds away from zero.
 """
 
 from __future__ import annotations
@@ -70,49 +70,54 @@ SELECT DISTINCT term_code AS current_term, {_next('term_code')} AS next_major_te
 FROM stg WHERE right(term_code, 2) IN ('10', '90')
 """
 
-_CHECKS = """
-SELECT c1.current_term AS cohort_term, c2.next_major_term AS one_year_check_term,
-  c4.next_major_term AS two_year_check_term
-FROM cal c1
-JOIN cal c2 ON c2.current_term = c1.next_major_term
-JOIN cal c3 ON c3.current_term = c2.next_major_term
-JOIN cal c4 ON c4.current_term = c3.next_major_term
-"""
+# A major term as a number: two a year, so the next one is one more.
+def _nth(c: str) -> str:
+    return f"CASE right({c}, 2) WHEN '10' THEN 2 * CAST(left({c}, 4) AS INT) WHEN '90' THEN 2 * CAST(left({c}, 4) AS INT) + 1 END"
+
+
+def _code(n: str) -> str:
+    return f"(CAST(({n}) // 2 AS STRING) || CASE ({n}) % 2 WHEN 0 THEN '10' ELSE '90' END)"
+
 
-_BOUNDS = """
-SELECT *, student_id || '-' || u_g || '-' || degtype || '-' || cohort_term AS program_episode_id FROM (
-  SELECT student_id, u_g, degtype, min(term_code) AS cohort_term, max(term_code) AS last_term,
-    max(CASE WHEN regstat_code = '1' THEN 1 ELSE 0 END) AS is_first_time_cohort,
-    max(CASE WHEN academic_state = 'Graduated' THEN 1 ELSE 0 END) AS graduated_flag,
-    min(CASE WHEN academic_state = 'Graduated' THEN term_code END) AS graduation_term,
-    max(CASE WHEN f THEN school END) AS cohort_school, max(CASE WHEN f THEN pell END) AS cohort_pell,
-    max(CASE WHEN f THEN firstgen END) AS cohort_firstgen, max(CASE WHEN f THEN gender END) AS cohort_gender,
-    max(CASE WHEN f THEN term_year END) AS cohort_year, max(CASE WHEN f THEN term_season END) AS cohort_season
-  FROM (SELECT *, term_code = min(term_code) OVER (PARTITION BY student_id, u_g, degtype) AS f FROM stg) flagged
-  GROUP BY student_id, u_g, degtype) grouped
+_CHECKS = f"""
+SELECT current_term AS cohort_term, {_code('n + 2')} AS one_year_check_term, {_code('n + 4')} AS two_year_check_term
+FROM (SELECT current_term, {_nth('current_term')} AS n, list({_nth('current_term')}) OVER () AS present FROM cal) numbered
+WHERE list_has_all(present, [n + 1, n + 2, n + 3])
 """
 
+# Every row of a key in one list; what an episode is, is read off that list.
+_BOUNDS = f"""
+SELECT student_id, u_g, degtype, entry AS cohort_term, list_max([r.t FOR r IN rows]) AS last_term,
+  CAST(list_contains([r.reg FOR r IN rows], '1') AS INT) AS is_first_time_cohort,
+  CAST(list_contains([r.state FOR r IN rows], 'Graduated') AS INT) AS graduated_flag,
+  list_min([r.t FOR r IN rows IF r.state = 'Graduated']) AS graduation_term,
+  list_max([r.school FOR r IN rows IF r.t = entry]) AS cohort_school,
+  list_max([r.pell FOR r IN rows IF r.t = entry]) AS cohort_pell,
+  list_max([r.fg FOR r IN rows IF r.t = entry]) AS cohort_firstgen,
+  list_max([r.sex FOR r IN rows IF r.t = entry]) AS cohort_gender,
+  CAST(left(entry, 4) AS INT) AS cohort_year, {_season('entry')} AS cohort_season,
+  [r.t FOR r IN rows] AS attended, concat_ws('-', student_id, u_g, degtype, entry) AS program_episode_id
+FROM (
+  SELECT student_id, u_g, degtype, min(term_code) AS entry,
+    list({{'t': term_code, 'reg': regstat_code, 'state': academic_state, 'school': school, 'pell': pell,
+           'fg': firstgen, 'sex': gender}}) AS rows
+  FROM stg WHERE student_id IS NOT NULL AND u_g IS NOT NULL AND degtype IS NOT NULL GROUP BY student_id, u_g, degtype) k
+WHERE entry IS NOT NULL
+"""
 
-# The episodes enrolled at a hop: what each EXISTS of the retention check is read from.
-def _pairs(hops: int) -> str:
-    chain = "JOIN cal c1 ON c1.current_term = b.cohort_term"
-    for i in range(2, hops + 1):
-        chain += f" JOIN cal c{i} ON c{i}.current_term = c{i - 1}.next_major_term"
-    return (f"SELECT DISTINCT b.program_episode_id FROM bounds b {chain} JOIN stg e ON e.student_id = b.student_id "
-            f"AND e.u_g = b.u_g AND e.degtype = b.degtype AND e.term_code = c{hops}.next_major_term")
-
-
-_EPI = """
-SELECT b.program_episode_id, b.student_id, b.u_g, b.degtype, b.cohort_term, b.cohort_year, b.cohort_season,
-  b.cohort_school, b.cohort_pell, b.cohort_firstgen, b.cohort_gender, b.last_term, b.is_first_time_cohort,
-  b.graduated_flag, b.graduation_term,
-  CASE WHEN EXISTS (SELECT 1 FROM hop1 h WHERE h.program_episode_id = b.program_episode_id) THEN 1 ELSE 0 END AS enrolled_next_term,
-  CASE WHEN EXISTS (SELECT 1 FROM hop2 h WHERE h.program_episode_id = b.program_episode_id) THEN 1 ELSE 0 END AS retained_one_year,
-  CASE WHEN EXISTS (SELECT 1 FROM hop4 h WHERE h.program_episode_id = b.program_episode_id) THEN 1 ELSE 0 END AS retained_two_year,
-  CASE WHEN b.graduation_term IS NOT NULL AND b.graduation_term <= ct.one_year_check_term THEN 1 ELSE 0 END AS graduated_before_one_year_mark,
-  CASE WHEN b.graduation_term IS NOT NULL AND b.graduation_term <= ct.two_year_check_term THEN 1 ELSE 0 END AS graduated_before_two_year_mark
-FROM bounds b LEFT JOIN checks ct ON ct.cohort_term = b.cohort_term
-WHERE b.program_episode_id IS NOT NULL
+_EPI = f"""
+SELECT program_episode_id, student_id, u_g, degtype, cohort_term, cohort_year, cohort_season, cohort_school, cohort_pell,
+  cohort_firstgen, cohort_gender, last_term, is_first_time_cohort, graduated_flag, graduation_term,
+  CAST(coalesce(list_contains(attended, {_code('n + 1')}), false) AS INT) AS enrolled_next_term,
+  CAST(coalesce(list_has_all(present, [n + 1]) AND list_contains(attended, {_code('n + 2')}), false) AS INT) AS retained_one_year,
+  CAST(coalesce(list_has_all(present, [n + 1, n + 2, n + 3]) AND list_contains(attended, {_code('n + 4')}), false) AS INT)
+    AS retained_two_year,
+  CAST(coalesce(list_has_all(present, [n + 1, n + 2, n + 3]) AND graduation_term <= {_code('n + 2')}, false) AS INT)
+    AS graduated_before_one_year_mark,
+  CAST(coalesce(list_has_all(present, [n + 1, n + 2, n + 3]) AND graduation_term <= {_code('n + 4')}, false) AS INT)
+    AS graduated_before_two_year_mark
+FROM (SELECT *, {_nth('cohort_term')} AS n FROM bounds) b
+CROSS JOIN (SELECT list({_nth('current_term')}) AS present FROM cal) c
 """
 
 _DIM = """
@@ -129,101 +134,86 @@ FROM stg e JOIN epi pe ON pe.student_id = e.student_id AND pe.u_g = e.u_g AND pe
 """
 
 _MATURED = """
-SELECT m.* FROM (
-  SELECT *, CASE u_g WHEN 'U' THEN 400 WHEN 'G' THEN 200 WHEN 'D' THEN 500 END AS win
-  FROM epi WHERE is_first_time_cohort = 1) m
-CROSS JOIN (SELECT max(cohort_term) AS top FROM epi) d
-WHERE CAST(cohort_term AS INTEGER) + win <= CAST(top AS INTEGER)
+SELECT * FROM epi
+QUALIFY is_first_time_cohort = 1 AND CAST(cohort_term AS INT) + map(['U', 'G', 'D'], [400, 200, 500])[u_g]
+  <= max(CAST(cohort_term AS INT)) OVER ()
 """
 
+_COHORT = "degtype, u_g, cohort_gender, cohort_school, cohort_pell, cohort_year"
 _GRAD = f"""
 SELECT degtype, u_g, cohort_gender AS gender, cohort_school AS school, cohort_pell AS pell, cohort_year,
-  count(*) AS cohort_size, CAST(sum(graduated_flag) AS BIGINT) AS graduated_count,
-  {rate('sum(graduated_flag)', 'count(*)')} AS graduation_rate_pct
-FROM matured GROUP BY ALL
+  count(*) AS cohort_size, count(*) FILTER (graduated_flag = 1) AS graduated_count,
+  {rate('count(*) FILTER (graduated_flag = 1)', 'count(*)')} AS graduation_rate_pct
+FROM matured GROUP BY {_COHORT}
 """
-_GRAD = _GRAD.replace("GROUP BY ALL", "GROUP BY degtype, u_g, cohort_gender, cohort_school, cohort_pell, cohort_year")
 
-_RETC = f"""
-SELECT degtype, u_g, gender, school, pell, cohort_year,
-  CAST(one_n AS BIGINT) AS one_year_eligible_cohort_size, CAST(one_kept AS BIGINT) AS one_year_retained_count,
-  {rate('one_kept', 'one_n')} AS first_year_retention_rate_pct,
-  CAST(two_n AS BIGINT) AS two_year_eligible_cohort_size, CAST(two_kept AS BIGINT) AS two_year_retained_count,
-  {rate('two_kept', 'two_n')} AS second_year_retention_rate_pct
-FROM (
-  SELECT degtype, u_g, cohort_gender AS gender, cohort_school AS school, cohort_pell AS pell, cohort_year,
-    sum(CASE WHEN m1 = 1 AND graduated_before_one_year_mark = 0 THEN 1 ELSE 0 END) AS one_n,
-    sum(CASE WHEN m1 = 1 AND graduated_before_one_year_mark = 0 THEN retained_one_year ELSE 0 END) AS one_kept,
-    sum(CASE WHEN m2 = 1 AND graduated_before_two_year_mark = 0 THEN 1 ELSE 0 END) AS two_n,
-    sum(CASE WHEN m2 = 1 AND graduated_before_two_year_mark = 0 THEN retained_two_year ELSE 0 END) AS two_kept
-  FROM (SELECT *, CASE WHEN CAST(cohort_term AS INT) + 100 <= (SELECT CAST(max(cohort_term) AS INT) FROM epi) THEN 1 ELSE 0 END AS m1,
-          CASE WHEN CAST(cohort_term AS INT) + 200 <= (SELECT CAST(max(cohort_term) AS INT) FROM epi) THEN 1 ELSE 0 END AS m2
-        FROM epi WHERE is_first_time_cohort = 1) f
-  GROUP BY degtype, u_g, cohort_gender, cohort_school, cohort_pell, cohort_year) g
-"""
 
-_MAJOR = f"""
-SELECT DISTINCT term_code AS current_term, {_previous('term_code')} AS previous_major_term
-FROM stg WHERE right(term_code, 2) IN ('10', '90')
-"""
+def _kept(years: str, wait: int) -> str:
+    """Columns of one retention mark: who is old enough and not done by then, and who of them is there."""
+    due = f"age >= {wait} AND graduated_before_{years}_year_mark = 0"
+    there = f"count(*) FILTER ({due} AND retained_{years}_year = 1)"
+    name = {"one": "first", "two": "second"}[years]
+    return (f"count(*) FILTER ({due}) AS {years}_year_eligible_cohort_size, {there} AS {years}_year_retained_count, "
+            f"{rate(there, f'count(*) FILTER ({due})')} AS {name}_year_retention_rate_pct")
+
 
+_RETC = f"""
+SELECT degtype, u_g, cohort_gender AS gender, cohort_school AS school, cohort_pell AS pell, cohort_year,
+  {_kept('one', 100)}, {_kept('two', 200)}
+FROM (SELECT *, max(CAST(cohort_term AS INT)) OVER () - CAST(cohort_term AS INT) AS age FROM epi) aged
+WHERE is_first_time_cohort = 1 GROUP BY {_COHORT}
+"""
 
-def _prior(dims: str) -> str:
-    d = ", ".join(f"e.{c}" for c in dims.split(", "))
-    return f"""SELECT m.current_term, e.degtype, e.u_g, {d}, count(DISTINCT e.student_id) AS prior_students
-FROM major m JOIN stg e ON e.term_code = m.previous_major_term GROUP BY m.current_term, e.degtype, e.u_g, {d}"""
+def _moves(dims: str) -> str:
+    """A row per (following term, student, program, attributes): there in it, and done before it."""
+    d = [x.strip() for x in dims.split(",")]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in ["student_id", "u_g", "degtype", *d])
+    return f"""
+SELECT student_id, u_g, degtype, {dims}, {_next('term_code')} AS current_term,
+  bool_or({known} AND list_contains(attended, {_next('term_code')})) AS there,
+  bool_or({known} AND len([g FOR g IN done IF g >= term_code AND g < {_next('term_code')}]) > 0) AS gone
+FROM (SELECT *, list(term_code) OVER program AS attended,
+        list(term_code) FILTER (academic_state = 'Graduated') OVER program AS done
+      FROM stg WINDOW program AS (PARTITION BY student_id, u_g, degtype)) s
+WHERE {_next('term_code')} IN (SELECT current_term FROM cal)
+GROUP BY student_id, u_g, degtype, {dims}, term_code"""
 
 
 def _graduates(dims: str) -> str:
-    d = ", ".join(f"e.{c}" for c in dims.split(", "))
-    return f"""SELECT m.current_term, e.degtype, e.u_g, {d}, count(DISTINCT e.student_id) AS graduates_excluded
-FROM major m JOIN stg e ON e.term_code = m.previous_major_term
-JOIN stg g ON g.student_id = e.student_id AND g.u_g = e.u_g AND g.degtype = e.degtype
-  AND g.academic_state = 'Graduated' AND g.term_code >= m.previous_major_term AND g.term_code < m.current_term
-GROUP BY m.current_term, e.degtype, e.u_g, {d}"""
+    return (f"SELECT current_term, degtype, u_g, {dims}, count(DISTINCT student_id) AS graduates_excluded "
+            f"FROM ({_moves(dims)}) m WHERE gone GROUP BY current_term, degtype, u_g, {dims}")
 
 
-_CONTINUING = """SELECT m.current_term, p.degtype, p.u_g, p.school, count(DISTINCT p.student_id) AS continuing_students
-FROM major m JOIN stg p ON p.term_code = m.previous_major_term
-JOIN stg c ON c.student_id = p.student_id AND c.u_g = p.u_g AND c.degtype = p.degtype AND c.term_code = m.current_term
-GROUP BY m.current_term, p.degtype, p.u_g, p.school"""
+_CONTINUING = (f"SELECT current_term, degtype, u_g, school, count(DISTINCT student_id) AS continuing_students "
+               f"FROM ({_moves('school')}) m WHERE there GROUP BY current_term, degtype, u_g, school")
 
 _GRADT = f"""
-SELECT p.current_term, p.degtype, p.u_g, p.gender, p.school, p.pell, p.prior_students,
-  coalesce(g.graduates_excluded, 0) AS graduated_students,
-  {rate('coalesce(g.graduates_excluded, 0)', 'p.prior_students')} AS term_graduation_rate_pct
-FROM ({_prior('gender, school, pell')}) p
-LEFT JOIN ({_graduates('gender, school, pell')}) g
-  ON g.current_term = p.current_term AND g.degtype = p.degtype AND g.u_g = p.u_g AND g.gender = p.gender
-  AND g.school = p.school AND g.pell = p.pell
+SELECT current_term, degtype, u_g, gender, school, pell, count(DISTINCT student_id) AS prior_students,
+  count(DISTINCT student_id) FILTER (gone) AS graduated_students,
+  {rate('count(DISTINCT student_id) FILTER (gone)', 'count(DISTINCT student_id)')} AS term_graduation_rate_pct
+FROM ({_moves('gender, school, pell')}) m GROUP BY current_term, degtype, u_g, gender, school, pell
 """
 
 _RETT = f"""
-SELECT x.current_term, x.degtype, x.u_g, x.school, x.prior_students, x.graduates_excluded, x.eligible_prior_students,
-  coalesce(c.continuing_students, 0) AS continuing_students,
-  {rate('coalesce(c.continuing_students, 0)', 'x.eligible_prior_students')} AS adjusted_retention_rate,
-  {rate('(x.eligible_prior_students - coalesce(c.continuing_students, 0))', 'x.eligible_prior_students')} AS attrition_rate_pct
+SELECT current_term, degtype, u_g, school, n AS prior_students, g AS graduates_excluded, n - g AS eligible_prior_students,
+  c AS continuing_students, {rate('c', '(n - g)')} AS adjusted_retention_rate, {rate('(n - g - c)', '(n - g)')} AS attrition_rate_pct
 FROM (
-  SELECT p.*, coalesce(g.graduates_excluded, 0) AS graduates_excluded,
-    p.prior_students - coalesce(g.graduates_excluded, 0) AS eligible_prior_students
-  FROM ({_prior('school')}) p LEFT JOIN ({_graduates('school')}) g
-    ON g.current_term = p.current_term AND g.degtype = p.degtype AND g.u_g = p.u_g AND g.school = p.school) x
-LEFT JOIN ({_CONTINUING}) c
-  ON c.current_term = x.current_term AND c.degtype = x.degtype AND c.u_g = x.u_g AND c.school = x.school
+  SELECT current_term, degtype, u_g, school, count(DISTINCT student_id) AS n,
+    count(DISTINCT student_id) FILTER (gone) AS g, count(DISTINCT student_id) FILTER (there) AS c
+  FROM ({_moves('school')}) m GROUP BY current_term, degtype, u_g, school) counted
 """
 
 _VIEWS = {
     "lnd": _LND, "staged": _STAGED, "risk": _RISK, "questions": _QUESTIONS, "stg": _STG, "cal": _CAL,
-    "checks": _CHECKS, "bounds": _BOUNDS, "hop1": _pairs(1), "hop2": _pairs(2), "hop4": _pairs(4), "epi": _EPI,
-    "dim": _DIM, "enr": _ENR, "matured": _MATURED, "grad": _GRAD, "retc": _RETC, "major": _MAJOR,
+    "checks": _CHECKS, "bounds": _BOUNDS, "epi": _EPI,
+    "dim": _DIM, "enr": _ENR, "matured": _MATURED, "grad": _GRAD, "retc": _RETC,
     "gradt": _GRADT, "rett": _RETT,
 }
 _NEEDS = {
     "lnd": (), "staged": ("lnd",), "risk": ("lnd",), "questions": (), "stg": ("lnd",), "cal": ("stg",),
-    "checks": ("cal",), "bounds": ("stg",), "hop1": ("bounds", "cal"), "hop2": ("bounds", "cal"),
-    "hop4": ("bounds", "cal"), "epi": ("bounds", "hop1", "hop2", "hop4", "checks"), "dim": ("epi",),
-    "enr": ("epi",), "matured": ("epi",), "grad": ("matured",), "retc": ("epi",), "major": ("stg",),
-    "gradt": ("major",), "rett": ("major",),
+    "checks": ("cal",), "bounds": ("stg",), "epi": ("bounds", "cal"), "dim": ("epi",),
+    "enr": ("epi",), "matured": ("epi",), "grad": ("matured",), "retc": ("epi",),
+    "gradt": ("cal",), "rett": ("cal",),
 }
 
 
@@ -267,7 +257,9 @@ O["landing_constraints"] = using(
     "staged", f"SELECT coalesce({_reason()}, 'accepted') AS outcome, count(*) AS n_rows FROM ({_WIDE}) s GROUP BY 1")
 O["load_rejects"] = using(
     "staged", f"SELECT * FROM (SELECT student_id, u_g, degtype, term_code, {_reason()} AS reject_reason "
-              f"FROM (SELECT {_NULLED} FROM ({_WIDE}) w) s) r WHERE reject_reason IS NOT NULL")
+              f"FROM (SELECT {_NULLED} FROM ({_WIDE}) w) s) r WHERE reject_reason IS NOT NULL "
+              f"UNION ALL SELECT student_id, u_g, degtype, term_code, 'more than 16 fields' "
+              f"FROM (SELECT {_NULLED} FROM staged WHERE pell = 'X') x")
 O["load_report"] = using(
     "staged", f"SELECT count(*) AS rows_parsed, count(*) FILTER (r IS NULL) AS rows_loaded, "
               f"count(r) AS rows_rejected, count(*) FILTER (r IS NULL) AS table_rows "
@@ -412,9 +404,9 @@ O["fct_enrollment_term"] = using("enr", "SELECT * REPLACE (CAST(accumgpa AS DOUB
 O["matured_cohorts"] = using("matured", "SELECT program_episode_id, u_g, cohort_term, graduated_flag FROM matured")
 O["fct_graduation_rate"] = using("grad", "SELECT * FROM grad")
 O["fct_retention_rate_cohort"] = using("retc", "SELECT * FROM retc")
-O["graduates_between_terms"] = using("major", f"""
+O["graduates_between_terms"] = using("cal", f"""
 SELECT * FROM ({_graduates('school')}) g WHERE school IS NOT NULL""", edge=True)
-O["continuing_students"] = using("major", f"""
+O["continuing_students"] = using("cal", f"""
 SELECT * FROM ({_CONTINUING}) c WHERE school IS NOT NULL""", edge=True)
 O["fct_graduation_rate_term"] = using("gradt", "SELECT * FROM gradt", edge=True)
 O["fct_retention_rate_term"] = using("rett", "SELECT * FROM rett", edge=True)
@@ -497,7 +489,8 @@ O["sm_enrollment"] = using("enr", """
 SELECT term_code, u_g, school, pell, count(DISTINCT student_id) AS student_count FROM enr GROUP BY 1, 2, 3, 4""")
 O["sm_time_grain"] = using("enr", f"""
 SELECT CAST(p.period AS STRING) AS period, coalesce(n, 0) AS student_count
-FROM (SELECT DISTINCT CAST(date_trunc('month', d) AS DATE) AS period FROM ({_SPINE}) s) p
+FROM (SELECT CAST(date_trunc('month', d) AS DATE) AS period FROM ({_SPINE}) s
+      UNION SELECT CAST(date_trunc('month', {_START}) AS DATE) FROM enr WHERE term_year IS NOT NULL) p
 LEFT JOIN (SELECT {_START} AS period, count(DISTINCT student_id) AS n FROM enr GROUP BY 1) x ON x.period = p.period""")
 
 _HEADS = "count(DISTINCT student_id)"
@@ -562,6 +555,10 @@ for _name, (_view, _value) in _METRIC_SQL.items():
         _view, f"SELECT {_by + ', ' if _by else ''}{_value} AS {_name} FROM {_view}"
                + (f" GROUP BY {_by}{_where}" if _by else ""))
 
+O["m_student_count_by_gender"] = using("enr dim", """
+SELECT e.term_code, d.gender, count(DISTINCT e.student_id) AS student_count
+FROM enr e JOIN dim d ON d.program_episode_id = e.program_episode_id GROUP BY 1, 2""")
+
 # Sample questions
 
 
@@ -615,11 +612,13 @@ FROM enr e JOIN risk r ON r.student_id = e.student_id AND CAST(r.term_code AS ST
 
 # Governance
 
-O["leak_scan"] = using("enr", """
-SELECT 'reference' AS column_name, count(*) AS leaked_rows FROM enr WHERE upper(student_id) IN (SELECT student_id FROM enr)
-UNION ALL SELECT 'school', count(*) FROM enr WHERE school IN (SELECT student_id FROM enr)
-UNION ALL SELECT 'term_code', count(*) FROM enr WHERE term_code IN (SELECT student_id FROM enr)
-UNION ALL SELECT 'note', count(*) FROM enr WHERE 'term ' || term_code IN (SELECT student_id FROM enr)""")
+_WORDS = "list_concat(regexp_split_to_array(upper(v), '[^A-Z0-9_]+'), [upper(v)])"
+O["leak_scan"] = using("enr", " UNION ALL ".join(f"""
+SELECT '{name}' AS column_name, count(*) FILTER (list_has_any({_WORDS}, (SELECT list(DISTINCT student_id) FROM enr)))
+  AS leaked_rows FROM (SELECT {value} AS v FROM enr) x""" for name, value in {
+    "reference": "lower(student_id)", "school": "school", "term_code": "term_code",
+    "note": "'term ' || term_code || ' of ' || student_id", "episode": "program_episode_id",
+    "seen": "'[' || school || ', ' || student_id || ']'"}.items()))
 O["release_strip"] = using("enr", "SELECT u_g, school, term_code, cohort_term FROM enr")
 
 # Questions, conversations and documents
@@ -673,7 +672,7 @@ O["conversation_window"] = (f"SELECT conv_id, turn, CASE WHEN role = 'user' THEN
 O["recent_transcript"] = _TRANSCRIPT
 O["question_in_context"] = using("questions", f"""
 SELECT q.conv_id, q.turn, q.question, CASE WHEN t.transcript IS NULL THEN q.question ELSE
-  'Conversation so far:' || chr(10) || t.transcript || chr(10) || chr(10) || 'Latest question: ' || q.question END
+  'Said before:' || chr(10) || t.transcript || chr(10) || chr(10) || 'Now asked: ' || q.question END
   AS question_in_context
 FROM questions q LEFT JOIN ({_TRANSCRIPT}) t ON t.conv_id = q.conv_id""")
 O["upsert_chunks"] = """
@@ -682,21 +681,22 @@ SELECT CAST(d.doc_id AS STRING) AS source, 0 AS chunk,
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 O["list_sources"] = "SELECT source, count(*) AS n_chunks FROM documents GROUP BY 1"
 _NEAREST = """
-SELECT query_id, item_id, similarity, rank FROM (
+SELECT query_id, item_id, round(similarity, 6) AS similarity, rank FROM (
   SELECT query_id, item_id, similarity,
     CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS INTEGER) AS rank
   FROM (
-    SELECT q.query_id, e.vec_id AS item_id,
-      round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.mean), 6) AS similarity
+    SELECT q.query_id, e.vec_id AS item_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), q.mean) AS similarity
     FROM embeddings e CROSS JOIN (
       SELECT label AS query_id, list(m ORDER BY i) AS mean FROM (
         SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m
-        FROM embeddings, range(1, 65) AS r(i) GROUP BY label, i) p GROUP BY label) q) s) ranked
+        FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) r
+        GROUP BY label, i) p GROUP BY label) q) s) ranked
 WHERE rank <= 6"""
 O["retrieve_topk"] = _NEAREST
 _RULE = CONTEXT_RULE.replace("\n", "' || chr(10) || '")
-O["assemble_context"] = (f"SELECT n.query_id, string_agg(d.text, '{_RULE}' ORDER BY n.rank) AS context, "
-                         f"count(*) AS n_excerpts FROM ({_NEAREST}) n JOIN documents d ON d.doc_id = n.item_id GROUP BY 1")
+O["assemble_context"] = (
+    f"SELECT n.query_id, string_agg('vector ' || e.vec_id || ' of label ' || e.label, '{_RULE}' ORDER BY n.rank) AS context, "
+    f"count(*) AS n_excerpts FROM ({_NEAREST}) n JOIN embeddings e ON e.vec_id = n.item_id GROUP BY 1")
 
 _TIME = {"term_code", "semester"}
 _METRIC_LIKE = {"creditenr", "accumgpa"}

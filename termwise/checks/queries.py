@@ -95,7 +95,7 @@ class Tables:
     REPORT = {
         "fct_graduation_rate": "grad", "fct_retention_rate_cohort": "retention",
         "fct_retention_rate_term": "retention_term", "fct_graduation_rate_term": "grad_term",
-        "fct_enrollment_term": "enrollment", "dim_program_episode": "dim",
+        "fct_enrollment_term": "fct_enrollment", "dim_program_episode": "dim",
     }
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -137,7 +137,7 @@ def _write_staged(t: Tables, df: DataFrame) -> str:
 
 @query
 def scan_staged(t):
-    return landing.scan_staged(t.spark, _write_staged(t, t.staged))
+    return landing.scan_staged(t.spark, _write_staged(t, t.staged)).drop("line_fault")
 
 
 @query
@@ -161,7 +161,11 @@ def _overlong(staged: DataFrame) -> DataFrame:
 
 @query
 def load_rejects(t):
-    split = landing.split_by_constraints(landing.scan_staged(t.spark, _write_staged(t, _overlong(t.staged))))
+    path = _write_staged(t, _overlong(t.staged))
+    # Lines with two fields too many, the first of them empty.
+    wide = t.staged.filter("pell = 'X'").select("*", F.lit(None).cast("string").alias("x"), F.lit("y").alias("y"))
+    wide.write.mode("append").option("header", True).option("nullValue", "").csv(path)
+    split = landing.split_by_constraints(landing.scan_staged(t.spark, path))
     return split.rejected.select("student_id", "u_g", "degtype", "term_code", "reject_reason")
 
 
@@ -515,6 +519,11 @@ for _name, _by in METRIC_GROUPINGS.items():
     query(name=f"m_{_name}")(_metric(_name, _by))
 
 
+@query
+def m_student_count_by_gender(t):
+    return semantic.metric("student_count", t, ["term_code", "gender"])
+
+
 # Sample questions
 
 
@@ -605,9 +614,12 @@ def risk_join_enrollment(t):
 
 @query
 def leak_scan(t):
-    output = t.enrollment.select(F.upper("student_id").alias("reference"), "school", "term_code",
-                                 F.concat(F.lit("term "), "term_code").alias("note"))
-    return governance.leak_scan(output, t.enrollment.select("student_id"))
+    fact = t.fct_enrollment
+    output = fact.select(
+        F.lower("student_id").alias("reference"), "school", "term_code",
+        F.concat_ws(" ", F.lit("term"), "term_code", F.lit("of"), "student_id").alias("note"),
+        F.col("program_episode_id").alias("episode"), F.array("school", "student_id").alias("seen"))
+    return governance.leak_scan(output, fact.select("student_id"))
 
 
 @query
@@ -672,14 +684,13 @@ def list_sources(t):
     return documents.list_sources(t.raw("documents"))
 
 
-EMBEDDING_SIZE = 64
-
-
 def _nearest(t) -> DataFrame:
-    """Each label's mean vector asks for its nearest vectors."""
+    """Each label's mean vector, as wide as its vectors are, asks for its nearest vectors."""
     vectors = t.raw("embeddings")
-    mean = F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(EMBEDDING_SIZE)])
-    asked = vectors.groupBy(F.col("label").alias("query_id")).agg(mean.alias("embedding"))
+    means = (vectors.select("label", F.posexplode("embedding").alias("at", "x"))
+             .groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("mean")))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "mean")))
+    asked = means.groupBy(F.col("label").alias("query_id")).agg(ordered["mean"].alias("embedding"))
     return retrieval.retrieve_topk(vectors.select(F.col("vec_id").alias("item_id"), "embedding"), asked)
 
 
@@ -690,7 +701,11 @@ def retrieve_topk(t):
 
 @query
 def assemble_context(t):
-    texts = t.raw("documents").select(F.col("doc_id").alias("item_id"), "text")
+    # The vectors belong to no document, so each one's text says what it is.
+    texts = t.raw("embeddings").select(
+        F.col("vec_id").alias("item_id"),
+        F.concat_ws(" ", F.lit("vector"), F.col("vec_id").cast("string"), F.lit("of label"),
+                    F.col("label").cast("string")).alias("text"))
     return documents.assemble_context(_nearest(t).join(texts, "item_id"))
 
 

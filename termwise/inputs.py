@@ -77,19 +77,22 @@ SELECT student_id, u_g, school, degtype, pell, gender, academic_state, regstat,
 FROM r WHERE rn = 1
 """
 
+# What users wrote, and beside it sentences that the phrase rules tell apart.
 QUESTIONS_SQL = """
 WITH t(i, q) AS (VALUES
-  (0, 'What is the graduation rate for 2020?'), (1, 'What does the pdf say about the methodology?'),
-  (2, 'Explain the scenario mentioned in the file'), (3, 'Summarize the document for me'),
-  (4, 'What does the report say about the graduation rate methodology?'), (5, 'tell me more'),
-  (6, 'Can you tell me more about this particular topic?'), (7, 'can you plot the graph for it'),
-  (8, 'How many students graduated last year?'), (9, 'What is the graduation rate this year?'),
-  (10, 'What was retention last semester?'), (11, 'How many students enrolled this term?'),
-  (12, 'Show enrollment trends for the past 3 years'), (13, 'What are recent graduation rates?'),
-  (14, 'What is the graduation rate for the 2018 cohort in Fall 2023?'),
-  (15, 'Show me a chart of retention by school'), (16, 'Is there a data lineage graph for this pipeline?'),
-  (17, 'What does the retention chart measure?'), (18, 'Is there a trend?'),
-  (19, 'What is the retention trend by year?'), (20, 'Compare last year with the past 3 years and this term'))
+  (0, 'Tell me the graduation rate among 2020 entrants'), (1, 'Does the pdf define who counts as retained?'),
+  (2, 'Which caveats are mentioned in the annex?'), (3, 'Please summarise what I sent you'),
+  (4, 'Per the report, how is the graduation rate worked out?'), (5, 'and then?'),
+  (6, 'Would you go into a little more detail on that one point?'), (7, 'please chart those numbers'),
+  (8, 'Degrees completed last year, by school'), (9, 'Share of Pell students this year'),
+  (10, 'How did retention move last semester?'), (11, 'Headcount for the current term, please'),
+  (12, 'Attrition across the past 4 years'), (13, 'Were recent cohorts any better?'),
+  (14, 'Of the 2017 entrants, who was still here in Spring 2021?'),
+  (15, 'Draw me a graph of attrition per college'), (16, 'Where does the data lineage chart live?'),
+  (17, 'What is the chart of cohorts supposed to mean?'), (18, 'Do you see any trend?'),
+  (19, 'Give me headcount trends by semester'), (20, 'Set the past year against the past 2 years and the current semester'))
+SELECT conv_id, turn, text AS question FROM {conversations} u WHERE role = 'user'
+UNION ALL
 SELECT c.conv_id, c.turn, t.q AS question
 FROM {conversations} c JOIN t ON t.i = (c.conv_id * 5 + c.turn) % 21
 WHERE c.role = 'user'

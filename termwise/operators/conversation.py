@@ -45,6 +45,6 @@ def with_context(questions: DataFrame, messages: DataFrame, n: int = CONTEXT_MES
     return joined.withColumn(
         "question_in_context",
         F.when(F.col("transcript").isNull(), F.col("question")).otherwise(
-            F.concat(F.lit("Conversation so far:\n"), F.col("transcript"),
-                     F.lit("\n\nLatest question: "), F.col("question"))),
+            F.concat(F.lit("Said before:\n"), F.col("transcript"),
+                     F.lit("\n\nNow asked: "), F.col("question"))),
     ).drop("transcript", "n_messages")

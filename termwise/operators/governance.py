@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +46,29 @@ def _kind(node) -> str:
     return node.getClass().getSimpleName()
 
 
+def _named(text: str) -> list[int]:
+    """The attribute ids in a printed sequence or set of attributes.
+
+    One call to the JVM for all of them. A column name that looks like an id can
+    only add one, which errs on the safe side.
+    """
+    return [int(x) for x in re.findall(r"#(\d+)L?(?=, |[)}])", text)]
+
+
+def _outputs(plan) -> list[int]:
+    seq = plan.output()
+    found = _named(seq.toString())
+    return found if len(found) == seq.size() else [x.exprId().id() for x in _items(seq)]
+
+
+def _tagged(plan, output: list[int]) -> set[int]:
+    """Output attributes that bear the tag themselves."""
+    schema = plan.schema().json()
+    if '"identifier"' not in schema:
+        return set()
+    return {i for i, field in zip(output, json.loads(schema)["fields"]) if field["metadata"].get("identifier")}
+
+
 def _shows(expression, exposed: set[int], tables: dict) -> bool:
     """Whether an expression's value is made from an exposed attribute outside of a summary."""
     kind = _kind(expression)
@@ -62,8 +88,7 @@ def _shows(expression, exposed: set[int], tables: dict) -> bool:
     return any(_shows(x, exposed, tables) for x in _items(expression.children()))
 
 
-def _marked(attribute) -> bool:
-    return attribute.metadata().contains("identifier")
+_MADE = {"Project": "projectList", "Aggregate": "aggregateExpressions", "Window": "windowExpressions"}
 
 
 def _exposed(plan, tables: dict) -> set[int]:
@@ -73,43 +98,37 @@ def _exposed(plan, tables: dict) -> set[int]:
     A node that makes new columns out of exposed ones in ways not named here
     exposes them all. ``tables`` holds what is exposed of each named subquery.
     """
-    if _kind(plan) == "CTERelationRef":
-        return {x.exprId().id() for x, shown in zip(_items(plan.output()), tables[plan.cteId()]) if shown}
+    kind, output = _kind(plan), _outputs(plan)
+    if kind == "CTERelationRef":
+        return {i for i, shown in zip(output, tables[plan.cteId()]) if shown}
     children = _items(plan.children())
-    below = []
+    known: set[int] = set()
     for child in children:
-        below.append(_exposed(child, tables))
+        below = _exposed(child, tables)
+        known |= below
         if _kind(child) == "CTERelationDef":
-            tables[child.id()] = [x.exprId().id() in below[-1] for x in _items(child.output())]
-    known = set().union(*below) if below else set()
-    output = _items(plan.output())
-    found = {x.exprId().id() for x in output if _marked(x)}
-    kind = _kind(plan)
-    if kind in ("Project", "Aggregate", "Window"):
-        made = _items({"Project": lambda: plan.projectList(), "Aggregate": lambda: plan.aggregateExpressions(),
-                       "Window": lambda: plan.windowExpressions()}[kind]())
-        if kind == "Window":
-            found |= known
-        return found | {x.exprId().id() for x in made
-                        if _kind(x) in ("Alias", "AttributeReference") and _shows(x, known, tables)}
+            tables[child.id()] = [i in below for i in _outputs(child)]
+    found = _tagged(plan, output) | (known & set(output))
+    if kind in _MADE:
+        made = getattr(plan, _MADE[kind])()
+        # Looked into only where something exposed is named or a subquery is held.
+        if known & set(_named(plan.references().toString())) or "subquery" in made.toString():
+            found |= {x.exprId().id() for x in _items(made) if _shows(x, known, tables)}
+        return found
     if kind in ("Union", "Intersect", "Except"):
-        sides = zip(*[_items(x.output()) for x in children])
-        return found | {out.exprId().id() for out, column in zip(output, sides)
-                        if any(x.exprId().id() in known for x in column)}
-    passed = {x.exprId().id() for child in children for x in _items(child.output())}
-    fresh = {x.exprId().id() for x in output} - passed
-    if fresh and children:
-        uses = {x.exprId().id() for x in _items(plan.references().toSeq())}
-        if uses & known:
-            found |= fresh
-    return found | (known & {x.exprId().id() for x in output})
+        sides = zip(*[_outputs(x) for x in children])
+        return found | {i for i, column in zip(output, sides) if known.intersection(column)}
+    fresh = set(output) - {i for child in children for i in _outputs(child)}
+    if fresh and children and known & set(_named(plan.references().toString())):
+        found |= fresh
+    return found
 
 
 def identifier_columns(df: DataFrame) -> list[str]:
     """Output columns through which an identifier's value would leave, as such or inside another value."""
     plan = df._jdf.queryExecution().analyzed()
     exposed = _exposed(plan, {})
-    return [name for name, x in zip(df.columns, _items(plan.output())) if x.exprId().id() in exposed]
+    return [name for name, i in zip(df.columns, _outputs(plan)) if i in exposed]
 
 
 def release(df: DataFrame) -> DataFrame:

@@ -16,9 +16,11 @@ TOP_K = 6
 QUERY_BATCH = 4096
 CELL_ROWS = 100_000
 SIMILARITY_DIGITS = 6
+# More than a product of unit vectors can lose to rounding.
+SLACK = 1e-12
 
 
-def _nearest(k: int, digits: int):
+def _nearest(k: int):
     """Shared task code: the ``k`` best items per query, ties broken by item id."""
 
     def unit(vectors) -> np.ndarray:
@@ -33,15 +35,16 @@ def _nearest(k: int, digits: int):
     def scan(queries: np.ndarray, ids: np.ndarray, items: np.ndarray, step: int = 1024) -> pd.DataFrame:
         kept = None
         for at in range(0, len(ids), step):
-            close = np.round(queries @ items[at:at + step].T, digits) + 0.0
-            block = ids[at:at + step]
+            vectors, block = items[at:at + step], ids[at:at + step]
+            close = queries @ vectors.T
             if len(block) > k:
-                # Everything that ties with the k-th best stays in.
+                # Everything that may tie with the k-th best stays in.
                 floor = np.partition(close, len(block) - k, axis=1)[:, len(block) - k]
-                q, i = np.nonzero(close >= floor[:, None])
+                q, i = np.nonzero(close >= floor[:, None] - SLACK)
             else:
                 q, i = np.nonzero(np.ones_like(close, dtype=bool))
-            part = pd.DataFrame({"q": q, "item_id": block[i], "similarity": close[q, i]})
+            # Summed pair by pair, so equal vectors come out equal wherever they lie.
+            part = pd.DataFrame({"q": q, "item_id": block[i], "similarity": (queries[q] * vectors[i]).sum(axis=1)})
             kept = best(part if kept is None else pd.concat([kept, part], ignore_index=True))
         return kept
 
@@ -58,7 +61,9 @@ def _nearest(k: int, digits: int):
 
 def _finish(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("item_id"))
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    # Ranked in full, rounded only to be shown.
+    return ranked.withColumn("similarity", F.round("similarity", SIMILARITY_DIGITS) + F.lit(0.0))
 
 
 def retrieve_topk(items: DataFrame, queries: DataFrame, k: int = TOP_K, query_batch: int = QUERY_BATCH,
@@ -71,11 +76,10 @@ def retrieve_topk(items: DataFrame, queries: DataFrame, k: int = TOP_K, query_ba
     laid out on a grid of cells, every item meeting every block of queries in
     exactly one cell; ids are hashed, so cells are even and bounded. Both are exact.
     """
-    digits = SIMILARITY_DIGITS
     item_type = items.schema["item_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, item_id {item_type}, similarity double"
-    unit, best, scan, named = _nearest(k, digits)
+    unit, best, scan, named = _nearest(k)
     items = items.select("item_id", "embedding").filter(F.col("embedding").isNotNull())
     queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
 

@@ -11,14 +11,18 @@ from termwise.operators.governance import mark_identifiers
 from termwise.operators.quality import require_pass
 from termwise.plans import episodes as ep
 from termwise.plans import facts, staging
-from termwise.sources.landing import load_landing
+from termwise.sources.landing import load_landing, load_report, split_by_constraints
 from termwise.sources.layers import LayerStore, create_report_views, drop_stale_views, with_audit
 
 
 @dataclass
 class BuildResult:
+    """What was built, its data tests, what the load did, and the rows it left out with the reason."""
+
     tables: dict[str, DataFrame]
     tests: DataFrame
+    report: DataFrame
+    rejects: DataFrame
 
 
 def build_tables(landing: DataFrame, store: LayerStore) -> dict[str, DataFrame]:
@@ -51,12 +55,17 @@ def build_tables(landing: DataFrame, store: LayerStore) -> dict[str, DataFrame]:
 def build(staged: DataFrame, store: LayerStore, full_refresh: bool = True) -> BuildResult:
     """The daily batch: gate, load, rebuild, views, tests.
 
-    Nothing is loaded unless every check passes.
+    Nothing is loaded unless every check passes. Rows that break a landing
+    constraint are stored beside the landing table, and the report, stored too,
+    counts them.
     """
     require_pass(staged)
     landing_path = store.path("student_enrollment", "LND")
+    rejects = store.replace(split_by_constraints(staged).rejected, "student_enrollment_rejects", "LND")
     load_landing(staged, landing_path, full_refresh)
-    tables = build_tables(store.spark.read.parquet(landing_path), store)
+    landing = store.spark.read.parquet(landing_path)
+    report = store.replace(load_report(staged, landing), "load_report", "LND")
+    tables = build_tables(landing, store)
     drop_stale_views(store.spark)
     create_report_views(tables)
-    return BuildResult(tables, run_tests(tables))
+    return BuildResult(tables, run_tests(tables), report, rejects)

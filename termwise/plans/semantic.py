@@ -6,6 +6,7 @@ grouping asked for; stored rates are never averaged.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ class SemanticModel:
     measures: tuple[str, ...]
     time_dimension: str
     time_grain: str
+    # Whether the measure counts distinct students, which cannot be summed.
+    distinct: bool = False
 
     def entity_key(self) -> Column:
         return joined_key(*self.entity_parts).alias(self.entity)
@@ -61,7 +64,7 @@ MODELS = {
         SemanticModel("enrollment_by_semester_level", "fct_enrollment_term", "program_episode_term",
                       ("program_episode_id", "term_code"),
                       ("term_code", "term_year", "term_season", "u_g", "school", "pell"),
-                      ("student_count",), "term_start_date", "month"),
+                      ("student_count",), "term_start_date", "month", distinct=True),
     )
 }
 
@@ -92,9 +95,7 @@ def _sums(*names: str) -> Measures:
 
 def model_measures(model: SemanticModel, table: DataFrame, by: list[str]) -> DataFrame:
     """Every measure of a model at a grouping of its dimensions."""
-    if model.measures == ("student_count",):
-        return student_heads(table, by, {})
-    return _sums(*model.measures)(table, by)
+    return (student_heads(table, by, {}) if model.distinct else _sums(*model.measures)(table, by))
 
 
 def measures_over_time(model: SemanticModel, table: DataFrame, spine: DataFrame | None = None) -> DataFrame:
@@ -103,7 +104,9 @@ def measures_over_time(model: SemanticModel, table: DataFrame, spine: DataFrame
     found = model_measures(model, table.withColumn("period", period), ["period"])
     if spine is None:
         return found
-    periods = spine.select(F.trunc("date_day", model.time_grain).alias("period")).distinct()
+    # Periods of the data that lie outside of the spine are periods too.
+    periods = spine.select(F.trunc("date_day", model.time_grain).alias("period")).unionByName(
+        found.select("period").filter("period IS NOT NULL")).distinct()
     return periods.join(found, "period", "left")
 
 
@@ -145,19 +148,18 @@ class Metric:
     table: str
     measures: Measures
     value: Callable[[], Column]
-    label: str
 
 
-def _plain(table: str, measures: Measures, value: str, label: str) -> Metric:
-    return Metric(table, measures, lambda: F.expr(value), label)
+def _plain(table: str, measures: Measures, value: str) -> Metric:
+    return Metric(table, measures, lambda: F.expr(value))
 
 
-def _sum(table: str, name: str, label: str) -> Metric:
-    return _plain(table, _sums(name), name, label)
+def _sum(table: str, name: str) -> Metric:
+    return _plain(table, _sums(name), name)
 
 
-def _rate(table: str, top: str, bottom: str, label: str) -> Metric:
-    return Metric(table, _sums(top, bottom), lambda: pct(top, bottom), label)
+def _rate(table: str, top: str, bottom: str) -> Metric:
+    return Metric(table, _sums(top, bottom), lambda: pct(top, bottom))
 
 
 _GRAD, _RETC = "fct_graduation_rate", "fct_retention_rate_cohort"
@@ -165,54 +167,46 @@ _RETT, _GRADT = "fct_retention_rate_term", "fct_graduation_rate_term"
 _ENR, _DIM = "fct_enrollment_term", "dim_program_episode"
 
 METRICS: dict[str, Metric] = {
-    "cohort_size": _sum(_GRAD, "cohort_size", "Cohort Size"),
-    "graduated_count": _sum(_GRAD, "graduated_count", "Graduated Count"),
-    "graduation_rate": _rate(_GRAD, "graduated_count", "cohort_size", "Graduation Rate %"),
-    "one_year_eligible_cohort_size": _sum(_RETC, "one_year_eligible_cohort_size", "1-Year Eligible Cohort Size"),
-    "one_year_retained_count": _sum(_RETC, "one_year_retained_count", "1-Year Retained Count"),
-    "first_year_retention_rate": _rate(_RETC, "one_year_retained_count", "one_year_eligible_cohort_size",
-                                       "1-Year Retention Rate %"),
-    "two_year_eligible_cohort_size": _sum(_RETC, "two_year_eligible_cohort_size", "2-Year Eligible Cohort Size"),
-    "two_year_retained_count": _sum(_RETC, "two_year_retained_count", "2-Year Retained Count"),
-    "second_year_retention_rate": _rate(_RETC, "two_year_retained_count", "two_year_eligible_cohort_size",
-                                        "2-Year Retention Rate %"),
+    "cohort_size": _sum(_GRAD, "cohort_size"),
+    "graduated_count": _sum(_GRAD, "graduated_count"),
+    "graduation_rate": _rate(_GRAD, "graduated_count", "cohort_size"),
+    "one_year_eligible_cohort_size": _sum(_RETC, "one_year_eligible_cohort_size"),
+    "one_year_retained_count": _sum(_RETC, "one_year_retained_count"),
+    "first_year_retention_rate": _rate(_RETC, "one_year_retained_count", "one_year_eligible_cohort_size"),
+    "two_year_eligible_cohort_size": _sum(_RETC, "two_year_eligible_cohort_size"),
+    "two_year_retained_count": _sum(_RETC, "two_year_retained_count"),
+    "second_year_retention_rate": _rate(_RETC, "two_year_retained_count", "two_year_eligible_cohort_size"),
     "non_graduation_rate": Metric(_GRAD, _sums("cohort_size", "graduated_count"),
-                                  lambda: pct("(cohort_size - graduated_count)", "cohort_size"),
-                                  "Non-Graduation Rate %"),
+                                  lambda: pct("(cohort_size - graduated_count)", "cohort_size")),
     "students_not_graduated": _plain(_GRAD, _sums("cohort_size", "graduated_count"),
-                                     "cohort_size - graduated_count", "Students Not Graduated"),
+                                     "cohort_size - graduated_count"),
     "pell_graduation_gap": Metric(
         _GRAD, _pell_rates,
-        lambda: F.round(pct("N_graduated_count", "N_cohort_size") - pct("Y_graduated_count", "Y_cohort_size"), 4),
-        "Pell Graduation Gap %"),
-    "student_count": _plain(_ENR, _heads(), "student_count", "Student Count"),
-    "pell_student_count": _plain(_ENR, _heads("pell_students"), "pell_students", "Pell Student Count"),
+        lambda: F.round(pct("N_graduated_count", "N_cohort_size") - pct("Y_graduated_count", "Y_cohort_size"), 4)),
+    "student_count": _plain(_ENR, _heads(), "student_count"),
+    "pell_student_count": _plain(_ENR, _heads("pell_students"), "pell_students"),
     "pell_enrollment_rate": Metric(_ENR, _heads("pell_students"),
-                                   lambda: pct("pell_students", "student_count", 2), "Pell Enrollment Rate %"),
-    "adjusted_retention_rate": _rate(_RETT, "continuing_students", "eligible_prior_students",
-                                     "Adjusted Retention Rate %"),
+                                   lambda: pct("pell_students", "student_count", 2)),
+    "adjusted_retention_rate": _rate(_RETT, "continuing_students", "eligible_prior_students"),
     "attrition_rate": Metric(
         _RETT, _sums("eligible_prior_students", "continuing_students"),
-        lambda: pct("(eligible_prior_students - continuing_students)", "eligible_prior_students"),
-        "Attrition Rate %"),
-    "prior_students": _sum(_RETT, "prior_students", "Prior Students"),
-    "continuing_students": _sum(_RETT, "continuing_students", "Continuing Students"),
-    "graduates_excluded": _sum(_RETT, "graduates_excluded", "Graduates Excluded"),
-    "eligible_prior_students": _sum(_RETT, "eligible_prior_students", "Eligible Prior Students"),
-    "term_graduation_rate": _rate(_GRADT, "graduated_students", "prior_students", "Term Graduation Rate %"),
-    "term_graduated_students": _sum(_GRADT, "graduated_students", "Term Graduated Students"),
-    "avg_gpa": _plain(_ENR, _mean("accumgpa", 2), "mean", "Average GPA"),
-    "avg_credits": _plain(_ENR, _mean("creditenr", 1), "mean", "Average Credits"),
-    "full_time_students": _plain(_ENR, _heads("full_time"), "full_time", "Full-Time Students"),
-    "part_time_students": _plain(_ENR, _heads("part_time"), "part_time", "Part-Time Students"),
-    "full_time_rate": Metric(_ENR, _heads("full_time"), lambda: pct("full_time", "student_count", 2),
-                             "Full-Time Rate %"),
-    "firstgen_enrollment_count": _plain(_ENR, _heads("first_generation"), "first_generation",
-                                        "First-Generation Students"),
-    "total_unique_students_ever": _plain(_ENR, _heads(), "student_count", "Students Ever Enrolled"),
-    "new_program_starts": _plain(_DIM, _count(True), "n", "New Program Starts"),
-    "first_time_student_count": _plain(_DIM, _count(True), "n", "First-Time Students"),
-    "total_program_episodes": _plain(_DIM, _count(False), "n", "Program Episodes"),
+        lambda: pct("(eligible_prior_students - continuing_students)", "eligible_prior_students")),
+    "prior_students": _sum(_RETT, "prior_students"),
+    "continuing_students": _sum(_RETT, "continuing_students"),
+    "graduates_excluded": _sum(_RETT, "graduates_excluded"),
+    "eligible_prior_students": _sum(_RETT, "eligible_prior_students"),
+    "term_graduation_rate": _rate(_GRADT, "graduated_students", "prior_students"),
+    "term_graduated_students": _sum(_GRADT, "graduated_students"),
+    "avg_gpa": _plain(_ENR, _mean("accumgpa", 2), "mean"),
+    "avg_credits": _plain(_ENR, _mean("creditenr", 1), "mean"),
+    "full_time_students": _plain(_ENR, _heads("full_time"), "full_time"),
+    "part_time_students": _plain(_ENR, _heads("part_time"), "part_time"),
+    "full_time_rate": Metric(_ENR, _heads("full_time"), lambda: pct("full_time", "student_count", 2)),
+    "firstgen_enrollment_count": _plain(_ENR, _heads("first_generation"), "first_generation"),
+    "total_unique_students_ever": _plain(_ENR, _heads(), "student_count"),
+    "new_program_starts": _plain(_DIM, _count(True), "n"),
+    "first_time_student_count": _plain(_DIM, _count(True), "n"),
+    "total_program_episodes": _plain(_DIM, _count(False), "n"),
 }
 
 
@@ -222,11 +216,26 @@ def metric(name: str, tables: Mapping[str, DataFrame], by: list[str] | None = No
     by = list(by or [])
     m = METRICS[name]
     table = tables[m.table]
+    if m.table == _ENR:
+        table = _with_episode(table, tables, [*by, *(re.findall(r"\w+", where) if isinstance(where, str) else [])])
     if where is not None:
         table = table.filter(where)
     return m.measures(table, by).select(*by, m.value().alias(name))
 
 
+def _with_episode(fact: DataFrame, tables: Mapping[str, DataFrame], wanted: list[str]) -> DataFrame:
+    """The enrollment fact with the episode attributes asked for that it lacks, such as gender.
+
+    One episode has one row per term, so no key is hot.
+    """
+    lacking = [c for c in dict.fromkeys(wanted) if c not in fact.columns]
+    if not lacking:
+        return fact
+    episodes = tables[_DIM]
+    lacking = [c for c in lacking if c in episodes.columns]
+    return fact.join(episodes.select("program_episode_id", *lacking), "program_episode_id") if lacking else fact
+
+
 def subset_rate(fact: DataFrame, by: list[str], top: str, bottom: str, name: str, scale: int = 4,
                 top_as: str | None = None, bottom_as: str | None = None) -> DataFrame:
     """A rate at any subset of a report table's dimensions, with both its sums."""

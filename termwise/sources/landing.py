@@ -32,6 +32,8 @@ LANDING_NAMES = [name for name, _, _ in LANDING_COLUMNS]
 # Text that stands for NULL in the staged file.
 NULL_TOKENS = ("", "NULL", "null")
 
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
 STAGED_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in LANDING_NAMES])
 
 
@@ -39,11 +41,13 @@ def scan_staged(spark: SparkSession, path: str, with_file: bool = False) -> Data
     """The staged CSV as text columns, bound by position, nothing loaded yet.
 
     Header names are ignored, a short line leaves its last columns NULL, and
-    each of the three null tokens reads as NULL. ``with_file`` adds the name of
-    the file each row came from.
+    each of the three null tokens reads as NULL. ``line_fault`` says what is
+    wrong with a line that has more fields than there are columns. ``with_file``
+    adds the name of the file each row came from.
     """
     raw = (
-        spark.read.schema(STAGED_SCHEMA)
+        spark.read.schema(T.StructType([*STAGED_SCHEMA.fields, T.StructField("_line", T.StringType())]))
+        .option("columnNameOfCorruptRecord", "_line")
         .option("header", True)
         .option("enforceSchema", True)
         .option("quote", '"')
@@ -53,12 +57,16 @@ def scan_staged(spark: SparkSession, path: str, with_file: bool = False) -> Data
     )
     tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
     file = ["_metadata.file_name AS source_file"] if with_file else []
-    return raw.selectExpr(*[f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END AS {c}" for c in LANDING_NAMES], *file)
+    # The line itself is kept only where its fields do not match the columns; commas in quotes part nothing.
+    fault = (f"CASE WHEN size(split(_line, '{_COMMA}')) > {len(LANDING_NAMES)}"
+             f" THEN 'more than {len(LANDING_NAMES)} fields' END AS line_fault")
+    return raw.selectExpr(*[f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END AS {c}" for c in LANDING_NAMES], fault, *file)
 
 
-def rejection_reason() -> Column:
-    """First landing constraint a row breaks, or NULL when it may be loaded."""
-    checks = [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c, _, needed in LANDING_COLUMNS if needed]
+def rejection_reason(staged: DataFrame | None = None) -> Column:
+    """First fault of a line or landing constraint a row breaks, or NULL when it may be loaded."""
+    checks = [F.col("line_fault")] if staged is not None and "line_fault" in staged.columns else []
+    checks += [F.when(F.col(c).isNull(), F.lit(f"{c} is null")) for c, _, needed in LANDING_COLUMNS if needed]
     checks += [F.when(F.length(c) > size, F.lit(f"{c} too long")) for c, size, _ in LANDING_COLUMNS]
     return F.coalesce(*checks)
 
@@ -71,7 +79,7 @@ class LandingSplit:
 
 def split_by_constraints(staged: DataFrame) -> LandingSplit:
     """Keep the good rows and set the bad ones aside with the reason."""
-    judged = staged.withColumn("reject_reason", rejection_reason())
+    judged = staged.withColumn("reject_reason", rejection_reason(staged))
     return LandingSplit(
         accepted=judged.filter(F.col("reject_reason").isNull()).drop("reject_reason"),
         rejected=judged.filter(F.col("reject_reason").isNotNull()),
@@ -91,7 +99,7 @@ def load_landing(staged: DataFrame, table_path: str, full_refresh: bool = False)
 
 def load_report(staged: DataFrame, landing: DataFrame, by_file: bool = False) -> DataFrame:
     """Rows parsed, loaded and rejected, per file or in all, and the table's row count."""
-    bad = rejection_reason().isNotNull()
+    bad = rejection_reason(staged).isNotNull()
     return staged.groupBy(*(["source_file"] if by_file else [])).agg(
         F.count(F.lit(1)).alias("rows_parsed"),
         F.count_if(~bad).alias("rows_loaded"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from decimal import Decimal
@@ -57,7 +58,7 @@ def main(sf_dir: str, wanted: list[str]) -> int:
     import __spark_entry__ as entry
     from termwise.session import local_session
 
-    spark, con = local_session(), connect(sf_dir)
+    spark, con = local_session(int(os.environ.get("BENCH_CPUS", 8))), connect(sf_dir)
     queries, sql = entry.queries(), entry.oracle_sql()
     print("without SQL:", sorted(set(queries) - set(sql)), "without query:", sorted(set(sql) - set(queries)))
     bad = 0

@@ -1,6 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
-
 from conftest import SF_DIR
 from termwise.checks.queries import Tables
 from termwise.operators.governance import (
@@ -16,26 +14,37 @@ def fact(spark):
 
 
 REFUSED = {
-    "bare": "SELECT student_id FROM guarded",
-    "renamed": "SELECT g.student_id AS code FROM guarded g",
-    "grouping key": "SELECT student_id, count(*) AS n FROM guarded GROUP BY student_id",
-    "nested": "SELECT * FROM (SELECT student_id FROM guarded) sub",
-    "cte and star": "WITH ids AS (SELECT student_id FROM guarded) SELECT * FROM ids",
-    "star": "SELECT * FROM guarded",
-    "episode id": "SELECT program_episode_id FROM guarded",
-    "inside a struct": "SELECT struct(student_id, school) AS s FROM guarded",
+    "bare": "SELECT term_code, student_id FROM guarded",
+    "renamed": "SELECT x.student_id AS k FROM guarded AS x",
+    "grouping key": "SELECT school, student_id, max(term_code) AS newest FROM guarded GROUP BY ALL",
+    "two levels down": "SELECT z.k FROM (SELECT y.k FROM (SELECT student_id AS k FROM guarded) AS y) AS z",
+    "named subquery": "WITH a AS (SELECT lower(student_id) AS k, school FROM guarded), b AS (TABLE a) TABLE b",
+    "all columns": "TABLE guarded",
+    "episode id": "SELECT max(term_code), program_episode_id FROM guarded GROUP BY 2",
+    "in a struct": "SELECT named_struct('k', student_id, 's', school) AS s FROM guarded",
+    "in a map": "SELECT map(student_id, school) AS m FROM guarded",
+    "in a list": "SELECT school, collect_set(student_id) AS l FROM guarded GROUP BY school",
+    "any one": "SELECT first(student_id) AS k FROM guarded",
+    "joined to text": "SELECT concat(student_id, '') AS k FROM guarded",
+    "upper case": "SELECT upper(student_id) AS k FROM guarded",
+    "as bytes": "SELECT cast(student_id AS binary) AS k FROM guarded",
+    "unpacked": "SELECT explode(array(student_id)) AS k FROM guarded",
+    "over a window": "SELECT lag(student_id) OVER (ORDER BY term_code) AS k FROM guarded",
+    "one side of a union": "SELECT school FROM guarded UNION ALL SELECT student_id FROM guarded",
+    "subquery value": "SELECT (SELECT any_value(student_id) FROM guarded) AS k",
 }
 ALLOWED = {
-    "distinct count": "SELECT count(DISTINCT student_id) AS n FROM guarded",
-    "aggregates": "SELECT count(student_id) AS n, avg(accumgpa) AS g, min(student_id) AS lo, max(student_id) AS hi "
-                  "FROM guarded",
-    "no identifier": "SELECT school, count(*) AS n FROM guarded GROUP BY school",
-    "semi join by IN": "SELECT term_code, count(DISTINCT student_id) AS n FROM guarded WHERE student_id IN "
-                       "(SELECT student_id FROM guarded WHERE is_first_time_cohort = 1) GROUP BY term_code",
-    "join": "SELECT e.term_code, count(DISTINCT e.student_id) AS n FROM guarded e JOIN guarded d "
-            "ON d.student_id = e.student_id WHERE d.is_first_time_cohort = 1 GROUP BY e.term_code",
-    "exists": "SELECT term_code, count(DISTINCT student_id) AS n FROM guarded e WHERE EXISTS (SELECT 1 FROM guarded d "
-              "WHERE d.student_id = e.student_id AND d.is_first_time_cohort = 1) GROUP BY term_code",
+    "distinct heads": "SELECT school, count(DISTINCT student_id) AS heads FROM guarded GROUP BY ALL",
+    "summaries": "SELECT count(student_id), avg(accumgpa), sum(creditenr), min(student_id), max(program_episode_id) FROM guarded",
+    "no identifier": "SELECT pell, avg(accumgpa) AS gpa FROM guarded GROUP BY pell",
+    "member test": "SELECT school FROM guarded WHERE program_episode_id IN "
+                   "(SELECT program_episode_id FROM guarded GROUP BY program_episode_id HAVING count(*) > 3)",
+    "joined on": "SELECT l.school, r.term_code FROM guarded l JOIN guarded r USING (student_id) LIMIT 5",
+    "absence": "SELECT count(*) AS n FROM guarded o WHERE NOT EXISTS "
+               "(SELECT * FROM guarded i WHERE i.student_id = o.student_id AND i.term_code > o.term_code)",
+    "heads within a window": "SELECT count(*) OVER (PARTITION BY student_id) AS terms FROM guarded",
+    "ordered by": "SELECT school FROM guarded ORDER BY student_id LIMIT 2",
+    "counts of counts": "SELECT avg(n) AS terms FROM (SELECT student_id, count(*) AS n FROM guarded GROUP BY student_id)",
 }
 
 
@@ -57,8 +66,12 @@ def test_strip_keeps_the_rest(fact):
     assert kept.columns == ["school", "term_code"] and identifier_columns(kept) == []
 
 
-def test_leak_scan_catches_what_the_tag_misses(spark):
-    df = spark.createDataFrame([("s1", "x"), ("s1", "y"), ("s2", "S1"), (None, "z")], "student_id string, note string")
-    out = mark_identifiers(df).select(F.concat("student_id").alias("code"), F.lower("note").alias("note"))
-    found = {r["column_name"]: r["leaked_rows"] for r in leak_scan(out, df.select("student_id")).collect()}
-    assert found == {"code": 3, "note": 1}
+def test_leak_scan_looks_into_values(spark):
+    known = spark.createDataFrame([("s1",), ("S2",), (None,)], "student_id string")
+    out = spark.createDataFrame(
+        [("id S1", ["x", "s2"], {"k": "a S2 b"}, ("S1-U-BS-201510",), 1), ("s1", [], {"S1": ""}, ("none",), 2),
+         ("s11", ["S1x"], None, None, 3), (None, None, None, None, 4)],
+        "note string, list array<string>, pairs map<string,string>, inner struct<e: string>, n int")
+    found = {r["column_name"]: r["leaked_rows"] for r in leak_scan(out, known).collect()}
+    assert found == {"note": 2, "list": 1, "pairs": 2, "inner": 1}
+    assert leak_scan(out.select("n"), known).count() == 0

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_DIR
 from termwise import inputs
@@ -104,6 +105,27 @@ def test_stored_tables_refuse_raw_identifiers(built, spark):
     release(result.tables["fct_enrollment_term"].groupBy("school").count())
 
 
+def test_build_reports_what_the_load_left_out(spark, tmp_path):
+    rows = inputs.lnd(spark, SF_DIR)
+    rows = rows.withColumn("citizen", F.when(F.col("citizen") == "3", "333").otherwise(F.col("citizen")))
+    result = build.build(rows, layers.LayerStore(spark, str(tmp_path)))
+    parsed, loaded, rejected, stored = result.report.first()
+    assert rejected == rows.filter("citizen = '333'").count() > 0
+    assert (parsed, loaded, stored) == (rows.count(), parsed - rejected, loaded)
+    assert result.rejects.count() == rejected
+    assert {r[0] for r in result.rejects.select("reject_reason").distinct().collect()} == {"citizen too long"}
+
+
+def test_lines_with_too_many_fields_are_rejected(spark, tmp_path):
+    line = "S1,U,Female,EN,BS,Y,Y,1,1,12,2019,Fall,Enrolled,1,3.00,201990"
+    (tmp_path / "a.csv").write_text("\n".join([
+        "header", line, line + ",x", line + ",,y", line + ",,", line.replace("Enrolled", '"a, b"'), "S2,U,Female,EN"]))
+    split = landing.split_by_constraints(landing.scan_staged(spark, str(tmp_path)))
+    assert [r.academic_state for r in split.accepted.orderBy("academic_state").collect()] == ["Enrolled", "a, b"]
+    reasons = sorted(r.reject_reason for r in split.rejected.collect())
+    assert reasons == ["more than 16 fields"] * 3 + ["term_code is null"]
+
+
 def test_stale_views_are_dropped(spark):
     spark.range(1).createOrReplaceTempView("fct_attrition_rate")
     layers.drop_stale_views(spark)

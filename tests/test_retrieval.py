@@ -16,7 +16,7 @@ def vectors(spark):
                                      "query_id string, embedding array<double>")
     unit = items / np.linalg.norm(items, axis=1, keepdims=True)
     asked = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    close = np.round(asked @ unit.T, 6)
+    close = (asked[:, None] * unit[None]).sum(axis=2)
     want = {}
     for q in range(len(queries)):
         order = sorted(range(len(items)), key=lambda i: (-close[q, i], i))[:6]
@@ -50,3 +50,12 @@ def test_nothing_stored_or_asked(vectors):
     items, queries, _ = vectors
     assert retrieve_topk(items.limit(0), queries).count() == 0
     assert retrieve_topk(items, queries.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("batch", [4096, 1])
+def test_neighbours_closer_than_what_is_shown(spark, batch):
+    # Rising similarity in steps far below the sixth digit.
+    rows = [(i, [1.0, 1e-3 - i * 1e-6]) for i in range(50)]
+    items = spark.createDataFrame(rows, "item_id long, embedding array<double>").repartition(4)
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0])], "query_id string, embedding array<double>")
+    assert _found(retrieve_topk(items, asked, query_batch=batch)) == {q: [49, 48, 47, 46, 45, 44] for q in "ab"}
