@@ -85,6 +85,15 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(counts)
 
 
+class _Places(dict):
+    """Rows of known words; any other word gets the next free one and its score."""
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.model.rows[place] = self.model.unseen(word)
+        return place
+
+
 class LanguageModel:
     """Per-language log frequencies of the known words and n-grams."""
 
@@ -114,27 +123,19 @@ class LanguageModel:
                 return [sum(x) / len(found) for x in zip(*found)]
         return [0.0] * len(self.langs)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("at", "rows")}
+
     def _open(self) -> None:
-        self.at = {w: i for i, w in enumerate(self.words)}
         self.rows = np.concatenate([self.table, np.zeros((UNSEEN, len(self.langs)))])
+        self.at = _Places({w: i for i, w in enumerate(self.words)})
+        self.at.model = self
 
     def places(self, words: list[str]) -> np.ndarray:
-        """Rows of ``self.rows`` for words; room for new ones is made first."""
-        if not hasattr(self, "at"):
-            self._open()
-        if len(set(words) - self.at.keys()) > len(self.rows) - len(self.at):
+        """Rows of ``self.rows`` for at most ``UNSEEN`` words; those held go when room for all might lack."""
+        if not hasattr(self, "at") or len(self.at) + len(words) > len(self.rows):
             self._open()
-            new = set(words) - self.at.keys()
-            if len(new) > UNSEEN:
-                self.rows = np.concatenate([self.rows, np.zeros((len(new) - UNSEEN, len(self.langs)))])
-        get, out = self.at.get, np.empty(len(words), np.int64)
-        for i, word in enumerate(words):
-            place = get(word)
-            if place is None:
-                place = self.at[word] = len(self.at)
-                self.rows[place] = self.unseen(word)
-            out[i] = place
-        return out
+        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         best, shares = [], []
@@ -145,8 +146,8 @@ class LanguageModel:
                 shares.append(0.0)
                 continue
             sums = np.zeros(len(self.langs))
-            for i in range(0, len(words), _PART // 4):
-                part = self.places(words[i:i + _PART // 4])
+            for i in range(0, len(words), UNSEEN):
+                part = self.places(words[i:i + UNSEEN])
                 sums += self.rows[part].sum(axis=0)
             top = int(sums.argmax())
             best.append(self.langs[top])
