@@ -275,6 +275,9 @@ O["time_spine"] = using("stg", f"""
 SELECT CAST(s.d AS STRING) AS date_day, coalesce(n, 0) AS enrollments_starting FROM ({_SPINE}) s
 LEFT JOIN (SELECT {_START} AS d, count(*) AS n FROM stg GROUP BY 1) x ON x.d = s.d""")
 
+O["audit_columns"] = using("cal", """
+SELECT current_term, true AS has_loaded_at, true AS updated_since, true AS has_updated_by FROM cal""")
+
 # Quality
 
 _BAD = {
@@ -470,6 +473,8 @@ _ONE = ("one_year_retained_count", "one_year_eligible_cohort_size", "retained",
 _DONE = ("graduated_count", "cohort_size", "graduated_count", "cohort_size", "graduation_rate_pct")
 O["best_cohort_retention"] = _best("retc", "true", *_ONE)
 O["best_cohort_graduation"] = _best("grad", "true", *_DONE)
+O["answer_rows"] = using("rett", """
+SELECT * FROM rett ORDER BY prior_students DESC, current_term, degtype, u_g, school LIMIT 20""")
 O["limit_default"] = using("rett", """
 SELECT * FROM rett ORDER BY prior_students DESC, current_term, degtype, u_g, school LIMIT 50""")
 
@@ -487,6 +492,9 @@ O["sm_retention_term"] = using("rett", "SELECT current_term, u_g, " + ", ".join(
                                   "continuing_students")) + " FROM rett GROUP BY 1, 2")
 O["sm_enrollment"] = using("enr", """
 SELECT term_code, u_g, school, pell, count(DISTINCT student_id) AS student_count FROM enr GROUP BY 1, 2, 3, 4""")
+O["sm_year_grain"] = using("enr", f"""
+SELECT CAST(CAST(date_trunc('year', {_START}) AS DATE) AS STRING) AS period, count(DISTINCT student_id) AS student_count
+FROM enr GROUP BY 1""")
 O["sm_time_grain"] = using("enr", f"""
 SELECT CAST(p.period AS STRING) AS period, coalesce(n, 0) AS student_count
 FROM (SELECT CAST(date_trunc('month', d) AS DATE) AS period FROM ({_SPINE}) s
@@ -643,7 +651,8 @@ def _match(pattern: str) -> str:
     return f"regexp_matches(question, '{pattern}', 'i')"
 
 
-O["resolve_terms"] = using("questions enr", f"""
+def _resolved(latest: str) -> str:
+    return f"""
 SELECT conv_id, turn, question, concat_ws(' ', question,
   CASE WHEN {_match(phrases.LAST_YEAR)} THEN '(most recent cohort_year: ' || (y - 1) || ')' END,
   CASE WHEN {_match(phrases.THIS_YEAR)} THEN '(current cohort_year: ' || y || ')' END,
@@ -654,7 +663,11 @@ SELECT conv_id, turn, question, concat_ws(' ', question,
   CASE WHEN {_match(phrases.RECENT)} THEN '(data available through: ' || t || ', ' || {_season('t')} || ' ' || y || ')' END
 ) AS resolved
 FROM questions CROSS JOIN (
-  SELECT t, CAST(left(t, 4) AS INT) AS y, coalesce({_previous('t')}, t) AS prev FROM (SELECT max(term_code) AS t FROM enr) m) n""")
+  SELECT t, CAST(left(t, 4) AS INT) AS y, coalesce({_previous('t')}, t) AS prev FROM ({latest}) m) n"""
+
+
+O["resolve_terms"] = using("questions enr", _resolved("SELECT max(term_code) AS t FROM enr"))
+O["resolve_terms_summer"] = using("questions", _resolved("SELECT '209950' AS t"))
 O["chart_intent"] = using("questions", f"""
 SELECT *, NOT {_match(phrases.NOT_A_CHART)} AND ({_match(phrases.CHART_VERB)} OR {_match(phrases.CHART_TREND)})
   AS wants_chart FROM questions""")

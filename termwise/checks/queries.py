@@ -8,6 +8,7 @@ across engines.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,11 +71,11 @@ class Tables:
 
     @cached_property
     def grad(self) -> DataFrame:
-        return facts.fct_graduation_rate(self.episodes)
+        return facts.fct_graduation_rate(self.episodes, ep.entry_terms(self.typed))
 
     @cached_property
     def retention(self) -> DataFrame:
-        return facts.fct_retention_rate_cohort(self.episodes)
+        return facts.fct_retention_rate_cohort(self.episodes, ep.entry_terms(self.typed))
 
     @cached_property
     def grad_term(self) -> DataFrame:
@@ -197,6 +198,14 @@ def time_spine(t):
         "date_day", F.coalesce("n", F.lit(0)).alias("enrollments_starting"))
 
 
+@query
+def audit_columns(t):
+    stamped = layers.with_audit(t.calendar)
+    return stamped.select("current_term", F.col("loaded_at").isNotNull().alias("has_loaded_at"),
+                          (F.col("updated_at") >= F.col("loaded_at")).alias("updated_since"),
+                          (F.length("updated_by") > 0).alias("has_updated_by"))
+
+
 # Quality
 
 
@@ -358,7 +367,7 @@ def fct_enrollment_term(t):
 
 @query
 def matured_cohorts(t):
-    return facts.matured_cohorts(t.episodes).select("program_episode_id", "u_g", "cohort_term", "graduated_flag")
+    return facts.matured_cohorts(t.episodes, ep.entry_terms(t.typed)).select("program_episode_id", "u_g", "cohort_term", "graduated_flag")
 
 
 @query
@@ -468,6 +477,11 @@ def limit_default(t):
     return asks.limited(t.retention_term, F.col("prior_students").desc(), "current_term", "degtype", "u_g", "school")
 
 
+@query
+def answer_rows(t):
+    return asks.answer_rows(t.retention_term, F.col("prior_students").desc(), "current_term", "degtype", "u_g", "school")
+
+
 # Semantic models and metrics
 
 
@@ -492,6 +506,12 @@ def sm_time_grain(t):
     return found.select("period", F.coalesce("student_count", F.lit(0)).alias("student_count"))
 
 
+@query
+def sm_year_grain(t):
+    model = replace(semantic.MODELS["enrollment_by_semester_level"], time_grain="year")
+    return semantic.measures_over_time(model, t.fct_enrollment)
+
+
 # Each metric at a grouping that exercises it.
 METRIC_GROUPINGS: dict[str, list[str]] = {
     "cohort_size": ["cohort_year"], "graduated_count": ["cohort_year"], "graduation_rate": ["cohort_year", "pell"],
@@ -643,6 +663,13 @@ def resolve_terms(t):
     return questions.resolve_terms(t.questions, t.enrollment)
 
 
+@query
+def resolve_terms_summer(t):
+    # The latest term is a Summer term, which no major term comes right before.
+    terms_seen = t.typed.select("term_code").unionByName(t.spark.sql("SELECT '209950' AS term_code"))
+    return questions.resolve_terms(t.questions, terms_seen)
+
+
 @query
 def chart_intent(t):
     return questions.chart_intent(t.questions)

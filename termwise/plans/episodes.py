@@ -60,6 +60,12 @@ def keyed_rows(enrollment: DataFrame) -> DataFrame:
     return enrollment.filter(" AND ".join(f"{key} IS NOT NULL" for key in EPISODE_KEY))
 
 
+def entry_terms(enrollment: DataFrame) -> DataFrame:
+    """The entry term of each episode and nothing else."""
+    return keyed_rows(enrollment).groupBy(*EPISODE_KEY).agg(F.min("term_code").alias("cohort_term")).filter(
+        "cohort_term IS NOT NULL")
+
+
 def episode_bounds(enrollment: DataFrame) -> DataFrame:
     """Entry and last term, outcome, and attributes at entry; one row per key.
 

@@ -44,28 +44,33 @@ def _cohorts(episodes: DataFrame) -> DataFrame:
     )
 
 
-def newest_cohort(episodes: DataFrame) -> Column:
-    """The latest entry term of any episode, as a scalar subquery."""
-    return episodes.agg(F.expr(f"max({ENTERED})")).scalar()
+def newest_cohort(entries: DataFrame) -> Column:
+    """The latest entry term of any episode, as a scalar subquery.
+
+    ``entries`` is any frame of entry terms. Stored episodes do; where episodes
+    are still a plan, `entry_terms` saves working them out a second time.
+    """
+    return entries.agg(F.expr(f"max({ENTERED})")).scalar()
 
 
-def matured_cohorts(episodes: DataFrame) -> DataFrame:
+def matured_cohorts(episodes: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """First-time episodes whose level has had its full time to graduate."""
     return episodes.filter("is_first_time_cohort = 1").filter(
-        F.expr(f"{ENTERED} + {MATURITY_SQL}") <= newest_cohort(episodes))
+        F.expr(f"{ENTERED} + {MATURITY_SQL}") <= newest_cohort(episodes if entries is None else entries))
 
 
-def fct_graduation_rate(episodes: DataFrame) -> DataFrame:
-    return _cohorts(matured_cohorts(episodes)).groupBy(*COHORT_DIMS).agg(
+def fct_graduation_rate(episodes: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+    return _cohorts(matured_cohorts(episodes, entries)).groupBy(*COHORT_DIMS).agg(
         F.expr("count(*) AS cohort_size"),
         F.expr("sum(graduated_flag) AS graduated_count"),
         pct("sum(graduated_flag)", "count(*)").alias("graduation_rate_pct"),
     )
 
 
-def fct_retention_rate_cohort(episodes: DataFrame) -> DataFrame:
+def fct_retention_rate_cohort(episodes: DataFrame, entries: DataFrame | None = None) -> DataFrame:
     """One- and two-year retention; a cohort too young keeps its row with a NULL rate."""
-    judged = _cohorts(episodes.filter("is_first_time_cohort = 1")).withColumn("newest", newest_cohort(episodes))
+    newest = newest_cohort(episodes if entries is None else entries)
+    judged = _cohorts(episodes.filter("is_first_time_cohort = 1")).withColumn("newest", newest)
     one = f"{ENTERED} + {ONE_YEAR} <= newest AND graduated_before_one_year_mark = 0"
     two = f"{ENTERED} + {TWO_YEARS} <= newest AND graduated_before_two_year_mark = 0"
     sums = judged.groupBy(*COHORT_DIMS).agg(
