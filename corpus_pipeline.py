@@ -14,15 +14,14 @@ from termwise.llm import bpe, langid, mixing, neardup, quality
 from termwise.llm.registry import BYTE_BPE
 from termwise.llm.texts import remainder, table, written
 
-# A text whose best language has less than half the weight is of no language known here.
-LEAST_SHARE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of no known language go; a missing language is filled in."""
+    """Texts in which no language can be told go; a missing language is filled in.
+
+    A text that is only short or mixed stays, whatever the score of its language.
+    """
     model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
-    found = langid.predict(docs, model).filter(
-        (F.col("lang_pred") != langid.UNDECIDED) & (F.col("score") >= LEAST_SHARE))
+    found = langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNDECIDED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
