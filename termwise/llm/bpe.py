@@ -39,7 +39,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 _PLAIN = regex.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-_CHUNKS, _ARCS = 300_000, 2_000_000
+# What the pattern makes of a word of Latin letters and marks behind it: a line's start, the word, the marks.
+_SIMPLE = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_CHUNKS, _ARCS, _WIDE, _DEEP = 150_000, 200_000, 32, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -110,12 +112,24 @@ class Automaton:
     def encode_word(self, word: bytes) -> list[int]:
         n, longest, tokens, stands, go = len(word), self.longest, self.tokens, self.stands, self.go
         last, size = [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
+
+        def state(end: int) -> int:
+            """The token that ends the path to a prefix; states before it are found as they are asked for."""
             for start in range(max(0, end - longest), end):
                 token = tokens.get(word[start:end])
-                if token is not None and stands[token] and (not start or go[last[start], token]):
-                    last[end], size[end] = token, end - start
-                    break
+                if token is None or not stands[token]:
+                    continue
+                if start:
+                    before = last[start]
+                    if not go[(before if before >= 0 else state(start)) << _WIDE | token]:
+                        continue
+                last[end], size[end] = token, end - start
+                return token
+
+        for end in range(_DEEP, n, _DEEP):  # keeps the asking shallow in long words
+            state(end)
+        if n:
+            state(n)
         out = []
         while n > 0:
             out.append(last[n])
@@ -124,16 +138,21 @@ class Automaton:
 
     def open(self) -> None:
         """What is looked up while encoding, made in the process that encodes."""
-        self.go = Memo(lambda arc: self.allows(*arc), _ARCS)
+        self.go = Memo(lambda arc: self.allows(arc >> _WIDE, arc & (1 << _WIDE) - 1), _ARCS)
         self.cut = regex.compile(PATTERN)
         self.words = Memo(lambda word: np.array(self.encode_word(word.encode()), "<i4").tobytes(), _CHUNKS)
-        self.chunks = Memo(lambda chunk: b"".join(map(self.words.__getitem__, self.cut.findall(chunk))), _CHUNKS)
+        self.chunks = Memo(self._chunk, _CHUNKS)
         self.specials = (regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)))
                          if self.added else None)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("go", "cut", "words", "chunks", "specials")}
 
+    def _chunk(self, chunk: str) -> bytes:
+        found = _SIMPLE.fullmatch(chunk)
+        cut = filter(None, found.groups()) if found else self.cut.findall(chunk)
+        return b"".join([self.words[x] for x in cut])
+
     def _plain(self, text: str) -> bytes:
         # A run of white space and what follows it is cut alike wherever it stands.
         if _OTHER_SPACE.search(text):
@@ -180,6 +199,8 @@ def decode(rows: DataFrame, rules: Automaton, name: str = "decoded", keep: list[
     shared = rows.sparkSession.sparkContext.broadcast(rules)
 
     def compute(ids: pa.Array) -> list[pa.Array]:
-        return [pa.array([shared.value.decode(x or ()) for x in ids.to_pylist()], pa.string())]
+        offsets, values = ids.offsets.to_pylist(), ids.values.to_numpy()
+        texts = (shared.value.decode(values[lo:hi].tolist()) for lo, hi in zip(offsets, offsets[1:]))
+        return [pa.array(list(texts), pa.string())]
 
     return with_arrays(rows, f"{name} string", compute, keep, reads="ids")
