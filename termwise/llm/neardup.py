@@ -11,9 +11,8 @@ threshold can plausibly be are dropped; all others are compared set by set.
 1. Stars: in each bucket of a band every class is paired with one leader.
 2. Components of the confirmed links.
 3. Rest: in buckets that still hold several components, classes of different
-   components are compared by sketch, in chunks of bounded size, so that links
-   which no leader showed are found too. Pairs are not written out; only those
-   that the sketches leave are.
+   components are compared by sketch, then by their sets, in chunks of bounded
+   size, so that links which no leader showed are found too. Only those go out.
 4. Components of all links; a document's is named by its smallest id.
 
 A pair at the threshold misses all bands once in some ten million cases, and
@@ -153,7 +152,7 @@ def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs_of(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group, of different components, that sizes and sketches leave.
+    """Pairs of one group, of different components, that sizes, sketches and prints leave.
 
     A group is one chunk of a bucket, or two whose rows meet each other only.
     """
@@ -162,6 +161,7 @@ def _pairs_of(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = sizes[order]
     nodes, comps, chunks = (group.column(x).to_numpy()[order] for x in ("node", "comp", "chunk"))
     sketches = group.column("sketch").combine_chunks().flatten().to_numpy().view("<u8").reshape(len(nodes), -1)[order]
+    prints = group.column("prints").to_pylist()
     within = group.column("low")[0].as_py() == group.column("high")[0].as_py()
     limit, found = most_ones(percent), ([], [])
     # In the order of size, only a stretch can be alike.
@@ -173,10 +173,18 @@ def _pairs_of(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
             near &= chunks[span] != chunks[i]
         if near.any():
             near &= np.bitwise_count(sketches[span] ^ sketches[i]).sum(axis=1) <= limit
-            other = nodes[span][near]
-            found[0].append(np.minimum(other, nodes[i]))
-            found[1].append(np.maximum(other, nodes[i]))
-    return tuple(np.concatenate(x) if x else np.array([], np.int64) for x in found)
+            own = np.frombuffer(prints[order[i]], "<u4")
+            for j in (np.nonzero(near)[0] + i + 1).tolist():
+                if _close(own, np.frombuffer(prints[order[j]], "<u4"), percent):
+                    found[0].append(min(nodes[i], nodes[j]))
+                    found[1].append(max(nodes[i], nodes[j]))
+    return found
+
+
+def _close(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether sets may be alike enough, from their elements cut to 32 bits; a few may have met by that."""
+    both = len(np.intersect1d(a, b, assume_unique=True)) + 2 + max(len(a), len(b)) ** 2 // (1 << 31)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def _cross(percent: int):
@@ -206,25 +214,30 @@ def _cross(percent: int):
 _GROUP = ["band", "name", "low", "high"]
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of (a, b), those whose whole sets are alike enough."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = classes.join(wanted, "node").select(F.col("rep").alias("doc_id")).distinct()
+def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(node, whole, prints): the set of each node, and its elements cut to 32 bits."""
+    ids = classes.join(nodes, "node").select(F.col("rep").alias("doc_id")).distinct()
 
     def sets(texts: pa.Array) -> list[pa.Array]:
         found = [shingles(x, width) for x in as_bytes(texts)]
-        nodes = [_node(x) for x in found]
         values = np.concatenate([*found, np.array([], np.uint64)]).view("<i8")
         offsets = np.cumsum([0, *map(len, found)])
-        return [pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))]
+        return [pa.array([_node(x) for x in found], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
+                pa.array([np.unique(x.astype("<u4")).tobytes() for x in found], pa.binary())]
 
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     # A repeated id may bring other texts and repeated rows; each wanted set is needed once.
-    full = (with_arrays(texts, "node long, whole array<long>", sets, [])
-            .join(wanted, "node", "left_semi").groupBy("node").agg(F.first("whole").alias("whole")))
-    full = written(full, "sets")
+    return written(
+        with_arrays(texts, "node long, whole array<long>, prints binary", sets, [])
+        .join(nodes, "node", "left_semi").groupBy("node")
+        .agg(F.first("whole").alias("whole"), F.first("prints").alias("prints")), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b), those whose whole sets are alike enough."""
     for side in "ab":
-        pairs = pairs.join(full.select(F.col("node").alias(side), F.col("whole").alias(f"w_{side}")), side)
+        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("whole").alias(f"w_{side}")), side)
     both = F.size(F.array_intersect("w_a", "w_b"))
     return (pairs.withColumn("_both", both)
             .filter(F.expr(f"100 * _both >= {percent} * (size(w_a) + size(w_b) - _both)")).select("a", "b"))
@@ -254,24 +267,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: li
     members = written(named.join(buckets, ["band", "name"]), "members")
     stars = written(_by_sketch(members.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
                                .distinct(), classes, percent), "stars")
-    links = written(_confirmed(stars, classes, docs, width, percent), "links")
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    links = written(_confirmed(stars, _sets(ends, classes, docs, width), percent), "links")
     roots = components(links)
     placed = written(members.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"),
                      "placed")
     several = (placed.groupBy("band", "name").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"))
                .filter("_lo <> _hi").select("band", "name"))
     chunks = F.ceil(F.col("size") / CHUNK)
-    facts = classes.select("node", "n", "sketch")
-    rest = (placed.join(several, ["band", "name"], "left_semi")
-            .withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-            .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
-            .join(facts, "node").select(*_GROUP, "chunk", "node", "comp", "n", "sketch")
-            .repartition(*_GROUP).sortWithinPartitions(*_GROUP)
-            .mapInArrow(_cross(percent), "a long, b long").distinct())
-    more = written(rest.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-                             ["a", "b"], "left_anti"), "more")
-    links = links.unionByName(_confirmed(more, classes, docs, width, percent))
+    open_ = written(placed.join(several, ["band", "name"], "left_semi"), "open")
+    full = _sets(open_.select("node").distinct(), classes, docs, width)
+    facts = classes.select("node", "n", "sketch").join(full.select("node", "prints"), "node")
+    more = written(
+        open_.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+        .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
+        .join(facts, "node").select(*_GROUP, "chunk", "node", "comp", "n", "sketch", "prints")
+        .repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+        .mapInArrow(_cross(percent), "a long, b long").distinct(), "more")
+    links = links.unionByName(_confirmed(more, full, percent))
     roots = components(links)
     reps = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = reps.groupBy("root").agg(F.min("rep").alias("_first"))
