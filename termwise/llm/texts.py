@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from termwise.session import scratch_path
 
+_SLICE = 512
 _BREAK = re.compile(rb"[ \t-\r]")
 
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -45,19 +46,6 @@ def parts(text: bytes, size: int = 1 << 22) -> Iterator[bytes]:
     yield text[at:]
 
 
-def groups(texts: list[bytes], size: int = 1 << 22) -> Iterator[list[bytes]]:
-    """Consecutive texts in groups of about ``size`` bytes."""
-    group, held = [], 0
-    for text in texts:
-        group.append(text)
-        held += len(text)
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table in the shared scratch folder, which cuts its lineage."""
     path = scratch_path(df.sparkSession, label)
@@ -89,20 +77,27 @@ def with_arrays(docs: DataFrame, fields: str, compute, keep: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in kept), *compute(batch.column(reads))], schema.names)
+            # A few hundred rows at a time keep what is made of them small.
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(x) for x in kept), *compute(part.column(reads))], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 class Memo(dict):
-    """Answers of ``work`` by key, started afresh when ``limit`` of them are held."""
+    """Answers of ``work`` by key. Of the answers before the last ``limit``, those asked for again stay."""
 
     def __init__(self, work, limit: int):
-        self._work, self._limit = work, limit
+        self._work, self._limit, self._old = work, limit, {}
 
     def __missing__(self, key):
+        answer = self._old.get(key)
+        if answer is None:
+            answer = self._work(key)
         if len(self) >= self._limit:
+            self._old = dict(self)
             self.clear()
-        answer = self[key] = self._work(key)
+        self[key] = answer
         return answer

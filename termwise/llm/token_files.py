@@ -22,9 +22,10 @@ first document that brings it to ``SEGMENT`` ids, however long that document.
 from __future__ import annotations
 
 import os
+import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from termwise.llm.texts import as_bytes, groups, parts
+from termwise.llm.bpe import byte_letters
+from termwise.llm.texts import Memo, parts
 
 BLOCK, SEGMENT, FIT, MARK = 128, 1 << 17, 0.9, 0x31524650
-_KEEP = 400_000
-_SOME = 1 << 14
+_KEEP = 200_000
+# Lower-case letters that a normalizer to composed, lower-case form leaves alone, and ASCII marks after them.
+_LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _SHIFTS = np.uint64(1) << np.arange(33, dtype=np.uint64)
 
 
@@ -127,45 +130,51 @@ class Encoder:
     """Ids of texts from a tokenizer of the ``tokenizers`` library, as bytes.
 
     Texts are cut at ASCII white space, which this tokenizer drops, and each
-    distinct piece is encoded by the library once. That holds for tokenizers
-    that split at white space and let nothing else depend on it.
+    distinct piece is encoded by the library once. Letters that its normalizer
+    leaves alone go to its model directly, any punctuation after them apart, as
+    its splitting would have it; all other pieces pass the whole tokenizer. That
+    holds for tokenizers that lower-case, split at white space and between
+    letters and punctuation, and map bytes to letters.
     """
 
     def __init__(self, tokenizer_json: str):
         self.json = tokenizer_json
-        self.known: dict[bytes, bytes] = {}
-        self.tokenizer = None
 
     def __getstate__(self):
-        return {"json": self.json, "known": {}, "tokenizer": None}
-
-    def learn(self, pieces: list[bytes]) -> None:
-        if self.tokenizer is None:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_str(self.json)
-        for i in range(0, len(pieces), _SOME):
-            part = pieces[i:i + _SOME]
-            got = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
-            self.known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(part, got))
-
-    def _some(self, texts: list[bytes]) -> list[bytes]:
-        cut = [x.split() for x in texts]
-        new = set(chain.from_iterable(cut)) - self.known.keys()
-        if len(self.known) + len(new) > _KEEP:
-            self.known.clear()
-            new = set(chain.from_iterable(cut))
-        self.learn(list(new))
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as little-endian u32; memory follows a few MB of text at a time."""
-        for group in groups(texts):
-            if len(group) == 1:
-                yield b"".join(x for part in parts(group[0]) for x in self._some([part]))
-            else:
-                yield from self._some(group)
+        return {"json": self.json}
+
+    def open(self) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(self.json)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.letters = {b: x for x, b in byte_letters().items()}
+        self.known = Memo(self.piece, _KEEP)
+        self.tails = Memo(self.whole, 10_000)
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        found = _LETTERS.fullmatch(text)
+        if found is None:
+            return self.whole(text)
+        core, tail = found.groups()
+        if tail:
+            return self.known[core.encode()] + self.tails[tail]
+        ids = self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.letters))
+        return array("I", [x.id for x in ids]).tobytes()
+
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a text as little-endian u32; a few MB of it are cut at a time."""
+        if not hasattr(self, "known"):
+            self.open()
+        # Added tokens are matched before lower-casing, so their case counts.
+        text = text if b"<|" in text else text.lower()
+        return b"".join([b"".join(map(self.known.__getitem__, part.split())) for part in parts(text)])
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = None) -> None:
@@ -195,10 +204,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
             return row
 
         for batch in batches:
-            texts = encoder.encode(as_bytes(batch.column("text")))
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), texts):
-                run = ids + end
-                keys.append(doc_id)
+            for doc_id, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.large_binary())):
+                run = encoder.encode(text.as_py() or b"") + end
+                keys.append(doc_id.as_py())
                 runs.append(run)
                 held += len(run) // 4
                 if held >= SEGMENT:

@@ -23,7 +23,7 @@ from termwise.llm.texts import Memo, with_arrays
 
 SPACE = "▁"
 UNKNOWN_COST = 10.0
-_WORDS = 400_000
+_WORDS = 200_000
 
 
 def vocabulary(model: str) -> tuple[list[tuple[str, float]], int]:
