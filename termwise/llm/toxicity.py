@@ -5,10 +5,14 @@ its first 4 to 8 letters) that toxic training documents hold far more often than
 clean ones, by a likelihood-ratio test over all labelled training documents,
 labels its tokens in toxic documents. The field has two states and weights for
 forms, for a neighbour that has such a form, and for the four transitions; it is
-trained by gradient steps on a sample of at most ``SAMPLE`` tokens. Forward and
-backward sums then give each token's marginal in any text; a logistic curve over
-their sum, greatest and share, fitted on at most ``FITTED`` training documents,
-is the document's score. Runs of tokens at 0.5 or more are the offending spans.
+trained by gradient steps over every token of every labelled document. For that,
+texts are cut into pieces: tokens with known forms and ``AROUND`` others on each
+side, and the runs between, none longer than ``PIECE``. Equal pieces are counted,
+so the gradient is a sum over the distinct ones, made by tasks; only the links
+between pieces are left out. Toxic and clean documents weigh the same in all.
+Forward and backward sums then give each token's marginal in any text; a logistic
+curve over their sum, greatest and share, fitted on at most ``FITTED`` training
+documents, is the document's score. Runs of tokens at 0.5 or more are the offending spans.
 
 Tokens are runs of letters, lower-cased; spans are code-point offsets of the
 text. Null or empty texts, or texts without a letter, have no spans and the
@@ -31,10 +35,11 @@ from pyspark.sql import functions as F
 
 from termwise.llm.texts import Memo, with_arrays, written
 
-FORMS, SAMPLE, FITTED, STEPS = 100_000, 400_000, 20_000, 60
+FORMS, FITTED, STEPS = 100_000, 20_000, 60
+AROUND, PIECE, SHRINK = 4, 64, 0.1
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
-_WORDS = 200_000
+_WORDS, _HELD = 200_000, 200_000
 _WORD = regex.compile(r"\p{L}+")
 _GROUP = 1 << 22
 
@@ -108,6 +113,109 @@ def chain(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple
     return forward, backward, 1 / (1 + np.exp(-np.clip(forward + backward, -500, 500)))
 
 
+def neighbours(has: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the token before, and the one after, has a known form."""
+    has = has.astype(float)
+    before, after = np.zeros_like(has), np.zeros_like(has)
+    before[1:], after[:-1] = has[:-1], has[1:]
+    ends = np.cumsum(lengths)[lengths > 0]
+    before[ends - lengths[lengths > 0]] = 0
+    after[ends - 1] = 0
+    return before, after
+
+
+def gradient(theta: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, forms: np.ndarray, toxic: np.ndarray,
+             weight: np.ndarray) -> np.ndarray:
+    """The gradient of the log likelihood of pieces laid end to end, and the weight of the tokens in state 1.
+
+    ``lengths``: tokens of each piece; ``sizes``: known forms of each token;
+    ``forms``: their numbers; ``toxic`` and ``weight``: of each piece.
+    """
+    n = len(theta) - 7
+    bias, to_before, to_after = theta[-7:-4]
+    moves = theta[-4:]
+    has, w = sizes > 0, np.repeat(weight, lengths)
+    before, after = neighbours(has, lengths)
+    truth = (has & (np.repeat(toxic, lengths) > 0)).astype(float)
+    sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), theta[forms], len(sizes))
+    e = bias + sums + to_before * before + to_after * after
+    forward, backward, p = chain(e, lengths, moves)
+    miss = w * (truth - p)
+    out = np.zeros(len(theta) + 1)
+    out[:n] = np.bincount(forms, np.repeat(miss, sizes), n)[:n]
+    out[n:n + 3] = miss.sum(), (miss * before).sum(), (miss * after).sum()
+    first = np.zeros(len(sizes), bool)
+    first[np.cumsum(lengths) - lengths] = True
+    later = np.nonzero(~first)[0]
+    seen = np.bincount((2 * truth[later - 1] + truth[later]).astype(np.int64), w[later], 4)
+    a, x = forward[later - 1], e[later] + backward[later]
+    odds = np.stack([np.full(len(later), moves[0]), moves[1] + x, moves[2] + a, moves[3] + a + x])
+    odds = np.exp(odds - odds.max(axis=0))
+    out[n + 3:n + 7] = seen - (w[later] * odds / odds.sum(axis=0)).sum(axis=1)
+    out[-1] = (w * truth).sum()
+    return out
+
+
+def _gradients(shared):
+    """The sum of ``gradient`` over a task's pieces, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta, weights = shared.value
+        total = np.zeros(len(theta) + 1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes, forms = batch.column("sizes"), batch.column("forms")
+            toxic = batch.column("toxic").to_numpy()
+            weight = np.where(toxic > 0, weights[1], weights[0]) * batch.column("n").to_numpy()
+            total += gradient(theta, sizes.value_lengths().to_numpy().astype(np.int64),
+                              sizes.flatten().to_numpy().astype(np.int64),
+                              forms.flatten().to_numpy(zero_copy_only=False).astype(np.int64), toxic, weight)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["value"])
+
+    return run
+
+
+def cut(kinds: np.ndarray) -> Iterator[np.ndarray]:
+    """A text's tokens in pieces: those with a kind and ``AROUND`` others on each side, and the runs between."""
+    n, hits = len(kinds), np.nonzero(kinds)[0]
+    edges = np.array([0, n])
+    if len(hits):
+        wide = np.nonzero(np.diff(hits) > 2 * AROUND + 1)[0]
+        inner = np.concatenate([hits[:1] - AROUND, hits[wide + 1] - AROUND, hits[wide] + AROUND + 1,
+                                hits[-1:] + AROUND + 1])
+        edges = np.unique(np.concatenate([edges, np.clip(inner, 0, n)]))
+    for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+        for at in range(lo, hi, PIECE):
+            yield kinds[at:min(at + PIECE, hi)]
+
+
+def _pieces(shared):
+    """How often each piece occurs, by label; partial sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, counts = shared.value, Counter()
+
+        def rows() -> pa.RecordBatch:
+            keys = list(model.kinds) if counts else []
+            pieces = [[keys[k] for k in np.frombuffer(x, np.int64).tolist()] for _, x in counts]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in counts], pa.int32()),
+                 pa.array([[len(k) for k in x] for x in pieces], pa.list_(pa.int32())),
+                 pa.array([[f for k in x for f in k] for x in pieces], pa.list_(pa.int32())),
+                 pa.array(list(counts.values()), pa.int64())], ["toxic", "sizes", "forms", "n"])
+
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                counts.update((toxic, x.tobytes()) for x in cut(model.tokens([text])[0]))
+                if len(counts) > _HELD:
+                    yield rows()
+                    counts.clear()
+        yield rows()
+
+    return run
+
+
 class ToxicModel:
     """The field and the curve over its marginals."""
 
@@ -135,58 +243,30 @@ class ToxicModel:
         lengths = np.array([len(x) for x in got], np.int64)
         return np.fromiter((k for x in got for k in x), np.int64, int(lengths.sum())), lengths
 
-    def _neighbours(self, kinds: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether the token before, and the one after, has a known form."""
-        has = (kinds > 0).astype(float)
-        before, after = np.zeros_like(has), np.zeros_like(has)
-        before[1:], after[:-1] = has[:-1], has[1:]
-        ends = np.cumsum(lengths)[lengths > 0]
-        before[ends - lengths[lengths > 0]] = 0
-        after[ends - 1] = 0
-        return before, after
-
     def emission(self, kinds: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         if len(self.sums) < len(self.kinds):
             self.sums = np.array([sum(self.weights[i] for i in key) for key in self.kinds], float)
-        before, after = self._neighbours(kinds, lengths)
+        before, after = neighbours(kinds > 0, lengths)
         return self.bias + self.sums[kinds] + self.before * before + self.after * after
 
-    def train(self, texts: list[str], toxic: list[int]) -> None:
-        """Gradient steps on the log likelihood of the labelled tokens, with a little shrinkage."""
-        kinds, lengths = self.tokens(texts)
-        if not len(kinds):
-            return
-        truth = ((kinds > 0) & (np.repeat(toxic, lengths) > 0)).astype(float)
-        keys = list(self.kinds)
-        sizes = np.array([len(k) for k in keys])
-        members = np.array([i for k in keys for i in k], np.int64)
-        before, after = self._neighbours(kinds, lengths)
-        first = np.zeros(len(kinds), bool)
-        first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-        later = np.nonzero(~first)[0]
-        seen = np.bincount((2 * truth[later - 1] + truth[later]).astype(np.int64), minlength=4)
-        scale = max(1.0, truth.sum())
+    def train(self, pieces: DataFrame, weights: dict[int, float]) -> None:
+        """Gradient steps on the log likelihood of all labelled tokens, with a little shrinkage.
+
+        ``pieces``: (toxic, sizes, forms, n); ``weights``: of a document, by its label.
+        """
+        context = pieces.sparkSession.sparkContext
         theta = np.zeros(len(self.weights) + 7)
         theta[-7] = -3.0
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, STEPS + 1):
-            self._take(theta)
-            e = self.emission(kinds, lengths)
-            forward, backward, p = chain(e, lengths, self.moves)
-            miss = truth - p
-            by_kind = np.bincount(kinds, miss, len(keys))
-            grad = np.zeros_like(theta)
-            if len(members):
-                grad[:-7] = np.bincount(members, np.repeat(by_kind, sizes), len(self.weights))
-            grad[-7:-4] = miss.sum(), (miss * before).sum(), (miss * after).sum()
-            a, x = forward[later - 1], e[later] + backward[later]
-            odds = np.stack([np.full(len(later), self.moves[0]), self.moves[1] + x, self.moves[2] + a,
-                             self.moves[3] + a + x])
-            odds = np.exp(odds - odds.max(axis=0))
-            grad[-4:] = seen - (odds / odds.sum(axis=0)).sum(axis=1)
-            grad = grad / scale - 1e-4 * theta
+            shared = context.broadcast((theta, weights))
+            parts = pieces.mapInArrow(_gradients(shared), "value binary").collect()
+            shared.unpersist()
+            total = sum((np.frombuffer(r["value"]) for r in parts), np.zeros(len(theta) + 1))
+            # Shrinkage is per token, not per share of them: a rare form keeps its weight among many tokens.
+            grad = (total[:-1] - SHRINK * theta) / max(1.0, total[-1])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-            theta = theta + 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            theta = theta + 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-12)
         self._take(theta)
 
     def _take(self, theta: np.ndarray) -> None:
@@ -264,8 +344,8 @@ def _sample(rows: DataFrame, limit: int) -> DataFrame:
 def fit(train: DataFrame) -> ToxicModel:
     """Learns from (doc_id, text, toxic 0/1).
 
-    Counts of forms cover every row. To the driver come the forms, at most
-    ``FORMS``, and the bounded samples named above.
+    Counts of forms and the training of the field cover every row. To the driver come
+    the forms, at most ``FORMS``, sums by them, and the bounded sample named above.
     """
     spark = train.sparkSession
     rows = written(train.filter("toxic IS NOT NULL AND text IS NOT NULL")
@@ -289,16 +369,12 @@ def fit(train: DataFrame) -> ToxicModel:
               if n * n_clean > 10 * in_clean.get(f, 0) * n_toxic
               and likelihood_ratio(n, in_clean.get(f, 0), n_toxic, n_clean) >= least]
     model = ToxicModel({f: i for i, f in enumerate(sorted(chosen))})
-    words = F.size(F.split("text", " "))
-    shares = [_sample(rows.filter(f"toxic = {x}").filter(words <= SAMPLE // 20), 400) for x in (1, 0)]
-    texts, labels, size = [], [], 0
-    for r in sorted(shares[0].unionByName(shares[1]).collect(), key=lambda r: (len(r["text"]), r["text"])):
-        size += len(r["text"].split())
-        if size > SAMPLE:
-            break
-        texts.append(r["text"])
-        labels.append(r["toxic"])
-    model.train(texts, labels)
+    lexicon = spark.sparkContext.broadcast(model)
+    pieces = written(rows.select("text", "toxic")
+                     .mapInArrow(_pieces(lexicon), "toxic int, sizes array<int>, forms array<int>, n long")
+                     .groupBy("toxic", "sizes", "forms").agg(F.sum("n").alias("n")), "pieces")
+    fewer = min(n_toxic, n_clean)
+    model.train(pieces, {1: fewer / n_toxic, 0: fewer / n_clean})
     shared = spark.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array) -> list[pa.Array]:

@@ -71,3 +71,52 @@ def test_one_sided_labels(spark, documents):
     for rows in ([], [(1, "a b", 1)], [(1, "a b", 0), (2, None, 1), (3, "c", None)]):
         model = toxicity.fit(spark.createDataFrame(rows, schema))
         assert [r.score for r in toxicity.score(documents(["a b"]), model).collect()] == [0.0]
+
+
+def test_every_chosen_form_is_trained(spark):
+    """More toxic documents than any sample of 400, terms in long ones alone too."""
+    rnd = random.Random(2)
+    plain = [f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    terms = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(60)]
+    rows = [(i, " ".join([*rnd.choices(plain, k=9), terms[i % 60]]), 1) for i in range(1500)]
+    rows += [(2000 + i, " ".join([*rnd.choices(plain, k=25_000), "longone"]), 1) for i in range(20)]
+    rows += [(3000 + i, " ".join(rnd.choices(plain, k=10)), 0) for i in range(1500)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4))
+    assert {f"={x}" for x in [*terms, "longone"]} <= set(model.lexicon)
+    assert min(model.weights[model.lexicon[f"={x}"]] for x in [*terms, "longone"]) > 0.5
+    _, spans = model.score([f"{plain[0]} {plain[1]} {x} {plain[2]}" for x in [*terms, "longone"]])
+    assert all(len(s) == 1 for s in spans)
+
+
+def test_gradient_of_pieces():
+    """Against differences of the log likelihood summed over all paths."""
+    rng = np.random.default_rng(5)
+    lengths, sizes = np.array([3, 2, 4]), np.array([0, 2, 0, 1, 1, 0, 0, 3, 1])
+    numbers, toxic, weight = rng.integers(0, 4, sizes.sum()), np.array([1, 0, 1]), np.array([2.0, 0.5, 3.0])
+
+    def likelihood(theta):
+        before, after = toxicity.neighbours(sizes > 0, lengths)
+        sums = [theta[numbers[hi - n:hi]].sum() for n, hi in zip(sizes, np.cumsum(sizes))]
+        e = theta[4] + np.array(sums) + theta[5] * before + theta[6] * after
+        total, at = 0.0, 0
+        for n, label, w in zip(lengths, toxic, weight):
+            def log(path):
+                return sum(e[at + i] * s for i, s in enumerate(path)) + sum(
+                    theta[7 + 2 * a + b] for a, b in zip(path, path[1:]))
+            truth = tuple(int(x > 0 and label) for x in sizes[at:at + n])
+            total += w * (log(truth) - np.log(sum(np.exp(log(x)) for x in product((0, 1), repeat=int(n)))))
+            at += n
+        return total
+
+    theta = rng.normal(0, 1, 11)
+    got = toxicity.gradient(theta, lengths, sizes, numbers, toxic, weight)
+    for i in range(11):
+        step = np.eye(11)[i] * 1e-6
+        assert got[i] == pytest.approx((likelihood(theta + step) - likelihood(theta - step)) / 2e-6, abs=1e-5)
+
+
+def test_pieces_hold_every_token():
+    kinds = np.random.default_rng(1).choice([0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1, 2], 3000)
+    for x in (kinds, kinds * 0, kinds + 1, kinds[:1], kinds[:0]):
+        assert np.concatenate([x[:0], *toxicity.cut(x)]).tolist() == x.tolist()
+        assert max(map(len, toxicity.cut(x)), default=0) <= toxicity.PIECE
