@@ -2,8 +2,8 @@
 
 Labels mark whole documents, so tokens are labelled first: a form (a word, or
 its first 4 to 8 letters) that toxic training documents hold far more often than
-clean ones, by a likelihood-ratio test over all labelled training documents,
-labels its tokens in toxic documents. The field has two states and weights for
+clean ones, by a likelihood-ratio test of each form that three toxic ones hold,
+over all labelled training documents, labels its tokens in toxic documents. The field has two states and weights for
 forms, for a neighbour that has such a form, and for the four transitions; it is
 trained by gradient steps over every token of every labelled document. For that,
 texts are cut into pieces: tokens with known forms and ``AROUND`` others on each
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termwise.llm.texts import Memo, with_arrays, written
@@ -49,43 +49,42 @@ def forms(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)]
 
 
-def doc_forms(text: str | None) -> set[str]:
-    return {f for w in set(_WORD.findall(text or "")) for f in forms(w)}
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Toxic and clean documents that hold each form; partial sums."""
+    toxic, clean = Counter(), Counter()
+    of = Memo(forms, _WORDS)
 
+    def rows() -> Iterator[pa.RecordBatch]:
+        found = list(toxic.keys() | clean.keys())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.string()), pa.array([toxic.get(f, 0) for f in found], pa.int64()),
+             pa.array([clean.get(f, 0) for f in found], pa.int64())], ["form", "n", "other"])
+        toxic.clear()
+        clean.clear()
 
-def _count(wanted=None):
-    """Documents that hold each form, of those in ``wanted``; partial sums."""
+    for batch in batches:
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+            if label in (0, 1):
+                words = set(_WORD.findall(text or ""))
+                (toxic if label else clean).update(set().union(*map(of.__getitem__, words)))
+            if len(toxic) + len(clean) > 500_000:
+                yield from rows()
+    yield from rows()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-        only = wanted.value if wanted is not None else None
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = doc_forms(text)
-                counts.update(found if only is None else found & only)
-            if len(counts) > 500_000:
-                yield _rows(counts)
-                counts.clear()
-        yield _rows(counts)
-
-    return run
 
-
-def _rows(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["form", "n"])
-
-
-def likelihood_ratio(a: int, b: int, of_a: int, of_b: int) -> float:
+def likelihood_ratio(a: Column, b: Column, of_a: int, of_b: int) -> Column:
     """Twice the log likelihood ratio of rates a/of_a and b/of_b; 0 where a's is not the greater."""
-    if a * of_b <= b * of_a:
-        return 0.0
-    both = (a + b) / (of_a + of_b)
+    both = (a + b) / F.lit(float(of_a + of_b))
 
     def term(k, n, p):
-        return sum(x * math.log(y) for x, y in ((k, p), (n - k, 1 - p)) if x)
+        def part(x, y):
+            return F.when(x > 0, x * F.log(y)).otherwise(F.lit(0.0))
+
+        return part(k, p) + part(F.lit(n) - k, F.lit(1.0) - p)
 
-    return 2 * (term(a, of_a, a / of_a) + term(b, of_b, b / of_b) - term(a, of_a, both) - term(b, of_b, both))
+    rates = [(a, of_a, a / F.lit(float(of_a))), (b, of_b, b / F.lit(float(of_b)))]
+    ratio = sum((term(k, n, p) - term(k, n, both) for k, n, p in rates), F.lit(0.0))
+    return F.when(a * F.lit(of_b) <= b * F.lit(of_a), 0.0).otherwise(2 * ratio)
 
 
 def chain(emission: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -345,7 +344,7 @@ def fit(train: DataFrame) -> ToxicModel:
     """Learns from (doc_id, text, toxic 0/1).
 
     Counts of forms and the training of the field cover every row. To the driver come
-    the forms, at most ``FORMS``, sums by them, and the bounded sample named above.
+    the chosen forms, the strongest ``FORMS`` at most, sums by them, and the bounded sample named above.
     """
     spark = train.sparkSession
     rows = written(train.filter("toxic IS NOT NULL AND text IS NOT NULL")
@@ -355,22 +354,19 @@ def fit(train: DataFrame) -> ToxicModel:
     model = ToxicModel({})
     if not n_toxic or not n_clean:
         return model
-    toxic = (rows.filter("toxic = 1").select("text").mapInArrow(_count(), "form string, n long")
-             .groupBy("form").agg(F.sum("n").alias("n")).filter("n >= 3")
-             .orderBy(F.col("n").desc(), "form").limit(FORMS))
-    in_toxic = {r["form"]: r["n"] for r in toxic.collect()}
-    wanted = spark.sparkContext.broadcast(frozenset(in_toxic))
-    clean = (rows.filter("toxic = 0").select("text").mapInArrow(_count(wanted), "form string, n long")
-             .groupBy("form").agg(F.sum("n").alias("n")))
-    in_clean = {r["form"]: r["n"] for r in clean.collect()}
+    counts = written(rows.select("text", "toxic").mapInArrow(_count, "form string, n long, other long")
+                     .groupBy("form").agg(F.sum("n").alias("n"), F.sum("other").alias("other"))
+                     .filter("n >= 3"), "forms")
     # Strong enough to stand out among as many forms as are looked at.
-    least = 2 * math.log(len(in_toxic) + 1) + 8
-    chosen = [f for f, n in in_toxic.items()
-              if n * n_clean > 10 * in_clean.get(f, 0) * n_toxic
-              and likelihood_ratio(n, in_clean.get(f, 0), n_toxic, n_clean) >= least]
+    least = 2 * math.log(counts.count() + 1) + 8
+    ratio = likelihood_ratio(F.col("n"), F.col("other"), n_toxic, n_clean)
+    chosen = (counts.filter(F.col("n") * n_clean > 10 * F.col("other") * n_toxic)
+              .select("form", ratio.alias("ratio")).filter(F.col("ratio") >= least)
+              .orderBy(F.col("ratio").desc(), "form").limit(FORMS))
+    chosen = [r["form"] for r in chosen.collect()]
     model = ToxicModel({f: i for i, f in enumerate(sorted(chosen))})
     lexicon = spark.sparkContext.broadcast(model)
-    pieces = written(rows.select("text", "toxic")
+    pieces = written(rows.filter("toxic IN (0, 1)").select("text", "toxic")
                      .mapInArrow(_pieces(lexicon), "toxic int, sizes array<int>, forms array<int>, n long")
                      .groupBy("toxic", "sizes", "forms").agg(F.sum("n").alias("n")), "pieces")
     fewer = min(n_toxic, n_clean)

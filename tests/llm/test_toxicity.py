@@ -120,3 +120,26 @@ def test_pieces_hold_every_token():
     for x in (kinds, kinds * 0, kinds + 1, kinds[:1], kinds[:0]):
         assert np.concatenate([x[:0], *toxicity.cut(x)]).tolist() == x.tolist()
         assert max(map(len, toxicity.cut(x)), default=0) <= toxicity.PIECE
+
+
+def test_every_form_is_tested(spark, monkeypatch):
+    """A bound on the chosen forms leaves the strongest, not the most frequent of all."""
+    monkeypatch.setattr(toxicity, "FORMS", 5)
+    plain = [f"p{chr(97 + i)}" for i in range(20)]
+    rows = [(i, " ".join([*plain, *(["zq"] if i < 40 else [])]), int(i < 50)) for i in range(100)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert list(model.lexicon) == ["=zq"]
+
+
+def test_ratio_by_hand(spark):
+    cases = [(40, 0, 50, 50), (3, 0, 10, 1000), (50, 50, 50, 50), (7, 2, 9, 30), (1, 9, 10, 10), (10, 3, 10, 40)]
+    for a, b, of_a, of_b in cases:
+        row = spark.createDataFrame([(a, b)], "a long, b long")
+        got = row.select(toxicity.likelihood_ratio(row.a, row.b, of_a, of_b)).first()[0]
+
+        def log(k, n, p):
+            return sum(x * np.log(y) for x, y in ((k, p), (n - k, 1 - p)) if x)
+
+        both = (a + b) / (of_a + of_b)
+        want = 2 * (log(a, of_a, a / of_a) + log(b, of_b, b / of_b) - log(a, of_a, both) - log(b, of_b, both))
+        assert got == pytest.approx(want if a * of_b > b * of_a else 0.0, abs=1e-9)
