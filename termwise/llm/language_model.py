@@ -10,9 +10,9 @@ count added, and all words not seen in training share one more.
 
 The network is trained by truncated backpropagation: documents run in lanes, a
 window of ``STEPS`` tokens at a time, the state going on into the next window.
-In each of ``ROUNDS`` rounds every task trains a copy on its part of one
-document in ``SHARE``, and the copies are averaged by the tokens they saw. So
-training, like counting, grows with the corpus. Scoring carries the state from
+Each of ``ROUNDS`` rounds takes its own share of the documents, so that all are
+seen once: every task trains a copy on its part of the share, and the copies are
+averaged by the tokens they saw. So training, like counting, covers the corpus. Scoring carries the state from
 window to window through whole documents.
 
 Only bounded tables go to the tasks: the network and the ``LISTED`` most
@@ -42,7 +42,7 @@ from termwise.llm.texts import Memo, parts, written
 
 HEAD, WIDTH, TAILS, LISTED = 4096, 64, 96, 200_000
 UNITS, INPUTS = 24, 16
-ROUNDS, SHARE, STEPS, LANES, RATE = 4, 8, 16, 64, 0.12
+ROUNDS, STEPS, LANES, RATE = 4, 16, 64, 0.12
 _SCORE_LANES, _SCORE_STEPS = 256, 32
 _TOKENS, _WORDS, _PIECE = 2_000_000, 100_000, 1 << 14
 _MARKS = frozenset(b".,;:!?*$%&#|)]}\"'")
@@ -385,7 +385,7 @@ class Model:
 
 
 def fit(train: DataFrame) -> Model:
-    """Counts every text of ``train`` (doc_id, text) and trains the network on one in ``SHARE`` a round."""
+    """Counts every text of ``train`` (doc_id, text) and trains the network on each once, a share a round."""
     spark = train.sparkSession
     train = train.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counts = written(train.select("text").mapInArrow(_count, "token string, c long")
@@ -400,10 +400,10 @@ def fit(train: DataFrame) -> Model:
     words = Words(listed, n_docs, n_words + n_docs, kinds + (n_docs > 0), {r["k"]: (r["words"], r["kinds"]) for r in tails})
     network = Network(words.head)
     network.start_from(words.symbol_counts)
-    draw = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(SHARE))
+    draw = F.pmod(F.xxhash64(F.lit("lm"), "doc_id", "text"), F.lit(ROUNDS))
     for step in range(ROUNDS):
         shared = spark.sparkContext.broadcast((words, network, RATE / (1 + step)))
-        means = (train.filter(draw == step % SHARE).select("text").mapInArrow(_train(shared), _PIECES)
+        means = (train.filter(draw == step).select("text").mapInArrow(_train(shared), _PIECES)
                  .groupBy("piece", "part").applyInArrow(_mean, _PIECES)
                  .groupBy("piece").applyInArrow(_mean, _PIECES).collect())
         if means:

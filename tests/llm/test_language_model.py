@@ -136,3 +136,29 @@ def test_awkward_texts_and_nothing(spark, documents):
     assert lm.score(docs.limit(0), model).count() == 0
     empty = lm.fit(docs.limit(0))
     assert [r.base_score for r in lm.score(documents(["a b"]), empty).collect()] == [0.0]
+
+
+def test_every_document_trains_once(spark, documents, monkeypatch):
+    """The network sees each training text in one round, none in two."""
+    seen = spark.sparkContext.accumulator(0)
+    train = lm.Network.train
+
+    def counted(self, docs, rate=lm.RATE):
+        seen.add(len(docs))
+        return train(self, docs, rate)
+
+    def tasks(shared, run=lm._train):
+        inner = run(shared)
+
+        def start(batches):
+            lm.Network.train = counted
+            try:
+                yield from inner(batches)
+            finally:
+                lm.Network.train = train
+
+        return start
+
+    monkeypatch.setattr(lm, "_train", tasks)
+    lm.fit(documents([f"text {i} of many" for i in range(200)]))
+    assert seen.value == 200
