@@ -18,10 +18,12 @@ from termwise.llm.texts import remainder, table, written
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in which no language can be told go; a missing language is filled in.
 
-    A text that is only short or mixed stays, whatever the score of its language.
+    None can be told where less than ``langid.LEAST`` of a text's letters is in words that
+    share a word, or letters in a row, with those learned. A text that is only short or mixed
+    stays, whatever the score of its language.
     """
     model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
-    found = langid.predict(docs, model).filter(F.col("lang_pred") != langid.UNDECIDED)
+    found = langid.predict(docs, model, least=langid.LEAST).filter(F.col("lang_pred") != langid.UNDECIDED)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

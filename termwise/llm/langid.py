@@ -10,6 +10,10 @@ softmax of these sums.
 Counts cover every training text. The tables that go to the tasks are bounded:
 the ``KNOWN`` most frequent words and ``GRAMS`` most frequent n-grams.
 
+With ``least``, a text is ``und`` where less than that share of its letters is in
+words that are known or fall back to a known n-gram of two letters or more; the
+pipeline rejects by ``LEAST``. Ends of words count as letters of an n-gram.
+
 Null or empty texts, or texts without a letter: ``und`` with score 0, as all
 texts when nothing was learned. Ties go to the language first in code-point
 order. Null languages or texts teach nothing; repeated rows count each time.
@@ -30,6 +34,7 @@ from pyspark.sql import functions as F
 from termwise.llm.texts import with_arrays, written
 
 KNOWN, GRAMS, UNSEEN = 60_000, 60_000, 200_000
+LEAST = 0.1
 ORDERS = (4, 3, 2, 1)
 UNDECIDED = "und"
 _WORDS = regex.compile(r"\p{L}+")
@@ -86,11 +91,13 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Places(dict):
-    """Rows of known words; any other word gets the next free one and its score."""
+    """Rows of known words; any other word gets the next free one, its score and its letters that are told."""
 
     def __missing__(self, word: str) -> int:
         place = self[word] = len(self)
-        self.model.rows[place] = self.model.unseen(word)
+        row = self.model.rows[place]
+        row[:-1], order = self.model.unseen(word)
+        row[-1] = len(word) if order > 1 else 0
         return place
 
 
@@ -116,18 +123,19 @@ class LanguageModel:
             return np.zeros((0, len(self.langs)))
         return np.log((np.array(counts, float) + 0.5) / (np.array(totals, float) + 0.5 * kinds + 0.5))
 
-    def unseen(self, word: str) -> tuple[float, ...] | list[float]:
-        """The score of a word that is not a known one, by language."""
+    def unseen(self, word: str) -> tuple[list[float], int]:
+        """The score of a word that is not a known one, by language, and the n of the n-grams that gave it, or 0."""
         for order in ORDERS:
             if found := [x for g in grams_of(word, order) if (x := self.grams.get(g)) is not None]:
-                return [sum(x) / len(found) for x in zip(*found)]
-        return [0.0] * len(self.langs)
+                return [sum(x) / len(found) for x in zip(*found)], order
+        return [0.0] * len(self.langs), 0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("at", "rows")}
 
     def _open(self) -> None:
-        self.rows = np.concatenate([self.table, np.zeros((UNSEEN, len(self.langs)))])
+        known = np.column_stack([self.table, np.array([len(w) for w in self.words], float)])
+        self.rows = np.concatenate([known, np.zeros((UNSEEN, len(self.langs) + 1))])
         self.at = _Places({w: i for i, w in enumerate(self.words)})
         self.at.model = self
 
@@ -137,7 +145,7 @@ class LanguageModel:
             self._open()
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], least: float = 0.0) -> tuple[list[str], list[float]]:
         best, shares = [], []
         for text in texts:
             words = words_of(text)
@@ -145,10 +153,15 @@ class LanguageModel:
                 best.append(UNDECIDED)
                 shares.append(0.0)
                 continue
-            sums = np.zeros(len(self.langs))
+            sums = np.zeros(len(self.langs) + 1)
             for i in range(0, len(words), UNSEEN):
                 part = self.places(words[i:i + UNSEEN])
                 sums += self.rows[part].sum(axis=0)
+            sums, told = sums[:-1], sums[-1]
+            if least and (not told or told < least * sum(map(len, words))):
+                best.append(UNDECIDED)
+                shares.append(0.0)
+                continue
             top = int(sums.argmax())
             best.append(self.langs[top])
             shares.append(1 / math.fsum(np.exp(sums - sums[top])))
@@ -183,12 +196,12 @@ def fit(train: DataFrame, known: int = KNOWN, grams: int = GRAMS) -> LanguageMod
                          [totals[x] for x in langs])
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, keep: list[str] | None = None, least: float = 0.0) -> DataFrame:
     """``docs`` with lang_pred and score, from ``text`` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        best, shares = shared.value.predict(texts.to_pylist())
+        best, shares = shared.value.predict(texts.to_pylist(), least)
         return [pa.array(best, pa.string()), pa.array(shares, pa.float64())]
 
     return with_arrays(docs, "lang_pred string, score double", compute, keep)

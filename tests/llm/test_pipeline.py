@@ -57,3 +57,14 @@ def test_awkward_rows_pass_every_stage(spark, documents):
     assert {r.doc_id for r in docs.collect()} <= {100, None} | {r.doc_id for r in before.collect()}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, before.limit(0), "").count() == 0
+
+
+def test_texts_of_no_known_language_go(spark, documents):
+    """Letters that no learned text has are no language; short and mixed texts stay."""
+    rows = [(i, x, y, "s") for i, (x, y) in enumerate([
+        ("the cat sat on the mat with another cat", "en"), ("der Hund liegt auf der Matte", "de")] * 20)]
+    probes = ["Привет мир как дела", "καλημέρα κόσμε", "漢字 かな", "cat", "the Hund", "cats и собаки", "Ω 漢字 the"]
+    rows += [(100 + i, x, None, "s") for i, x in enumerate(probes)]
+    kept = corpus_pipeline.identify_language(spark, documents(rows), "").collect()
+    assert {probes[r.doc_id - 100] for r in kept if r.doc_id >= 100} == set(probes[3:])
+    assert sum(r.doc_id < 100 for r in kept) == 40
