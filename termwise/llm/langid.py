@@ -7,8 +7,10 @@ Its score is the mean over the known n-grams. A text's score for a language is
 the sum over its words, and ``score`` the share of the best language in the
 softmax of these sums.
 
-Counts cover every training text. The tables that go to the tasks are bounded:
-the ``KNOWN`` most frequent words and ``GRAMS`` most frequent n-grams.
+Counts cover every training text. The tables that go to the tasks are bounded by
+the number of languages: the ``KNOWN`` most frequent words of each language, and
+the ``GRAMS`` most frequent n-grams of each language and n. So no language, and
+no n, takes the room of another.
 
 With ``least``, a text is ``und`` where less than that share of its letters is in
 words that are known or fall back to a known n-gram of two letters or more; the
@@ -28,13 +30,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termwise.llm.texts import with_arrays, written
 
 KNOWN, GRAMS, UNSEEN = 60_000, 60_000, 200_000
 LEAST = 0.1
+_BUCKETS = 32
 ORDERS = (4, 3, 2, 1)
 UNDECIDED = "und"
 _WORDS = regex.compile(r"\p{L}+")
@@ -168,12 +171,20 @@ class LanguageModel:
         return best, shares
 
 
-def _most(rows: DataFrame, limit: int, langs: list[str]) -> dict[str, list[int]]:
-    """The most frequent items and their counts by language, at most ``limit`` of them."""
+def _most(rows: DataFrame, limit: int, langs: list[str], kind: Column) -> dict[str, list[int]]:
+    """Counts by language of the items that are among a language's ``limit`` most frequent of their kind."""
+    rank = F.row_number()
+    by_count = [F.col("n").desc(), "item"]
+    own = Window.partitionBy("lang", "kind", F.pmod(F.xxhash64("item"), F.lit(_BUCKETS))).orderBy(*by_count)
+    # Ranked in buckets first, so that what a task ranks does not grow with the corpus.
+    items = (rows.withColumn("kind", kind)
+             .withColumn("rank", rank.over(own)).filter(F.col("rank") <= limit)
+             .withColumn("rank", rank.over(Window.partitionBy("lang", "kind").orderBy(*by_count)))
+             .filter(F.col("rank") <= limit).select("item").distinct())
     sums = [F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]
-    top = (rows.groupBy("item").agg(F.sum("n").alias("n"), *sums)
-           .orderBy(F.col("n").desc(), "item").limit(limit))
-    return {r["item"]: [r[f"n{i}"] for i in range(len(langs))] for r in top.collect()}
+    found = rows.join(items, "item", "left_semi").groupBy("item").agg(*sums).toArrow()
+    counts = [found.column(f"n{i}").to_pylist() for i in range(len(langs))]
+    return {item: list(x) for item, *x in sorted(zip(found.column("item").to_pylist(), *counts))}
 
 
 def fit(train: DataFrame, known: int = KNOWN, grams: int = GRAMS) -> LanguageModel:
@@ -192,7 +203,8 @@ def fit(train: DataFrame, known: int = KNOWN, grams: int = GRAMS) -> LanguageMod
     pieces = written(
         counts.mapInArrow(_count_grams, "lang string, item string, n long")
         .groupBy("lang", "item").agg(F.sum("n").alias("n")), "grams")
-    return LanguageModel(langs, _most(counts, known, langs), _most(pieces, grams, langs),
+    return LanguageModel(langs, _most(counts, known, langs, F.lit(0)),
+                         _most(pieces, grams, langs, F.length("item")),
                          [totals[x] for x in langs])
 
 

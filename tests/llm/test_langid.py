@@ -89,3 +89,15 @@ def test_unseen_cache_starts_afresh(spark, monkeypatch):
     again = langid.LanguageModel.__new__(langid.LanguageModel)
     again.__dict__.update({k: v for k, v in model.__dict__.items() if k not in ("at", "rows")})
     assert again.predict(texts) == want
+
+
+def test_a_small_language_keeps_its_words(spark):
+    """One language with far more of everything does not push out another's words or n-grams."""
+    big = [(" ".join(f"{a}{b}{c}" for c in "aeiou"), "big") for a in "bcdfghjklm" for b in "aeiou"] * 5
+    small = [("xyzzy wyrrd zyxxw", "tiny")]
+    frame = spark.createDataFrame(big + small, "text string, lang string")
+    model = langid.fit(frame, known=20, grams=20)
+    assert {"xyzzy", "wyrrd", "zyxxw"} <= set(model.words)
+    assert {"xyzz", "zzy", "xy", "x"} <= set(model.grams)
+    assert sum(w not in ("xyzzy", "wyrrd", "zyxxw") for w in model.words) == 20
+    assert model.predict(["xyzzy", "wyrrdz"])[0] == ["tiny", "tiny"]
