@@ -205,7 +205,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         .groupBy("block").applyInArrow(_pack(width), _PACKED), "blocks")
     # A block lies in one bucket; runs of blocks with the greatest length in each, longest first.
     runs = [(starts[b], starts[b] + buckets[b][1] - 1, buckets[b][0]) for b in sorted(buckets, reverse=True)]
-    asked = scaled(queries).dropDuplicates(["vec_id"])
+    # Of a repeated id's vectors, one by a fixed order; written, so that both passes ask for the same.
+    given = scaled(queries)
+    rest = [x for x in given.columns if x not in ("vec_id", "v")]
+    asked = written(
+        given.groupBy("vec_id").agg(F.min(F.struct(F.xxhash64("v").alias("_h"), "v", *rest)).alias("_row"))
+        .select("vec_id", "_row.v", *(f"_row.{x}" for x in rest)), "asked")
     q_block = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // (50 * QUERIES)))))
 
     def meet(rows: DataFrame, chosen: list[tuple[int, int, float]]) -> DataFrame:

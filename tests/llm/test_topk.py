@@ -60,3 +60,15 @@ def test_few_or_no_vectors(spark):
 def test_large_components_stay_exact(spark):
     rows = [(0, [1e6, 1.0]), (1, [1e6, 1.0]), (2, [1e6, 2.0]), (3, [-1e6, 0.0])]
     assert run(spark, rows) == brute(rows)
+
+
+def test_a_repeated_query_id_asks_for_one_vector(spark):
+    """Whatever the order of the rows, the same vector is asked for."""
+    base = spark.createDataFrame([(1000 + i, [math.cos(i), math.sin(i)]) for i in range(40)],
+                                 "vec_id long, embedding array<double>")
+    rows = [(q, [math.cos(q + j), math.sin(q + j)]) for q in range(8) for j in range(5)]
+    got = []
+    for order in (rows, rows[::-1]):
+        asked = spark.createDataFrame(order, base.schema).coalesce(1)
+        got.append(sorted(tuple(r) for r in topk.top_k(base, asked).collect()))
+    assert got[0] == got[1] and len(got[0]) == 40
