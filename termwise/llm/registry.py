@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termwise.llm import bpe, langid, language_model, mixing, neardup, quality, token_files, topk, toxicity, unigram
+from termwise.llm import (
+    bpe, langid, language_model, mixing, neardup, phrases, quality, token_files, topk, toxicity, unigram)
 from termwise.llm.texts import remainder, table
 from termwise.session import scratch_path
 
@@ -82,6 +83,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_bpe": op2_bpe,
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
     "op10_top_k": op10_top_k,
+    "op13_phrases": op13_phrases,
 }
 
 OP7_SQL = r"""
@@ -167,4 +173,37 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-ORACLES = {"op10_top_k": OP10_SQL, "op7_quality_rules": OP7_SQL, "op8_mix_sources": OP8_SQL}
+OP13_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i
+  FROM (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+f AS (
+  SELECT lang, array_to_string(ws[i:i + k - 1], ' ') AS phrase, k AS size, count(*) AS a
+  FROM w, range(1, 6) AS t(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+t AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (
+  SELECT * FROM f WHERE size > 1 AND a >= 100),
+wide AS (
+  SELECT * FROM c WHERE NOT EXISTS (
+    SELECT 1 FROM c AS y WHERE y.lang = c.lang AND y.size > c.size AND 100 * y.a >= 100 * c.a
+      AND contains(' ' || y.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS lp, array_to_string(ws[k + 1:], ' ') AS rp
+  FROM (SELECT *, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM wide)),
+s AS (
+  SELECT cuts.*, fl.a AS l, fr.a AS r, n, (1000 * CAST(cuts.a AS HUGEINT) * n) // (CAST(fl.a AS HUGEINT) * fr.a) AS score
+  FROM cuts JOIN t USING (lang) JOIN f AS fl ON fl.lang = cuts.lang AND fl.phrase = lp
+  JOIN f AS fr ON fr.lang = cuts.lang AND fr.phrase = rp),
+b AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n,
+       CAST(score AS BIGINT) AS score
+FROM b QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op10_top_k": OP10_SQL, "op13_phrases": OP13_SQL, "op7_quality_rules": OP7_SQL, "op8_mix_sources": OP8_SQL}
