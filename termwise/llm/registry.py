@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termwise.llm import (
-    bpe, langid, language_model, mixing, neardup, phrases, quality, token_files, topk, toxicity, unigram)
+    bpe, fingerprints, langid, language_model, mixing, neardup, phrases, quality, token_files, topk, toxicity, tries,
+    unigram)
 from termwise.llm.texts import remainder, table
 from termwise.session import scratch_path
 
@@ -83,6 +84,15 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tries.sequences(table(spark, sf_dir, "conversations"))
+    return tries.trie(tries.with_shared_openings(found))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -98,6 +108,8 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_token_counts": op9_token_counts,
     "op10_top_k": op10_top_k,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_phrases": op13_phrases,
 }
 
@@ -173,6 +185,44 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, sha256(length(r) || ':' || r || x) AS key, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+s AS (
+  SELECT conv_id, list({'key': key, 'words': words} ORDER BY turn NULLS FIRST, key) AS own FROM t GROUP BY conv_id),
+b AS (
+  SELECT conv_id, list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(range(1, length(c) + 1), lambda i:
+           [CAST(ord(substr(c, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))) AS steps
+  FROM (SELECT conv_id, CAST(conv_id AS VARCHAR) AS c FROM s)),
+h AS (
+  SELECT conv_id, xor(list_reduce(steps, lambda c, y: CASE WHEN y >= 0 THEN xor(c, y)
+           ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 4 AS h FROM b),
+r AS (
+  SELECT s.conv_id, list_concat(coalesce(o.own, [])[1:h], s.own[h + 1:]) AS own
+  FROM s JOIN h USING (conv_id) LEFT JOIN s AS o ON o.conv_id = s.conv_id - s.conv_id % 20),
+p AS (
+  SELECT conv_id, d, len(own) AS size, CASE WHEN d = 0 THEN 0 ELSE own[d].words END AS words,
+         sha256(array_to_string(list_transform(own[1:d], lambda y: y.key), ',')) AS node,
+         CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(own[1:d - 1], lambda y: y.key), ',')) END AS above
+  FROM (SELECT *, unnest(range(0, len(own) + 1)) AS d FROM r)),
+n AS (
+  SELECT node, any_value(above) AS above, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         any_value(words) AS words, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = d) AS ids
+  FROM p GROUP BY node),
+k AS (
+  SELECT n.*, coalesce(c, 0) AS n_children FROM n LEFT JOIN (
+    SELECT above AS node, count(*) AS c FROM n WHERE above IS NOT NULL GROUP BY above) USING (node)),
+u AS (
+  SELECT DISTINCT x.node AS top, y.node FROM p AS x JOIN p AS y ON x.conv_id = y.conv_id AND x.d <= y.d),
+a AS (
+  SELECT top, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+  FROM u JOIN k USING (node) GROUP BY top)
+SELECT k.conv_id, k.depth, q.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens,
+       sha256(coalesce(k.ids, '')) AS ends_sha256
+FROM k JOIN a ON top = k.node LEFT JOIN k AS q ON q.node = k.above
+"""
+
 OP13_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
@@ -206,4 +256,5 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM b QUALIFY rank <= 2000
 """
 
-ORACLES = {"op10_top_k": OP10_SQL, "op13_phrases": OP13_SQL, "op7_quality_rules": OP7_SQL, "op8_mix_sources": OP8_SQL}
+ORACLES = {"op10_top_k": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_phrases": OP13_SQL,
+            "op7_quality_rules": OP7_SQL, "op8_mix_sources": OP8_SQL}
