@@ -8,6 +8,7 @@ Rates are rounded with whole numbers, so a half always rounds away from zero.
 from __future__ import annotations
 
 from termwise import inputs
+from termwise.checks.chunk_sql import chunk_ctes
 from termwise.checks.queries import METRIC_GROUPINGS
 from termwise.functions import phrases
 from termwise.operators import datatests, quality
@@ -692,6 +693,34 @@ O["upsert_chunks"] = """
 SELECT CAST(d.doc_id AS STRING) AS source, 0 AS chunk,
   CASE WHEN l.doc_id IS NULL THEN d.text ELSE 'quality ' || CAST(l.quality AS STRING) || ': ' || d.text END AS text
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+
+
+def _chunked(docs: str, body: str) -> str:
+    return f"WITH RECURSIVE docs AS ({docs}),\n{chunk_ctes('docs')}\n{body}"
+
+
+_RELOADED = """
+SELECT CAST(d.doc_id AS STRING) || '.txt' AS source,
+  CASE WHEN l.toxic = 0 THEN 'quality ' || l.quality || chr(10) || d.text ELSE d.text END AS text
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+O["chunk_documents"] = _chunked("SELECT CAST(doc_id AS STRING) AS source, text FROM documents", "SELECT * FROM chunks")
+O["chunk_store_reload"] = _chunked(_RELOADED, "SELECT * FROM chunks")
+O["chunk_store_sources"] = _chunked(
+    _RELOADED, "SELECT source, count(*) AS source_chunks, (SELECT count(*) FROM chunks) AS n_chunks FROM chunks GROUP BY source")
+O["load_text_files"] = _chunked(
+    "SELECT CAST(doc_id AS STRING) AS source, text || chr(10) AS text FROM documents", "SELECT * FROM chunks")
+# The components of a chunk, places without a word as 0.
+O["embed_chunks"] = _chunked("SELECT CAST(doc_id AS STRING) AS source, text FROM documents", """,
+words AS (
+  SELECT source, chunk, md5(unnest(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS m FROM chunks),
+places AS (
+  SELECT source, chunk, CAST('0x' || m[1:4] AS INTEGER) % 64 AS at_place,
+    CAST(sum(CASE WHEN CAST('0x' || m[5:5] AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END) AS INTEGER) AS x
+  FROM words GROUP BY ALL),
+found AS (SELECT source, chunk, map_from_entries(list({'k': at_place, 'v': x})) AS xs FROM places GROUP BY source, chunk)
+SELECT c.source, c.chunk, array_to_string(list_transform(range(0, 64), lambda i: coalesce(xs[CAST(i AS INTEGER)], 0)), ',')
+  AS features
+FROM chunks c LEFT JOIN found f ON f.source = c.source AND f.chunk = c.chunk""")
 O["list_sources"] = "SELECT source, count(*) AS n_chunks FROM documents GROUP BY 1"
 _NEAREST = """
 SELECT query_id, item_id, round(similarity, 6) AS similarity, rank FROM (

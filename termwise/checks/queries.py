@@ -22,6 +22,7 @@ from termwise.plans import asks, build, facts, semantic, staging
 from termwise.plans import episodes as ep
 from termwise.session import scratch_path
 from termwise.sources import landing, layers
+from termwise.sources.chunk_store import ChunkStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -706,6 +707,47 @@ def upsert_chunks(t):
     return documents.upsert_chunks(stored, loaded)
 
 
+def _reloaded_store(t) -> ChunkStore:
+    """All documents, then the labelled ones once more: toxic ones come back empty, others with a first line."""
+    store = ChunkStore(t.spark, scratch_path(t.spark, "chunk-store"), buckets=8)
+    docs = t.raw("documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"), "doc_id", "text")
+    store.load_documents(docs.select("source", "text"))
+    first = F.concat(F.lit("quality "), F.col("quality").cast("string"), F.lit("\n"), F.col("text"))
+    store.load_documents(docs.join(t.raw("labels"), "doc_id").select(
+        "source", F.when(F.col("toxic") == 1, F.lit("")).otherwise(first).alias("text")))
+    return store
+
+
+@query
+def chunk_store_reload(t):
+    return _reloaded_store(t).read()
+
+
+@query
+def chunk_store_sources(t):
+    store = _reloaded_store(t)
+    return store.sources().withColumnRenamed("n_chunks", "source_chunks").withColumn("n_chunks", store.chunk_count().scalar())
+
+
+@query
+def load_text_files(t):
+    """One file a document, read whole, cut and stored."""
+    path = scratch_path(t.spark, "text-files")
+    t.raw("documents").filter("text IS NOT NULL").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    files = layers.text_documents(t.spark, path, with_file=True).filter("modified IS NOT NULL")
+    store = ChunkStore(t.spark, scratch_path(t.spark, "chunk-store"), buckets=8)
+    store.load_documents(files.select(F.regexp_extract("path", "doc_id=([0-9]+)", 1).alias("source"), "text"))
+    return store.read()
+
+
+@query
+def embed_chunks(t):
+    chunks = documents.chunk_documents(t.raw("documents").select(F.col("doc_id").alias("source"), "text"))
+    embedded = documents.embed_chunks(chunks, documents.hashing_encoder, "hashing-64")
+    return embedded.select("source", "chunk", F.array_join(
+        F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("features"))
+
+
 @query
 def list_sources(t):
     return documents.list_sources(t.raw("documents"))

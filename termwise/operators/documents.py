@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,12 +108,41 @@ def chunk_documents(documents: DataFrame, size: int = CHUNK_SIZE, overlap: int =
         "source", "chunk", F.concat(stem, F.lit("_"), F.col("chunk").cast("string")).alias("chunk_id"), "text")
 
 
-def embed_chunks(chunks: DataFrame, make_encoder: Callable[[], Callable]) -> DataFrame:
-    """Add ``embedding``; the encoder is made once per task and is given lists of texts."""
+_ENCODERS: dict[str, Callable] = {}
+
+
+def _encoder(name: str, make_encoder: Callable[[], Callable]) -> Callable:
+    """The worker's encoder of that name; another name takes its place."""
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = make_encoder()
+    return _ENCODERS[name]
+
+
+def hashing_encoder(width: int = 64) -> Callable[[list[str]], list[list[float]]]:
+    """An encoder without a model: each word adds or takes one at a place its MD5 names."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        vectors = np.zeros((len(texts), width))
+        for vector, text in zip(vectors, texts):
+            for word in re.findall("[a-z0-9]+", text.lower()):
+                digest = hashlib.md5(word.encode()).hexdigest()
+                vector[int(digest[:4], 16) % width] += 1 if int(digest[4], 16) % 2 else -1
+        return vectors.tolist()
+
+    return encode
+
+
+def embed_chunks(chunks: DataFrame, make_encoder: Callable[[], Callable], name: str | None = None) -> DataFrame:
+    """Add ``embedding``; the encoder is given lists of texts.
+
+    It is made once per task, or, where it has a ``name``, once per worker, so
+    that a model is not loaded again for every task.
+    """
     columns = [f for f in chunks.schema.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = make_encoder()
+        encode = _encoder(name, make_encoder) if name else make_encoder()
         for batch in batches:
             batch = batch.copy()
             batch["embedding"] = [[float(x) for x in v] for v in encode(batch["text"].tolist())]

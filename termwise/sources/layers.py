@@ -85,9 +85,12 @@ def time_spine(spark: SparkSession, start: str = SPINE_START, days: int = SPINE_
     )
 
 
-def text_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole text files as ``(source, text)``, the source being the file name."""
-    return spark.read.text(path, wholetext=True).select(
-        F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("source"),
-        F.col("value").alias("text"),
-    )
+def text_documents(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
+    """Whole text files as ``(source, text)``, the source being the file name.
+
+    Spark packs many small files into a task. ``with_file`` adds the path of the
+    file and when it was last changed.
+    """
+    file = ["_metadata.file_path AS path", "_metadata.file_modification_time AS modified"] if with_file else []
+    return spark.read.text(path, wholetext=True).selectExpr(
+        "element_at(split(_metadata.file_path, '/'), -1) AS source", "value AS text", *file)

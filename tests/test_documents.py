@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from termwise.operators import documents
 from termwise.operators.documents import text_cutter
+from termwise.sources.chunk_store import ChunkStore
 
 
 def test_short_text_is_one_chunk():
@@ -89,3 +90,66 @@ def test_embedding_hook(spark):
 def test_sources_in_order(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",)], "source string")
     assert [tuple(r) for r in documents.list_sources(df).collect()] == [("a", 1), ("b", 2)]
+
+
+def store_rows(store):
+    return sorted((r.source, r.chunk, r.text) for r in store.read().collect())
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_store_replaces_sources(spark, tmp_path, buckets):
+    store = ChunkStore(spark, str(tmp_path / "chunks"), buckets)
+    many = " ".join(["word"] * 400)
+
+    def load(*docs):
+        store.load_documents(spark.createDataFrame(docs, "source string, text string"))
+
+    load(("a.txt", many), ("b.txt", "one"), ("dir/a.txt", "two"))
+    first = store_rows(store)
+    assert [r[:2] for r in first] == [("a.txt", 0), ("a.txt", 1), ("a.txt", 2), ("b.txt", 0), ("dir/a.txt", 0)]
+    load(("a.txt", many), ("b.txt", "one"), ("dir/a.txt", "two"))
+    assert store_rows(store) == first
+    # Shorter now: its later chunks go. An empty and a NULL text leave what is there.
+    load(("a.txt", "short"), ("b.txt", " "), ("dir/a.txt", None), ("c.txt", "new"))
+    assert store_rows(store) == [("a.txt", 0, "short"), ("b.txt", 0, "one"), ("c.txt", 0, "new"), ("dir/a.txt", 0, "two")]
+    assert [tuple(r) for r in store.sources().collect()] == [("a.txt", 1), ("b.txt", 1), ("c.txt", 1), ("dir/a.txt", 1)]
+    assert store.chunk_count().first()[0] == 4
+    store.load_documents(spark.createDataFrame([], "source string, text string"))
+    assert store.chunk_count().first()[0] == 4
+
+
+def test_store_rewrites_only_touched_folders(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "chunks"), 8)
+    store.load_documents(spark.createDataFrame([(f"s{i}", f"text {i}") for i in range(40)], "source string, text string"))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "chunks").rglob("*.parquet")}
+    store.load_documents(spark.createDataFrame([("s7", "other")], "source string, text string"))
+    after = set((tmp_path / "chunks").rglob("*.parquet"))
+    assert len({p.parent for p in set(before) - after}) == 1 and len({p.parent for p in before}) > 4
+    assert dict((r[0], r[2]) for r in store_rows(store))["s7"] == "other" and store.chunk_count().first()[0] == 40
+
+
+def test_hashing_encoder_is_kept_by_name_and_feeds_retrieval(spark):
+    from termwise.operators.retrieval import retrieve_topk
+
+    texts = ["the cat sat", "a dog ran", "the cat sat down", ""]
+    vectors = documents.hashing_encoder(32)(texts)
+    assert all(len(v) == 32 for v in vectors) and sum(map(abs, vectors[0])) == 3 and not any(vectors[3])
+    chunks = spark.createDataFrame([(str(i), 0, x) for i, x in enumerate(texts)], "source string, chunk int, text string")
+    embedded = documents.embed_chunks(chunks, lambda: documents.hashing_encoder(32), "hashing-32")
+    got = {r.source: list(r.embedding) for r in embedded.collect()}
+    assert [got[str(i)] for i in range(4)] == vectors
+    asked = embedded.filter("source = '0'").selectExpr("source AS query_id", "embedding")
+    near = retrieve_topk(embedded.selectExpr("source AS item_id", "embedding"), asked).orderBy("rank").collect()
+    assert [r.item_id for r in near[:2]] == ["0", "2"]
+
+
+def test_text_files_with_path_and_time(spark, tmp_path):
+    from termwise.sources.layers import text_documents
+
+    for i in range(50):
+        (tmp_path / f"f{i}.txt").write_text(f"text {i}\n\nmore")
+    files = text_documents(spark, str(tmp_path), with_file=True)
+    assert files.rdd.getNumPartitions() < 25
+    rows = files.collect()
+    assert sorted(r.source for r in rows) == sorted(f"f{i}.txt" for i in range(50))
+    assert all(r.path.endswith("/" + r.source) and r.modified.timestamp() > 0 for r in rows)

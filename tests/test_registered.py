@@ -8,7 +8,7 @@ from conftest import SF_DIR
 from termwise.checks.queries import QUERIES, Tables
 from termwise.plans import facts
 
-WITHOUT_SQL = {"chunk_documents"}
+WITHOUT_SQL = set()
 
 
 @pytest.fixture(scope="module")
