@@ -265,6 +265,12 @@ O["load_report"] = using(
     "staged", f"SELECT count(*) AS rows_parsed, count(*) FILTER (r IS NULL) AS rows_loaded, "
               f"count(r) AS rows_rejected, count(*) FILTER (r IS NULL) AS table_rows "
               f"FROM (SELECT {_reason()} AS r FROM ({_WIDE}) s) j")
+_WIDE_LND = "SELECT * REPLACE (CASE WHEN citizen = '3' THEN '333' ELSE citizen END AS citizen) FROM lnd"
+O["append_twice"] = using("lnd", f"SELECT {_NULLED} FROM lnd WHERE citizen <> '3'")
+O["load_report_by_file"] = using("lnd", f"""
+SELECT u_g AS level, count(*) AS rows_parsed, count(*) FILTER (r IS NULL) AS rows_loaded, count(r) AS rows_rejected,
+  true AS has_size, 1 AS loads
+FROM (SELECT u_g, {_reason()} AS r FROM ({_WIDE_LND}) s) j GROUP BY 1""")
 O["seed_lookups"] = using("stg", """
 SELECT 'school' AS code_list, school AS code, school_name AS description, count(*) AS n_rows FROM stg GROUP BY 2, 3
 UNION ALL SELECT 'citizen_code', citizen_code, citizen_description, count(*) FROM stg GROUP BY 2, 3
@@ -308,6 +314,7 @@ def _qc() -> str:
 
 
 O["qc_checks"] = using("staged", _qc())
+O["blocked_load"] = using("staged", f"SELECT *, 0 AS table_rows FROM ({_qc()}) c")
 O["qc_summary"] = using("staged", f"""
 SELECT count(*) FILTER (status = 'PASS') AS passed, count(*) FILTER (status = 'FAIL') AS failed, count(*) AS total,
   CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'BLOCKED' ELSE 'OK' END AS decision FROM ({_qc()}) c""")
@@ -319,6 +326,15 @@ _MODEL_VIEW = {
     "staged": "staged",
 }
 
+_REPORTS = ("dim_program_episode", "fct_enrollment_term", "fct_graduation_rate", "fct_retention_rate_cohort",
+            "fct_graduation_rate_term", "fct_retention_rate_term", "stg_student_enrollment")
+O["catalog_views"] = using("stg dim enr grad retc gradt rett", " UNION ALL ".join(
+    f"SELECT 'vw_{name}' AS view_name, count(*) AS n_rows, 0 AS n_stale, 6 AS n_stored FROM {_MODEL_VIEW[name]}"
+    for name in _REPORTS))
+O["failed_rebuild"] = using("stg cal", """
+SELECT c.*, n AS n_rows, 2 AS n_stored FROM cal c
+JOIN (SELECT term_code, count(*) AS n FROM stg GROUP BY 1) s ON term_code = current_term""")
+
 
 def _data_test(test: datatests.DataTest) -> str:
     view, cols = _MODEL_VIEW[test.model], test.columns

@@ -7,10 +7,12 @@ across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
-from functools import cached_property
+from functools import cached_property, reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ from termwise.plans import asks, build, facts, semantic, staging
 from termwise.plans import episodes as ep
 from termwise.session import scratch_path
 from termwise.sources import landing, layers
+from termwise.sources.catalog import CatalogStore
 from termwise.sources.chunk_store import ChunkStore
+from termwise.sources.loads import LandingTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -179,6 +183,86 @@ def load_report(t):
     return landing.load_report(staged, t.spark.read.parquet(path))
 
 
+def _staged_folder(t: Tables) -> str:
+    """One folder of CSV files a level, some lines too wide for their column."""
+    path = scratch_path(t.spark, "staged")
+    rows = _overlong(t.lnd).withColumn("level", F.col("u_g"))
+    rows.write.partitionBy("level").option("header", True).option("nullValue", "NULL").option("emptyValue", "").csv(path)
+    return path
+
+
+@query
+def append_twice(t):
+    """Undergraduates first, then all files, then all of them again."""
+    folder, table = _staged_folder(t), LandingTable(t.spark, scratch_path(t.spark, "landing"))
+    table.append_files(f"{folder}/level=U")
+    table.append_files(f"{folder}/level=*")
+    table.append_files(f"{folder}/level=*")
+    return table.read().drop("loaded_at")
+
+
+@query
+def load_report_by_file(t):
+    folder, table = _staged_folder(t), LandingTable(t.spark, scratch_path(t.spark, "landing"))
+    table.append_files(f"{folder}/level=[GU]")
+    table.append_files(f"{folder}/level=*")
+    level = F.regexp_extract("path", "level=([^/]*)/", 1).alias("level")
+    return table.ledger().groupBy(level).agg(
+        F.sum("rows_parsed").alias("rows_parsed"), F.sum("rows_loaded").alias("rows_loaded"),
+        F.sum("rows_rejected").alias("rows_rejected"), (F.min("size") > 0).alias("has_size"),
+        F.countDistinct("load_id").alias("loads"))
+
+
+@query
+def blocked_load(t):
+    """The checks that stop a load, and how many rows are in the table after it."""
+    table = LandingTable(t.spark, scratch_path(t.spark, "landing"))
+    try:
+        checks = table.load(t.staged).checks
+    except quality.GateBlocked as blocked:
+        checks = blocked.checks
+    rows = t.spark.createDataFrame([(c["check_no"], c["name"], c["value"], c["status"]) for c in checks],
+                                   "check_no int, name string, value long, status string")
+    return rows.withColumn("table_rows", table.read().agg(F.count(F.lit(1))).scalar())
+
+
+def _catalog(t: Tables) -> CatalogStore:
+    return CatalogStore(t.spark, scratch_path(t.spark, "catalog"), f"termwise_{uuid.uuid4().hex[:12]}")
+
+
+@query
+def catalog_views(t):
+    """The rows behind each stable view after two rebuilds, and the stored tables that are left."""
+    store = _catalog(t)
+    build.rebuild(t.lnd.limit(0), store)
+    t.spark.sql(f"CREATE VIEW {store.name('fct_attrition_rate')} AS SELECT 1 AS stale")
+    build.rebuild(t.lnd, store)
+    counts = [store.read(v).agg(F.lit(v).alias("view_name"), F.count(F.lit(1)).alias("n_rows")) for v in layers.REPORT_VIEWS]
+    left = t.spark.sql(f"SHOW TABLES IN {store.database()}").collect()
+    stale = sum(r.tableName in layers.STALE_VIEWS for r in left)
+    versions = sum("__v" in r.tableName for r in left)
+    return reduce(DataFrame.unionByName, counts).withColumns({"n_stale": F.lit(stale), "n_stored": F.lit(versions)})
+
+
+@query
+def failed_rebuild(t):
+    """What a stable name shows when a later rebuild broke after some tables."""
+    store = _catalog(t)
+    with store.rebuild():
+        store.replace(staging.stg_student_enrollment(t.lnd), "stg_student_enrollment", "STG")
+        store.replace(t.calendar, "stg_term_calendar", "STG")
+    try:
+        with store.rebuild():
+            store.replace(t.calendar.limit(1), "stg_term_calendar", "STG")
+            store.replace(t.lnd.select("no_such_column"), "stg_student_enrollment", "STG")
+    except PySparkException:
+        pass
+    seen = store.read("stg_student_enrollment", "STG").groupBy("term_code").agg(F.count(F.lit(1)).alias("n_rows"))
+    left = t.spark.sql(f"SHOW TABLES IN {store.database('STG')}").filter("tableName LIKE '%__v%'").count()
+    return store.read("stg_term_calendar", "STG").join(seen, F.col("current_term") == F.col("term_code")).select(
+        "current_term", "next_major_term", "n_rows", F.lit(left).alias("n_stored"))
+
+
 @query
 def seed_lookups(t):
     rows = staging.decode_codes(t.typed)

@@ -27,7 +27,11 @@ CHECK_NAMES = (
 
 
 class GateBlocked(RuntimeError):
-    """A staged file failed its checks and must not be loaded."""
+    """A staged file failed its checks and must not be loaded; ``checks`` has all nine."""
+
+    def __init__(self, message: str, checks: list[dict]):
+        super().__init__(message)
+        self.checks = checks
 
 
 def check_status(value: Column, expect_zero: Column) -> Column:
@@ -47,8 +51,8 @@ def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def qc_checks(staged: DataFrame) -> DataFrame:
-    """The nine checks as (check_no, name, value, status): one pass plus the duplicate count.
+def row_checks() -> dict[int, Column]:
+    """The value of each check that counts rows, by its number: aggregates of one pass.
 
     As in plain SQL, a NULL is neither inside nor outside a list, so it passes.
     """
@@ -61,7 +65,7 @@ def qc_checks(staged: DataFrame) -> DataFrame:
         | ~F.right(term, F.lit(2)).isin(*TERM_SUFFIXES)
         | ~term.rlike("^[0-9]{6}$")
     )
-    values = {
+    return {
         1: F.count(F.lit(1)),
         2: F.count_if(missing),
         3: F.count_if(bad_term),
@@ -71,10 +75,10 @@ def qc_checks(staged: DataFrame) -> DataFrame:
         8: _outside("regstat", REGSTATS),
         9: _outside("academic_state", ACADEMIC_STATES),
     }
-    one_pass = staged.agg(*[v.cast("bigint").alias(f"c{n}") for n, v in values.items()])
-    counted = one_pass.select(
-        F.inline(F.array(*[F.struct(F.lit(n).alias("check_no"), F.col(f"c{n}").alias("value")) for n in values]))
-    ).unionByName(duplicate_groups(staged, GRAIN).select(F.lit(4).alias("check_no"), "value"))
+
+
+def _judged(counted: DataFrame) -> DataFrame:
+    """(check_no, value) with the name and status of each check."""
     names = F.array(*[F.lit(name) for name in CHECK_NAMES])
     return counted.select(
         "check_no",
@@ -84,6 +88,16 @@ def qc_checks(staged: DataFrame) -> DataFrame:
     )
 
 
+def qc_checks(staged: DataFrame) -> DataFrame:
+    """The nine checks as (check_no, name, value, status): one pass plus the duplicate count."""
+    values = row_checks()
+    one_pass = staged.agg(*[v.cast("bigint").alias(f"c{n}") for n, v in values.items()])
+    counted = one_pass.select(
+        F.inline(F.array(*[F.struct(F.lit(n).alias("check_no"), F.col(f"c{n}").alias("value")) for n in values]))
+    ).unionByName(duplicate_groups(staged, GRAIN).select(F.lit(4).alias("check_no"), "value"))
+    return _judged(counted)
+
+
 def qc_summary(checks: DataFrame) -> DataFrame:
     """One row: how many checks passed and failed, and whether the load may run."""
     failed = F.count_if(F.col("status") == "FAIL").cast("bigint")
@@ -95,10 +109,16 @@ def qc_summary(checks: DataFrame) -> DataFrame:
     )
 
 
-def require_pass(staged: DataFrame) -> list:
-    """Run the gate; raise ``GateBlocked`` naming every failed check."""
-    rows = qc_checks(staged).orderBy("check_no").collect()
-    failed = [f"{r['name']} (value={r['value']})" for r in rows if r["status"] == "FAIL"]
+def require_values(values: dict[int, int]) -> list[dict]:
+    """The checks of counted ``values``; raises ``GateBlocked`` naming every failed one."""
+    checks = [{"check_no": n, "name": CHECK_NAMES[n - 1], "value": v,
+               "status": "PASS" if (v > 0 if n == 1 else v == 0) else "FAIL"} for n, v in sorted(values.items())]
+    failed = [f"{c['name']} (value={c['value']})" for c in checks if c["status"] == "FAIL"]
     if failed:
-        raise GateBlocked(f"{len(rows) - len(failed)} passed / {len(failed)} failed: " + "; ".join(failed))
-    return rows
+        raise GateBlocked(f"{len(checks) - len(failed)} passed / {len(failed)} failed: " + "; ".join(failed), checks)
+    return checks
+
+
+def require_pass(staged: DataFrame) -> list[dict]:
+    """Run the gate on its own; raise ``GateBlocked`` naming every failed check."""
+    return require_values({r["check_no"]: r["value"] for r in qc_checks(staged).collect()})

@@ -5,27 +5,29 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from termwise.operators.datatests import run_tests
 from termwise.operators.governance import mark_identifiers
-from termwise.operators.quality import require_pass
 from termwise.plans import episodes as ep
 from termwise.plans import facts, staging
-from termwise.sources.landing import load_landing, load_report, split_by_constraints
-from termwise.sources.layers import LayerStore, create_report_views, drop_stale_views, with_audit
+from termwise.sources.catalog import CatalogStore
+from termwise.sources.layers import REPORT_VIEWS, LayerStore, create_report_views, drop_stale_views, with_audit
+from termwise.sources.loads import LandingTable
 
 
 @dataclass
 class BuildResult:
-    """What was built, its data tests, what the load did, and the rows it left out with the reason."""
+    """What was built, its data tests, what the load did in all and per file, and the rows it left out with the reason."""
 
     tables: dict[str, DataFrame]
     tests: DataFrame
     report: DataFrame
     rejects: DataFrame
+    files: DataFrame
 
 
-def build_tables(landing: DataFrame, store: LayerStore) -> dict[str, DataFrame]:
+def build_tables(landing: DataFrame, store: LayerStore | CatalogStore) -> dict[str, DataFrame]:
     """Rebuild the staged and report tables from landing, each written once.
 
     What depends on a table reads it back: a narrow columnar scan instead of the
@@ -52,20 +54,29 @@ def build_tables(landing: DataFrame, store: LayerStore) -> dict[str, DataFrame]:
     return tables
 
 
+def rebuild(landing: DataFrame, store: CatalogStore) -> dict[str, DataFrame]:
+    """`build_tables` as one versioned rebuild with its views; a failure leaves the former tables as they were."""
+    with store.rebuild():
+        build_tables(landing, store)
+    store.drop_stale()
+    store.create_report_views()
+    return {table: mark_identifiers(store.read(view)) for view, (_, table) in REPORT_VIEWS.items()}
+
+
 def build(staged: DataFrame, store: LayerStore, full_refresh: bool = True) -> BuildResult:
     """The daily batch: gate, load, rebuild, views, tests.
 
-    Nothing is loaded unless every check passes. Rows that break a landing
-    constraint are stored beside the landing table, and the report, stored too,
-    counts them.
+    Nothing is loaded unless every check passes. The staged rows are read once:
+    what is written, checked and reported is the same pass. Rows that break a
+    landing constraint stand beside the landing table, and the report, stored
+    too, counts them.
     """
-    require_pass(staged)
-    landing_path = store.path("student_enrollment", "LND")
-    rejects = store.replace(split_by_constraints(staged).rejected, "student_enrollment_rejects", "LND")
-    load_landing(staged, landing_path, full_refresh)
-    landing = store.spark.read.parquet(landing_path)
-    report = store.replace(load_report(staged, landing), "load_report", "LND")
-    tables = build_tables(landing, store)
+    landing = LandingTable(store.spark, store.path("student_enrollment", "LND"))
+    loaded = landing.load(staged, full_refresh)
+    total = loaded.report.agg(*(F.sum(x).alias(x) for x in ("rows_parsed", "rows_loaded", "rows_rejected")))
+    report = store.replace(total.withColumn("table_rows", landing.read().agg(F.count(F.lit(1))).scalar()), "load_report", "LND")
+    rejects = store.replace(landing.rejects(), "student_enrollment_rejects", "LND")
+    tables = build_tables(landing.read(), store)
     drop_stale_views(store.spark)
     create_report_views(tables)
-    return BuildResult(tables, run_tests(tables), report, rejects)
+    return BuildResult(tables, run_tests(tables), report, rejects, loaded.report)

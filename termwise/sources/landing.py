@@ -32,18 +32,17 @@ LANDING_NAMES = [name for name, _, _ in LANDING_COLUMNS]
 # Text that stands for NULL in the staged file.
 NULL_TOKENS = ("", "NULL", "null")
 
-_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 STAGED_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in LANDING_NAMES])
 
 
-def scan_staged(spark: SparkSession, path: str, with_file: bool = False) -> DataFrame:
+def scan_staged(spark: SparkSession, path: str | list[str], with_file: bool = False) -> DataFrame:
     """The staged CSV as text columns, bound by position, nothing loaded yet.
 
     Header names are ignored, a short line leaves its last columns NULL, and
     each of the three null tokens reads as NULL. ``line_fault`` says what is
     wrong with a line that has more fields than there are columns. ``with_file``
-    adds the name of the file each row came from.
+    adds the path of the file each row came from.
     """
     raw = (
         spark.read.schema(T.StructType([*STAGED_SCHEMA.fields, T.StructField("_line", T.StringType())]))
@@ -56,10 +55,10 @@ def scan_staged(spark: SparkSession, path: str, with_file: bool = False) -> Data
         .csv(path)
     )
     tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
-    file = ["_metadata.file_name AS source_file"] if with_file else []
+    file = ["_metadata.file_path AS source_file"] if with_file else []
     # The line itself is kept only where its fields do not match the columns; commas in quotes part nothing.
-    fault = (f"CASE WHEN size(split(_line, '{_COMMA}')) > {len(LANDING_NAMES)}"
-             f" THEN 'more than {len(LANDING_NAMES)} fields' END AS line_fault")
+    fields = "regexp_count(regexp_replace(_line, '\"[^\"]*\"', ''), ',') + 1"
+    fault = f"CASE WHEN {fields} > {len(LANDING_NAMES)} THEN 'more than {len(LANDING_NAMES)} fields' END AS line_fault"
     return raw.selectExpr(*[f"CASE WHEN {c} NOT IN ({tokens}) THEN {c} END AS {c}" for c in LANDING_NAMES], fault, *file)
 
 

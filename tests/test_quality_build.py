@@ -52,7 +52,7 @@ def test_report_per_file(spark, tmp_path):
         (tmp_path / name).write_text("\n".join(["header", *lines]) + "\n")
     staged = landing.scan_staged(spark, str(tmp_path), with_file=True)
     loaded = landing.split_by_constraints(staged).accepted
-    got = sorted(tuple(r) for r in landing.load_report(staged, loaded, by_file=True).collect())
+    got = sorted((r[0].rsplit("/", 1)[1], *r[1:]) for r in landing.load_report(staged, loaded, by_file=True).collect())
     assert got == [("a.csv", 2, 1, 1, 2), ("b.csv", 1, 1, 0, 2)]
 
 
