@@ -475,6 +475,26 @@ SELECT current_term, CASE WHEN w > 0 THEN CAST((2 * n + 100 * w) // (200 * w) AS
   AS adjusted_retention_rate_pct
 FROM (SELECT current_term, sum(CAST(round(adjusted_retention_rate * 10000) AS HUGEINT) * eligible_prior_students) AS n,
         sum(eligible_prior_students) AS w FROM rett GROUP BY 1) x""")
+_HEADS = """count(DISTINCT student_id) AS student_count, count(DISTINCT CASE WHEN pell = 'Y' THEN student_id END) AS pell_student_count,
+  count(DISTINCT CASE WHEN firstgen = 'Y' THEN student_id END) AS firstgen_enrollment_count,
+  count(DISTINCT CASE WHEN creditenr >= 12 THEN student_id END) AS full_time_students,
+  count(DISTINCT CASE WHEN creditenr < 12 THEN student_id END) AS part_time_students"""
+_HEAD_DIMS = ("term_code", "u_g", "school", "pell", "gender", "firstgen")
+O["headcounts_from_bitmaps"] = using("stg", " UNION ALL ".join(
+    "SELECT " + ", ".join(d if d in by.split() else f"CAST(NULL AS STRING) AS {d}" for d in _HEAD_DIMS)
+    + f", '{by}' AS grouping, {_HEADS} FROM stg WHERE u_g IS NOT NULL AND degtype IS NOT NULL" + (f" GROUP BY {', '.join(by.split())}" if by else "")
+    for by in ("term_code u_g", "school pell", "gender firstgen term_code", "")))
+O["headcount_cube"] = using("enr", f"""
+SELECT term_code, u_g, pell, CAST(grouping_id(term_code, u_g, pell) AS BIGINT) AS grouping_id, {_HEADS}
+FROM enr GROUP BY CUBE (term_code, u_g, pell)""")
+O["student_numbers"] = using("enr", """
+SELECT count(DISTINCT student_id) AS students, count(DISTINCT student_id) AS distinct_students,
+  count(DISTINCT student_id) AS numbers, 0 AS least, count(DISTINCT student_id) - 1 AS greatest FROM enr""", edge=True)
+O["rate_cube"] = using("grad", f"""
+SELECT cohort_year, school, pell, CAST(grouping_id(cohort_year, school, pell) AS BIGINT) AS grouping_id,
+  CAST(sum(graduated_count) AS BIGINT) AS graduated_count, CAST(sum(cohort_size) AS BIGINT) AS cohort_size,
+  {rate('sum(graduated_count)', 'sum(cohort_size)')} AS graduation_rate_pct
+FROM grad GROUP BY CUBE (cohort_year, school, pell)""")
 O["current_term"] = using("enr", "SELECT max(term_code) AS current_term FROM enr")
 
 

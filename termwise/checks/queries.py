@@ -22,6 +22,7 @@ from termwise.operators import conversation, datatests, documents, governance, p
 from termwise.operators.datatests import DataTest
 from termwise.plans import asks, build, facts, semantic, staging
 from termwise.plans import episodes as ep
+from termwise.plans import headcounts as headcount
 from termwise.session import scratch_path
 from termwise.sources import landing, layers
 from termwise.sources.catalog import CatalogStore
@@ -542,6 +543,40 @@ def weighted_rate(t):
                                   "eligible_prior_students", "adjusted_retention_rate_pct")
 
 
+@query
+def rate_cube(t):
+    return semantic.rate_cube(t.grad, ["cohort_year", "school", "pell"], "graduated_count", "cohort_size", "graduation_rate_pct")
+
+
+def _bitmaps(t) -> DataFrame:
+    store = layers.LayerStore(t.spark, scratch_path(t.spark, "headcounts"))
+    typed = store.replace(t.typed, "stg_student_enrollment", "STG")
+    numbers = store.replace(headcount.student_numbers(typed), "student_numbers")
+    return store.replace(headcount.headcount_bitmaps(typed, numbers), "headcount_bitmaps")
+
+
+@query
+def headcounts_from_bitmaps(t):
+    """Distinct students at several groupings, all from the same stored bitmaps."""
+    stored = _bitmaps(t)
+    found = [headcount.headcounts(stored, by).withColumn("grouping", F.lit(" ".join(by)))
+             for by in (["term_code", "u_g"], ["school", "pell"], ["gender", "firstgen", "term_code"], [])]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
+
+
+@query
+def headcount_cube(t):
+    return headcount.headcount_cube(_bitmaps(t), ["term_code", "u_g", "pell"])
+
+
+@query(edge=True)
+def student_numbers(t):
+    """That numbers are dense: as many as students, from 0 to one less."""
+    numbers = headcount.student_numbers(t.typed)
+    return numbers.agg(F.count(F.lit(1)).alias("students"), F.countDistinct("student_id").alias("distinct_students"),
+                       F.countDistinct("number").alias("numbers"), F.min("number").alias("least"), F.max("number").alias("greatest"))
+
+
 @query
 def current_term(t):
     return questions.current_term(t.enrollment)
