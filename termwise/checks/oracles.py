@@ -790,6 +790,10 @@ def _profile(position: int, column: str) -> str:
 
 O["profile_columns"] = using("lnd", " UNION ALL ".join(
     _profile(i, c) for i, c in enumerate(landing.LANDING_NAMES)))
+# A column of many values is not counted: far more than 200 of them at any size.
+O["profile_bounded"] = using("lnd", "SELECT * REPLACE (CASE WHEN distinct_values < 180 "
+                                    "THEN distinct_values END AS distinct_values) FROM (" + " UNION ALL ".join(
+    _profile(i, c) for i, c in enumerate(landing.LANDING_NAMES)) + ") p")
 O["series_table"] = using("enr", """
 SELECT term_code AS x, pell AS series, CAST(count(DISTINCT student_id) AS DOUBLE) AS y, 'line' AS kind
 FROM enr GROUP BY 1, 2""")

@@ -77,11 +77,11 @@ class Tables:
 
     @cached_property
     def grad(self) -> DataFrame:
-        return facts.fct_graduation_rate(self.episodes, ep.entry_terms(self.typed))
+        return facts.fct_graduation_rate(self.episodes)
 
     @cached_property
     def retention(self) -> DataFrame:
-        return facts.fct_retention_rate_cohort(self.episodes, ep.entry_terms(self.typed))
+        return facts.fct_retention_rate_cohort(self.episodes)
 
     @cached_property
     def grad_term(self) -> DataFrame:
@@ -759,7 +759,7 @@ def leak_scan(t):
         F.lower("student_id").alias("reference"), "school", "term_code",
         F.concat_ws(" ", F.lit("term"), "term_code", F.lit("of"), "student_id").alias("note"),
         F.col("program_episode_id").alias("episode"), F.array("school", "student_id").alias("seen"))
-    return governance.leak_scan(output, fact.select("student_id"))
+    return governance.leak_scan(output, t.typed.select("student_id"))
 
 
 @query
@@ -902,6 +902,11 @@ def profile_columns(t):
     return profile.profile_columns(t.lnd)
 
 
+@query
+def profile_bounded(t):
+    return profile.bounded_profile(t.lnd)
+
+
 @query
 def series_table(t):
     heads = semantic.student_heads(t.enrollment, ["term_code", "pell"], {})

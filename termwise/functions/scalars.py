@@ -36,6 +36,6 @@ def joined_key(*parts: str) -> Column:
     return F.expr(" || '-' || ".join(f"CAST({part} AS STRING)" for part in parts))
 
 
-def is_number_text(value: str) -> Column:
+def is_number_text(value: str | Column) -> Column:
     """Whether text reads as a plain number (sign, point and exponent allowed)."""
-    return F.col(value).rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
+    return (F.col(value) if isinstance(value, str) else value).rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")

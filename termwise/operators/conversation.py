@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from termwise.operators.skew import balanced_join
-
 # Messages kept as history, and as context for a follow-up.
 HISTORY_MESSAGES = 20
 CONTEXT_MESSAGES = 6
@@ -40,8 +38,7 @@ def recent_transcript(messages: DataFrame, n: int = CONTEXT_MESSAGES) -> DataFra
 
 def with_context(questions: DataFrame, messages: DataFrame, n: int = CONTEXT_MESSAGES) -> DataFrame:
     """Put the recent transcript before each question; no history leaves it unchanged."""
-    # A transcript is wide, so few are ever broadcast.
-    joined = balanced_join(questions, recent_transcript(messages, n), ["conv_id"], "left", hot_keys=100)
+    joined = questions.join(recent_transcript(messages, n), "conv_id", "left")
     return joined.withColumn(
         "question_in_context",
         F.when(F.col("transcript").isNull(), F.col("question")).otherwise(

@@ -11,8 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termwise.operators.skew import HOT_ROWS, balanced_join
-
 # Chunk size and overlap in characters, and where a text may be cut.
 CHUNK_SIZE, CHUNK_OVERLAP = 800, 100
 CUTS = ("\n\n", "\n", ". ", " ")
@@ -152,10 +150,10 @@ def embed_chunks(chunks: DataFrame, make_encoder: Callable[[], Callable], name:
     return chunks.mapInPandas(run, schema)
 
 
-def upsert_chunks(stored: DataFrame, loaded: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def upsert_chunks(stored: DataFrame, loaded: DataFrame) -> DataFrame:
     """Replace every re-loaded source; a source that yields no chunk keeps its old ones."""
     fresh = loaded.select("source").distinct()
-    return balanced_join(stored, fresh, ["source"], "left_anti", hot_rows=hot_rows).unionByName(loaded)
+    return stored.join(fresh, "source", "left_anti").unionByName(loaded)
 
 
 def list_sources(chunks: DataFrame) -> DataFrame:

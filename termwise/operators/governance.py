@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,112 +30,28 @@ def mark_identifiers(df: DataFrame, columns=IDENTIFIER_COLUMNS) -> DataFrame:
     return df
 
 
-# The aggregates that may be taken of an identifier.
-_SUMMARIES = ("count", "avg", "sum", "min", "max")
-
-
-def _items(seq) -> list:
-    """A Scala sequence as a list."""
-    return [seq.apply(i) for i in range(seq.size())]
-
-
-def _kind(node) -> str:
-    return node.getClass().getSimpleName()
-
-
-def _named(text: str) -> list[int]:
-    """The attribute ids in a printed sequence or set of attributes.
-
-    One call to the JVM for all of them. A column name that looks like an id can
-    only add one, which errs on the safe side.
-    """
-    return [int(x) for x in re.findall(r"#(\d+)L?(?=, |[)}])", text)]
-
-
-def _outputs(plan) -> list[int]:
-    seq = plan.output()
-    found = _named(seq.toString())
-    return found if len(found) == seq.size() else [x.exprId().id() for x in _items(seq)]
-
-
-def _tagged(plan, output: list[int]) -> set[int]:
-    """Output attributes that bear the tag themselves."""
-    schema = plan.schema().json()
-    if '"identifier"' not in schema:
-        return set()
-    return {i for i, field in zip(output, json.loads(schema)["fields"]) if field["metadata"].get("identifier")}
-
-
-def _shows(expression, exposed: set[int], tables: dict) -> bool:
-    """Whether an expression's value is made from an exposed attribute outside of a summary."""
-    kind = _kind(expression)
-    if kind == "AttributeReference":
-        return expression.exprId().id() in exposed
-    if kind == "AggregateExpression" and expression.aggregateFunction().prettyName() in _SUMMARIES:
-        return False
-    if kind in ("Exists", "InSubquery", "ListQuery"):
-        # A test of membership in the subquery; what is tested for may still show.
-        return any(_shows(x, exposed, tables) for x in _items(expression.children())
-                   if _kind(x) not in ("ListQuery", "Exists"))
-    if kind in ("ScalarSubquery", "LateralSubquery"):
-        return bool(_exposed(expression.plan(), tables))
-    if kind == "WindowExpression":
-        # What a window is split and ordered by does not show in its value.
-        return _shows(expression.windowFunction(), exposed, tables)
-    return any(_shows(x, exposed, tables) for x in _items(expression.children()))
-
-
-_MADE = {"Project": "projectList", "Aggregate": "aggregateExpressions", "Window": "windowExpressions"}
-
-
-def _exposed(plan, tables: dict) -> set[int]:
-    """Ids of the plan's output attributes that carry an identifier's value.
-
-    Follows values through the analysed plan, from columns tagged at any place.
-    A node that makes new columns out of exposed ones in ways not named here
-    exposes them all. ``tables`` holds what is exposed of each named subquery.
-    """
-    kind, output = _kind(plan), _outputs(plan)
-    if kind == "CTERelationRef":
-        return {i for i, shown in zip(output, tables[plan.cteId()]) if shown}
-    children = _items(plan.children())
-    known: set[int] = set()
-    for child in children:
-        below = _exposed(child, tables)
-        known |= below
-        if _kind(child) == "CTERelationDef":
-            tables[child.id()] = [i in below for i in _outputs(child)]
-    found = _tagged(plan, output) | (known & set(output))
-    if kind in _MADE:
-        made = getattr(plan, _MADE[kind])()
-        # Looked into only where something exposed is named or a subquery is held.
-        if known & set(_named(plan.references().toString())) or "subquery" in made.toString():
-            found |= {x.exprId().id() for x in _items(made) if _shows(x, known, tables)}
-        return found
-    if kind in ("Union", "Intersect", "Except"):
-        sides = zip(*[_outputs(x) for x in children])
-        return found | {i for i, column in zip(output, sides) if known.intersection(column)}
-    fresh = set(output) - {i for child in children for i in _outputs(child)}
-    if fresh and children and known & set(_named(plan.references().toString())):
-        found |= fresh
-    return found
+def identifier_columns(df: DataFrame) -> list[str]:
+    """Output columns that bear the tag, or have a field that does."""
 
+    def tagged(field: T.StructField) -> bool:
+        kind = field.dataType
+        while isinstance(kind, T.ArrayType):
+            kind = kind.elementType
+        return bool(field.metadata.get("identifier")) or isinstance(kind, T.StructType) and any(map(tagged, kind.fields))
 
-def identifier_columns(df: DataFrame) -> list[str]:
-    """Output columns through which an identifier's value would leave, as such or inside another value."""
-    plan = df._jdf.queryExecution().analyzed()
-    exposed = _exposed(plan, {})
-    return [name for name, i in zip(df.columns, _outputs(plan)) if i in exposed]
+    return [f.name for f in df.schema.fields if tagged(f)]
 
 
-def release(df: DataFrame) -> DataFrame:
+def release(df: DataFrame, identifiers: DataFrame | None = None) -> DataFrame:
     """Pass the frame on, or refuse if an identifier would be returned un-aggregated.
 
-    Using identifiers to filter, join, group by or order by is fine, as long as
-    no output holds one. `leak_scan` looks at the values themselves, for frames
-    that have lost their tags by being written and read.
+    Tags tell of columns handed on as they are. A value made from an identifier
+    has lost its tag: with ``identifiers`` given, the values themselves are looked
+    through as well, by a `leak_scan` job over the output.
     """
     exposed = identifier_columns(df)
+    if not exposed and identifiers is not None:
+        exposed = [r.column_name for r in leak_scan(df, identifiers).filter("leaked_rows > 0").collect()]
     if exposed:
         raise ReleaseRefused(exposed)
     return df
@@ -161,7 +74,7 @@ def leak_scan(output: DataFrame, identifiers: DataFrame) -> DataFrame:
     if not texts:
         return output.sparkSession.createDataFrame([], "column_name string, leaked_rows long")
     known = (identifiers.toDF("value").filter("value IS NOT NULL")
-             .select(F.upper(F.col("value").cast("string")).alias("word")).distinct())
+             .select(F.upper(F.col("value").cast("string")).alias("word")).distinct().withColumn("known", F.lit(1)))
     cells = output.select(F.inline(F.array(*[
         F.struct(F.lit(name).alias("column_name"), F.col(f"`{name}`").cast("string").alias("value"))
         for name in texts])))
@@ -170,12 +83,12 @@ def leak_scan(output: DataFrame, identifiers: DataFrame) -> DataFrame:
     words = F.array_distinct(F.concat(
         F.array(value, F.trim(value)), F.regexp_extract_all(value, F.lit("[\\p{L}\\p{N}_]+"), F.lit(0)),
         F.regexp_extract_all(value, F.lit("[\\p{L}\\p{N}_-]+"), F.lit(0))))
-    hits = (counted.select("column_name", "value", F.explode(words).alias("word"))
-            .join(known, "word", "left_semi").select("column_name", "value").distinct())
-    leaked = counted.join(hits, ["column_name", "value"], "left_semi").groupBy("column_name").agg(
-        F.sum("n").alias("_leaked"))
-    return (counted.groupBy("column_name").agg(F.sum("n").alias("_rows")).join(leaked, "column_name", "left")
-            .select("column_name", F.coalesce("_leaked", F.lit(0)).alias("leaked_rows")))
+    # The output is worked out once: every word carries its value's count, and a value is counted once.
+    per_value = (counted.select("column_name", "value", "n", F.explode_outer(words).alias("word"))
+                 .join(known, "word", "left").groupBy("column_name", "value")
+                 .agg(F.first("n").alias("n"), F.max("known").alias("known")))
+    return per_value.groupBy("column_name").agg(
+        F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("leaked_rows"))
 
 
 def _can_hold_text(kind: T.DataType) -> bool:

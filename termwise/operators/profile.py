@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from termwise.functions.scalars import is_number_text
+from termwise.session import scratch_path
 
 # Column-name patterns (case-insensitive) and cardinality bounds.
 TIME_NAME = re.compile(r"\b(term|year|semester)\b|term_code|term_year|cohort_year|current_term", re.IGNORECASE)
@@ -17,6 +18,8 @@ METRIC_NAME = re.compile(r"rate|pct|percent|count|students|gpa|credit", re.IGNOR
 CODE_NAME = re.compile(r"term_code|^current_term$", re.IGNORECASE)
 RATE_NAME = re.compile(r"rate|pct|percent", re.IGNORECASE)
 AXIS_VALUES, GROUP_VALUES = 50, 12
+# A sketch this far from the bounds leaves no doubt.
+NARROW = 4 * AXIS_VALUES
 
 
 def is_time_axis(name: str) -> bool:
@@ -58,6 +61,32 @@ def profile_columns(df: DataFrame) -> DataFrame:
     )
 
 
+def bounded_profile(df: DataFrame) -> DataFrame:
+    """`profile_columns` without turning cells into rows: what the choice of a series needs, and no more.
+
+    Counts, number tests and a sketch of distinct values are plain aggregates of one
+    pass, combined within tasks. Only columns that the sketch puts near the bounds are
+    counted exactly, by sets that are small; ``distinct_values`` of a wider column is NULL.
+    """
+    fields = df.schema.fields
+    texts = [F.col(f"`{f.name}`").cast("string") for f in fields]
+    sketched = df.agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(x).alias(f"f{i}") for i, x in enumerate(texts)],
+        *[F.count_if(is_number_text(x)).alias(f"m{i}") for i, x in enumerate(texts)],
+        *[F.hll_sketch_estimate(F.hll_sketch_agg(x)).alias(f"d{i}") for i, x in enumerate(texts)]).first()
+    narrow = [i for i in range(len(fields)) if (sketched[f"d{i}"] or 0) <= NARROW]
+    sets = df.agg(F.lit(0), *[F.size(F.collect_set(texts[i])).alias(f"s{i}") for i in narrow]).first()
+    rows = []
+    for i, f in enumerate(fields):
+        filled, numbers = sketched[f"f{i}"], sketched[f"m{i}"]
+        typed = isinstance(f.dataType, (T.NumericType, T.BooleanType))
+        rows.append((i, f.name, sketched["n"], filled, numbers, sets[f"s{i}"] if i in narrow else None,
+                     typed or numbers == filled, is_time_axis(f.name), bool(METRIC_NAME.search(f.name))))
+    return df.sparkSession.createDataFrame(rows, (
+        "position int, column_name string, n_rows long, non_null long, numeric_values long, distinct_values long, "
+        "is_numeric boolean, is_time_axis boolean, is_metric_name boolean"))
+
+
 @dataclass(frozen=True)
 class SeriesChoice:
     x: str
@@ -70,6 +99,10 @@ class SeriesChoice:
     code_axis: bool
 
 
+def _at_most(column: dict, bound: int) -> bool:
+    return column["distinct_values"] is not None and column["distinct_values"] <= bound
+
+
 def choose_series(profile: list[dict], question: str | None = None,
                   values: dict[str, list[str]] | None = None) -> SeriesChoice | None:
     """What to plot, from the profile rows; None when the result has no such shape.
@@ -81,7 +114,7 @@ def choose_series(profile: list[dict], question: str | None = None,
     if not columns or columns[0]["n_rows"] < 2:
         return None
     axes = [c for c in columns if c["is_time_axis"]] or [
-        c for c in columns if not c["is_numeric"] and c["distinct_values"] <= AXIS_VALUES]
+        c for c in columns if not c["is_numeric"] and _at_most(c, AXIS_VALUES)]
     if not axes:
         return None
     x = axes[0]["column_name"]
@@ -94,7 +127,7 @@ def choose_series(profile: list[dict], question: str | None = None,
     group = None
     for c in columns if question else ():
         name = c["column_name"]
-        if name == x or c["is_numeric"] or not 1 < c["distinct_values"] <= GROUP_VALUES:
+        if name == x or c["is_numeric"] or not _at_most(c, GROUP_VALUES) or c["distinct_values"] < 2:
             continue
         named = name.lower().replace("_", " ") in asked
         if named or any(str(v).lower() in asked for v in (values or {}).get(name, ())):
@@ -116,7 +149,7 @@ def choose_series(profile: list[dict], question: str | None = None,
 def split_values(df: DataFrame, profile: list[dict]) -> dict[str, list[str]]:
     """Distinct values of the columns with few enough of them to split by."""
     names = [c["column_name"] for c in profile
-             if not c["is_numeric"] and 1 < c["distinct_values"] <= GROUP_VALUES]
+             if not c["is_numeric"] and _at_most(c, GROUP_VALUES) and c["distinct_values"] > 1]
     if not names:
         return {}
     row = df.agg(*[F.collect_set(F.col(f"`{n}`").cast("string")).alias(n) for n in names]).first()
@@ -124,17 +157,26 @@ def split_values(df: DataFrame, profile: list[dict]) -> dict[str, list[str]]:
 
 
 def plan_series(df: DataFrame, question: str | None = None) -> SeriesChoice | None:
-    profile = [r.asDict() for r in profile_columns(df).collect()]
+    profile = [r.asDict() for r in bounded_profile(df).collect()]
     return choose_series(profile, question, split_values(df, profile) if question else None)
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "result")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def series_table(df: DataFrame, question: str | None = None, choice: SeriesChoice | None = None) -> DataFrame | None:
     """The result in long form ``(x, series, y, kind)``, in axis order.
 
     Term codes sort as numbers and are then given as text, so that an axis shows
-    them as categories in calendar order.
+    them as categories in calendar order. Without a ``choice`` the result is first
+    written, as choosing reads it before its rows are laid out.
     """
-    choice = choice or plan_series(df, question)
+    if choice is None:
+        df = _stored(df)
+        choice = plan_series(df, question)
     if choice is None:
         return None
     axis = F.col(f"`{choice.x}`")

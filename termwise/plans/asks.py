@@ -29,6 +29,11 @@ def answer_rows(df: DataFrame, *order) -> DataFrame:
     return limited(df, *order, n=ANSWER_ROWS)
 
 
+def in_order(few: DataFrame, *order) -> DataFrame:
+    """The few finished rows of an answer in order, without first sampling them for ranges."""
+    return few.repartition(1).sortWithinPartitions(*order)
+
+
 def cohort_rate(fact: DataFrame, where: str, by: str, what: tuple[str, ...]) -> DataFrame:
     top, bottom, top_as, bottom_as, name = what
     return subset_rate(fact.filter(where), [by], top, bottom, name, 2, top_as, bottom_as)
@@ -41,27 +46,26 @@ def best_rate(fact: DataFrame, where: str, what: tuple[str, ...]) -> DataFrame:
 
 
 def pell_graduation_trend(grad: DataFrame) -> DataFrame:
-    return cohort_rate(grad, "pell = 'Y'", "cohort_year", GRADUATED).orderBy("cohort_year")
+    return in_order(cohort_rate(grad, "pell = 'Y'", "cohort_year", GRADUATED), "cohort_year")
 
 
 def first_year_retention(retention: DataFrame, level: str, school: str) -> DataFrame:
     what = (*KEPT_ONE_YEAR[:3], "eligible_cohort", KEPT_ONE_YEAR[4])
-    return cohort_rate(retention, f"u_g = '{level}' AND school = '{school}'", "cohort_year", what).orderBy(
-        "cohort_year")
+    return in_order(cohort_rate(retention, f"u_g = '{level}' AND school = '{school}'", "cohort_year", what), "cohort_year")
 
 
 def headcount(enrollment: DataFrame, where: str, by: list[str], name: str) -> DataFrame:
-    return student_heads(enrollment.filter(where), by, {}).withColumnRenamed("student_count", name).orderBy(by[0])
+    return in_order(student_heads(enrollment.filter(where), by, {}).withColumnRenamed("student_count", name), by[0])
 
 
 def graduation_by_school(grad: DataFrame, cohort_year: int) -> DataFrame:
-    return cohort_rate(grad, f"cohort_year = {cohort_year}", "school", GRADUATED).orderBy(
-        F.col("graduation_rate_pct").desc_nulls_last(), "school")
+    return in_order(cohort_rate(grad, f"cohort_year = {cohort_year}", "school", GRADUATED),
+                    F.col("graduation_rate_pct").desc_nulls_last(), "school")
 
 
 def two_year_retention(retention: DataFrame, level: str, gender: str) -> DataFrame:
-    return cohort_rate(retention, f"u_g = '{level}' AND gender = '{gender}'", "cohort_year",
-                       KEPT_TWO_YEARS).orderBy("cohort_year")
+    return in_order(cohort_rate(retention, f"u_g = '{level}' AND gender = '{gender}'", "cohort_year", KEPT_TWO_YEARS),
+                    "cohort_year")
 
 
 def term_attrition(retention_term: DataFrame, term: str, level: str) -> DataFrame:
@@ -91,7 +95,7 @@ def graduates_in_term(graduation_term: DataFrame, term: str) -> DataFrame:
 
 
 def pell_gap(grad: DataFrame) -> DataFrame:
-    return cohort_rate(grad, "pell IN ('Y', 'N')", "pell", GRADUATED).orderBy("pell")
+    return in_order(cohort_rate(grad, "pell IN ('Y', 'N')", "pell", GRADUATED), "pell")
 
 
 def risk_by_school(risk: DataFrame) -> DataFrame:

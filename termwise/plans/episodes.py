@@ -14,38 +14,43 @@ from pyspark.sql import functions as F
 
 from termwise.functions.scalars import joined_key
 from termwise.functions.terms import term_season, term_year
-from termwise.operators.skew import HOT_ROWS, balanced_join
+from termwise.plans.staging import calendar_terms
 
 EPISODE_KEY = ["student_id", "u_g", "degtype"]
 
 
-def with_cohort_flag(enrollment: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_cohort_flag(enrollment: DataFrame) -> DataFrame:
     """Mark each row that lies in its episode's first term.
 
     The first term is aggregated per key and joined back, not taken over a
-    window, so that no task has to hold all rows of one key. The key is compared
-    as a struct: rows with a NULL in it belong together, as they do in a window.
+    window, so that no task has to hold all rows of one key. Rows with a NULL in
+    the key belong together, as they do in a window.
     """
-    keyed = enrollment.withColumn("_key", F.struct(*EPISODE_KEY))
-    first = keyed.groupBy("_key").agg(F.min("term_code").alias("_first"), F.count(F.lit(1)).alias("n_rows"))
-    joined = balanced_join(keyed, first.select("_key", "_first"), ["_key"], weights=first, hot_rows=hot_rows)
-    return joined.selectExpr(
+    first = enrollment.groupBy(*[F.col(c).alias(f"_{c}") for c in EPISODE_KEY]).agg(F.min("term_code").alias("_first"))
+    same = F.lit(True)
+    for c in EPISODE_KEY:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return enrollment.join(first, same).selectExpr(
         *enrollment.columns, "CASE WHEN term_code = _first THEN 1 ELSE 0 END AS is_cohort_term_row")
 
 
 def check_terms(calendar: DataFrame) -> DataFrame:
     """Per entry term, the terms 1, 2 and 4 major terms later.
 
-    The calendar, a few dozen rows, becomes one map from each term to the next.
-    A hop is a lookup in it, so it is only taken from a term that is itself in
-    the data: a later hop is NULL once a term in between is missing.
+    A hop is a join with the calendar, so it is only taken from a term that is
+    itself in the data: a later hop is NULL once a term in between is missing.
     """
-    hops = calendar.agg(F.expr("map_from_entries(collect_list(struct(current_term, next_major_term))) AS hop"))
+    terms = calendar_terms(calendar)
+
+    def hop(at: str, to: str) -> DataFrame:
+        return F.broadcast(terms.selectExpr(f"current_term AS {at}", f"next_major_term AS {to}"))
+
     return (
-        hops.selectExpr("explode(hop) AS (cohort_term, next_term)", "hop")
-        .selectExpr("*", "try_element_at(hop, next_term) AS one_year_term")
-        .selectExpr("*", "try_element_at(hop, try_element_at(hop, one_year_term)) AS two_year_term")
-        .drop("hop")
+        terms.selectExpr("current_term AS cohort_term", "next_major_term AS next_term")
+        .join(hop("next_term", "one_year_term"), "next_term", "left")
+        .join(hop("one_year_term", "_third"), "one_year_term", "left")
+        .join(hop("_third", "two_year_term"), "_third", "left")
+        .select("cohort_term", "next_term", "one_year_term", "two_year_term")
     )
 
 

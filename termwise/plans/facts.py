@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from termwise.functions.scalars import pct
 from termwise.functions.terms import is_major_term_sql, next_major_term
-from termwise.operators.skew import HOT_ROWS, balanced_join
 from termwise.plans.episodes import EPISODE_KEY, keyed_rows
+from termwise.plans.staging import calendar_terms
 
 # Years in YYYYTT units a level needs before a cohort is judged.
 MATURITY_WINDOWS = {"U": 400, "G": 200, "D": 500}
@@ -27,12 +27,16 @@ def enrollment_rows(enrollment: DataFrame) -> DataFrame:
     return keyed_rows(enrollment)
 
 
-def fct_enrollment_term(enrollment: DataFrame, episodes: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Episode by term, each row carrying its episode id and entry term."""
+def fct_enrollment_term(enrollment: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Episode by term, each row carrying its episode id and entry term.
+
+    One equi-join on the episode key. An episode is one row, so where a key holds
+    a large share of the rows, adaptive execution splits the left side only.
+    """
     wanted = [c for c in enrollment.columns
               if c not in ("gender", "ethnicity_code", "citizen_code", "regstat_code")]
     right = episodes.select(*EPISODE_KEY, "program_episode_id", "cohort_term", "is_first_time_cohort")
-    return balanced_join(enrollment_rows(enrollment).select(*wanted), right, EPISODE_KEY, hot_rows=hot_rows)
+    return enrollment_rows(enrollment).select(*wanted).join(right, EPISODE_KEY)
 
 
 COHORT_DIMS = ["degtype", "u_g", "gender", "school", "pell", "cohort_year"]
@@ -59,25 +63,40 @@ def matured_cohorts(episodes: DataFrame, entries: DataFrame | None = None) -> Da
         F.expr(f"{ENTERED} + {MATURITY_SQL}") <= newest_cohort(episodes if entries is None else entries))
 
 
-def fct_graduation_rate(episodes: DataFrame, entries: DataFrame | None = None) -> DataFrame:
-    return _cohorts(matured_cohorts(episodes, entries)).groupBy(*COHORT_DIMS).agg(
-        F.expr("count(*) AS cohort_size"),
-        F.expr("sum(graduated_flag) AS graduated_count"),
-        pct("sum(graduated_flag)", "count(*)").alias("graduation_rate_pct"),
+def _cohort_counts(episodes: DataFrame, **sums: str) -> DataFrame:
+    """Sums over first-time episodes per entry term and attributes, beside the newest entry term of any episode.
+
+    The episodes are read once: their counts, as few as there are entry terms and
+    attributes, also hold the newest term.
+    """
+    first_time = "is_first_time_cohort = 1"
+    counted = _cohorts(episodes).groupBy(*COHORT_DIMS, "cohort_term").agg(
+        F.expr(f"count_if({first_time}) AS cohort_size"),
+        *[F.expr(f"sum(CASE WHEN {first_time} THEN {value} ELSE 0 END) AS {name}") for name, value in sums.items()])
+    return counted.withColumn("newest", F.expr(f"max({ENTERED}) OVER ()")).filter("cohort_size > 0")
+
+
+def fct_graduation_rate(episodes: DataFrame) -> DataFrame:
+    matured = _cohort_counts(episodes, graduated="graduated_flag").filter(f"{ENTERED} + {MATURITY_SQL} <= newest")
+    return matured.groupBy(*COHORT_DIMS).agg(
+        F.expr("sum(cohort_size) AS cohort_size"),
+        F.expr("sum(graduated) AS graduated_count"),
+        pct("sum(graduated)", "sum(cohort_size)").alias("graduation_rate_pct"),
     )
 
 
-def fct_retention_rate_cohort(episodes: DataFrame, entries: DataFrame | None = None) -> DataFrame:
+def fct_retention_rate_cohort(episodes: DataFrame) -> DataFrame:
     """One- and two-year retention; a cohort too young keeps its row with a NULL rate."""
-    newest = newest_cohort(episodes if entries is None else entries)
-    judged = _cohorts(episodes.filter("is_first_time_cohort = 1")).withColumn("newest", newest)
-    one = f"{ENTERED} + {ONE_YEAR} <= newest AND graduated_before_one_year_mark = 0"
-    two = f"{ENTERED} + {TWO_YEARS} <= newest AND graduated_before_two_year_mark = 0"
+    one_open, two_open = "graduated_before_one_year_mark = 0", "graduated_before_two_year_mark = 0"
+    judged = _cohort_counts(
+        episodes, one=f"CAST({one_open} AS INT)", kept_one=f"CASE WHEN {one_open} THEN retained_one_year ELSE 0 END",
+        two=f"CAST({two_open} AS INT)", kept_two=f"CASE WHEN {two_open} THEN retained_two_year ELSE 0 END")
+    one, two = f"{ENTERED} + {ONE_YEAR} <= newest", f"{ENTERED} + {TWO_YEARS} <= newest"
     sums = judged.groupBy(*COHORT_DIMS).agg(
-        F.expr(f"sum(CASE WHEN {one} THEN 1 ELSE 0 END) AS one_year_eligible_cohort_size"),
-        F.expr(f"sum(CASE WHEN {one} THEN retained_one_year ELSE 0 END) AS one_year_retained_count"),
-        F.expr(f"sum(CASE WHEN {two} THEN 1 ELSE 0 END) AS two_year_eligible_cohort_size"),
-        F.expr(f"sum(CASE WHEN {two} THEN retained_two_year ELSE 0 END) AS two_year_retained_count"),
+        F.expr(f"sum(CASE WHEN {one} THEN one ELSE 0 END) AS one_year_eligible_cohort_size"),
+        F.expr(f"sum(CASE WHEN {one} THEN kept_one ELSE 0 END) AS one_year_retained_count"),
+        F.expr(f"sum(CASE WHEN {two} THEN two ELSE 0 END) AS two_year_eligible_cohort_size"),
+        F.expr(f"sum(CASE WHEN {two} THEN kept_two ELSE 0 END) AS two_year_retained_count"),
     )
     return sums.select(
         *COHORT_DIMS,
@@ -112,7 +131,7 @@ def term_moves(enrollment: DataFrame, calendar: DataFrame, dims: list[str]) -> D
     moves = listed_once.selectExpr(*EPISODE_KEY, "terms", "graduations", "explode(major) AS prior").select(
         *EPISODE_KEY, "terms", "graduations", F.expr("prior.term_code AS prior_term"),
         next_major_term("prior.term_code").alias("current_term"), *[f"prior.{d}" for d in dims])
-    flagged = moves.join(F.broadcast(calendar.select("current_term")), "current_term", "left_semi").selectExpr(
+    flagged = moves.join(F.broadcast(calendar_terms(calendar).select("current_term")), "current_term", "left_semi").selectExpr(
         *EPISODE_KEY, "current_term", *dims,
         f"CASE WHEN {known} AND array_contains(terms, current_term) THEN 1 ELSE 0 END AS continued",
         f"CASE WHEN {known} AND exists(graduations, g -> g >= prior_term AND g < current_term) THEN 1 ELSE 0 END"
@@ -180,7 +199,7 @@ def graduation_term_eligible(episodes: DataFrame, calendar: DataFrame) -> DataFr
     dims = ["degtype", "u_g", "gender", "school", "pell"]
     counted = _cohorts(episodes.filter("is_first_time_cohort = 1")).groupBy(
         *dims, "cohort_term", "graduation_term").agg(F.expr("count(*) AS n"))
-    terms = calendar.agg(F.expr("sort_array(collect_set(current_term))")).scalar()
+    terms = calendar_terms(calendar).agg(F.expr("sort_array(collect_set(current_term))")).scalar()
     due = counted.withColumn("terms", terms).selectExpr(
         *dims, "graduation_term", "n", f"{ENTERED} + {MATURITY_SQL} AS due_from", "terms"
     ).selectExpr(

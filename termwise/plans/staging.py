@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termwise.functions.scalars import blank_to_unknown, to_gpa, to_integer
-from termwise.functions.terms import MAJOR_SUFFIXES, next_major_term, term_season, term_year
+from termwise.functions.terms import is_major_term, next_major_term, term_season, term_year
 from termwise.sources import seeds
 
 
@@ -69,11 +69,16 @@ def stg_student_enrollment(landing: DataFrame) -> DataFrame:
 
 
 def stg_term_calendar(enrollment: DataFrame) -> DataFrame:
-    """Each Fall or Spring code present in the data and the major term after it.
-
-    A code is four digits and one of two suffixes, so the calendar cannot hold
-    more than 20,000 rows and may always be broadcast.
-    """
-    codes = f"term_code RLIKE '^[0-9]{{4}}({'|'.join(MAJOR_SUFFIXES)})$'"
-    return enrollment.filter(codes).select(F.expr("term_code AS current_term")).distinct().select(
+    """Each code present in the data that ends like a Fall or Spring term, and the major term after it."""
+    return enrollment.filter(is_major_term("term_code")).select(F.expr("term_code AS current_term")).distinct().select(
         "current_term", next_major_term("current_term").alias("next_major_term"))
+
+
+def calendar_terms(calendar: DataFrame) -> DataFrame:
+    """The codes of a calendar that are terms: four digits and a suffix, so at most 20,000 rows to broadcast."""
+    return calendar.filter("current_term RLIKE '^[0-9]{6}$'")
+
+
+def calendar_rejects(calendar: DataFrame) -> DataFrame:
+    """One row: how many codes end like a major term without being one. No other term leads to such a code."""
+    return calendar.agg(F.count_if(F.expr("NOT current_term RLIKE '^[0-9]{6}$'")).alias("odd_codes"))

@@ -70,12 +70,11 @@ def test_chunks_number_from_zero(spark):
     assert [c for c, _ in got] == list(range(len(got))) and all(n <= 800 for _, n in got) and len(got) > 2
 
 
-@pytest.mark.parametrize("hot_rows", [0, 1_000_000])
-def test_upsert(spark, rows, hot_rows):
+def test_upsert(spark, rows):
     stored = spark.createDataFrame([("a", 0, "old"), ("a", 1, "old"), ("b", 0, "keep")],
                                    "source string, chunk int, text string")
     loaded = spark.createDataFrame([("a", 0, "new"), ("c", 0, "new")], stored.schema)
-    assert rows(documents.upsert_chunks(stored, loaded, hot_rows)) == [
+    assert rows(documents.upsert_chunks(stored, loaded)) == [
         ("a", 0, "new"), ("b", 0, "keep"), ("c", 0, "new")]
 
 

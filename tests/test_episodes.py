@@ -94,9 +94,12 @@ def test_attributes_come_from_the_entry_term(enrollment, rows):
 def test_cohort_flag_groups_null_keys_and_survives_hot_keys(enrollment, rows):
     df = enrollment([("A", FALL15, "Enrolled", "1", {"degtype": None}), ("A", FALL16, "Enrolled", "1", {"degtype": None}),
                      ("B", FALL16, "Enrolled", "1")])
-    cold = ep.with_cohort_flag(df).select("student_id", "term_code", "is_cohort_term_row")
-    hot = ep.with_cohort_flag(df, hot_rows=1).select("student_id", "term_code", "is_cohort_term_row")
-    assert rows(cold) == rows(hot) == [("A", FALL15, 1), ("A", FALL16, 0), ("B", FALL16, 1)]
+    flagged = ep.with_cohort_flag(df).select("student_id", "term_code", "is_cohort_term_row")
+    assert rows(flagged) == [("A", FALL15, 1), ("A", FALL16, 0), ("B", FALL16, 1)]
+    many = enrollment([("H", FALL15, "Enrolled", "1")] * 50 + [("H", FALL16, "Enrolled", "4")] * 50
+                      + [(f"S{i}", FALL16, "Enrolled", "1") for i in range(100)])
+    counts = ep.with_cohort_flag(many).groupBy("student_id", "is_cohort_term_row").count().filter("student_id = 'H'")
+    assert rows(counts) == [("H", 0, 50), ("H", 1, 50)]
 
 
 def test_maturity_uses_latest_entry_not_latest_term(enrollment):

@@ -59,12 +59,16 @@ def test_retention_and_attrition_make_one_hundred(plain):
         "abs(adjusted_retention_rate + attrition_rate_pct - 100) > 0.0002").count() == 0
 
 
-def test_enrollment_fact_keeps_every_keyed_row_whatever_is_hot(plain, rows):
-    cold = plain.fct_enrollment
-    hot = facts.fct_enrollment_term(plain.typed, plain.episodes, hot_rows=8)
-    columns = ["student_id", "u_g", "degtype", "term_code", "program_episode_id", "cohort_term"]
-    assert rows(cold.select(*columns)) == rows(hot.select(*columns))
-    assert cold.count() == plain.lnd.count() == 1160
+def test_enrollment_fact_keeps_every_keyed_row_whatever_is_hot(plain, spark, rows, tmp_path):
+    assert plain.fct_enrollment.count() == plain.lnd.count() == 1160
+    hot = plain.typed.limit(1).select("*").crossJoin(spark.range(600)).drop("id")
+    plain.typed.unionByName(hot).write.parquet(str(tmp_path / "stg"))
+    plain.episodes.write.parquet(str(tmp_path / "epi"))
+    fact = facts.fct_enrollment_term(spark.read.parquet(str(tmp_path / "stg")), spark.read.parquet(str(tmp_path / "epi")))
+    assert fact.count() == 1760
+    assert fact._jdf.queryExecution().executedPlan().toString().count("FileScan") == 2
+    ids = {tuple(r[:3]): r[3] for r in plain.episodes.select("student_id", "u_g", "degtype", "program_episode_id").collect()}
+    assert all(ids[tuple(r[:3])] == r[3] for r in fact.select("student_id", "u_g", "degtype", "program_episode_id").collect())
 
 
 def test_eligible_term_rate_by_brute_force(plain):

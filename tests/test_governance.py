@@ -18,20 +18,25 @@ REFUSED = {
     "renamed": "SELECT x.student_id AS k FROM guarded AS x",
     "grouping key": "SELECT school, student_id, max(term_code) AS newest FROM guarded GROUP BY ALL",
     "two levels down": "SELECT z.k FROM (SELECT y.k FROM (SELECT student_id AS k FROM guarded) AS y) AS z",
-    "named subquery": "WITH a AS (SELECT lower(student_id) AS k, school FROM guarded), b AS (TABLE a) TABLE b",
+    "named subquery": "WITH a AS (SELECT student_id AS k, school FROM guarded), b AS (TABLE a) TABLE b",
     "all columns": "TABLE guarded",
     "episode id": "SELECT max(term_code), program_episode_id FROM guarded GROUP BY 2",
     "in a struct": "SELECT named_struct('k', student_id, 's', school) AS s FROM guarded",
+}
+# Made from identifiers: these have no tag, their values tell.
+REFUSED_BY_VALUE = {
+    "lower case": "SELECT lower(student_id) AS k, school FROM guarded",
     "in a map": "SELECT map(student_id, school) AS m FROM guarded",
     "in a list": "SELECT school, collect_set(student_id) AS l FROM guarded GROUP BY school",
     "any one": "SELECT first(student_id) AS k FROM guarded",
     "joined to text": "SELECT concat(student_id, '') AS k FROM guarded",
-    "upper case": "SELECT upper(student_id) AS k FROM guarded",
+    "in a sentence": "SELECT concat('about ', student_id, '.') AS k FROM guarded",
     "as bytes": "SELECT cast(student_id AS binary) AS k FROM guarded",
     "unpacked": "SELECT explode(array(student_id)) AS k FROM guarded",
     "over a window": "SELECT lag(student_id) OVER (ORDER BY term_code) AS k FROM guarded",
-    "one side of a union": "SELECT school FROM guarded UNION ALL SELECT student_id FROM guarded",
+    "one side of a union": "SELECT school FROM guarded UNION ALL SELECT concat('', student_id) FROM guarded",
     "subquery value": "SELECT (SELECT any_value(student_id) FROM guarded) AS k",
+    "part of the episode id": "SELECT concat(program_episode_id, '!') AS k FROM guarded",
 }
 ALLOWED = {
     "distinct heads": "SELECT school, count(DISTINCT student_id) AS heads FROM guarded GROUP BY ALL",
@@ -55,6 +60,18 @@ def test_refused(spark, fact, case):
     assert caught.value.reason == REFUSAL and caught.value.columns
 
 
+@pytest.mark.parametrize("case", REFUSED_BY_VALUE)
+def test_refused_by_value(spark, fact, case):
+    with pytest.raises(ReleaseRefused) as caught:
+        release(spark.sql(REFUSED_BY_VALUE[case]), fact.select("student_id"))
+    assert caught.value.columns
+
+
+def test_values_without_identifiers_pass(spark, fact):
+    df = spark.sql("SELECT school, term_code, count(DISTINCT student_id) AS heads FROM guarded GROUP BY ALL")
+    assert release(df, fact.select("student_id")) is df
+
+
 @pytest.mark.parametrize("case", ALLOWED)
 def test_allowed(spark, fact, case):
     df = spark.sql(ALLOWED[case])
