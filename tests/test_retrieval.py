@@ -59,3 +59,38 @@ def test_neighbours_closer_than_what_is_shown(spark, batch):
     items = spark.createDataFrame(rows, "item_id long, embedding array<double>").repartition(4)
     asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0])], "query_id string, embedding array<double>")
     assert _found(retrieve_topk(items, asked, query_batch=batch)) == {q: [49, 48, 47, 46, 45, 44] for q in "ab"}
+
+
+def test_all_lists_probed_is_exact(vectors):
+    from termwise.operators import retrieval
+
+    items, queries, want = vectors
+    centres = retrieval.fit_centroids(items, lists=7)
+    index = retrieval.inverted_lists(items, centres)
+    assert index.count() == 200 and index.select("list").distinct().count() <= 7
+    for cell_rows in (100_000, 9):
+        assert _found(retrieval.retrieve_approximate(index, centres, queries, probes=7, cell_rows=cell_rows)) == want
+
+
+def test_a_list_with_a_third_of_all_items(spark, vectors):
+    from termwise.operators import retrieval
+
+    items, queries, _ = vectors
+    same = spark.range(1000, 1100).selectExpr("id AS item_id", "array(1D, 2D, 0.5D) AS embedding")
+    every = items.unionByName(same)
+    centres = retrieval.fit_centroids(every, lists=10, fit_rows=150)
+    index = retrieval.inverted_lists(every, centres)
+    found = retrieval.retrieve_approximate(index, centres, queries, probes=6, cell_rows=20)
+    measured = retrieval.recall(retrieval.retrieve_topk(every, queries), found).first()
+    assert measured.wanted == 54 and measured.recall >= 0.9
+
+
+def test_index_of_nothing(spark, vectors):
+    from termwise.operators import retrieval
+
+    items, queries, _ = vectors
+    centres = retrieval.fit_centroids(items.limit(0))
+    assert retrieval.retrieve_approximate(retrieval.inverted_lists(items.limit(0), centres), centres, queries).count() == 0
+    centres = retrieval.fit_centroids(items.limit(3))
+    some = retrieval.retrieve_approximate(retrieval.inverted_lists(items.limit(3), centres), centres, queries)
+    assert all(len(v) == 3 for v in _found(some).values())
