@@ -191,6 +191,8 @@ def retrieve_approximate(index: DataFrame, centres: np.ndarray, queries: DataFra
                 rows = np.repeat(np.arange(len(pdf)), first.shape[1])
                 yield pdf.iloc[rows].assign(list=first.ravel())
 
+    # A table stored by list may read it back as another kind of number.
+    index = index.withColumn("list", F.col("list").cast("long"))
     sizes = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).alias("cells"))
     asked = (queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
              .mapInPandas(nearest_lists, f"query_id {query_type}, embedding {vector_type}, list long")
