@@ -23,6 +23,7 @@ order. Null languages or texts teach nothing; repeated rows count each time.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -137,6 +138,8 @@ class LanguageModel:
         return {k: v for k, v in self.__dict__.items() if k not in ("at", "rows")}
 
     def _open(self) -> None:
+        # Models of earlier jobs, which their caches hold in cycles, go first.
+        gc.collect()
         known = np.column_stack([self.table, np.array([len(w) for w in self.words], float)])
         self.rows = np.concatenate([known, np.zeros((UNSEEN, len(self.langs) + 1))])
         self.at = _Places({w: i for i, w in enumerate(self.words)})

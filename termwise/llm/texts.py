@@ -6,6 +6,7 @@ bytes, so words are handled as UTF-8 bytes throughout.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 
@@ -87,12 +88,20 @@ def with_arrays(docs: DataFrame, fields: str, compute, keep: list[str] | None =
 
 
 class Memo(dict):
-    """Answers of ``work`` by key. Of the answers before the last ``limit``, those asked for again stay."""
+    """Answers of ``work`` by key. Of the answers before the last ``limit``, those asked for again stay.
 
-    def __init__(self, work, limit: int):
-        self._work, self._limit, self._old = work, limit, {}
+    Keys longer than ``longest`` are answered and not kept, so that a cache of
+    words stays small where a word is a whole text.
+    """
+
+    def __init__(self, work, limit: int, longest: int | None = None):
+        # Caches often hold their owners in cycles, and a worker outlives its jobs: what earlier ones left goes first.
+        gc.collect()
+        self._work, self._limit, self._longest, self._old = work, limit, longest, {}
 
     def __missing__(self, key):
+        if self._longest is not None and len(key) > self._longest:
+            return self._work(key)
         answer = self._old.get(key)
         if answer is None:
             answer = self._work(key)

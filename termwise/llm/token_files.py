@@ -39,7 +39,7 @@ from termwise.llm.bpe import byte_letters
 from termwise.llm.texts import Memo, parts
 
 BLOCK, SEGMENT, FIT, MARK = 128, 1 << 17, 0.9, 0x31524650
-_KEEP = 200_000
+_KEEP, LONGEST = 100_000, 64
 # Lower-case letters that a normalizer to composed, lower-case form leaves alone, and ASCII marks after them.
 _LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _SHIFTS = np.uint64(1) << np.arange(33, dtype=np.uint64)
@@ -151,8 +151,8 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.letters = {b: x for x, b in byte_letters().items()}
-        self.known = Memo(self.piece, _KEEP)
-        self.tails = Memo(self.whole, 10_000)
+        self.known = Memo(self.piece, _KEEP, LONGEST)
+        self.tails = Memo(self.whole, 10_000, LONGEST)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -220,6 +220,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
     (docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
      .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
      .mapInArrow(segments, schema).write.parquet(path))
+    shared.destroy()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
