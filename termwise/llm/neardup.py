@@ -12,7 +12,8 @@ threshold can plausibly be are dropped; all others are compared set by set.
 2. Components of the confirmed links.
 3. Rest: in buckets that still hold several components, classes of different
    components are compared by sketch, then by their sets, in chunks of bounded
-   size, so that links which no leader showed are found too. Only those go out.
+   size, so that links which no leader showed are found too. Only links that join
+   components not joined before go out, fewer than a chunk has classes.
 4. Components of all links; a document's is named by its smallest id.
 
 A pair at the threshold misses all bands once in some ten million cases, and
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termwise.llm.components import components
-from termwise.llm.texts import Memo, as_bytes, parts, with_arrays, written
+from termwise.llm.texts import Memo, as_bytes, packed, parts, with_arrays, written
 
 BANDS, ROWS, BITS, CHUNK = 40, 5, 512, 2048
 SAMPLES = BANDS * ROWS
@@ -57,7 +58,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _A = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * _MIX[0]) | np.uint64(1)
 _B = mixed(np.arange(1, SAMPLES + 1, dtype=np.uint64) * _MIX[1])
 
-_hashes = Memo(xxhash.xxh64_intdigest, _WORDS)
+_hashes = Memo(xxhash.xxh64_intdigest, _WORDS, 64)
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -151,19 +152,27 @@ def _by_sketch(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_alike("n_a", "n_b", percent) & (_apart("s_a", "s_b") <= most_ones(percent))).select("a", "b")
 
 
-def _pairs_of(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one group, of different components, that sizes, sketches and prints leave.
+def _pairs_of(group: pa.Table, percent: int) -> tuple[list[int], list[int]]:
+    """Links of one group that join its components as far as its sets are alike: at most one fewer than its rows.
 
-    A group is one chunk of a bucket, or two whose rows meet each other only.
+    A group is one chunk of a bucket, or two whose rows meet each other only. Pairs
+    are told apart by size and sketch and confirmed on their whole sets; a pair that
+    earlier links of the group have joined needs no look.
     """
     sizes = group.column("n").to_numpy()
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
     nodes, comps, chunks = (group.column(x).to_numpy()[order] for x in ("node", "comp", "chunk"))
+    comps = comps.copy()
     sketches = group.column("sketch").combine_chunks().flatten().to_numpy().view("<u8").reshape(len(nodes), -1)[order]
-    prints = group.column("prints").to_pylist()
+    whole = group.column("whole").combine_chunks()
+    starts, values = whole.offsets.to_numpy(), whole.values.to_numpy()
     within = group.column("low")[0].as_py() == group.column("high")[0].as_py()
     limit, found = most_ones(percent), ([], [])
+
+    def members(i: int) -> np.ndarray:
+        return values[starts[order[i]]:starts[order[i] + 1]]
+
     # In the order of size, only a stretch can be alike.
     ends = np.searchsorted(sizes * percent, 100 * sizes, side="right")
     for i in range(len(nodes) - 1):
@@ -173,17 +182,16 @@ def _pairs_of(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
             near &= chunks[span] != chunks[i]
         if near.any():
             near &= np.bitwise_count(sketches[span] ^ sketches[i]).sum(axis=1) <= limit
-            own = np.frombuffer(prints[order[i]], "<u4")
             for j in (np.nonzero(near)[0] + i + 1).tolist():
-                if _close(own, np.frombuffer(prints[order[j]], "<u4"), percent):
+                if comps[j] != comps[i] and _alike_sets(members(i), members(j), percent):
                     found[0].append(min(nodes[i], nodes[j]))
                     found[1].append(max(nodes[i], nodes[j]))
+                    comps[comps == comps[j]] = comps[i]
     return found
 
 
-def _close(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether sets may be alike enough, from their elements cut to 32 bits; a few may have met by that."""
-    both = len(np.intersect1d(a, b, assume_unique=True)) + 2 + max(len(a), len(b)) ** 2 // (1 << 31)
+def _alike_sets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
@@ -215,7 +223,7 @@ _GROUP = ["band", "name", "low", "high"]
 
 
 def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(node, whole, prints): the set of each node, and its elements cut to 32 bits."""
+    """(node, whole): the set of each node."""
     ids = classes.join(nodes, "node").select(F.col("rep").alias("doc_id")).distinct()
 
     def sets(texts: pa.Array) -> list[pa.Array]:
@@ -223,15 +231,13 @@ def _sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, width: int) ->
         values = np.concatenate([*found, np.array([], np.uint64)]).view("<i8")
         offsets = np.cumsum([0, *map(len, found)])
         return [pa.array([_node(x) for x in found], pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values)),
-                pa.array([np.unique(x.astype("<u4")).tobytes() for x in found], pa.binary())]
+                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))]
 
     texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
     # A repeated id may bring other texts and repeated rows; each wanted set is needed once.
     return written(
-        with_arrays(texts, "node long, whole array<long>, prints binary", sets, [])
-        .join(nodes, "node", "left_semi").groupBy("node")
-        .agg(F.first("whole").alias("whole"), F.first("prints").alias("prints")), "sets")
+        with_arrays(texts, "node long, whole array<long>", sets, [])
+        .join(nodes, "node", "left_semi").groupBy("node").agg(F.first("whole").alias("whole")), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -248,14 +254,17 @@ def _node(found: np.ndarray) -> int | None:
     return xxhash.xxh64_intdigest(found.tobytes(), 7) - (1 << 63) if len(found) else None
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: list[str] | None = None,
+                    root: bool = False) -> DataFrame:
     """``docs`` with n_shingles, component_id and kept (``doc_id = component_id``).
 
     ``docs`` is read twice; ``keep`` names its columns to return, by default all.
-    Columns of ``docs`` that bear an added name are replaced.
+    Columns of ``docs`` that bear an added name are replaced; any others stay.
+    ``root`` adds component_root, which tells components apart where one id
+    stands for unlike texts; it is NULL for rows without an id or without a word.
     """
-    docs = docs.drop("n_shingles", "component_id", "kept")
-    signed = written(with_arrays(docs, _SIGNED, _sign(width), keep), "signed")
+    docs, unpack = packed(docs.drop("n_shingles", "component_id", "kept", "component_root"), ["doc_id", "text"], keep)
+    signed = written(with_arrays(docs, _SIGNED, _sign(width), [x for x in docs.columns if x != "text" or keep is None or x in keep]), "signed")
     classes = written(
         signed.filter("_node IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("_node").alias("node"))
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("_bands").alias("bands"),
@@ -277,22 +286,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, keep: li
     chunks = F.ceil(F.col("size") / CHUNK)
     open_ = written(placed.join(several, ["band", "name"], "left_semi"), "open")
     full = _sets(open_.select("node").distinct(), classes, docs, width)
-    facts = classes.select("node", "n", "sketch").join(full.select("node", "prints"), "node")
+    facts = classes.select("node", "n", "sketch").join(full, "node")
     more = written(
         open_.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
         .withColumns({"low": F.least("chunk", "other"), "high": F.greatest("chunk", "other")})
-        .join(facts, "node").select(*_GROUP, "chunk", "node", "comp", "n", "sketch", "prints")
+        .join(facts, "node").select(*_GROUP, "chunk", "node", "comp", "n", "sketch", "whole")
         .repartition(*_GROUP).sortWithinPartitions(*_GROUP)
         .mapInArrow(_cross(percent), "a long, b long").distinct(), "more")
-    links = links.unionByName(_confirmed(more, full, percent))
-    roots = components(links)
+    roots = components(links.unionByName(more))
     reps = classes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = reps.groupBy("root").agg(F.min("rep").alias("_first"))
-    found = written(reps.join(firsts, "root").select(F.col("node").alias("_node"), "_first"), "found")
-    return (
+    found = written(reps.join(firsts, "root").select(F.col("node").alias("_node"), "_first", F.col("root").alias("_root")), "found")
+    judged = (
         signed.drop("_bands", "_sketch").join(found, "_node", "left")
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("_first", "doc_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-        .drop("_first", "_node")
+        .withColumn("component_root", F.when(F.col("doc_id").isNotNull(), F.col("_root")))
     )
+    return unpack(judged, "n_shingles", "component_id", "kept", *(["component_root"] if root else []))

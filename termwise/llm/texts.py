@@ -54,6 +54,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, apart: list[str], keep: list[str] | None = None):
+    """``docs`` with the columns ``apart`` and all others in one struct, and what gives them back their names.
+
+    Between the two no other name of ``docs`` can meet one that a job uses. ``keep``
+    names the columns to give back, by default all.
+    """
+    wanted = [x for x in docs.columns if keep is None or x in keep]
+    rest = [x for x in wanted if x not in apart]
+    own = [F.col(f"`{x}`") for x in docs.columns if x in apart]
+    frame = docs.select(*own, F.struct(*[F.col(f"`{x}`") for x in rest]).alias("_rest")) if rest else docs.select(*own)
+
+    def unpack(df: DataFrame, *added: str) -> DataFrame:
+        return df.select(*[F.col(x) if x in apart else F.col("_rest").getField(x).alias(x) for x in wanted], *added)
+
+    return frame, unpack
+
+
 def list_array(values: pa.Array, lengths) -> pa.Array:
     """Consecutive runs of ``values`` as lists."""
     offsets = [0]

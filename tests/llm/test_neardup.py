@@ -82,6 +82,28 @@ def test_groups_chains_and_copies(spark, documents, monkeypatch, width, chunk):
     assert {"doc_id", "text", "lang", "source", "n_shingles", "component_id", "kept"} == set(got[0].asDict())
 
 
+def test_a_chunk_sends_fewer_links_than_it_has_classes(spark):
+    """All of a group alike, no leader's help: the links that go out only span it."""
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    sets = sorted((neardup.shingles(" ".join(base[:k] + [f"n{k}"] + base[k:]).encode(), 2) for k in rnd.sample(range(300), 60)), key=len)
+    drawn = neardup.np.array([neardup.samples(x) for x in sets])
+    group = neardup.pa.table({
+        "low": [0] * 60, "high": [0] * 60, "chunk": [0] * 60, "node": range(60), "comp": range(60), "n": [len(x) for x in sets],
+        "sketch": [x.view("<i8").tolist() for x in neardup.odd_sketch(drawn)], "whole": [x.view("<i8").tolist() for x in sets]})
+    a, b = neardup._pairs_of(group, 80)
+    assert len(a) == 59 and len({*a, *b}) == 60
+
+
+def test_other_columns_stay_as_they_are(documents):
+    docs = documents([(i, f"some words of text {i % 3}", None, None) for i in range(9)])
+    for name in ("_first", "_node", "_root", "node", "_rest"):
+        docs = docs.withColumn(name, neardup.F.concat(neardup.F.lit(name), "doc_id"))
+    got = neardup.near_duplicates(docs, root=True).collect()
+    assert all(r["_first"] == f"_first{r.doc_id}" and r["_rest"] == f"_rest{r.doc_id}" for r in got)
+    assert len({r.component_root for r in got}) == 3
+
+
 def test_nothing(spark, documents):
     assert neardup.near_duplicates(documents(["x"]).limit(0)).count() == 0
     assert [tuple(r) for r in neardup.near_duplicates(documents([None]), keep=["doc_id"]).collect()] == [(0, 0, 0, True)]
