@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termwise.llm.texts import WORD, written
+from termwise.llm.texts import WORD, packed, written
 
 NARROW, WIDE = 256, 1 << 20
 SEED = "mix"
@@ -83,9 +83,9 @@ def ranks_before(cells: DataFrame, within: str, levels: list[str], count: str, o
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
     """``docs`` (doc_id, source, size, ...) with source_size, target and copies.
 
-    Columns of ``docs`` that bear the names added here are replaced.
+    Columns of ``docs`` named source_size, target or copies are replaced; any others stay.
     """
-    docs = docs.drop("source_size", "target", "copies", "_nth", "_wide", "_narrow")
+    docs, unpack = packed(docs.drop("source_size", "target", "copies"), ["doc_id", "source", "size"])
     sources = written(
         source_targets(docs, weights, share, most, seed).withColumn("_nth", F.monotonically_increasing_id()), "sources")
     numbered = sources.select(F.col("source").alias("_source"), "_nth")
@@ -105,13 +105,13 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
     facts = sources.select(F.col("_nth").alias("_fact"), "source_size", "target", "rate", "shift")
     crossed = (F.floor(F.col("shift") + (F.col("_k") + 1) * F.col("rate"))
                - F.floor(F.col("shift") + F.col("_k") * F.col("rate")))
-    return (
+    mixed = (
         placed.join(starts, on, "left")
         .withColumn("_k", before)
         .join(facts, F.col("_nth") == F.col("_fact"), "left")
         .withColumn("copies", crossed.cast("int"))
-        .drop(*cell[:1], *cell[2:], *[f"_c{i}" for i in range(4)], "_start", "_k", "_fact", "rate", "shift")
     )
+    return unpack(mixed, "source_size", "target", "copies")
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:

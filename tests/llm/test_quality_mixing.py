@@ -103,3 +103,11 @@ def test_sources_come_near_their_targets(spark):
 def test_mixing_runs_no_python(spark):
     plan = registry.op8_mix_sources(spark, SF_DIR)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_mix_takes_columns_of_any_name(documents):
+    docs = documents([(i, "word " * (1 + i % 4), "en", f"s{i % 3}") for i in range(30)])
+    for name in ("rate", "shift", "_k", "_start", "_nth", "_rows", "_c0", "level", "weight"):
+        docs = docs.withColumn(name, mixing.F.concat(mixing.F.lit(name), "doc_id"))
+    for r in mixing.mix(mixing.with_size(docs)).collect():
+        assert (r["rate"], r["_k"], r["level"]) == (f"rate{r.doc_id}", f"_k{r.doc_id}", f"level{r.doc_id}")
