@@ -38,7 +38,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~held_out)
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(toxicity.labelled(docs, labels))
     return toxicity.score(docs, model, ["doc_id"]).select(
         "doc_id", held_out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 

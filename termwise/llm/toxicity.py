@@ -11,7 +11,7 @@ side, and the runs between, none longer than ``PIECE``. Equal pieces are counted
 so the gradient is a sum over the distinct ones, made by tasks; only the links
 between pieces are left out. Toxic and clean documents weigh the same in all.
 Forward and backward sums then give each token's marginal in any text; a logistic
-curve over their sum, greatest and share, fitted on at most ``FITTED`` training
+curve over their sum, greatest and share, fitted on about ``FITTED`` training
 documents, is the document's score. Runs of tokens at 0.5 or more are the offending spans.
 
 Tokens are runs of letters, lower-cased; spans are code-point offsets of the
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from termwise.llm.texts import Memo, with_arrays, written
 
 FORMS, FITTED, STEPS = 100_000, 20_000, 60
+MARKS = 1 << 25
 AROUND, PIECE, SHRINK = 4, 64, 0.1
 PREFIXES = (4, 5, 6, 7, 8)
 THRESHOLD = 0.3
@@ -301,26 +302,33 @@ class ToxicModel:
 
     def score(self, texts: list[str | None]) -> tuple[list[float], list[list[dict]]]:
         """Scores and spans (start, end, marginal) of texts, a few MB at a time."""
-        scores, spans, at = [], [], 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size < _GROUP):
-                size += len(texts[end] or "")
-                end += 1
-            facts, p, lengths = self.facts(texts[at:end])
+        scores, spans = [], []
+        for group in grouped(texts):
+            facts, p, lengths = self.facts(group)
             if self.curve is None:
-                scores += [0.0] * (end - at)
+                scores += [0.0] * len(group)
             else:
                 lift = np.clip(self.curve[0] + facts @ self.curve[1:], -30, 30)
                 scores += (1 / (1 + np.exp(-lift))).tolist()
             starts = np.cumsum(lengths) - lengths
-            for i, text in enumerate(texts[at:end]):
+            for i, text in enumerate(group):
                 own = p[starts[i]:starts[i] + lengths[i]]
                 spans.append(_spans(text, own) if self.curve is not None and (own >= 0.5).any() else [])
-            at = end
         return scores, spans
 
 
+def grouped(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in their order, a few MB at a time."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < _GROUP):
+            size += len(texts[end] or "")
+            end += 1
+        yield texts[at:end]
+        at = end
+
+
 def _spans(text: str, p: np.ndarray) -> list[dict]:
     """Runs of tokens at 0.5 or more, with their greatest marginal."""
     out, open_ = [], False
@@ -335,9 +343,28 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
-def _sample(rows: DataFrame, limit: int) -> DataFrame:
-    """At most ``limit`` rows, the same ones each time, without regard to their order."""
-    return rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(limit)
+def _sample(rows: DataFrame, n: int, limit: int) -> DataFrame:
+    """All of ``n`` rows, or about ``limit`` of them, the same ones each time: those with a low hash. Nothing moves."""
+    if n <= limit:
+        return rows
+    return rows.filter(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) < F.lit((limit << 62) // n))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, toxic) of the documents with a label.
+
+    Texts without one are left out before the shuffle: a bitmap of ``MARKS`` bits, of a fixed
+    size whatever the number of labels, tells nearly all of them; the join tells the rest.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) + 1
+    bits = labels.select(place.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("_part")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("_bits"))
+    # Bit i of a bitmap is bit i % 8 of its byte i / 8.
+    byte = F.conv(F.hex(F.expr("substring(_bits, bitmap_bit_position(_at) div 8 + 1, 1)")), 16, 10).cast("int")
+    marked = (docs.select("doc_id", "text", place.alias("_at")).withColumn("_part", F.expr("bitmap_bucket_number(_at)"))
+              .join(F.broadcast(bits), "_part")
+              .filter(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_at) % 8 as int))")) != 0))
+    return marked.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id")
 
 
 def fit(train: DataFrame) -> ToxicModel:
@@ -374,12 +401,11 @@ def fit(train: DataFrame) -> ToxicModel:
     shared = spark.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array) -> list[pa.Array]:
-        found = [shared.value.facts([x])[0][0].tolist() for x in texts.to_pylist()]
+        found = [x for group in grouped(texts.to_pylist()) for x in shared.value.facts(group)[0].tolist()]
         return [pa.array(found, pa.list_(pa.float64()))]
 
     # Scoring a bounded sample spread over all labelled rows.
-    fitted = with_arrays(written(_sample(rows, FITTED).repartition(16), "fitted"), "facts array<double>", compute,
-                         ["toxic"]).collect()
+    fitted = with_arrays(_sample(rows, sum(of.values()), FITTED), "facts array<double>", compute, ["toxic"]).collect()
     model.fit_curve(np.array([r["facts"] for r in fitted]), np.array([r["toxic"] for r in fitted], float))
     return model
 

@@ -143,3 +143,26 @@ def test_ratio_by_hand(spark):
         both = (a + b) / (of_a + of_b)
         want = 2 * (log(a, of_a, a / of_a) + log(b, of_b, b / of_b) - log(a, of_a, both) - log(b, of_b, both))
         assert got == pytest.approx(want if a * of_b > b * of_a else 0.0, abs=1e-9)
+
+
+def test_labelled_texts_and_the_sample(spark, documents, monkeypatch):
+    docs = documents([(i, f"text {i}", None, None) for i in range(300)] + [(7, "text 7 again", None, None), (None, "x", None, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 400, 3)] + [(-5, 1), (None, 1)], "doc_id long, toxic int")
+    want = sorted([(i, f"text {i}", i % 2) for i in range(0, 300, 3)])
+    for marks in (1 << 25, 1 << 15, 64):
+        # A small bitmap lets more through to the join, and no label is lost.
+        monkeypatch.setattr(toxicity, "MARKS", marks)
+        assert sorted(map(tuple, toxicity.labelled(docs, labels).collect())) == want
+    few = toxicity._sample(docs, 302, 100).collect()
+    assert 60 < len(few) < 140 and few == toxicity._sample(docs, 302, 100).collect()
+    assert toxicity._sample(docs, 302, 302).count() == 302
+
+
+def test_the_curve_is_fitted_on_batches_as_on_single_texts(spark):
+    model = toxicity.ToxicModel({"f:bad": 0})
+    model.weights = toxicity.np.array([2.0])
+    model.bias = -1.0
+    model.sums = toxicity.np.zeros(0)
+    texts = ["bad words", None, "", "other bad text " * 50, "fine", "bad"]
+    single = [model.facts([x])[0][0].tolist() for x in texts]
+    assert toxicity.np.allclose([x for g in toxicity.grouped(texts) for x in model.facts(g)[0].tolist()], single)
