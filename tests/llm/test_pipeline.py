@@ -68,3 +68,23 @@ def test_texts_of_no_known_language_go(spark, documents):
     kept = corpus_pipeline.identify_language(spark, documents(rows), "").collect()
     assert {probes[r.doc_id - 100] for r in kept if r.doc_id >= 100} == set(probes[3:])
     assert sum(r.doc_id < 100 for r in kept) == 40
+
+
+def test_repeated_ids_and_columns_of_any_name(spark, documents):
+    """Unlike texts of one id all stay, copies go, and other columns keep their values in every stage."""
+    def text(k):
+        return " ".join(f"Wort{chr(97 + (i * k) % 26)}{chr(97 + i // 26)}{k}a{i}" for i in range(80))
+
+    rows = [(1, text(2), "de", "s"), (1, text(3), "de", "s"), (2, text(4), "de", "s"), (2, text(4), "de", "s"),
+            (3, text(4), "de", "s"), (1, text(5), "de", "s"), (1, text(5), "de", "s")]
+    names = ["rate", "shift", "_k", "_start", "_first", "score", "size", "kept", "n_words", "failed", "component_id", "lang_pred",
+             "_rest", "_node", "copies", "target", "component_root", "_nth", "a.b"]
+    docs = documents(rows)
+    for name in names:
+        docs = docs.withColumn(name, corpus_pipeline.F.concat(corpus_pipeline.F.lit(name), "doc_id"))
+    for stage, function in corpus_pipeline.STAGES[:-1]:
+        docs = written(function(spark, docs, ""), stage)
+        for r in docs.collect():
+            assert all(r[name] == f"{name}{r.doc_id}" for name in names), stage
+        if stage == "drop_near_duplicates":
+            assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted({(1, text(2)), (1, text(3)), (2, text(4)), (1, text(5))})
