@@ -7,12 +7,12 @@ columns of ``documents``. Models learn from the stage's own input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termwise.llm import bpe, langid, mixing, neardup, quality
 from termwise.llm.registry import BYTE_BPE
-from termwise.llm.texts import remainder, table, written
+from termwise.llm.texts import packed, remainder, table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,27 +23,34 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     stays, whatever the score of its language.
     """
     model = langid.fit(docs.filter(remainder("doc_id", 4) != 2))
-    found = langid.predict(docs, model, least=langid.LEAST).filter(F.col("lang_pred") != langid.UNDECIDED)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    frame, unpack = packed(docs, ["text", "lang"])
+    found = langid.predict(frame, model, least=langid.LEAST).filter(F.col("lang_pred") != langid.UNDECIDED)
+    return unpack(found.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that fail a rule of the current policy go."""
-    return quality.apply_policy(quality.ledger(docs)).filter("kept").select(*docs.columns)
+    frame, unpack = packed(docs, ["text"])
+    return unpack(quality.apply_policy(quality.ledger(frame)).filter("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id."""
-    kept = neardup.near_duplicates(docs).filter("kept")
-    # A row that repeats an id and its words is a copy too. Rows without a group are left alone.
-    grouped = kept.filter("component_id IS NOT NULL AND n_shingles > 0").dropDuplicates(["component_id"])
-    alone = kept.filter("component_id IS NULL OR n_shingles = 0")
-    return grouped.unionByName(alone).select(*docs.columns)
+    """One document of each group of near-duplicates stays, that with the smallest id.
+
+    Of rows that share that id and are in the group too, the one whose text has the
+    least hash stays. Rows without an id or a word are in no group and stay.
+    """
+    frame, unpack = packed(docs, ["doc_id", "text"])
+    kept = neardup.near_duplicates(frame, root=True).filter("kept")
+    first = F.row_number().over(Window.partitionBy("component_root").orderBy(F.xxhash64("text"), "text"))
+    grouped = kept.filter("component_root IS NOT NULL").withColumn("_nth", first).filter("_nth = 1")
+    return unpack(grouped).unionByName(unpack(kept.filter("component_root IS NULL")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target says."""
-    return mixing.emit_copies(mixing.mix(mixing.with_size(docs))).select(*docs.columns)
+    frame, unpack = packed(docs, ["doc_id", "source", "text"])
+    return unpack(mixing.emit_copies(mixing.mix(mixing.with_size(frame))))
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
