@@ -39,7 +39,7 @@ from termwise.llm.bpe import byte_letters
 from termwise.llm.texts import Memo, parts
 
 BLOCK, SEGMENT, FIT, MARK = 128, 1 << 17, 0.9, 0x31524650
-_KEEP, LONGEST = 100_000, 64
+_KEEP, LONGEST = 200_000, 64
 # Lower-case letters that a normalizer to composed, lower-case form leaves alone, and ASCII marks after them.
 _LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 _SHIFTS = np.uint64(1) << np.arange(33, dtype=np.uint64)
