@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from pathlib import Path
 
 import numpy as np
@@ -41,7 +42,7 @@ _PLAIN = regex.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 # What the pattern makes of a word of Latin letters and marks behind it: a line's start, the word, the marks.
 _SIMPLE = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_CHUNKS, _ARCS, _WIDE, _DEEP = 150_000, 200_000, 32, 64
+_CHUNKS, _ARCS, _WIDE, _DEEP, LONGEST = 150_000, 200_000, 32, 64, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -110,14 +111,16 @@ class Automaton:
                 symbol, limit = self.left[symbol], min(limit, y + 1)
 
     def encode_word(self, word: bytes) -> list[int]:
-        n, longest, tokens, stands, go = len(word), self.longest, self.tokens, self.stands, self.go
+        n, longest, get, go = len(word), self.longest, self.whole.get, self.go
+        if (only := get(word)) is not None:
+            return [only]
         last, size = [-1] * (n + 1), [0] * (n + 1)
 
         def state(end: int) -> int:
             """The token that ends the path to a prefix; states before it are found as they are asked for."""
             for start in range(max(0, end - longest), end):
-                token = tokens.get(word[start:end])
-                if token is None or not stands[token]:
+                token = get(word[start:end])
+                if token is None:
                     continue
                 if start:
                     before = last[start]
@@ -140,13 +143,15 @@ class Automaton:
         """What is looked up while encoding, made in the process that encodes."""
         self.go = Memo(lambda arc: self.allows(arc >> _WIDE, arc & (1 << _WIDE) - 1), _ARCS)
         self.cut = regex.compile(PATTERN)
-        self.words = Memo(lambda word: np.array(self.encode_word(word.encode()), "<i4").tobytes(), _CHUNKS)
-        self.chunks = Memo(self._chunk, _CHUNKS)
+        # Tokens that a word made of them alone can end as.
+        self.whole = {label: token for label, token in self.tokens.items() if self.stands[token]}
+        self.words = Memo(lambda word: array("i", self.encode_word(word.encode())).tobytes(), _CHUNKS, LONGEST)
+        self.chunks = Memo(self._chunk, _CHUNKS, LONGEST)
         self.specials = (regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)))
                          if self.added else None)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("go", "cut", "words", "chunks", "specials")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("go", "cut", "words", "chunks", "specials", "whole")}
 
     def _chunk(self, chunk: str) -> bytes:
         found = _SIMPLE.fullmatch(chunk)
