@@ -8,12 +8,9 @@ Rates are rounded with whole numbers, so a half always rounds away from zero.
 from __future__ import annotations
 
 from termwise import inputs
+from termwise.checks import expected
 from termwise.checks.chunk_sql import chunk_ctes
 from termwise.checks.queries import METRIC_GROUPINGS
-from termwise.functions import phrases
-from termwise.operators import datatests, quality
-from termwise.operators.documents import CONTEXT_RULE
-from termwise.sources import landing, seeds
 
 
 def rate(top: str, bottom: str, scale: int = 4) -> str:
@@ -45,8 +42,12 @@ _RISK = inputs.RISK_SQL.replace("{lnd}", "lnd")
 _QUESTIONS = inputs.QUESTIONS_SQL.replace("{conversations}", "conversations")
 
 
+def _values(codes: dict) -> str:
+    return ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in codes.items())
+
+
 def _seed(codes: dict, code: str, text: str) -> str:
-    return f"(SELECT CAST(a AS STRING) AS {code}, b AS {text} FROM (VALUES {seeds.values_list(codes)}) AS v(a, b))"
+    return f"(SELECT CAST(a AS STRING) AS {code}, b AS {text} FROM (VALUES {_values(codes)}) AS v(a, b))"
 
 
 _STG = f"""
@@ -59,10 +60,10 @@ SELECT student_id, u_g, gender, school, sc.school_name, degtype,
   academic_state, regstat AS regstat_code, rs.regstat_description, term_code,
   CAST(left(term_code, 4) AS INT) AS term_year, {_season('term_code')} AS term_season
 FROM lnd s
-LEFT JOIN {_seed(seeds.SCHOOLS, 'school_code', 'school_name')} sc ON s.school = sc.school_code
-LEFT JOIN {_seed(seeds.CITIZENSHIP, 'citizen_code', 'citizen_description')} cz ON s.citizen = cz.citizen_code
-LEFT JOIN {_seed(seeds.REGISTRATION, 'regstat_code', 'regstat_description')} rs ON s.regstat = rs.regstat_code
-LEFT JOIN {_seed(seeds.ETHNICITY, 'ethnicity_code', 'ethnicity_description')} eth
+LEFT JOIN {_seed(expected.SCHOOLS, 'school_code', 'school_name')} sc ON s.school = sc.school_code
+LEFT JOIN {_seed(expected.CITIZENSHIP, 'citizen_code', 'citizen_description')} cz ON s.citizen = cz.citizen_code
+LEFT JOIN {_seed(expected.REGISTRATION, 'regstat_code', 'regstat_description')} rs ON s.regstat = rs.regstat_code
+LEFT JOIN {_seed(expected.ETHNICITY, 'ethnicity_code', 'ethnicity_description')} eth
   ON s.ethnicmultirace = eth.ethnicity_code
 """
 
@@ -242,13 +243,13 @@ O = ORACLES
 
 # Sources and landing
 
-_NULLED = ", ".join(f"nullif({c}, '') AS {c}" for c in landing.LANDING_NAMES)
+_NULLED = ", ".join(f"nullif({c}, '') AS {c}" for c in expected.LANDING)
 _WIDE = "SELECT * REPLACE (CASE WHEN citizen = '3' THEN '333' ELSE citizen END AS citizen) FROM staged"
 
 
 def _reason(alias: str = "") -> str:
-    checks = [f"CASE WHEN {c} IS NULL THEN '{c} is null' END" for c, _, need in landing.LANDING_COLUMNS if need]
-    checks += [f"CASE WHEN length({c}) > {n} THEN '{c} too long' END" for c, n, _ in landing.LANDING_COLUMNS]
+    checks = [f"CASE WHEN {c} IS NULL THEN '{c} is null' END" for c in expected.FILLED]
+    checks += [f"CASE WHEN length({c}) > {n} THEN '{c} too long' END" for c, n in expected.LANDING.items()]
     return f"coalesce({', '.join(checks)})"
 
 
@@ -301,7 +302,7 @@ _BAD = {
 
 def _qc() -> str:
     def line(n: int, value: str) -> str:
-        name = quality.CHECK_NAMES[n - 1].replace("'", "''")
+        name = expected.CHECKS[n - 1].replace("'", "''")
         ok = "value > 0" if n == 1 else "value = 0"
         return (f"SELECT CAST({n} AS INTEGER) AS check_no, '{name}' AS name, value, "
                 f"CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END AS status FROM ({value}) v{n}")
@@ -336,31 +337,31 @@ SELECT c.*, n AS n_rows, 2 AS n_stored FROM cal c
 JOIN (SELECT term_code, count(*) AS n FROM stg GROUP BY 1) s ON term_code = current_term""")
 
 
-def _data_test(test: datatests.DataTest) -> str:
-    view, cols = _MODEL_VIEW[test.model], test.columns
-    listed = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in test.values)
-    if test.test == "not_null":
+def _data_test(model: str, test: str, cols: tuple, values: tuple) -> str:
+    view = _MODEL_VIEW[model]
+    listed = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    if test == "not_null":
         found = f"SELECT count(*) FROM {view} WHERE {cols[0]} IS NULL"
-    elif test.test == "accepted_values":
+    elif test == "accepted_values":
         found = f"SELECT count(*) FROM {view} WHERE {cols[0]} NOT IN ({listed})"
-    elif test.test == "accepted_range":
-        found = f"SELECT count(*) FROM {view} WHERE NOT ({cols[0]} >= {test.values[0]} AND {cols[0]} <= {test.values[1]})"
-    elif test.test == "expression_is_true":
+    elif test == "accepted_range":
+        found = f"SELECT count(*) FROM {view} WHERE NOT ({cols[0]} >= {values[0]} AND {cols[0]} <= {values[1]})"
+    elif test == "expression_is_true":
         found = (f"SELECT count(*) FROM {view} WHERE coalesce(NOT ({cols[0]} <= "
-                 f"(SELECT max(cohort_year) FROM epi) - {test.values[0]}), true)")
+                 f"(SELECT max(cohort_year) FROM epi) - {values[0]}), true)")
     else:
-        keep = f"WHERE {cols[0]} IS NOT NULL" if test.test == "unique" else ""
+        keep = f"WHERE {cols[0]} IS NOT NULL" if test == "unique" else ""
         found = f"SELECT count(*) FROM (SELECT 1 FROM {view} {keep} GROUP BY {', '.join(cols)} HAVING count(*) > 1) g"
-    return (f"SELECT '{test.model}' AS model, '{test.test}' AS test, '{test.label}' AS column_name, "
+    return (f"SELECT '{model}' AS model, '{test}' AS test, '{', '.join(cols)}' AS column_name, "
             f"({found}) AS failures")
 
 
 def _suite(tests, views: str, edge: bool = False) -> str:
-    return using(views, " UNION ALL ".join(_data_test(t) for t in tests), edge)
+    return using(views, " UNION ALL ".join(_data_test(*t) for t in tests), edge)
 
 
 def _t(test, *columns, values=(), model="staged"):
-    return datatests.DataTest(model, test, tuple(columns), tuple(values))
+    return model, test, columns, values
 
 
 O["dt_not_null"] = _suite([_t("not_null", c) for c in ("student_id", "u_g", "school", "term_code")], "staged")
@@ -378,7 +379,7 @@ O["dt_accepted_range"] = _suite(
 O["dt_expression_true"] = _suite(
     [_t("expression_is_true", "cohort_year", values=(2,), model=m)
      for m in ("fct_graduation_rate", "fct_retention_rate_cohort")], "grad retc")
-O["dt_suite"] = _suite(datatests.DECLARED_TESTS, "stg cal epi dim enr grad retc gradt rett", edge=True)
+O["dt_suite"] = _suite(expected.TESTS, "stg cal epi dim enr grad retc gradt rett", edge=True)
 
 # Scalar functions
 
@@ -674,7 +675,7 @@ def _any(words) -> str:
 
 
 def _route(has_documents: bool) -> str:
-    data, document = _any(phrases.DATA_PHRASES), _any(phrases.DOCUMENT_PHRASES)
+    data, document = _any(expected.DATA), _any(expected.DOCUMENT)
     return (f"CASE WHEN {data} AND {document} THEN 'both' WHEN {document} THEN 'rag' WHEN {data} THEN 'sql' "
             f"WHEN len(list_filter(regexp_split_to_array(question, '\\s+'), lambda w: w <> '')) <= 3 THEN 'clarify' "
             f"ELSE '{'rag' if has_documents else 'sql'}' END")
@@ -691,13 +692,13 @@ def _match(pattern: str) -> str:
 def _resolved(latest: str) -> str:
     return f"""
 SELECT conv_id, turn, question, concat_ws(' ', question,
-  CASE WHEN {_match(phrases.LAST_YEAR)} THEN '(most recent cohort_year: ' || (y - 1) || ')' END,
-  CASE WHEN {_match(phrases.THIS_YEAR)} THEN '(current cohort_year: ' || y || ')' END,
-  CASE WHEN {_match(phrases.LAST_TERM)} THEN '(previous major term: ' || prev || ', ' || {_season('prev')} || ' ' || left(prev, 4) || ')' END,
-  CASE WHEN {_match(phrases.THIS_TERM)} THEN '(current term: ' || t || ', ' || {_season('t')} || ' ' || y || ')' END,
-  CASE WHEN {_match(phrases.PAST_YEARS)} THEN '(cohort_years '
-    || (y - CAST(regexp_extract(question, '{phrases.PAST_YEARS}', 1, 'i') AS INT)) || '-' || y || ')' END,
-  CASE WHEN {_match(phrases.RECENT)} THEN '(data available through: ' || t || ', ' || {_season('t')} || ' ' || y || ')' END
+  CASE WHEN {_match(expected.LAST_YEAR)} THEN '(most recent cohort_year: ' || (y - 1) || ')' END,
+  CASE WHEN {_match(expected.THIS_YEAR)} THEN '(current cohort_year: ' || y || ')' END,
+  CASE WHEN {_match(expected.LAST_TERM)} THEN '(previous major term: ' || prev || ', ' || {_season('prev')} || ' ' || left(prev, 4) || ')' END,
+  CASE WHEN {_match(expected.THIS_TERM)} THEN '(current term: ' || t || ', ' || {_season('t')} || ' ' || y || ')' END,
+  CASE WHEN {_match(expected.PAST_YEARS)} THEN '(cohort_years '
+    || (y - CAST(regexp_extract(question, '{expected.PAST_YEARS}', 1, 'i') AS INT)) || '-' || y || ')' END,
+  CASE WHEN {_match(expected.RECENT)} THEN '(data available through: ' || t || ', ' || {_season('t')} || ' ' || y || ')' END
 ) AS resolved
 FROM questions CROSS JOIN (
   SELECT t, CAST(left(t, 4) AS INT) AS y, coalesce({_previous('t')}, t) AS prev FROM ({latest}) m) n"""
@@ -706,7 +707,7 @@ FROM questions CROSS JOIN (
 O["resolve_terms"] = using("questions enr", _resolved("SELECT max(term_code) AS t FROM enr"))
 O["resolve_terms_summer"] = using("questions", _resolved("SELECT '209950' AS t"))
 O["chart_intent"] = using("questions", f"""
-SELECT *, NOT {_match(phrases.NOT_A_CHART)} AND ({_match(phrases.CHART_VERB)} OR {_match(phrases.CHART_TREND)})
+SELECT *, NOT {_match(expected.NOT_A_CHART)} AND ({_match(expected.CHART_VERB)} OR {_match(expected.CHART_TREND)})
   AS wants_chart FROM questions""")
 
 
@@ -776,7 +777,7 @@ O["index_lists"] = f"""
 SELECT count(*) AS indexed, count(DISTINCT vec_id) AS distinct_items, 6 * {_ASKED} AS answers
 FROM embeddings WHERE embedding IS NOT NULL"""
 O["index_recall"] = f"SELECT 6 * {_ASKED} AS wanted, true AS recall_ok"
-_RULE = CONTEXT_RULE.replace("\n", "' || chr(10) || '")
+_RULE = expected.RULE.replace("\n", "' || chr(10) || '")
 O["assemble_context"] = (
     f"SELECT n.query_id, string_agg('vector ' || e.vec_id || ' of label ' || e.label, '{_RULE}' ORDER BY n.rank) AS context, "
     f"count(*) AS n_excerpts FROM ({_NEAREST}) n JOIN embeddings e ON e.vec_id = n.item_id GROUP BY 1")
@@ -794,11 +795,11 @@ def _profile(position: int, column: str) -> str:
 
 
 O["profile_columns"] = using("lnd", " UNION ALL ".join(
-    _profile(i, c) for i, c in enumerate(landing.LANDING_NAMES)))
+    _profile(i, c) for i, c in enumerate(expected.LANDING)))
 # A column of many values is not counted: far more than 200 of them at any size.
 O["profile_bounded"] = using("lnd", "SELECT * REPLACE (CASE WHEN distinct_values < 180 "
                                     "THEN distinct_values END AS distinct_values) FROM (" + " UNION ALL ".join(
-    _profile(i, c) for i, c in enumerate(landing.LANDING_NAMES)) + ") p")
+    _profile(i, c) for i, c in enumerate(expected.LANDING)) + ") p")
 O["series_table"] = using("enr", """
 SELECT term_code AS x, pell AS series, CAST(count(DISTINCT student_id) AS DOUBLE) AS y, 'line' AS kind
 FROM enr GROUP BY 1, 2""")
