@@ -92,3 +92,41 @@ def test_leak_scan_looks_into_values(spark):
     found = {r["column_name"]: r["leaked_rows"] for r in leak_scan(out, known).collect()}
     assert found == {"note": 2, "list": 1, "pairs": 2, "inner": 1}
     assert leak_scan(out.select("n"), known).count() == 0
+
+
+def _exchanged(plan, by: str) -> list[int]:
+    """Rows that each exchange of a finished plan by the column ``by`` wrote."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    if "QueryStage" in plan.nodeName():
+        below.append(plan.plan())
+    found = [n for p in below for n in _exchanged(p, by)]
+    if plan.nodeName() == "Exchange" and f"hashpartitioning({by}#" in plan.outputPartitioning().toString():
+        found.append(plan.metrics().apply("shuffleRecordsWritten").value())
+    return found
+
+
+def test_leak_scan_shuffles_only_words_like_identifiers(spark, monkeypatch):
+    known = spark.range(50).selectExpr("concat('STU', lpad(id, 7, '0')) AS student_id")
+    out = spark.range(400).selectExpr(
+        "concat_ws(' ', 'term', '201510', 'of', 'STU' || lpad(id, 7, '0'), 'no', id) AS note", "'EN' AS school")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scan = leak_scan(out, known)
+        want = [("note", 50), ("school", 0)]
+        assert sorted(tuple(r) for r in scan.collect()) == want
+        # Before, the words of all sentences went to the task of their word.
+        assert max(_exchanged(scan._jdf.queryExecution().executedPlan(), "word")) == 400
+        monkeypatch.setattr("termwise.operators.governance.OUTLINES", 0)
+        assert sorted(tuple(r) for r in leak_scan(out, known).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_leak_scan_without_rows_or_identifiers(spark):
+    out = spark.range(3).selectExpr("cast(id AS string) AS a", "cast(NULL AS string) AS b")
+    none = spark.createDataFrame([], "student_id string")
+    assert sorted(tuple(r) for r in leak_scan(out, none).collect()) == [("a", 0), ("b", 0)]
+    assert leak_scan(out.limit(0), none).count() == 0
