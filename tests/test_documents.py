@@ -152,3 +152,29 @@ def test_text_files_with_path_and_time(spark, tmp_path):
     rows = files.collect()
     assert sorted(r.source for r in rows) == sorted(f"f{i}.txt" for i in range(50))
     assert all(r.path.endswith("/" + r.source) and r.modified.timestamp() > 0 for r in rows)
+
+
+def test_packed_text_files_give_every_text_back(spark, tmp_path):
+    from termwise.sources.layers import packed_documents, write_text_documents
+
+    texts = ["", "one", "a\n\nb\r\nc\r", "\n", "~", "~0~1~~", "x\x1ey\x1e", "\u00e9\u2028 \U0001f600", "\ufeffz", "12\n34"]
+    docs = spark.createDataFrame([(f"s{i}", x) for i, x in enumerate(texts)] + [("none", None)], "source string, text string")
+    write_text_documents(docs.coalesce(2), str(tmp_path / "t"))
+    # Before, as many files as documents.
+    assert len(list((tmp_path / "t").glob("part-*"))) <= 2
+    rows = packed_documents(spark, str(tmp_path / "t")).collect()
+    assert {r.source: r.text for r in rows} == {f"s{i}": x + "\n" for i, x in enumerate(texts)} and len(rows) == len(texts)
+    assert all(r.path and r.modified.timestamp() > 0 for r in rows)
+
+
+def test_load_text_files_writes_few_files(spark, tmp_path, monkeypatch):
+    from termwise.checks import queries
+
+    (tmp_path / "in").mkdir()
+    spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1).write.parquet(
+        str(tmp_path / "in" / "documents.parquet"))
+    monkeypatch.setattr(queries, "scratch_path", lambda _, label: str(tmp_path / label))
+    loaded = queries.QUERIES["load_text_files"](spark, str(tmp_path / "in"))
+    assert sorted((r.source, r.text) for r in loaded.collect()) == sorted((str(i), f"text {i}") for i in range(200))
+    # Before, a folder and a file for each of the 200.
+    assert sum(1 for f in (tmp_path / "text-files").rglob("part-*")) <= 8
