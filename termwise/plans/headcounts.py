@@ -51,8 +51,10 @@ def headcount_bitmaps(enrollment: DataFrame, numbers: DataFrame) -> DataFrame:
     """(dimensions, part, students): per finest group the bitmaps of the students it has."""
     rows = enrollment_rows(enrollment).withColumn("full_time", F.expr("creditenr >= 12"))
     numbered = rows.select(*DIMENSIONS, "student_id").distinct().join(numbers, "student_id").withColumn(
-        "bit", F.col("number") + 1)
-    return numbered.groupBy(*DIMENSIONS, F.expr("bitmap_bucket_number(bit)").alias("part")).agg(
+        "bit", F.col("number") + 1).withColumn("part", F.expr("bitmap_bucket_number(bit)"))
+    # The numbers travel, at most BITS a part, and each bitmap is made once: a task's own bitmaps would be
+    # 4 KB for a few bits each, and all of them sorted again.
+    return numbered.repartition(*DIMENSIONS, "part").groupBy(*DIMENSIONS, "part").agg(
         F.expr("bitmap_construct_agg(bitmap_bit_position(bit))").alias("students"))
 
 

@@ -55,3 +55,13 @@ def test_rate_cube_reads_its_fact_once(spark, tmp_path, dims):
     total = fact.agg(F.sum("g"), F.sum("n")).first()
     top = next(r for r in rows if r.grouping_id == 2 ** len(dims) - 1)
     assert (top.g, top.n) == tuple(total) and {r.grouping_id for r in rows} == set(range(2 ** len(dims)))
+
+
+def test_bitmaps_are_made_after_the_shuffle(spark, enrollment):
+    rows = enrollment([(f"S{i}", "201910", "Enrolled", "1", {"school": "EN"}) for i in range(20)])
+    stored = headcounts.headcount_bitmaps(rows, headcounts.student_numbers(rows))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    # Before, each task made bitmaps of its own, and an exchange lay between two aggregates of them.
+    partial, final = (plan.index(x) for x in ("partial_bitmap_construct_agg", "bitmap_construct_agg"))
+    assert final < partial and "Exchange" not in plan[final:partial]
+    assert [r.n for r in stored.selectExpr("bitmap_count(students) AS n").collect()] == [20]
