@@ -42,9 +42,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     frame, unpack = packed(docs, ["doc_id", "text"])
     kept = neardup.near_duplicates(frame, root=True).filter("kept")
+    # Texts are compared only where an id stands for several rows; those of all other rows stay out of this shuffle.
+    grouped = kept.filter("component_root IS NOT NULL")
+    several = written(grouped.groupBy("component_root").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+                      .select("component_root"), "several")
     first = F.row_number().over(Window.partitionBy("component_root").orderBy(F.xxhash64("text"), "text"))
-    grouped = kept.filter("component_root IS NOT NULL").withColumn("_nth", first).filter("_nth = 1")
-    return unpack(grouped).unionByName(unpack(kept.filter("component_root IS NULL")))
+    chosen = grouped.join(several, "component_root", "left_semi").withColumn("_nth", first).filter("_nth = 1")
+    return unpack(chosen).unionByName(unpack(kept.join(several, "component_root", "left_anti")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from conftest import SF_DIR
 from llm.conftest import AWKWARD, TOKENIZERS
 from llm.test_neardup import brute
 from llm.test_quality_mixing import reshared
+from test_governance import exchanged
 from termwise.llm import quality
 from termwise.llm.registry import table
 from termwise.llm.texts import written
@@ -88,3 +89,15 @@ def test_repeated_ids_and_columns_of_any_name(spark, documents):
             assert all(r[name] == f"{name}{r.doc_id}" for name in names), stage
         if stage == "drop_near_duplicates":
             assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted({(1, text(2)), (1, text(3)), (2, text(4)), (1, text(5))})
+
+
+def test_texts_of_single_ids_are_not_dealt_by_component(spark, documents):
+    text = "one two three four five six seven eight"
+    single = documents([(i, f"{text} {i // 2}", "en", "s") for i in range(20)])
+    left = corpus_pipeline.drop_near_duplicates(spark, single, "")
+    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 20, 2))
+    # Before, every text was dealt and sorted by its component.
+    assert sum(exchanged(left._jdf.queryExecution().executedPlan(), "component_root")) == 0
+    repeated = single.unionByName(single.filter("doc_id < 6")).unionByName(documents([(None, text, "en", "s")]))
+    left = corpus_pipeline.drop_near_duplicates(spark, repeated, "")
+    assert sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == [(False, i) for i in range(0, 20, 2)] + [(True, None)]

@@ -94,14 +94,14 @@ def test_leak_scan_looks_into_values(spark):
     assert leak_scan(out.select("n"), known).count() == 0
 
 
-def _exchanged(plan, by: str) -> list[int]:
+def exchanged(plan, by: str) -> list[int]:
     """Rows that each exchange of a finished plan by the column ``by`` wrote."""
     if plan.nodeName() == "AdaptiveSparkPlan":
         plan = plan.executedPlan()
     below = [plan.children().apply(i) for i in range(plan.children().size())]
     if "QueryStage" in plan.nodeName():
         below.append(plan.plan())
-    found = [n for p in below for n in _exchanged(p, by)]
+    found = [n for p in below for n in exchanged(p, by)]
     if plan.nodeName() == "Exchange" and f"hashpartitioning({by}#" in plan.outputPartitioning().toString():
         found.append(plan.metrics().apply("shuffleRecordsWritten").value())
     return found
@@ -118,7 +118,7 @@ def test_leak_scan_shuffles_only_words_like_identifiers(spark, monkeypatch):
         want = [("note", 50), ("school", 0)]
         assert sorted(tuple(r) for r in scan.collect()) == want
         # Before, the words of all sentences went to the task of their word.
-        assert max(_exchanged(scan._jdf.queryExecution().executedPlan(), "word")) == 400
+        assert max(exchanged(scan._jdf.queryExecution().executedPlan(), "word")) == 400
         monkeypatch.setattr("termwise.operators.governance.OUTLINES", 0)
         assert sorted(tuple(r) for r in leak_scan(out, known).collect()) == want
     finally:
