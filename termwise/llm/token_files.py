@@ -223,6 +223,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int | None
     shared.destroy()
 
 
+def runs_of(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of ids that end at ``ends``, as bytes. Arrow keeps for good what it makes an array of as memoryviews."""
+    offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): ids as little-endian u32 bytes, start counted over all files.
 
@@ -243,12 +249,11 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                data = memoryview(unpack(row.column("payload")[0].as_buffer()).tobytes())
+                ids = unpack(row.column("payload")[0].as_buffer())
                 lengths = np.array(row.column("lengths")[0].as_py(), np.int64)
                 ends = np.cumsum(lengths)
-                ids = [data[4 * (e - n):4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [row.column("doc_ids")[0].values, pa.array(row.column("start")[0].as_py() + ends - lengths),
-                     pa.array(lengths), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                     pa.array(lengths), runs_of(ids, ends)], ["doc_id", "start", "n_tokens", "ids"])
 
     return placed.mapInArrow(documents, schema)

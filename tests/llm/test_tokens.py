@@ -115,6 +115,20 @@ def test_blocks_round_trip(ids):
         assert token_files.unpack(payload, block).tolist() == part.tolist()
 
 
+def test_runs_of_ids_are_given_back():
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon:")) >> 10
+
+    ids, ends = np.arange(500_000, dtype="<u4"), np.arange(0, 500_001, 1000)[1:]
+    assert b"".join(token_files.runs_of(ids, ends).to_pylist()) == ids.tobytes()
+    payload = token_files.pack(ids)
+    before = held()
+    for _ in range(100):  # 200 MB of ids
+        token_files.runs_of(token_files.unpack(payload), ends)
+    assert held() - before < 60
+
+
 def test_outliers_stay_out_of_the_width():
     ids = np.full(token_files.BLOCK, 7, "<u4")
     ids[::20] = 2**31
