@@ -38,11 +38,11 @@ from termwise.llm.texts import Memo, with_arrays
 # Fixed: the pattern that cuts a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_PLAIN = regex.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 # What the pattern makes of a word of Latin letters and marks behind it: a line's start, the word, the marks.
 _SIMPLE = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
-_CHUNKS, _ARCS, _WIDE, _DEEP, LONGEST = 150_000, 200_000, 32, 64, 64
+_CHUNKS, _WORDS, _ARCS, _WIDE, LONGEST = 150_000, 50_000, 200_000, 32, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -114,30 +114,24 @@ class Automaton:
         n, longest, get, go = len(word), self.longest, self.whole.get, self.go
         if (only := get(word)) is not None:
             return [only]
-        last, size = [-1] * (n + 1), [0] * (n + 1)
-
-        def state(end: int) -> int:
-            """The token that ends the path to a prefix; states before it are found as they are asked for."""
-            for start in range(max(0, end - longest), end):
-                token = get(word[start:end])
-                if token is None:
-                    continue
-                if start:
-                    before = last[start]
-                    if not go[(before if before >= 0 else state(start)) << _WIDE | token]:
-                        continue
-                last[end], size[end] = token, end - start
-                return token
-
-        for end in range(_DEEP, n, _DEEP):  # keeps the asking shallow in long words
-            state(end)
-        if n:
-            state(n)
-        out = []
-        while n > 0:
-            out.append(last[n])
-            n -= size[n]
-        return out[::-1]
+        # The longest token that the one before allows, else a shorter one. One token ends the path to a prefix, so a
+        # prefix from which nothing leads on is left for good.
+        out, ends, dead = [], [0], set()
+        limit = min(n, longest)
+        while (at := ends[-1]) < n:
+            before = out[-1] << _WIDE if out else -1
+            for end in range(limit, at, -1):
+                token = get(word[at:end])
+                if token is not None and end not in dead and (before < 0 or go[before | token]):
+                    out.append(token)
+                    ends.append(end)
+                    limit = min(n, end + longest)
+                    break
+            else:
+                dead.add(at)
+                out.pop()
+                limit = ends.pop() - 1
+        return out
 
     def open(self) -> None:
         """What is looked up while encoding, made in the process that encodes."""
@@ -145,7 +139,7 @@ class Automaton:
         self.cut = regex.compile(PATTERN)
         # Tokens that a word made of them alone can end as.
         self.whole = {label: token for label, token in self.tokens.items() if self.stands[token]}
-        self.words = Memo(lambda word: array("i", self.encode_word(word.encode())).tobytes(), _CHUNKS, LONGEST)
+        self.words = Memo(self._word, _WORDS, LONGEST)
         self.chunks = Memo(self._chunk, _CHUNKS, LONGEST)
         self.specials = (regex.compile("|".join(regex.escape(x) for x in sorted(self.added, key=len, reverse=True)))
                          if self.added else None)
@@ -153,10 +147,18 @@ class Automaton:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("go", "cut", "words", "chunks", "specials", "whole")}
 
+    def _word(self, word: str) -> bytes:
+        return array("i", self.encode_word(word.encode())).tobytes()
+
     def _chunk(self, chunk: str) -> bytes:
         found = _SIMPLE.fullmatch(chunk)
-        cut = filter(None, found.groups()) if found else self.cut.findall(chunk)
-        return b"".join([self.words[x] for x in cut])
+        if found is None:
+            return b"".join([self.words[x] for x in self.cut.findall(chunk)])
+        line, word, marks = found.groups()
+        if not line and not marks:
+            return self._word(word)
+        # Words are kept among the chunks, where they stand alone too.
+        return (self.words[line] if line else b"") + self.chunks[word] + (self.words[marks] if marks else b"")
 
     def _plain(self, text: str) -> bytes:
         # A run of white space and what follows it is cut alike wherever it stands.

@@ -99,6 +99,13 @@ def test_automaton_applies_merges_in_order(merges, words):
         assert [rules.labels[i] for i in rules.encode_word(word.encode())] == run
 
 
+def test_words_with_marks_share_a_kept_answer(rules, byte_bpe):
+    text = "some wordish, wordish\nwordish."
+    mine = bpe.automaton(f"{TOKENIZERS}/byte_bpe_50k.json")
+    assert ids_of(mine, text) == byte_bpe.encode(text, add_special_tokens=False).ids
+    assert " wordish" in mine.chunks and "wordish" in mine.chunks and " wordish" not in mine.words
+
+
 def test_undecodable_bytes(rules, byte_bpe):
     ids = [i for i in range(200, 260)] + [50256, 161, 162, 50000]
     assert rules.decode(ids) == byte_bpe.decode(ids, skip_special_tokens=False)
