@@ -60,8 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, same): the ids, and whether they decode to the text."""
     rules = bpe.automaton(BYTE_BPE)
-    ids = bpe.encode(docs, rules, ["doc_id", "lang", "source", "text"])
-    return bpe.decode(ids, rules).select(
+    return bpe.round_trip(docs, rules, ["doc_id", "lang", "source", "text"]).select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("same"))
 

@@ -181,33 +181,50 @@ class Automaton:
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+        return text_of(self.labels, ids)
+
+
+def text_of(labels: list[bytes], ids: list[int]) -> str:
+    return b"".join(map(labels.__getitem__, ids)).decode("utf-8", "replace")
 
 
 def automaton(tokenizer: str) -> Automaton:
     return Automaton.compile(Path(tokenizer).read_text())
 
 
+def _ids(rules: Automaton, texts: pa.Array) -> pa.Array:
+    runs = [rules.encode(x) if x else b"" for x in texts.to_pylist()]
+    offsets = np.cumsum([0, *(len(x) // 4 for x in runs)])
+    ids = pa.array(np.frombuffer(b"".join(runs), "<i4"), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)
+
+
+def _decoded(labels: list[bytes], ids: pa.Array) -> pa.Array:
+    offsets, values = ids.offsets.to_pylist(), ids.values.to_numpy()
+    return pa.array([text_of(labels, values[lo:hi].tolist()) for lo, hi in zip(offsets, offsets[1:])], pa.string())
+
+
 def encode(docs: DataFrame, rules: Automaton, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``ids array<int>`` from ``text``."""
     shared = docs.sparkSession.sparkContext.broadcast(rules)
+    return with_arrays(docs, "ids array<int>", lambda texts: [_ids(shared.value, texts)], keep)
 
-    def compute(texts: pa.Array) -> list[pa.Array]:
-        runs = [shared.value.encode(x) if x else b"" for x in texts.to_pylist()]
-        offsets = np.cumsum([0, *(len(x) // 4 for x in runs)])
-        ids = pa.array(np.frombuffer(b"".join(runs), "<i4"), pa.int32())
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)]
 
-    return with_arrays(docs, "ids array<int>", compute, keep)
+def round_trip(docs: DataFrame, rules: Automaton, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` with ``ids array<int>`` from ``text`` and the text ``decoded`` from them.
 
+    `decode` of `encode` gives the same, but keeps two Python workers for each task.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(rules)
 
-def decode(rows: DataFrame, rules: Automaton, name: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """``rows`` with the text of ``ids``."""
-    shared = rows.sparkSession.sparkContext.broadcast(rules)
+    def compute(texts: pa.Array) -> list[pa.Array]:
+        ids = _ids(shared.value, texts)
+        return [ids, _decoded(shared.value.labels, ids)]
+
+    return with_arrays(docs, "ids array<int>, decoded string", compute, keep)
 
-    def compute(ids: pa.Array) -> list[pa.Array]:
-        offsets, values = ids.offsets.to_pylist(), ids.values.to_numpy()
-        texts = (shared.value.decode(values[lo:hi].tolist()) for lo, hi in zip(offsets, offsets[1:]))
-        return [pa.array(list(texts), pa.string())]
 
-    return with_arrays(rows, f"{name} string", compute, keep, reads="ids")
+def decode(rows: DataFrame, rules: Automaton, name: str = "decoded", keep: list[str] | None = None) -> DataFrame:
+    """``rows`` with the text of ``ids``. Only the labels go to the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(rules.labels)
+    return with_arrays(rows, f"{name} string", lambda ids: [_decoded(shared.value, ids)], keep, reads="ids")

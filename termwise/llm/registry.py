@@ -27,8 +27,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str, tokenizer: str = BYTE_BPE) -> DataFrame:
     rules = bpe.automaton(tokenizer)
-    ids = bpe.encode(table(spark, sf_dir, "documents"), rules, ["doc_id"])
-    return bpe.decode(ids, rules).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), rules, ["doc_id"]).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

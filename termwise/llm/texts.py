@@ -94,6 +94,8 @@ def with_arrays(docs: DataFrame, fields: str, compute, keep: list[str] | None =
     schema = StructType([docs.schema[x] for x in kept] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker takes on other work from task to task: tables and caches in cycles that the last task left go first.
+        gc.collect()
         for batch in batches:
             # A few hundred rows at a time keep what is made of them small.
             for at in range(0, batch.num_rows, _SLICE):

@@ -153,6 +153,23 @@ def test_encode_and_decode_frames(spark, documents, byte_bpe, rules):
     assert bpe.encode(docs.limit(0), rules).count() == 0
 
 
+def test_round_trip_takes_one_python_worker_a_task(spark, documents, rules):
+    docs = documents(AWKWARD)
+    both = bpe.round_trip(docs, rules).select("doc_id", "ids", "decoded")
+    parted = bpe.decode(bpe.encode(docs, rules), rules).select("doc_id", "ids", "decoded")
+    assert sorted(both.collect(), key=str) == sorted(parted.collect(), key=str)
+    assert registry.op2_bpe(spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_decoding_sends_labels_only(spark, documents, rules, monkeypatch):
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x) or broadcast(self, x))
+    ids = bpe.encode(documents(["some words"]), rules)
+    del sent[:]
+    assert bpe.decode(ids, rules).first().decoded == "some words"
+    assert sent == [rules.labels]
+
+
 def brute_files(docs, word_bpe):
     out, start = [], 0
     for r in sorted(docs, key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
