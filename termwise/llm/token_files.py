@@ -42,6 +42,7 @@ BLOCK, SEGMENT, FIT, MARK = 128, 1 << 17, 0.9, 0x31524650
 _KEEP, LONGEST = 200_000, 64
 # Lower-case letters that a normalizer to composed, lower-case form leaves alone, and ASCII marks after them.
 _LETTERS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_ASCII = re.compile(rb"([a-z]+)([!-/:-@\[-`{-~]*)")
 _SHIFTS = np.uint64(1) << np.arange(33, dtype=np.uint64)
 
 
@@ -150,6 +151,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(self.json)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.split = self.tokenizer.model.tokenize
         self.letters = {b: x for x, b in byte_letters().items()}
         self.known = Memo(self.piece, _KEEP, LONGEST)
         self.tails = Memo(self.whole, 10_000, LONGEST)
@@ -157,7 +159,14 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def model(self, letters: str) -> bytes:
+        return array("I", [x.id for x in self.split(letters)]).tobytes()
+
     def piece(self, piece: bytes) -> bytes:
+        # ASCII letters stand for themselves in the model.
+        if found := _ASCII.fullmatch(piece):
+            core, tail = found.groups()
+            return self.known[core] + self.tails[tail.decode()] if tail else self.model(core.decode())
         text = piece.decode()
         found = _LETTERS.fullmatch(text)
         if found is None:
@@ -165,8 +174,7 @@ class Encoder:
         core, tail = found.groups()
         if tail:
             return self.known[core.encode()] + self.tails[tail]
-        ids = self.tokenizer.model.tokenize(piece.decode("latin-1").translate(self.letters))
-        return array("I", [x.id for x in ids]).tobytes()
+        return self.model(piece.decode("latin-1").translate(self.letters))
 
     def encode(self, text: bytes) -> bytes:
         """The ids of a text as little-endian u32; a few MB of it are cut at a time."""
