@@ -42,7 +42,7 @@ _BUCKETS = 32
 ORDERS = (4, 3, 2, 1)
 UNDECIDED = "und"
 _WORDS = regex.compile(r"\p{L}+")
-_PART = 400_000
+_PART = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -63,7 +63,9 @@ def _rows(counts: Counter) -> pa.RecordBatch:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    gc.collect()
     by_lang: dict[str, Counter] = defaultdict(Counter)
+    held = 0
 
     def flush():
         for lang, counts in by_lang.items():
@@ -74,22 +76,26 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            before = len(by_lang[lang])
             by_lang[lang].update(words_of(text))
-            if len(by_lang[lang]) > _PART:
+            held += len(by_lang[lang]) - before
+            if held > _PART:
                 yield from flush()
+                held = 0
     yield from flush()
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    gc.collect()
     counts: Counter = Counter()
     for batch in batches:
         for lang, word, n in zip(*(batch.column(x).to_pylist() for x in ("lang", "item", "n"))):
             for order in ORDERS:
                 for gram in grams_of(word, order):
                     counts[lang, gram] += n
-        if len(counts) > _PART:
-            yield _rows(counts)
-            counts.clear()
+            if len(counts) > _PART:
+                yield _rows(counts)
+                counts.clear()
     if counts:
         yield _rows(counts)
 
@@ -116,23 +122,25 @@ class LanguageModel:
         by_order = defaultdict(dict)
         for gram, counts in grams.items():
             by_order[len(gram)][gram] = counts
-        self.grams = {}
+        # Places in one array: a tuple of floats each would take five times the room, in every worker.
+        self.grams, logs = {}, [np.zeros((0, len(langs)))]
         for found in by_order.values():
             sums = [sum(x) for x in zip(*found.values())]
-            logs = self._logs(list(found.values()), sums, len(found))
-            self.grams |= dict(zip(found, map(tuple, logs.tolist())))
+            logs.append(self._logs(list(found.values()), sums, len(found)))
+            self.grams |= {gram: len(self.grams) + i for i, gram in enumerate(found)}
+        self.gram_logs = np.concatenate(logs)
 
     def _logs(self, counts: list[list[int]], totals: list[int], kinds: int) -> np.ndarray:
         if not counts:
             return np.zeros((0, len(self.langs)))
         return np.log((np.array(counts, float) + 0.5) / (np.array(totals, float) + 0.5 * kinds + 0.5))
 
-    def unseen(self, word: str) -> tuple[list[float], int]:
+    def unseen(self, word: str) -> tuple[np.ndarray, int]:
         """The score of a word that is not a known one, by language, and the n of the n-grams that gave it, or 0."""
         for order in ORDERS:
             if found := [x for g in grams_of(word, order) if (x := self.grams.get(g)) is not None]:
-                return [sum(x) / len(found) for x in zip(*found)], order
-        return [0.0] * len(self.langs), 0
+                return self.gram_logs[found].sum(axis=0) / len(found), order
+        return np.zeros(len(self.langs)), 0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("at", "rows")}
@@ -140,8 +148,9 @@ class LanguageModel:
     def _open(self) -> None:
         # Models of earlier jobs, which their caches hold in cycles, go first.
         gc.collect()
-        known = np.column_stack([self.table, np.array([len(w) for w in self.words], float)])
-        self.rows = np.concatenate([known, np.zeros((UNSEEN, len(self.langs) + 1))])
+        self.rows = np.zeros((len(self.words) + UNSEEN, len(self.langs) + 1))
+        self.rows[:len(self.words), :-1] = self.table
+        self.rows[:len(self.words), -1] = [len(w) for w in self.words]
         self.at = _Places({w: i for i, w in enumerate(self.words)})
         self.at.model = self
 

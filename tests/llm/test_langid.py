@@ -1,8 +1,11 @@
 import math
+import pickle
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import pyarrow as pa
 import pytest
 
 from llm.conftest import AWKWARD
@@ -101,3 +104,27 @@ def test_a_small_language_keeps_its_words(spark):
     assert {"xyzz", "zzy", "xy", "x"} <= set(model.grams)
     assert sum(w not in ("xyzzy", "wyrrd", "zyxxw") for w in model.words) == 20
     assert model.predict(["xyzzy", "wyrrdz"])[0] == ["tiny", "tiny"]
+
+
+def test_a_worker_holds_little(monkeypatch):
+    """Counts of all languages together are given on in parts, and n-gram scores are one array."""
+    monkeypatch.setattr(langid, "_PART", 50)
+    langs = [f"l{i}" for i in range(20)]
+    texts = [f"{a}{b} {b}{a}{b} {a}" for a in "abcdefghij" for b in "klmnopqrst"]
+    batches = [pa.record_batch({"lang": langs, "text": [x] * 20}) for x in texts]
+    want = Counter((x, w) for x in langs for t in texts for w in langid.words_of(t))
+    got = list(langid._count_words(iter(batches)))
+    found = Counter()
+    for b in got:
+        for x, w, n in zip(*(b.column(c).to_pylist() for c in ("lang", "item", "n"))):
+            found[x, w] += n
+    assert found == want and len(got) > 20 * len(texts) // 2
+    words = pa.record_batch({"lang": ["l0"] * 100, "item": [f"w{i}x{i}" for i in range(100)], "n": [1] * 100})
+    assert max(b.num_rows for b in langid._count_grams(iter([words]))) < 100
+    grams = {f"{i:04x}": [i + k for k in range(20)] for i in range(5000)}
+    held = pickle.dumps(langid.LanguageModel(langs, {"w": [1] * 20}, grams, [9] * 20))
+    tracemalloc.start()
+    model = pickle.loads(held)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 2_000_000 and len(model.unseen("00ff")[0]) == 20
