@@ -139,24 +139,29 @@ class Network:
             grad["h"] = odds @ p["classes"]
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.groups + 1))
-        for g in range(self.groups):
-            own = order[ends[g]:ends[g + 1]]
-            if not len(own):
-                continue
-            part = slice(g * WIDTH, (g + 1) * WIDTH)
-            own_h, place = h[own], target[own] - g * WIDTH
-            logits = own_h @ p["words"][part].T + p["word_bias"][part]
-            logits -= logits.max(1, keepdims=True)
+        words, bias = p["words"].reshape(self.groups, WIDTH, -1), p["word_bias"].reshape(self.groups, WIDTH)
+        sizes = np.diff(ends)
+        level = np.frexp(sizes.astype(float))[1]
+        # Classes of like size go together, filled up to the largest of them.
+        for x in np.unique(level[sizes > 0]):
+            own_g = np.nonzero(level == x)[0]
+            most = np.arange(sizes[own_g].max())
+            real = most < sizes[own_g][:, None]
+            own = order[np.minimum(ends[own_g][:, None] + most, len(order) - 1)]
+            own_h, own_words = h[own], words[own_g]
+            place = np.where(real, target[own] - own_g[:, None] * WIDTH, 0)[..., None]
+            logits = own_h @ own_words.transpose(0, 2, 1) + bias[own_g][:, None]
+            logits -= logits.max(2, keepdims=True)
             odds = np.exp(logits)
-            total = odds.sum(1)
-            rows = np.arange(len(own))
-            out[own] += logits[rows, place] - np.log(total)
+            total = odds.sum(2, keepdims=True)
+            out[own[real]] += (np.take_along_axis(logits, place, 2) - np.log(total))[real][:, 0]
             if grad is not None:
-                odds /= total[:, None]
-                odds[rows, place] -= 1
-                grad["words"][part] += odds.T @ own_h
-                grad["word_bias"][part] += odds.sum(0)
-                grad["h"][own] += odds @ p["words"][part]
+                odds /= total
+                np.put_along_axis(odds, place, np.take_along_axis(odds, place, 2) - 1, 2)
+                odds *= real[..., None]
+                grad["words"].reshape(words.shape)[own_g] += odds.transpose(0, 2, 1) @ own_h
+                grad["word_bias"].reshape(bias.shape)[own_g] += odds.sum(1)
+                grad["h"][own[real]] += (odds @ own_words)[real]
         return out
 
     def loss_and_gradients(self, symbols, target, keep, live, h):

@@ -162,3 +162,29 @@ def test_every_document_trains_once(spark, documents, monkeypatch):
     monkeypatch.setattr(lm, "_train", tasks)
     lm.fit(documents([f"text {i} of many" for i in range(200)]))
     assert seen.value == 200
+
+
+def test_classes_of_like_size_go_together(monkeypatch):
+    """Each target's probability is that of its class times its own within it, by a few products for all classes."""
+    network = lm.Network(lm.HEAD, np.float64)
+    rng = np.random.default_rng(5)
+    for name in ("classes", "class_bias", "words", "word_bias"):
+        network.p[name] = rng.normal(0, 0.3, network.p[name].shape)
+    h = rng.normal(0, 1, (900, lm.UNITS))
+    target = np.concatenate([rng.integers(0, lm.WIDTH, 400), rng.integers(0, lm.HEAD + lm.TAILS, 500)])
+    p, calls, exp = network.p, [], np.exp
+
+    def own(h, x):
+        head = x < lm.HEAD
+        logits = h @ p["classes"].T + p["class_bias"]
+        out = logits[x // lm.WIDTH if head else network.groups + x - lm.HEAD] - np.log(exp(logits).sum())
+        if head:
+            part = slice(x // lm.WIDTH * lm.WIDTH, (x // lm.WIDTH + 1) * lm.WIDTH)
+            logits = p["words"][part] @ h + p["word_bias"][part]
+            out += logits[x % lm.WIDTH] - np.log(exp(logits).sum())
+        return out
+
+    want = [own(*x) for x in zip(h, target)]
+    monkeypatch.setattr(np, "exp", lambda x: calls.append(1) or exp(x))
+    assert network.log_probs(h, target) == pytest.approx(want)
+    assert len(calls) < 15
