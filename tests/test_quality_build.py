@@ -140,3 +140,23 @@ def test_text_documents(spark, tmp_path):
 def test_spine(spark):
     days = layers.time_spine(spark).selectExpr("count(*)", "min(date_day)", "max(date_day)").first()
     assert (days[0], str(days[1]), str(days[2])) == (5479, "2015-01-01", "2029-12-31")
+
+
+def test_build_gathers_entries_once_and_moves_narrow_rows(spark, tmp_path):
+    from termwise.plans.build import build_tables
+
+    plans, moved = {}, set()
+
+    class Store(layers.LayerStore):
+        def replace(self, df, name, layer=None, spread_by=(), finish=None):
+            moved.update(df.columns)
+            plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+            return super().replace(df, name, layer, spread_by, finish)
+
+    tables = build_tables(inputs.lnd_with_edge(spark, SF_DIR), Store(spark, str(tmp_path)))
+    assert [name for name, plan in plans.items() if "collect_set" in plan] == ["int_program_entries"]
+    # What the rebalance moves has neither descriptions nor audit columns.
+    assert "school_name" not in plans["stg_student_enrollment"]
+    assert not {"loaded_at", "updated_at", "updated_by"} & moved
+    assert {"school_name", "ethnicity_description"} <= set(tables["stg_student_enrollment"].columns)
+    assert not {"loaded_at", "updated_by"} & set(tables["stg_student_enrollment"].columns)
