@@ -8,8 +8,10 @@ one word less; an edge leads from its first words to its last.
    neighbours counted less than ``least`` times are in no phrase counted that often,
    so a piece can end between them; hashes that meet, and the filter of ``FILTER``
    bits that carries the result to tasks, only leave cuts out, never a phrase.
-2. Edges: each word starts one phrase, of ``LONGEST`` words or up to the end of its
-   piece. Equal ones are counted; the short ones are the corrections at piece ends.
+2. Edges: pieces leave the tasks as the runs of words between cuts, so the rows follow
+   the words, each handed on about once. Spark makes the edges of a run and counts
+   equal ones: each word starts one phrase, of ``LONGEST`` words or up to the end of its
+   piece; the short ones are the corrections at piece ends.
 3. Flow: a phrase of k words occurs as often as those of k + 1 that start with it,
    plus once for each piece that ends with it. So every shorter count comes from the
    level above, and the texts are not read again.
@@ -39,7 +41,7 @@ from termwise.llm.texts import Memo, as_bytes, written
 
 LEAST, LONGEST, MOST = 100, 5, 2000
 FILTER = 1 << 26
-_ROWS, _HASHES, _BYTES, _MEMO, _KEPT_WORD = 256, 1 << 22, 1 << 25, 200_000, 64
+_ROWS, _HASHES, _BYTES, _MEMO, _KEPT_WORD, _RUN = 256, 1 << 22, 1 << 25, 200_000, 64, 64
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -130,50 +132,79 @@ def _holds(whole: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
-def _starts(words: _Words, whole: np.ndarray, longest: int) -> Iterator[bytes]:
-    """The phrase that each word starts, cut after ``longest`` words, at a piece's end, or before a rare pair."""
-    n = len(words.words)
-    joined = np.concatenate([words.within & _holds(whole, words.pairs), np.zeros(longest, bool)])
-    size, going = np.ones(n, np.int64), np.ones(n, bool)
-    for k in range(longest - 1):
-        going &= joined[k:k + n]
-        size += going
-    wanted = np.nonzero((size > 1) | _holds(whole, words.singles))[0]
-    for i, k in zip(wanted.tolist(), size[wanted].tolist()):
-        yield words.words[i] if k == 1 else b" ".join(words.words[i:i + k])
-
-
-def graph(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """(lang, phrase, size, n): edges of ``longest`` words and the shorter ends of pieces; size 0 has the number of words.
+def _runs(words: _Words, whole: np.ndarray, longest: int) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Where frequent words stand alone, and the runs of words between rare pairs, as (words, starts).
 
-    Only what can be part of a phrase counted ``least`` times is kept.
+    A run is handed on in parts of ``_RUN`` words; each has what the phrases need that its words start.
+    """
+    n = len(words.words)
+    joined = words.within & _holds(whole, words.pairs)
+    first = np.nonzero(np.concatenate([[True], ~joined]))[0]
+    size = np.diff(np.append(first, n))
+    one = first[size == 1]
+    alone = one[_holds(whole, words.singles[one])]
+    first, size = first[size > 1], size[size > 1]
+    cuts = -(-size // _RUN)
+    at = np.repeat(first, cuts) + _RUN * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+    left = np.repeat(first + size, cuts) - at
+    wide = np.minimum(left, _RUN + longest - 1)
+    ends = np.cumsum(wide)
+    places = np.repeat(at - ends + wide, wide) + np.arange(wide.sum())
+    found = _lists(list(map(words.words.__getitem__, places.tolist())), np.append(0, ends))
+    return alone, pa.RecordBatch.from_arrays([found, pa.array(np.minimum(left, _RUN).astype("<i4"))], ["words", "starts"])
+
+
+def _lists(words: list[bytes], offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype("<i4")), pa.array(words, pa.binary()).cast(pa.string()))
+
+
+def runs(docs: DataFrame, whole, longest: int) -> DataFrame:
+    """(lang, words, starts, n): runs of words that the filter ``whole`` leaves, the first ``starts`` of which start a phrase.
+
+    Words that stand alone are counted in their task; one word without letters stands for the number of all.
     """
-    whole = docs.sparkSession.sparkContext.broadcast(frequent(docs, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = defaultdict(Counter), 0
+        names = ["lang", "words", "starts", "n"]
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, counts in found.items():
+                ones = pa.array(np.ones(len(counts), "<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()).cast(pa.string()),
-                     pa.array(counts.values(), pa.int64())], ["lang", "phrase", "n"])
+                    [pa.array([lang] * len(counts), pa.string()), _lists(list(counts), np.arange(len(counts) + 1)), ones,
+                     pa.array(counts.values(), pa.int64())], names)
 
         for lang, words in _by_lang(batches):
             if not words.words:
                 continue
+            alone, parts = _runs(words, whole.value, longest)
+            size = parts.num_rows
+            if size:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * size, pa.string()), *parts.columns, pa.array(np.ones(size, "<i8"))], names)
             counts = found[lang]
             counts[b""] += len(words.words)
             before = len(counts)
-            counts.update(_starts(words, whole.value, longest))
-            # A phrase costs its own bytes and about a hundred more.
-            held += (len(counts) - before) * (100 + longest * sum(map(len, words.words)) // len(words.words))
+            counts.update(map(words.words.__getitem__, alone.tolist()))
+            # A word costs its own bytes and about a hundred more.
+            held += (len(counts) - before) * (100 + sum(map(len, words.words)) // len(words.words))
             if held > _BYTES:
                 yield from out()
                 found, held = defaultdict(Counter), 0
         yield from out()
 
-    rows = _texts(docs).mapInArrow(run, "lang string, phrase string, n long")
+    return _texts(docs).mapInArrow(run, "lang string, words array<string>, starts int, n long")
+
+
+def graph(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+    """(lang, phrase, size, n): edges of ``longest`` words and the shorter ends of pieces; size 0 has the number of words.
+
+    Only what can be part of a phrase counted ``least`` times is kept.
+    """
+    whole = docs.sparkSession.sparkContext.broadcast(frequent(docs, least))
+    phrase = F.explode(F.expr(f"transform(sequence(1, starts), i -> array_join(slice(words, i, {longest}), ' '))"))
+    rows = runs(docs, whole, longest).select("lang", phrase.alias("phrase"), "n")
     size = F.when(F.col("phrase") == "", 0).otherwise(
         F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
     out = written(rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))

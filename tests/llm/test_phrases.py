@@ -114,3 +114,22 @@ def test_scores_of_large_counts_are_exact(spark):
     total = spark.createDataFrame([("en", n)], "lang string, total long")
     got = phrases.scored(counts.filter("size > 1"), counts, total).first()
     assert got.score == 1000 * a * n // (left * right)
+
+
+def test_rows_that_leave_the_tasks_follow_the_words(spark, documents):
+    # Every word starts an edge of its own here, and no two edges of a task are equal.
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [" ".join(rnd.choices(words, k=500)) + ". alone" for _ in range(40)]
+    docs = documents(rows, 2)
+    whole = spark.sparkContext.broadcast(phrases.np.full(phrases.FILTER // 8, 255, "u1"))
+    found = phrases.runs(docs, whole, 5).collect()
+    parts = [r for r in found if len(r.words) > 1]
+    assert len(parts) == 40 * -(-500 // phrases._RUN) and max(len(r.words) for r in parts) == phrases._RUN + 4
+    assert sum(r.starts * r.n for r in found if r.words != [""]) == 40 * 501 == sum(r.n for r in found if r.words == [""])
+    # A part holds whole every phrase that its first words start.
+    edges = Counter()
+    for r in parts:
+        edges.update(" ".join(r.words[i:i + 5]) for i in range(r.starts))
+    texts = [r.removesuffix(". alone").split() for r in rows]
+    assert edges == Counter(" ".join(t[i:i + 5]) for t in texts for i in range(500))
