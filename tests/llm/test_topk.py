@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from termwise.llm import topk
@@ -72,3 +73,54 @@ def test_a_repeated_query_id_asks_for_one_vector(spark):
         asked = spark.createDataFrame(order, base.schema).coalesce(1)
         got.append(sorted(tuple(r) for r in topk.top_k(base, asked).collect()))
     assert got[0] == got[1] and len(got[0]) == 40
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Neither side goes through the driver, however small Spark takes it to be."""
+    plans, write = [], topk.written
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(topk, "written", noted)
+    rnd = random.Random(3)
+    df = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(4)], 0) for i in range(200)], SCHEMA)
+    noted(topk.top_k(df, df.filter("vec_id % 50 = 0")), "found")
+    assert not any("Broadcast" in x for x in plans)
+    assert sum("CoGroups" in x for x in plans) == 2
+
+
+@pytest.mark.parametrize("cells", [1, 9])
+def test_cells_of_a_few_blocks(spark, monkeypatch, cells):
+    """Stripes and groups of several blocks, and a last one of fewer, find what one cell does."""
+    for name, value in {"BLOCK": 4, "QUERIES": 2, "CELL": 480, "CELLS": cells, "TILE": 5, "STEP": 7}.items():
+        monkeypatch.setattr(topk, name, value)
+    rnd = random.Random(cells)
+    rows = [(i * 10, [rnd.gauss(0, 1) * (1 + i % 5) for _ in range(5)]) for i in range(150)]
+    rows += [(2000 + i, [1.0] * 5) for i in range(20)] + [(50, [2.0, 1.0, 0.0, 0.0, 0.0])]
+    got = run(spark, rows)
+    want = brute(rows)
+    # Of the two vectors with id 50 either may be asked for.
+    assert [x for x in got if x[0] != 50] == [x for x in want if x[0] != 50]
+    assert [x for x in got if x[0] == 50] in [[x for x in brute([r for r in rows if r != own] + [(None, own[1])])
+                                               if x[0] == 50] for own in rows if own[0] == 50]
+
+
+@pytest.mark.parametrize("kind, size", [("<i1", 100), ("<i2", 500), ("<i2", 30000), ("<i4", 2**22), ("<f8", 2.0**25)])
+def test_a_cell_is_exact_at_every_width(kind, size):
+    """Single precision serves only where no sum can pass what it holds."""
+    rnd = np.random.default_rng(7)
+    q, c = (rnd.integers(-size, size, (n, 6)).astype(float) for n in (30, 300))
+    c[200:] = c[:100] + rnd.integers(0, 2, (100, 6)) * (np.abs(c[:100]) < size / 2)
+    ids = rnd.permutation(300)
+    asked = pa.table({"q_ids": [np.arange(x, x + 15).astype("<i8").tobytes() for x in (0, 15)],
+                      "q_data": [q[x:x + 15].astype(kind).tobytes() for x in (0, 15)],
+                      "q_least": [np.full(15, -np.inf).tobytes(), np.zeros(15).tobytes()]})
+    blocks = pa.table({"ids": [ids[x:x + 100].astype("<i8").tobytes() for x in (0, 100, 200)],
+                       "data": [c[x:x + 100].astype(kind).tobytes() for x in (0, 100, 200)]})
+    found = topk._search(5, 6, kind)(asked, blocks).to_pylist()
+    for i in range(30):
+        exact = [(-sum(int(a) * int(b) for a, b in zip(q[i], v)), int(j)) for v, j in zip(c, ids) if j != i]
+        want = sorted(x for x in exact if i < 15 or x[0] <= 0)[:5]
+        assert sorted((-x["score"], x["vec_id"]) for x in found if x["query_id"] == i) == want
